@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     Rows with a null end and loops are ignored; repeated edges count once; no edges give no rows.
     """
     spark = edges.sparkSession
-    now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), (F.col(a) + F.col(b)).alias("ok")).where("ok is not null and a <> b").select("a", "b").distinct()
+    ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    now = ends.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     now, path = scratch.kept_at(now, "edges")
     seen = None
     for _ in range(rounds):
