@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm import quality, simhash
+from veldt import scratch
+from veldt.llm import quality, simhash, warc
 from veldt.llm.texts import documents
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.fresh(spark, "archives")
+    warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return warc.read(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir))
     return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept")
@@ -22,6 +29,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_warc": op4_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
 }
@@ -29,6 +37,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _W = r"[^\x20\x09-\x0D]+"
 
 SQL = {
+    "op4_warc": f"""
+with p as (select page_id, coalesce(html, '') h from pages),
+d as (select page_id, strlen(h)::bigint payload_bytes, sha1(h) payload_digest, max(page_id) over (partition by h) last from p)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= {warc.MIN_REVISIT} and page_id is distinct from last and last is not null then 'revisit' else 'response' end record_type,
+  case when payload_bytes >= {warc.MIN_REVISIT} and page_id is distinct from last then last end refers_to
+from d""",
     "op6_quality_rules": rf"""
 with d as (select row_number() over () rid, doc_id, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{_W}') ws from documents),
 tri as (select rid, unnest(range(1, len(ws) - 1)) i, ws from d where len(ws) >= 3),
