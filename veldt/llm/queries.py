@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldt import scratch
-from veldt.llm import quality, simhash, warc
+from veldt.llm import quality, sharding, simhash, warc
 from veldt.llm.texts import documents
 
 
@@ -28,10 +28,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shards(documents(spark, sf_dir), n_shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
+    "op9_sharding": op9_sharding,
 }
 
 _W = r"[^\x20\x09-\x0D]+"
