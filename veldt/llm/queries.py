@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldt import scratch
-from veldt.llm import quality, sharding, simhash, warc
+from veldt.llm import embedding, quality, sharding, simhash, warc
 from veldt.llm.texts import documents
 
 
@@ -33,11 +33,16 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
     "op9_sharding": op9_sharding,
+    "op10_embedding": op10_embedding,
 }
 
 _W = r"[^\x20\x09-\x0D]+"
@@ -76,4 +81,13 @@ s as (select k, mean, case when var > 0 then least(greatest(mean * (1 - mean) /
 bad as (select distinct host from h join s using (k) where (f + mean * strength) / (n + strength) > {quality.MAX_RATE})
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and host is null kept
 from r left join bad on r.source = bad.host""",
+    "op10_embedding": f"""
+with recursive v as (select row_number() over () rid, vec_id, label, embedding::double[] e from embeddings),
+ok as (select * from v where label is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as (select a.rid x, b.rid y from ok a join ok b on a.label = b.label and len(a.e) = len(b.e) and a.rid <> b.rid and list_cosine_similarity(a.e, b.e) >= {embedding.COSINE}::double),
+reach as (select rid x, rid y from v union select reach.x, l.y from reach join l on reach.y = l.x),
+c as (select x rid, min(vec_id) component_id from reach join v on reach.y = v.rid group by x),
+n as (select x rid, count(*) n from l group by x)
+select vec_id, coalesce(n, 0)::bigint n_links, component_id, vec_id is not distinct from component_id kept
+from v join c using (rid) left join n using (rid)""",
 }
