@@ -71,11 +71,10 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     rows.select(F.concat(head, F.col("block")).alias("value")).write.option("lineSep", END).text(path)
 
 
-def candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A row for every place where the magic stands: file, split, row, offset, of the piece from the magic to the
-    next one its header and stated length, the payload's bytes and digest if the piece holds the whole block
-    (``whole``), and the offset of the successor; the last ones are null where no header follows the magic. The
-    pieces themselves come as a second table."""
+def candidates(spark: SparkSession, path: str, pieces: bool = False) -> DataFrame:
+    """A row for every place where the magic stands: file, offset, header and stated length of the piece from the
+    magic to the next one, the payload's bytes and digest if the piece holds the whole block (``whole``), and the
+    offset of the successor; these are null where no header follows the magic. If asked for, the piece itself."""
     text = F.col("piece").cast("string")
     head = F.when(F.locate(END, text) > 0, F.substring_index(text, END, 1))
     length = F.regexp_extract("head", r"(?:^|\r\n)Content-Length: ([0-9]{1,18})(?:\r\n|$)", 1)
@@ -85,18 +84,20 @@ def candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     raw = raw.withColumn("whole", F.octet_length("piece") >= F.octet_length("head") + len(END) + F.col("length"))
     told = _payload("whole")
     raw = raw.withColumns({k: told[k] for k in ("read_bytes", "read_digest")})
-    # Kept, so that splits and row numbers are the same for all that follows.
-    raw = scratch.kept(raw, "warc_pieces")
-    slim = raw.drop("piece")
-    lengths = slim.groupBy("file", "split").agg(F.sum("size").alias("sum"))
+    # Kept, so that splits and row numbers are the same in the two reads that follow.
+    raw = scratch.kept(raw if pieces else raw.drop("piece"), "warc_pieces")
+    lengths = raw.groupBy("file", "split").agg(F.sum("size").alias("sum"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     starts = lengths.select("file", "split", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("file", "split").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    slim = raw.select("file", "split", "row", "size") if pieces else raw
     # A piece's magic stands before it: its offset is what comes before, less the magic's length.
     placed = slim.withColumn("in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["file", "split"])
     placed = placed.withColumn("offset", F.col("start") + F.col("in") - len(MAGIC)).where("offset >= 0").drop("start", "in", "size")
+    if pieces:
+        placed = placed.join(raw.drop("size"), ["file", "split", "row"])
     placed = placed.withColumn("successor", F.col("offset") + len(MAGIC) + F.octet_length("head") + len(END) + F.col("length") + len(END))
-    return scratch.kept(placed, "warc_candidates"), raw.select("file", "split", "row", "piece")
+    return placed.drop("split", "row")
 
 
 def _payload(whole: str) -> dict:
@@ -154,19 +155,21 @@ def reachable(found: DataFrame, segment: int = SEGMENT) -> DataFrame:
 def read(spark: SparkSession, path: str, payloads: bool = True, segment: int = SEGMENT) -> DataFrame:
     """A row for each record: file, offset, record_type, page_id, refers_to, target_uri, payload_bytes,
     payload_digest (of the payload as read; of a revisit as its record states it) and, if asked for, payload."""
-    found, pieces = candidates(spark, path)
-    marked = found.join(reachable(found, segment).withColumn("real", F.lit(True)), ["file", "offset"], "left")
+    found = scratch.kept(candidates(spark, path), "warc_candidates")
+    chain = scratch.kept(reachable(found, segment).withColumn("real", F.lit(True)), "warc_chain")
+    marked = found.join(chain, ["file", "offset"], "left")
+    cut = scratch.kept(marked.where("real and not whole").select("file", "offset", "successor", "head", "length"), "warc_cut")
+    pieces = candidates(spark, path, True).select("file", "offset", "piece") if payloads or cut.take(1) else None
     keep = ["file", "offset", "head", "length", "read_bytes", "read_digest", *(["payload"] if payloads else [])]
     if payloads:
-        marked = scratch.kept(marked.join(pieces, ["file", "split", "row"]).withColumn("payload", _payload("whole")["payload"]).drop("piece"), "warc_payloads")
+        marked = scratch.kept(marked.join(pieces, ["file", "offset"]).withColumn("payload", _payload("whole")["payload"]).drop("piece"), "warc_payloads")
     records = marked.where("real and whole").select(*keep)
-    cut = scratch.kept(marked.where("real and not whole").select("file", "offset", "successor", "head", "length"), "warc_cut")
     if cut.take(1):
         # Payloads that hold the magic: in their files alone, the pieces up to the successor go to the record.
         w = Window.partitionBy("file").orderBy("offset")
         some = marked.join(cut.select("file").distinct(), "file", "left_semi")
         some = some.withColumn("owner", F.last(F.when(F.coalesce("real", F.lit(False)), F.struct(F.col("offset").alias("o"), F.coalesce("whole", F.lit(False)).alias("w"))), True).over(w)).where("not owner.w")
-        parts = some.select("file", "split", "row", "offset", F.col("owner.o").alias("owner")).join(pieces, ["file", "split", "row"])
+        parts = some.select("file", "offset", F.col("owner.o").alias("owner")).join(pieces, ["file", "offset"])
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", F.col("piece").cast("string").alias("piece")))), lambda x: x["piece"]), MAGIC)
         whole = parts.groupBy("file", F.col("owner").alias("offset")).agg(joined.cast("binary").alias("piece")).join(cut.drop("successor"), ["file", "offset"])
         whole = whole.withColumn("yes", F.lit(True)).withColumns(_payload("yes"))
