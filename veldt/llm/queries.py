@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldt import scratch
-from veldt.llm import embedding, quality, sharding, simhash, warc
+from veldt.llm import embedding, mixing, quality, sharding, simhash, warc
 from veldt.llm.texts import documents
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).taken()
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.fresh(spark, "archives")
     warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
@@ -38,6 +42,7 @@ def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op4_warc": op4_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
