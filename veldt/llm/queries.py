@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldt import scratch
-from veldt.llm import embedding, mixing, quality, sharding, simhash, warc
+from veldt.llm import embedding, linededup, mixing, quality, sharding, simhash, warc
 from veldt.llm.texts import documents
 
 
@@ -32,6 +32,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document: its lines, how many are later matches, and which (from 0)."""
+    found = linededup.matched(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shards(documents(spark, sf_dir), n_shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -46,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
+    "op8_linededup": op8_linededup,
     "op9_sharding": op9_sharding,
     "op10_embedding": op10_embedding,
 }
