@@ -201,14 +201,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if not all(seen.get(k) for k in ((0, True), (1, True), (0, False), (1, False))):
         return Model({}, {}, rate=share)
     part = _table(known.where("fold <> 0"), share)
-    tell = spark.sparkContext.broadcast(part)
+    tell = spark.sparkContext.broadcast(vars(part))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, float] = {}
+        m = Model(**tell.value)
         for b in batches:
             rows = []
             for t, y in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
-                size, found = tell.value.passages(t, cache)
+                size, found = m.passages(t, cache)
                 kinds = Counter(round(cache[w] * 4) for w in _split(t)) if not y else {}
                 rows.append((y, size, sorted((s for _, _, s in found), reverse=True)[:64], list(kinds), list(kinds.values())))
             y, size, found, kinds, counts = zip(*rows, strict=True) if rows else ((),) * 5
@@ -249,12 +250,12 @@ def _extremes(kinds: Counter, best: list[tuple[int, float]]) -> tuple[float, flo
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", passages: bool = False) -> DataFrame:
     """(doc_id, held_out, score, predicted), a row for each row of ``docs``; if asked for, passages: the significant
     ones, as words from begin to before end, with their calibrated scores."""
-    tell = docs.sparkSession.sparkContext.broadcast(model)
+    tell = docs.sparkSession.sparkContext.broadcast(vars(model))
     schema = "doc_id long, score double" + (", passages array<struct<begin:long,end:long,score:double>>" if passages else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, float] = {}
-        m = tell.value
+        m = Model(**tell.value)
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
             cols = [b.column(0), pa.array([m.score(m.evidence(t, cache)) for t in texts], pa.float64())]
