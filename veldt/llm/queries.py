@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldt import scratch
-from veldt.llm import embedding, linededup, mixing, packing, quality, sharding, simhash, toxicity, warc
+from veldt.llm import embedding, linededup, lm_scoring, mixing, packing, quality, sharding, simhash, toxicity, warc
 from veldt.llm.texts import documents
 
 
@@ -16,6 +16,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).taken()
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -58,6 +62,7 @@ def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
