@@ -1,6 +1,546 @@
-"""Named queries and the SQL that DuckDB holds them against."""
+"""Named queries over the pixel view, and the SQL that DuckDB holds them against."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veldt import scratch
+from veldt.functions.quantiles import quantiles
+from veldt.operators import cells, change, features, ml, radiometry, raster
+from veldt.plans.oracles import K, sql
+from veldt.sources import discovery, pixels
+from veldt.sources.pixels import BANDS, PIXEL_M
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+CELL_PX, LEAST_PX = 6, 4
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def told(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles rounded, as sums differ in their last bits from one engine to another."""
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+class Scene:
+    """What the queries share, each built once: change vectors, threshold, foreground, components, grid."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark = spark
+        self.px = pixels.usable(spark, sf_dir)
+        self.height = pixels.height(pixels.frame(spark, sf_dir))
+        self.width = pixels.WIDTH
+
+    def vectors(self) -> DataFrame:
+        return change.change_vectors(self.px)
+
+    def binary(self) -> tuple[DataFrame, float]:
+        v = self.vectors()
+        t = change.threshold(v, "cva", "otsu")
+        return v.withColumn("changed", F.col("cva") > F.lit(t)), t
+
+    def foreground(self) -> DataFrame:
+        return scratch.kept(self.binary()[0].where("changed").select("row", "col"), "foreground")
+
+    def cleaned(self) -> DataFrame:
+        return scratch.kept(raster.morphology(self.foreground(), self.height, self.width), "cleaned")
+
+    def labels(self) -> DataFrame:
+        return scratch.kept(raster.large(raster.components(self.cleaned()), LEAST_PX), "labels")
+
+    def grid(self) -> DataFrame:
+        return scratch.kept(cells.grid(self.binary()[0], CELL_PX), "grid")
+
+    def hotspots(self) -> DataFrame:
+        g = self.grid()
+        z = cells.gi_star(g, cells.contiguity(g), "mean_cva").withColumn("gi_pvalue", cells.normal_p(F.col("gi_zscore")))
+        z = cells.bh_fdr(z, "gi_pvalue", "id", "gi_qvalue").withColumn("hotspot_class", cells.hotspot_class(F.col("gi_zscore"), F.col("gi_qvalue")))
+        return scratch.kept(g.join(z, cells.cell_id() == F.col("id")), "hotspots")
+
+    def features(self) -> DataFrame:
+        v, t = self.binary()
+        lab = self.labels()
+        made = features.metrics(lab, v, "cva", PIXEL_M)
+        at = features.attach(lab, self.hotspots(), CELL_PX, ["gi_zscore", "gi_qvalue"], ["hotspot_class"], PIXEL_M)
+        made = features.confidence(scratch.kept(made.join(at, "label", "left"), "features"), t)
+        return features.numbered(made, ["label"])
+
+
+AFTER = ", ".join(f"round(a{b[2]}, 9) after_{b}" for b in BANDS)
+
+
+@query(sql(f"select pid, {', '.join(f'round(p{b[2]}, 9) before_{b}' for b in BANDS)}, {AFTER} from px"))
+def reflectance(spark, sf):
+    return told(pixels.usable(spark, sf).select("pid", *[f"{d}_{b}" for d in ("before", "after") for b in BANDS]), 9)
+
+
+@query(sql("select pid, round(a4 - p4, 9) + 0e0 diff_b04, round(a3 - p3, 9) + 0e0 diff_b03, round(a2 - p2, 9) + 0e0 diff_b02 from px"))
+def band_diff(spark, sf):
+    return told(pixels.usable(spark, sf).select("pid", *[change.diff(b).alias(f"diff_{b}") for b in BANDS]), 9)
+
+
+@query(sql("select pid, round(sqrt((a4-p4)*(a4-p4)+(a3-p3)*(a3-p3)+(a2-p2)*(a2-p2)), 9) distance from px"))
+def baseline_distance(spark, sf):
+    return told(change.baseline(pixels.usable(spark, sf)).select("pid", "distance"), 9)
+
+
+@query(sql("select pid, round(least(greatest((d - lo) / (hi - lo), 0e0), 1e0), 6) intensity from (select pid, d, min(d) over () lo, max(d) over () hi from (select pid, sqrt((a4-p4)*(a4-p4)+(a3-p3)*(a3-p3)+(a2-p2)*(a2-p2)) d from px))"))
+def baseline_intensity(spark, sf):
+    return told(change.baseline(pixels.usable(spark, sf)).select("pid", "intensity"))
+
+
+def _normalized(spark, sf, method):
+    return told(radiometry.normalize(pixels.usable(spark, sf), method).select("pid", *[f"after_{b}" for b in BANDS]))
+
+
+@query(sql("select pid, " + ", ".join(f"round((a{k} - ma{k}) * (case when da{k} > 1e-6 then db{k} / da{k} else 1e0 end) + mb{k}, 6) after_b0{k}" for k in (4, 3, 2)) + " from px, (select " + ", ".join(f"median(p{k}) mb{k}, median(a{k}) ma{k}, mad(p{k}) db{k}, mad(a{k}) da{k}" for k in (4, 3, 2)) + " from px)"))
+def norm_median_mad(spark, sf):
+    return _normalized(spark, sf, "robust_median_mad")
+
+
+@query(sql("select pid, " + ", ".join(f"round(a{k} * (bh{k} - bl{k}) / (ah{k} - al{k}) + bl{k} - al{k} * (bh{k} - bl{k}) / (ah{k} - al{k}), 6) after_b0{k}" for k in (4, 3, 2)) + " from px, (select " + ", ".join(f"quantile_cont(p{k}, 0.02) bl{k}, quantile_cont(p{k}, 0.98) bh{k}, quantile_cont(a{k}, 0.02) al{k}, quantile_cont(a{k}, 0.98) ah{k}" for k in (4, 3, 2)) + " from px)"))
+def norm_percentile(spark, sf):
+    return _normalized(spark, sf, "percentile_matching")
+
+
+@query(sql("select pid, " + ", ".join(f"round(a{k} * s{k} + i{k}, 6) after_b0{k}" for k in (4, 3, 2)) + " from px, (select " + ", ".join(f"regr_slope(p{k}, a{k}) s{k}, regr_intercept(p{k}, a{k}) i{k}" for k in (4, 3, 2)) + " from (select *, quantile_cont(d, 0.1) over () e from (select *, sqrt((a4-p4)*(a4-p4)+(a3-p3)*(a3-p3)+(a2-p2)*(a2-p2)) d from px)) where d <= e)"))
+def norm_pif(spark, sf):
+    return _normalized(spark, sf, "pif_linear")
+
+
+@query(sql("select pid, " + ", ".join(f"cast(floor(least(greatest(({d}{k} - lo{k}) / (hi{k} - lo{k}), 0e0), 1e0) * 255) as int) {n}_b0{k}" for d, n in (("p", "before"), ("a", "after")) for k in (4, 3, 2)) + " from px, (select " + ", ".join(f"quantile_cont(p{k}, 0.02) lo{k}, quantile_cont(p{k}, 0.98) hi{k}" for k in (4, 3, 2)) + " from px)"))
+def rgb_stretch(spark, sf):
+    return radiometry.rgb_stretch(pixels.usable(spark, sf)).select("pid", *[f"{d}_{b}" for d in ("before", "after") for b in BANDS])
+
+
+@query(sql("select pid, round(z4, 6) + 0e0 z_b04, round(z3, 6) + 0e0 z_b03, round(z2, 6) + 0e0 z_b02 from z"))
+def cva_zscore(spark, sf):
+    return told(change.change_vectors(pixels.usable(spark, sf)).select("pid", *[f"z_{b}" for b in BANDS]))
+
+
+@query(sql("select pid, round(v, 6) cva, round(bright, 6) + 0e0 brightness_diff from cva"))
+def cva_magnitude(spark, sf):
+    return told(change.change_vectors(pixels.usable(spark, sf)).select("pid", "cva", "brightness_diff"))
+
+
+@query(sql("select bin, n from hist"))
+def otsu_hist(spark, sf):
+    return change.histogram(change.change_vectors(pixels.usable(spark, sf)), "cva")[0]
+
+
+def _threshold(spark, sf, method, **options):
+    v = change.change_vectors(pixels.usable(spark, sf))
+    t = change.threshold(v, "cva", method, **options)
+    over = (F.col("cva") > F.lit(t)).cast("long")
+    return told(v.agg(F.lit(t).alias("threshold"), F.sum(over).alias("n_changed"), (100.0 * F.avg(over.cast("double"))).alias("pct")))
+
+
+_COUNT = "select round(t, 6) threshold, cast(count_if(v > t) as bigint) n_changed, round(100e0 * avg(case when v > t then 1e0 else 0e0 end), 6) pct from cva, "
+
+
+@query(sql(_COUNT + "thr group by t"))
+def threshold_otsu(spark, sf):
+    return _threshold(spark, sf, "otsu")
+
+
+@query(sql(_COUNT + "(select quantile_cont(v, 0.95) t from cva) group by t"))
+def threshold_percentile(spark, sf):
+    return _threshold(spark, sf, "percentile", percentile=95.0)
+
+
+@query(sql(_COUNT + "(select 2.5e0 t) group by t"))
+def threshold_manual(spark, sf):
+    return _threshold(spark, sf, "manual", manual=2.5)
+
+
+@query(sql("select pid, r > 0 and c > 0 valid_before, r > 0 and c > 0 valid_after, r > 0 and c > 0 valid from px0"))
+def valid_mask(spark, sf):
+    f = pixels.frame(spark, sf)
+    return f.select("pid", pixels.valid("before").alias("valid_before"), pixels.valid("after").alias("valid_after"), (pixels.valid("before") & pixels.valid("after")).alias("valid"))
+
+
+#: A quadrilateral a little inside the frame, in shares of its width and height.
+AOI = [(0.055, 0.032), (0.951, 0.071), (0.913, 0.934), (0.027, 0.887)]
+
+
+def _aoi(height: int):
+    ring = [(x * 100, y * height) for x, y in AOI]
+    return [(*a, *b) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+
+
+_RING = " union all ".join(f"select {a[0] * 100}e0 x1, {a[1]}e0 * h y1, {b[0] * 100}e0 x2, {b[1]}e0 * h y2 from dims" for a, b in zip(AOI, AOI[1:] + AOI[:1], strict=True))
+
+
+@query(sql(f"select pid, (select count(*) from ({_RING}) e where (r + 0.5e0) >= least(y1, y2) and (r + 0.5e0) < greatest(y1, y2) and x1 + ((r + 0.5e0) - y1) * (x2 - x1) / (y2 - y1) > c + 0.5e0) % 2 = 1 in_aoi from px0"))
+def aoi_rasterize(spark, sf):
+    f = pixels.frame(spark, sf).select("pid", (F.col("col") + 0.5).alias("x"), (F.col("row") + 0.5).alias("y"))
+    edges = spark.createDataFrame(_aoi(pixels.height(pixels.frame(spark, sf))), "x1 double, y1 double, x2 double, y2 double")
+    inside = raster.inside_polygon(f, edges).select("pid", F.lit(True).alias("yes"))
+    return f.join(inside, "pid", "left").select("pid", F.coalesce("yes", F.lit(False)).alias("in_aoi"))
+
+
+@query(sql("select r as row, c as col from er"))
+def erode(spark, sf):
+    s = Scene(spark, sf)
+    return raster.erode(s.foreground(), s.height, s.width)
+
+
+@query(sql("select r as row, c as col from di"))
+def dilate(spark, sf):
+    s = Scene(spark, sf)
+    return raster.dilate(s.foreground(), s.height, s.width)
+
+
+@query(sql("select r as row, c as col from op"))
+def opening(spark, sf):
+    s = Scene(spark, sf)
+    return raster.morphology(s.foreground(), s.height, s.width, "opening")
+
+
+@query(sql("select r as row, c as col from cl"))
+def closing(spark, sf):
+    s = Scene(spark, sf)
+    return raster.morphology(s.foreground(), s.height, s.width, "closing")
+
+
+@query(sql("select r as row, c as col from oc"))
+def open_close(spark, sf):
+    s = Scene(spark, sf)
+    return raster.morphology(s.foreground(), s.height, s.width, "opening_then_closing")
+
+
+@query(sql("select r as row, c as col, label from lab"))
+def components(spark, sf):
+    return raster.components(Scene(spark, sf).cleaned())
+
+
+@query(sql("select r as row, c as col, label from big"))
+def min_area_filter(spark, sf):
+    return raster.large(raster.components(Scene(spark, sf).cleaned()), LEAST_PX)
+
+
+_HOLED = "ring as (select r, c from oc except select r, c from oc where r % 30 between 8 and 10 and c between 8 and 10)"
+
+
+@query(sql(f""", {_HOLED}, bg as (select i // 100 r, i % 100 c from range((select h * 100 from dims)) t(i) where (i // 100, i % 100) not in (select (r, c) from ring)),
+outside as (select r, c from bg where r = 0 or c = 0 or c = 99 or r = (select h - 1 from dims) union select bg.r, bg.c from outside, {'(values (-1,0),(1,0),(0,-1),(0,1))'} o(a, b) join bg on bg.r = outside.r + a and bg.c = outside.c + b)
+select cast(r as int) as row, cast(c as int) as col from (select r, c from ring union select r, c from bg except select r, c from outside)"""))
+def fill_holes(spark, sf):
+    """The cleaned components, first bored through in their middle."""
+    s = Scene(spark, sf)
+    bored = s.cleaned().where(~((F.col("row") % 30).between(8, 10) & F.col("col").between(8, 10)))
+    return raster.fill_holes(bored, s.height, s.width)
+
+
+@query(sql("select label, round(area_m2, 6) area_m2, round(perimeter_m, 6) perimeter_m, round(compactness, 6) compactness, round(mean_change, 6) mean_change, round(max_change, 6) max_change, round(p95_change, 6) p95_change from met"))
+def feature_metrics(spark, sf):
+    s = Scene(spark, sf)
+    return told(features.metrics(s.labels(), s.vectors(), "cva", PIXEL_M).select("label", "area_m2", "perimeter_m", "compactness", "mean_change", "max_change", "p95_change"))
+
+
+@query(sql("select label, round(confidence, 6) confidence from conf"))
+def confidence(spark, sf):
+    return told(Scene(spark, sf).features().select("label", "confidence"))
+
+
+@query(sql("select label, round(least(greatest(0.3e0 * c1 + 0.2e0 * c2 + 0.2e0 * c3 + 0.2e0 * c4 + 0.1e0 * (case when hi > lo then (compactness - lo) / (hi - lo) else 0e0 end), 0e0), 1e0), 6) confidence from conf1, (select min(compactness) lo, max(compactness) hi from conf1)"))
+def confidence_ml(spark, sf):
+    """With anomaly scores; compactness stands in for them."""
+    s = Scene(spark, sf)
+    return told(features.confidence(s.features().drop("confidence"), s.binary()[1], "compactness").select("label", "confidence"))
+
+
+GRID = ["cell_row", "cell_col", "valid_pixel_count", "mean_cva", "median_cva", "p90_cva", "p95_cva", "changed_proportion", *[f"mean_diff_{b}" for b in BANDS], "local_std_cva", "total_pixel_count"]
+
+
+@query(sql("select " + ", ".join(c if c.endswith(("row", "col", "count")) else f"round({c}, 6) + 0e0 {c}" for c in GRID) + " from grid"))
+def analysis_grid(spark, sf):
+    return told(cells.grid(Scene(spark, sf).binary()[0], CELL_PX).select(*GRID))
+
+
+def _overview(how, factor):
+    return lambda spark, sf: told(raster.overview(pixels.frame(spark, sf).where(pixels.valid("after")).withColumnRenamed("after_b04", "v"), "v", factor, how))
+
+
+for _f in (2, 4, 8):
+    QUERIES[f"overview_avg_{_f}"] = _overview("average", _f)
+    SQL[f"overview_avg_{_f}"] = sql(f"select cast(floor(r / {_f}e0) as int) as row, cast(floor(c / {_f}e0) as int) as col, round(avg(v), 6) v from dn group by 1, 2")
+    QUERIES[f"overview_nearest_{_f}"] = _overview("nearest", _f)
+    SQL[f"overview_nearest_{_f}"] = sql(f"select cast(floor(r / {_f}e0) as int) as row, cast(floor(c / {_f}e0) as int) as col, round(arg_min(v, r * 1000 + c), 6) v from dn group by 1, 2")
+
+
+@query(sql("select r as row, c as col, round(sum(w * v) / sum(w), 6) v from (select r, c, 0.7e0 w, v from dn union all select r, c - 1, 0.3e0, v from dn) group by 1, 2"))
+def resample_bilinear(spark, sf):
+    """The later date, moved by 3 m, on the frame's own centres."""
+    f = pixels.frame(spark, sf).where(pixels.valid("after")).withColumnRenamed("after_b04", "v")
+    return told(raster.resample_bilinear(f, "v", 0.3, 0.0))
+
+
+@query(sql("select src, dst from queen"))
+def weights_queen(spark, sf):
+    return cells.contiguity(Scene(spark, sf).grid(), "queen")
+
+
+@query(sql("select src, dst from rook"))
+def weights_rook(spark, sf):
+    return cells.contiguity(Scene(spark, sf).grid(), "rook")
+
+
+@query(sql("select src, dst from (select a.id src, b.id dst, row_number() over (partition by a.id order by (a.cr - b.cr) * (a.cr - b.cr) + (a.cc - b.cc) * (a.cc - b.cc), b.id) k from cell a join cell b on a.id <> b.id) where k <= 8"))
+def weights_knn(spark, sf):
+    return cells.nearest(Scene(spark, sf).grid(), 8)
+
+
+@query(sql("select src, dst, round(w, 9) w from wr"))
+def row_standardize(spark, sf):
+    return told(cells.weights(Scene(spark, sf).grid(), "queen"), 9)
+
+
+@query(sql("""select round(i, 6) i, round(ei, 6) ei, round(v, 9) var_norm, round((i - ei) / sqrt(v), 6) z_norm from (
+select i, -1e0 / (n - 1) ei, (n * n * s1 - n * s2 + 3 * s0 * s0) / (s0 * s0 * (n * n - 1e0)) - 1e0 / ((n - 1e0) * (n - 1e0)) v from
+(select n / s0 * num / d i, * from g0, den, (select sum(w * a.z * b.z) num, sum(w) s0 from wr join zc a on a.id = src join zc b on b.id = dst),
+(select sum(0.5e0 * (a.w + b.w) * (a.w + b.w)) s1 from wr a join wr b on a.src = b.dst and a.dst = b.src),
+(select sum(w * w) s2 from (select id, sum(w) w from (select src id, w from wr union all select dst, w from wr) group by id))))"""))
+def global_moran(spark, sf):
+    g = Scene(spark, sf).grid()
+    r = cells.global_moran(g, cells.weights(g), "mean_cva")
+    out = spark.createDataFrame([(r["i"], r["ei"], r["var_norm"], r["z_norm"])], "i double, ei double, var_norm double, z_norm double")
+    return out.select(F.round("i", 6).alias("i"), F.round("ei", 6).alias("ei"), F.round("var_norm", 9).alias("var_norm"), F.round("z_norm", 6).alias("z_norm"))
+
+
+@query(sql("select zc.id, round((n - 1) * z * coalesce(lag, 0e0) / d, 6) + 0e0 local_moran_stat, round(coalesce(lag, 0e0), 6) + 0e0 spatial_lag, cast(case when z > 0 and lag > 0 then 1 when lag > 0 then 2 when z <= 0 then 3 else 4 end as int) quadrant from zc left join lag using (id), g0, den"))
+def local_moran(spark, sf):
+    g = Scene(spark, sf).grid()
+    return told(cells.local_moran(g, cells.weights(g), "mean_cva"))
+
+
+@query(sql("select id, round(g, 9) gi_star, round(z, 9) gi_zscore from gi"))
+def gi_star(spark, sf):
+    g = Scene(spark, sf).grid()
+    return told(cells.gi_star(g, cells.contiguity(g), "mean_cva"), 9)
+
+
+@query(sql("select id, round(p, 6) gi_pvalue, round(q, 6) gi_qvalue from fdr"))
+def bh_fdr(spark, sf):
+    return told(Scene(spark, sf).hotspots().select("id", "gi_pvalue", "gi_qvalue"))
+
+
+@query(sql("select id, cls hotspot_class from hot"))
+def hotspot_class(spark, sf):
+    return Scene(spark, sf).hotspots().select("id", "hotspot_class")
+
+
+@query(sql("select label, round(gi_zscore, 6) gi_zscore, round(gi_qvalue, 6) gi_qvalue, hotspot_class from att"))
+def overlay_attach(spark, sf):
+    s = Scene(spark, sf)
+    return told(features.attach(s.labels(), s.hotspots(), CELL_PX, ["gi_zscore", "gi_qvalue"], ["hotspot_class"], PIXEL_M))
+
+
+@query(sql("select id, cast(rank() over (order by round(y, 6) desc) as int) ml_anomaly_rank from cell"))
+def anomaly_rank(spark, sf):
+    g = Scene(spark, sf).grid().select(cells.cell_id().alias("id"), F.round("mean_cva", 6).alias("y"))
+    return g.select("id", ml.rank_desc("y").cast("int").alias("ml_anomaly_rank"))
+
+
+@query(sql("select id, round((rank() over (order by y) + (count(*) over (partition by y) - 1) / 2e0) / count(*) over (), 6) ml_anomaly_quantile from (select id, round(y, 1) y from cell)"))
+def anomaly_quantile(spark, sf):
+    g = Scene(spark, sf).grid().select(cells.cell_id().alias("id"), F.round("mean_cva", 1).alias("y"))
+    return told(g.select("id", ml.quantile_avg("y").alias("ml_anomaly_quantile")))
+
+
+@query(sql(f"select cell_row * {K} + cell_col id, " + ", ".join(f"round(({c} - {c}_m) / (case when {c}_h = {c}_l then 1e0 else {c}_h - {c}_l end), 6) + 0e0 {c}" for c in ml.FEATURES) + " from grid, (select " + ", ".join(f"quantile_cont({c}, 0.25) {c}_l, median({c}) {c}_m, quantile_cont({c}, 0.75) {c}_h" for c in ml.FEATURES) + " from grid)"))
+def robust_scale(spark, sf):
+    g = Scene(spark, sf).grid()
+    return told(ml.robust_scale(g, list(ml.FEATURES)).select(cells.cell_id().alias("id"), *ml.FEATURES))
+
+
+@query(sql("""
+, pt as (select id, (y - mean) / sd x, cast(cr as double) / 4 yy from cell, g0),
+nb as (select a.id a, b.id b from pt a join pt b on (a.x - b.x) * (a.x - b.x) + (a.yy - b.yy) * (a.yy - b.yy) <= 0.01e0),
+core as (select a id from nb group by a having count(*) >= 5),
+cc as (select id, id root from core union select cc.id, nb.b from cc join nb on nb.a = cc.root join core on core.id = nb.b),
+root as (select id, min(root) root from cc group by id),
+num as (select id, cast(dense_rank() over (order by root) - 1 as int) k from root)
+select pt.id, coalesce(num.k, (select min(k) from nb join num on num.id = nb.a where nb.b = pt.id), -1)::int ml_cluster_id from pt left join num on num.id = pt.id"""))
+def dbscan(spark, sf):
+    g = Scene(spark, sf).grid()
+    s = g.agg(F.avg("mean_cva"), F.stddev_pop("mean_cva")).first()
+    p = scratch.kept(g.select(cells.cell_id().alias("id"), ((F.col("mean_cva") - F.lit(s[0])) / F.lit(s[1])).alias("x"), (F.col("cell_row") / 4.0).alias("y")), "points")
+    return ml.dbscan(p, "id", ["x", "y"], 0.1, 5)
+
+
+_NAMES = """
+with f(folder, name) as (select 'sentinel2_20230812_' || o_orderkey % 5, 'T35LTG_20230812_' || (case o_orderkey % 7 when 0 then 'B02' when 1 then 'B03' when 2 then 'b04' when 3 then 'B8A' when 4 then 'B08' when 5 then 'XB02X' else 'note' end) || (case when o_orderkey % 3 = 0 then '_10m.jp2' when o_orderkey % 3 = 1 then '.TIF' else '.txt' end) from orders where o_orderkey < 40),
+t as (select folder, upper(regexp_extract(regexp_replace(name, '[.][^.]*$', ''), '(?i)(^|[^A-Za-z0-9])(B0[2348]|B8A)($|[^A-Za-z0-9])', 2)) band from f where regexp_matches(lower(name), '[.](tif|tiff|jp2)$')),
+w as (select folder, band from (select distinct folder from f) cross join (values ('B02'), ('B03'), ('B04')) b(band))
+select folder, band, count(t.band)::bigint n, case when count(t.band) = 0 then 'missing' when count(t.band) > 1 then 'duplicate' else 'ok' end status from w left join t using (folder, band) group by 1, 2"""
+
+
+@query(_NAMES)
+def band_discovery(spark, sf):
+    k = F.col("o_orderkey")
+    band = F.get(F.array(*[F.lit(x) for x in ("B02", "B03", "b04", "B8A", "B08", "XB02X", "note")]), (k % 7).cast("int"))
+    ext = F.get(F.array(F.lit("_10m.jp2"), F.lit(".TIF"), F.lit(".txt")), (k % 3).cast("int"))
+    names = spark.read.parquet(f"{sf}/orders.parquet").where(k < 40).select(F.concat(F.lit("sentinel2_20230812_"), (k % 5).cast("string")).alias("folder"), F.concat(F.lit("T35LTG_20230812_"), band, ext).alias("name"))
+    return discovery.band_table(names)
+
+
+@query("select folder, coalesce(nullif(regexp_extract(folder, '(20[0-9]{6})', 1), ''), folder) label from (select distinct case when o_orderkey % 2 = 0 then 'sentinel2_' || (20230000 + o_orderkey % 50) else 'scene' || o_orderkey % 7 end folder from orders)")
+def date_label(spark, sf):
+    k = F.col("o_orderkey")
+    name = F.when(k % 2 == 0, F.concat(F.lit("sentinel2_"), (20230000 + k % 50).cast("string"))).otherwise(F.concat(F.lit("scene"), (k % 7).cast("string")))
+    f = spark.read.parquet(f"{sf}/orders.parquet").select(name.alias("folder")).distinct()
+    return f.select("folder", discovery.date_label(F.col("folder")).alias("label"))
+
+
+_META = [
+    ("20230812", "B02", "EPSG:32735", 100, 150, "10|0|0|10", 0.91), ("20230812", "B03", "EPSG:32735", 100, 150, "10|0|0|10", 0.42), ("20230812", "B04", "EPSG:32735", 100, 149, "10|0|0|10", 0.95),
+    ("20230902", "B02", "EPSG:32735", 100, 150, "10|0|3|10", 0.97), ("20230902", "B03", "EPSG:32736", 100, 150, "10|0|3|10", 0.88), ("20230902", "B04", None, 100, 150, "10|0|0|10", 0.93),
+]
+_ROWS = ", ".join("(" + ", ".join("null" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}e0" if isinstance(x, float) else str(x) for x in r) + ")" for r in _META)
+
+
+@query(f"""with m(date, band, crs, width, height, transform, valid_ratio) as (values {_ROWS}), f as (select date, arg_min(crs, band) c0, arg_min(width, band) w0, arg_min(height, band) h0, arg_min(transform, band) t0 from m group by 1)
+select severity, code, count(*)::bigint n from (
+select 'error' severity, 'missing_crs' code from m where crs is null union all select 'warning', 'low_valid_ratio' from m where valid_ratio < 0.5
+union all select 'error', 'band_crs_mismatch' from m join f using (date) where crs is distinct from c0 union all select 'error', 'band_dimension_mismatch' from m join f using (date) where width <> w0 or height <> h0
+union all select 'error', 'band_transform_mismatch' from m join f using (date) where transform <> t0) group by 1, 2""")
+def validation_rules(spark, sf):
+    from veldt.operators import validation
+
+    m = spark.createDataFrame(_META, "date string, band string, crs string, width int, height int, transform string, valid_ratio double")
+    return validation.issues(m).groupBy("severity", "code").agg(F.count("*").alias("n"))
+
+
+@query(sql("select r as row, c as col, round(500000 + (c + 0.5e0) * 10, 6) x, round(8600000 - (r + 0.5e0) * 10, 6) y from px"))
+def pixel_centres(spark, sf):
+    p = pixels.usable(spark, sf)
+    return told(p.select("row", "col", (F.lit(pixels.ORIGIN_X) + (F.col("col") + 0.5) * PIXEL_M).alias("x"), (F.lit(pixels.ORIGIN_Y) - (F.col("row") + 0.5) * PIXEL_M).alias("y")))
+
+
+@query(sql("select cell_row, cell_col, 500000e0 + cell_col * 60 x0, 8600000e0 - (cell_row + 1) * 60 y0, 500000e0 + (cell_col + 1) * 60 x1, 8600000e0 - cell_row * 60 y1 from grid"))
+def cell_boxes(spark, sf):
+    g, s = Scene(spark, sf).grid(), PIXEL_M * CELL_PX
+    return g.select("cell_row", "cell_col", (pixels.ORIGIN_X + F.col("cell_col") * s).alias("x0"), (pixels.ORIGIN_Y - (F.col("cell_row") + 1) * s).alias("y0"), (pixels.ORIGIN_X + (F.col("cell_col") + 1) * s).alias("x1"), (pixels.ORIGIN_Y - F.col("cell_row") * s).alias("y1"))
+
+
+# The reference's SQL surface, over this engine's own tables.
+VIEWS = ("change_features", "spatial_grid", "run_metadata", "quality_checks")
+RUNS = [("run_a", "2024-01-01T00:00:00", "otsu"), ("run_b", "2024-02-01T00:00:00", "otsu"), ("run_c", "2024-03-01T00:00:00", "manual")]
+CHECKS = [(1, "run_c", "no_islands", "info"), (2, "run_c", "low_valid_ratio", "warning"), (3, "run_b", "missing_crs", "error")]
+_FEATURE = "feature as change_features_base, "
+_RUNS = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in RUNS)
+_CHECKS = ", ".join(f"({a}, '{b}', '{c}', '{d}')" for a, b, c, d in CHECKS)
+_TABLES = f""", change_features as (select id, round(area_m2, 6) area_m2, round(mean_change, 6) mean_change, round(confidence, 6) confidence, round(gi_zscore, 6) gi_zscore, hotspot_class, case when compactness > 0.5 then round(compactness, 6) end ml_anomaly_score, case when id % 3 = 0 then null when gi_zscore > 0 then 'High-High' else 'Low-Low' end lisa_cluster from feature),
+spatial_grid as (select round(mean_cva, 6) mean_cva, round(changed_proportion, 6) changed_proportion, cls hotspot_class from grid join hot on id = cell_row * {K} + cell_col),
+run_metadata(run_id, run_timestamp, threshold_method) as (values {_RUNS}), quality_checks(id, run_id, check_name, severity) as (values {_CHECKS})
+"""
+
+
+def _views(spark, sf):
+    s = Scene(spark, sf)
+    f = told(s.features())
+    score = F.when(F.col("compactness") > 0.5, F.col("compactness"))
+    lisa = F.when(F.col("id") % 3 == 0, F.lit(None).cast("string")).when(F.col("gi_zscore") > 0, F.lit("High-High")).otherwise(F.lit("Low-Low"))
+    scratch.kept(f.select("id", "area_m2", "mean_change", "confidence", "gi_zscore", "hotspot_class", score.alias("ml_anomaly_score"), lisa.alias("lisa_cluster")), "view").createOrReplaceTempView("change_features")
+    told(s.hotspots().select("mean_cva", "changed_proportion", "hotspot_class")).createOrReplaceTempView("spatial_grid")
+    spark.createDataFrame(RUNS, "run_id string, run_timestamp string, threshold_method string").createOrReplaceTempView("run_metadata")
+    spark.createDataFrame(CHECKS, "id int, run_id string, check_name string, severity string").createOrReplaceTempView("quality_checks")
+
+
+N = {
+    "sql_n01": "select count(*) n, round(cast(coalesce(sum(area_m2), 0) as double), 6) total_area_m2 from change_features",
+    "sql_n02": "select id, area_m2, mean_change, confidence from change_features order by area_m2 desc, id limit 10",
+    "sql_n03": "select id, gi_zscore, hotspot_class from change_features where hotspot_class in ('hot_95', 'hot_99') order by gi_zscore desc",
+    "sql_n04": "select id, ml_anomaly_score, area_m2 from change_features where ml_anomaly_score is not null order by ml_anomaly_score desc, id limit 10",
+    "sql_n05": "select lisa_cluster, count(*) n, round(sum(area_m2), 6) total_area_m2 from change_features group by lisa_cluster",
+    "sql_n06": "select id, confidence, area_m2 from change_features where confidence >= 0.6 order by confidence desc",
+    "sql_n07": "select run_id, run_timestamp, threshold_method from run_metadata order by run_timestamp desc limit 1",
+    "sql_n08": "select check_name, severity from quality_checks order by severity desc",
+    "sql_n09": "select hotspot_class, count(*) n, round(avg(mean_cva), 6) mean_cva, round(avg(changed_proportion), 6) changed_proportion from spatial_grid group by hotspot_class",
+    "sql_n12": "select id, area_m2 from change_features order by area_m2 desc, id limit 10",
+    "sql_n13": "select count(*) n from change_features where hotspot_class in ('hot_95', 'hot_99')",
+    "sql_n14": "select id, ml_anomaly_score from change_features where ml_anomaly_score is not null order by ml_anomaly_score desc, id limit 10",
+}
+N["sql_n11"] = N["sql_n01"]
+
+
+def _named(text):
+    def run(spark, sf):
+        _views(spark, sf)
+        return spark.sql(text)
+
+    return run
+
+
+for _k, _text in sorted(N.items()):
+    QUERIES[_k] = _named(_text)
+    SQL[_k] = sql(_TABLES + _text)
+
+
+@query(sql("select cast(min(c) as int) col_min, cast(max(c) as int) col_max, cast(min(r) as int) row_min, cast(max(r) as int) row_max from big"))
+def sql_n10(spark, sf):
+    """The features' extent."""
+    return Scene(spark, sf).labels().agg(F.min("col").alias("col_min"), F.max("col").alias("col_max"), F.min("row").alias("row_min"), F.max("row").alias("row_max"))
+
+
+@query(sql("select round(100e0 * (select count(*) from oc) / count(*), 6) changed_area_percent, (select count(*) from oc) * 100e0 changed_area_m2, round(count(*) * 100e0 / 1e6, 6) valid_km2, round(100e0 * (1 - count(*) / (select count(*) from px0)::double), 6) nodata_percent from px"))
+def run_totals(spark, sf):
+    s = Scene(spark, sf)
+    n, k, every = s.px.count(), s.cleaned().count(), pixels.frame(spark, sf).count()
+    return told(spark.createDataFrame([(100.0 * k / n, k * 100.0, n * 100.0 / 1e6, 100.0 * (1 - n / every))], "changed_area_percent double, changed_area_m2 double, valid_km2 double, nodata_percent double"))
+
+
+# Without SQL: draws and forests. Tests hold their invariants.
+@query()
+def moran_perm(spark, sf):
+    g = Scene(spark, sf).grid()
+    r = cells.moran_permutations(g, cells.weights(g), "mean_cva", 199)
+    return spark.createDataFrame([tuple(r.values())], "i double, p_sim double, z_sim double")
+
+
+@query()
+def lisa_perm(spark, sf):
+    g = Scene(spark, sf).grid()
+    w = cells.weights(g)
+    p = cells.local_permutations(g, w, "mean_cva", "moran", 199)
+    return cells.local_moran(g, w, "mean_cva").join(p, "id", "left").withColumn("lisa_cluster", cells.lisa_cluster(F.col("quadrant"), F.coalesce("p_sim", F.lit(1.0))))
+
+
+@query()
+def gi_perm(spark, sf):
+    g = Scene(spark, sf).grid()
+    return cells.local_permutations(g, cells.contiguity(g).withColumn("w", F.lit(1.0)), "mean_cva", "gi", 199)
+
+
+@query()
+def isolation_forest(spark, sf):
+    g = Scene(spark, sf).grid().withColumn("id", cells.cell_id())
+    return ml.ranked(ml.isolation_forest(g, "id", list(ml.FEATURES), 100), "ml_anomaly_score").select("id", "ml_anomaly_score", "ml_anomaly_rank", "ml_anomaly_quantile")
+
+
+@query()
+def if_stability(spark, sf):
+    g = scratch.kept(Scene(spark, sf).grid().withColumn("id", cells.cell_id()), "cells")
+    r = ml.forest_stability(g, "id", list(ml.FEATURES), replicates=3, trees=25)
+    return spark.createDataFrame([tuple(r.values())], "replicates int, overlap_mean double, overlap_std double")
+
+
+@query()
+def dbscan_sensitivity(spark, sf):
+    g = Scene(spark, sf).grid().withColumn("id", cells.cell_id()).where("changed_proportion > 0")
+    p = scratch.kept(ml.robust_scale(g, list(ml.FEATURES)).select("id", *ml.FEATURES), "points")
+    r = ml.dbscan_sensitivity(p, "id", list(ml.FEATURES), 1.5, 5)
+    return spark.createDataFrame([tuple(x.values()) for x in r], "eps double, noise_fraction double, n_clusters long")

@@ -42,4 +42,6 @@ def kept_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = fresh(spark, name)
     df.write.parquet(path)
+    # Shuffle files go when the driver has collected the plans that made them: don't wait for memory to run short.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
