@@ -1,12 +1,50 @@
-"""The corpus pipeline: stages run one after another, each written as Parquet and read back."""
+"""The corpus pipeline: stages run one after another, each written as Parquet and read back.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and but for the last returns the
+columns of documents. A stage only decides by its operator; what it removes is gone for all that follow.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veldt import scratch
+from veldt.llm import linededup, mixing, packing, simhash, toxicity
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """n_chars of the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; rows of a rejected doc_id and text go together."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.clean(docs, model)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that match an earlier line go; documents stay, if need be without text."""
+    return _sized(linededup.clean(docs))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints, the document with the least doc_id stays."""
+    return simhash.clean(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in their target weights: a document comes once for each pass over its source that takes words of it."""
+    return _sized(mixing.mixed_documents(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Batches of documents of like lengths."""
+    return packing.pack(docs)
+
 
-STAGES: list = []
+STAGES = [("toxicity", toxic), ("line_dedup", lines), ("simhash", near_copies), ("mixing", mix), ("packing", pack)]
 
 #: The stages' models and pseudorandom draws have no SQL form; tests hold the rows against a brute-force version.
 ORACLE_SQL = None

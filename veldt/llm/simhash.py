@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldt import scratch
-from veldt.llm.texts import short_batches
+from veldt.llm.texts import if_small, short_batches
 from veldt.operators.graph import connected_components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -88,7 +88,7 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     halves = fps.select("fp", cut.alias("h")).select("fp", "h.half", "h.own", "h.other")
     centres = scratch.kept(halves.withColumn("n", F.count("*").over(_by("half", "own"))), "centres")
     variants = halves.select("fp", "half", "own", "other", masks(1).alias("mask")).select("fp", "half", F.col("own").bitwiseXOR(F.col("mask")).alias("key"), "other", "mask")
-    thin = centres.where(F.col("n") <= dense).select("half", F.col("own").alias("key"), F.col("fp").alias("fp2"))
+    thin = centres.where(F.col("n") <= dense).select("half", F.col("own").alias("key"), F.col("fp").alias("fp2")).hint("merge")  # estimates don't see what explode makes
     near = variants.select("fp", "half", "key").join(thin, ["half", "key"]).where((F.col("fp") != F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= RADIUS))
     out = near.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"))
     thick = scratch.kept(centres.where(F.col("n") > dense).select("half", F.col("own").alias("key"), "fp", "other"), "dense")
@@ -119,3 +119,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(least, "component").select("fp", "component_id")
     return known.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without all but one document of each group: the one with the least doc_id stays, once where its row is
+    repeated. Rows without a doc_id stay, if their group has no other."""
+    found = near_duplicates(docs, doc_id, text)
+    gone = scratch.kept(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "copies")
+    out = docs.join(if_small(gone), F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+    twice = scratch.kept(docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_twice")).count().where("count > 1").select("_twice"), "repeated")
+    if not twice.take(1):
+        return out
+    some = if_small(twice)
+    once = out.join(some, F.col(doc_id) == F.col("_twice"), "left_semi").dropDuplicates([doc_id])
+    return out.join(some, F.col(doc_id) == F.col("_twice"), "left_anti").unionByName(once)

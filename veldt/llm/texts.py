@@ -42,3 +42,11 @@ BATCH_ROWS = 256
 def short_batches(spark: SparkSession) -> None:
     """Python workers get at most BATCH_ROWS texts at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+#: Up to so many rows of ids or the like, a table is broadcast; beyond, it is joined in a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a table that is cheap to read, to be broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -271,3 +271,18 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
     more = ["passages"] if passages else []
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *more)
+
+
+def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text the model predicts to be toxic."""
+    tell = docs.sparkSession.sparkContext.broadcast(vars(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[bytes, float] = {}
+        m = Model(**tell.value)
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
+            yield b.filter(pa.array([m.score(m.evidence(t, cache)) < THRESHOLD for t in texts], pa.bool_()))
+
+    short_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
