@@ -4,12 +4,13 @@ A line is the set of its words. Of lines whose sets have a Jaccard similarity of
 (by doc_id, then place) are later matches and are removed. Lines of fewer than ``min_words`` words stay.
 
 Words become 64-bit keys that sort by rarity: a class of the word's frequency, counted over all documents in
-2**18 hashed buckets (a table of fixed size), then the word's hash. Any such order is right; rarity makes it quick.
-Lines of equal sets are joined into one. Of each set, the rarest keys that a match must share (prefix filter) are
-dealt out by key; the join keeps pairs that pass the length filter, the positional filter, and a bound from 64-bit
-parity sketches (sketches differ in at most as many bits as the sets do in words). Pairs that are left are verified
-on the sets themselves. A set that a first look finds to match the earliest set of a key is settled; only the others
-meet all sets of their keys, so a line with very many near copies doesn't make a pair of each two.
+2**17 hashed buckets (a table of fixed size), then the word's hash. Any such order is right; rarity makes it quick.
+Lines of equal sets are joined into one. Of each set, the rarest keys, of which a match must share one (prefix filter),
+and one more for each 32 words, are dealt out by key; the join keeps pairs that pass the length filter, the positional
+filter, and a bound from 64-bit parity sketches (which differ in at most as many bits as the sets do in words), and that
+share as many keys as the longer prefix asks for. Pairs that are left are verified
+on the sets themselves: first the nearest earlier candidate of each set, which settles nearly all, then all candidates
+of the others.
 
 Sets are told apart by 128-bit hashes, words within a line by 53 bits and their class.
 
@@ -24,102 +25,130 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldt import scratch
-from veldt.llm.texts import let, words
+from veldt.llm.texts import if_small, let
 
 #: Similarity, as NUM / DEN.
 NUM, DEN = 4, 5
 MIN_WORDS = 5
-BUCKET_BITS, KEY_BITS = 18, 53
-#: Up to so many documents, what is known of them is broadcast; beyond, it is joined in a shuffle.
-BROADCAST_ROWS = 200_000
+BUCKET_BITS, KEY_BITS = 17, 53
+#: One more shared key is asked for, and dealt out, for each so many words.
+PER_KEY = 32
 
 
 def _long(x) -> Column:
     return F.lit(x).cast("long")
 
 
+def _tidy(text: Column) -> Column:
+    """The text with its words parted by single spaces, none at a line's ends."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    odd = t.startswith(" ") | t.endswith(" ")
+    for x in ("  ", "\t", "\x0b", "\x0c", "\r", "\n ", " \n"):
+        odd = odd | t.contains(x)
+    return F.when(odd, F.regexp_replace(F.regexp_replace(t, r"[ \t\x0B-\r]+", " "), r"(?m)^ +| +$", "")).otherwise(t)
+
+
 def rarity(docs: DataFrame, text: str) -> DataFrame:
     """One row: for each bucket, a class that grows with how often its words stand in the documents."""
-    each = docs.select(F.explode(words(F.col(text))).alias("w")).select(F.xxhash64("w").bitwiseAND((1 << BUCKET_BITS) - 1).alias("bucket"))
+    each = docs.select(F.explode(F.split(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\n"), F.lit(" ")), " ", -1)).alias("w")).select(F.xxhash64("w").bitwiseAND((1 << BUCKET_BITS) - 1).alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(1 << BUCKET_BITS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left")
-    told = every.select("bucket", F.floor(16 * F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("int").alias("class"))
-    return told.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "class"))), lambda x: x["class"]).alias("classes"))
+    told = every.select("bucket", F.least(F.floor(3 * F.log2(F.coalesce("n", F.lit(0)) + 1)), F.lit(127)).cast("int").alias("class"))
+    # One task sorts 2**17 numbers, whatever the table's size.
+    packed = told.agg(F.sort_array(F.collect_list(F.col("bucket") * 128 + F.col("class"))).alias("all"))
+    return packed.select(F.transform("all", lambda x: x.bitwiseAND(_long(127)).cast("tinyint")).alias("classes"))
 
 
 def keys(line: Column, classes: Column) -> Column:
-    """The line's set of words, rarest first."""
-    mask = _long((1 << BUCKET_BITS) - 1)
-    hashed = lambda ws: F.array_distinct(F.transform(ws, lambda w: F.xxhash64(w)))
-    key = lambda x: F.shiftleft(F.get(classes, x.bitwiseAND(mask).cast("int")).cast("long"), KEY_BITS).bitwiseOR(x.bitwiseAND(_long((1 << KEY_BITS) - 1)))
-    return let(words(line), lambda ws: F.when(F.size(ws) >= MIN_WORDS, F.sort_array(F.transform(hashed(ws), key))))
+    """The set of words of a tidy line, rarest first."""
+    mask, low = _long((1 << BUCKET_BITS) - 1), _long((1 << KEY_BITS) - 1)
+    key = lambda x: F.shiftleft(F.get(classes, x.bitwiseAND(mask).cast("int")).cast("long"), KEY_BITS).bitwiseOR(x.bitwiseAND(low))
+    return let(F.split(line, " ", -1), lambda ws: F.when(F.size(ws) >= MIN_WORDS, F.sort_array(F.transform(F.array_distinct(F.transform(ws, lambda w: F.xxhash64(w))), key))))
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str, classes: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, h, n_lines, and what is known of its lines of at least MIN_WORDS words."""
+def _lines(docs: DataFrame, doc_id: str, text: str, classes: Column) -> DataFrame:
+    """A row for each document: doc_id, h, n_lines, and what is known of its lines of at least MIN_WORDS words. The
+    prefix holds 32-bit hashes of keys: clashes only add candidates."""
 
     def told(ks: Column, i: Column) -> Column:
         n = F.size(ks)
-        prefix = F.slice(ks, F.lit(1), n - F.floor((NUM * n + DEN - 1) / DEN).cast("int") + 1)
+        prefix = F.transform(F.slice(ks, F.lit(1), n - F.floor((NUM * n + DEN - 1) / DEN).cast("int") + F.floor(n / PER_KEY).cast("int") + 1), lambda x: F.hash(x))
         sketch = F.aggregate(ks, _long(0), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", _long(1), x.bitwiseAND(_long(63)).cast("int"))))
         return F.struct(i.alias("line"), n.alias("n"), F.xxhash64(ks).alias("s1"), F.xxhash64(F.lit(7), ks).alias("s2"), sketch.alias("sketch"), prefix.alias("prefix"))
 
-    split = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1)
     each = lambda ls: F.filter(F.transform(ls, lambda x, i: let(keys(x, F.col("classes")), lambda ks: F.when(ks.isNotNull(), told(ks, i)))), lambda x: x.isNotNull())
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"), F.lit(0).alias("all"))
-    rows = rows.join(F.broadcast(classes.withColumn("all", F.lit(0))), "all")  # one row, of 2**18 numbers
-    return rows.select("doc_id", "h", let(split, lambda ls: F.struct(F.size(ls).cast("long").alias("n_lines"), each(ls).alias("lines"))).alias("t")).select("doc_id", "h", "t.n_lines", "t.lines")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"), classes.alias("classes")).select("doc_id", "h", let(F.split(_tidy(F.col("text")), "\n", -1), lambda ls: F.struct(F.size(ls).cast("long").alias("n_lines"), each(ls).alias("lines"))).alias("t")).select("doc_id", "h", "t.n_lines", "t.lines")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, text: str, classes: DataFrame) -> DataFrame:
-    """(x, y): the pairs of sets that are similar. Their words are read again from the documents."""
-    asked = pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).distinct()
-    spots = sets.join(asked, "sid").select("sid", F.col("first.h").alias("h"), F.col("first.raw").alias("d"), F.col("first.line").alias("line"))
+def _known(asked: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, text: str, classes: Column) -> DataFrame:
+    """(sid, keys) of the sets asked for, once or more often. Their words are read again from the documents."""
+    spots = sets.join(asked, "sid").select("sid", F.col("fh").alias("h"), F.col("fd").alias("d"), F.col("fl").alias("line"))
     spots = scratch.kept(spots.groupBy("d", "h").agg(F.collect_list(F.struct("line", "sid")).alias("spots")), "spots")
-    few = spots.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = docs.select(F.col(doc_id).alias("d0"), F.xxhash64(F.col(text)).alias("h0"), F.col(text).alias("text"))
-    met = rows.join(F.broadcast(spots) if few else spots, F.col("d0").eqNullSafe(F.col("d")) & (F.col("h0") == F.col("h")))
-    lines = met.select(F.split("text", "\n", -1).alias("ls"), F.explode("spots").alias("s"), F.lit(0).alias("all")).select(F.get("ls", F.col("s.line")).alias("line"), F.col("s.sid").alias("sid"), "all")
-    lines = lines.join(F.broadcast(classes.withColumn("all", F.lit(0))), "all").select("sid", keys(F.col("line"), F.col("classes")).alias("keys"))
-    known = scratch.kept(lines.groupBy("sid").agg(F.first("keys").alias("keys")), "known")
+    met = rows.join(if_small(spots), F.col("d0").eqNullSafe(F.col("d")) & (F.col("h0") == F.col("h")))
+    spot = F.transform("spots", lambda x: F.struct(x["sid"].alias("sid"), F.get("ls", x["line"]).alias("line")))
+    lines = met.select(F.split(_tidy(F.col("text")), "\n", -1).alias("ls"), "spots").select(F.explode(spot).alias("s"))
+    return scratch.kept(lines.select("s.sid", "s.line", classes.alias("classes")).select("sid", keys(F.col("line"), F.col("classes")).alias("keys")), "known")
+
+
+def _verified(pairs: DataFrame, *held) -> DataFrame:
+    """(x, y): the pairs of sets that are similar."""
+    asked = pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).distinct()
+    known = _known(asked, *held)
     both = pairs.join(known.select(F.col("sid").alias("x"), F.col("keys").alias("kx")), "x").join(known.select(F.col("sid").alias("y"), F.col("keys").alias("ky")), "y")
     shared = F.size(F.array_intersect("kx", "ky"))
     return both.where((NUM + DEN) * shared >= NUM * (F.size("kx") + F.size("ky"))).select("x", "y")
 
 
-def _candidates(index: DataFrame, probe: DataFrame) -> DataFrame:
-    """(x, y): pairs of sets that share a dealt key and pass the filters, x the earlier one."""
-    a = lambda c: F.col(f"a.{c}")
-    b = lambda c: F.col(f"b.{c}")
-    need = F.floor((NUM * (a("n") + b("n")) + NUM + DEN - 1) / (NUM + DEN))
-    length = (DEN * a("n") >= NUM * b("n")) & ((a("n") < b("n")) | ((a("n") == b("n")) & (a("sid") != b("sid"))))
-    position = F.least(a("at"), b("at")) + F.least(a("n") - a("at"), b("n") - b("at")) >= need
-    sketch = F.bit_count(a("sketch").bitwiseXOR(b("sketch"))) <= a("n") + b("n") - 2 * need
-    met = index.alias("a").join(probe.alias("b").hint("merge"), (a("key") == b("key")) & length & sketch & position)
-    swap = a("rank") > b("rank")
-    return met.select(F.when(swap, b("sid")).otherwise(a("sid")).alias("x"), F.when(swap, a("sid")).otherwise(b("sid")).alias("y")).distinct()
+def _later(pairs: DataFrame, *held) -> DataFrame:
+    """(sid): sets with a similar earlier one. One candidate of each, the one whose sketch is nearest, is verified
+    first; only sets that it doesn't settle have all theirs verified."""
+    best = scratch.kept(pairs.groupBy("y").agg(F.min(F.struct("apart", "x")).alias("b")).select("y", F.col("b.x").alias("x")), "nearest")
+    sure = scratch.kept(_verified(best, *held).select(F.col("y").alias("sid")).distinct(), "settled")
+    rest = pairs.join(sure.select(F.col("sid").alias("y")), "y", "left_anti").join(best, ["x", "y"], "left_anti").select("x", "y")
+    rest = scratch.kept(rest, "unsettled")
+    if not rest.take(1):
+        return sure
+    return scratch.kept(sure.unionByName(_verified(rest, *held).select(F.col("y").alias("sid"))).distinct(), "later_sets")
+
+
+def _candidates(sets: DataFrame) -> DataFrame:
+    """(x, y, apart): pairs of sets, x the earlier, that share a dealt key and pass the filters; how far their sketches
+    are apart."""
+    dealt = sets.select("sid", "n", "sketch", F.posexplode("prefix").alias("at", "key"))
+    dealt = dealt.select("key", "sid", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("where"), "sketch")
+    n = lambda t: F.shiftright(F.col(f"{t}.where"), 32)
+    at = lambda t: F.col(f"{t}.where").bitwiseAND(_long(0xFFFFFFFF))
+    need = F.call_function("div", NUM * (n("a") + n("b")) + NUM + DEN - 1, F.lit(NUM + DEN))
+    length = (DEN * n("a") >= NUM * n("b")) & ((n("a") < n("b")) | ((n("a") == n("b")) & (F.col("a.sid") < F.col("b.sid"))))
+    # The shorter set need deal out fewer keys; b's length stands here to keep both sides one shuffle.
+    more = F.call_function("div", n("a"), F.lit(PER_KEY))
+    indexed = (at("a") <= n("a") - F.call_function("div", 2 * NUM * n("a") + NUM + DEN - 1, F.lit(NUM + DEN)) + more) | (n("b") < 0)
+    position = F.least(at("a"), at("b")) + F.least(n("a") - at("a"), n("b") - at("b")) >= need
+    apart = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch")))
+    sketch = apart <= n("a") + n("b") - 2 * need
+    met = dealt.alias("a").join(dealt.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & length & sketch & indexed & position)
+    told = met.groupBy(F.least("a.sid", "b.sid").alias("x"), F.greatest("a.sid", "b.sid").alias("y")).agg(F.count("*").alias("shared"), F.first(apart).alias("apart"), F.first(more).alias("more"))
+    return told.where(F.col("shared") > F.col("more")).select("x", "y", "apart")
 
 
 def matched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, h, n_lines, removed), a row for each row of ``docs``: removed lists the lines that are later matches,
     from 0; h is the text's hash."""
-    classes = scratch.kept(rarity(docs, text), "rarity")
+    classes = scratch.kept(rarity(docs, text), "rarity").select("classes").scalar()
     held = scratch.kept(_lines(docs, doc_id, text, classes), "lines")
     lines = held.select("doc_id", "h", F.explode("lines").alias("l")).select("doc_id", "h", "l.*")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("raw"), F.col("h").alias("h"), F.col("line").alias("line"))
-    sets = lines.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
-    sets = scratch.kept(sets.withColumn("sid", F.monotonically_increasing_id()), "line_sets")
-    return _decide(docs, doc_id, text, classes, held, lines, sets, place)
-
-
-def _decide(docs, doc_id, text, classes, held, lines, sets, place) -> DataFrame:
-    index_len = F.col("n") - F.floor((2 * NUM * F.col("n") + NUM + DEN - 1) / (NUM + DEN)) + 1
-    dealt = sets.select("sid", "n", "sketch", F.col("first").alias("rank"), index_len.alias("il"), F.posexplode("prefix").alias("at", "key"))
-    pairs = scratch.kept(_candidates(dealt.where("at < il"), dealt), "line_pairs")
-    similar = _verified(pairs, sets, docs, doc_id, text, classes)
-    later = scratch.kept(similar.select(F.col("y").alias("sid")).distinct(), "later_sets").withColumn("later", F.lit(True))
-    told = sets.join(later, "sid", "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), "first", F.coalesce("later", F.lit(False)).alias("later"))
-    gone = lines.select("doc_id", "h", "line", "s1", "s2").withColumn("place", place).join(told, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2"))).where(F.col("later") | (F.col("place") != F.col("first")))
+    sets = lines.groupBy("s1", "s2").agg(F.min(place).alias("f"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+    sets = sets.select("s1", "s2", "n", "sketch", "prefix", F.col("f.none").alias("none"), F.col("f.raw").alias("fd"), F.col("f.h").alias("fh"), F.col("f.line").alias("fl"))
+    # Numbers that grow with the place of a set's first line: an earlier set has the lesser number.
+    sets = sets.repartitionByRange("none", "fd", "fh", "fl").sortWithinPartitions("none", "fd", "fh", "fl").withColumn("sid", F.monotonically_increasing_id())
+    sets = scratch.kept(sets, "line_sets")
+    pairs = scratch.kept(_candidates(sets), "line_pairs")
+    later = _later(pairs, sets, docs, doc_id, text, classes).withColumn("later", F.lit(True))
+    told = sets.join(later, "sid", "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), "fd", "fh", "fl", F.coalesce("later", F.lit(False)).alias("later"))
+    other = ~(F.col("doc_id").eqNullSafe(F.col("fd")) & F.col("h").eqNullSafe(F.col("fh")) & (F.col("line") == F.col("fl")))
+    gone = lines.select("doc_id", "h", "line", "s1", "s2").join(told, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2"))).where(F.col("later") | other)
     gone = gone.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "removed")
     gone = scratch.kept(gone, "removed_lines")
     out = held.select("doc_id", "h", "n_lines").join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("h").eqNullSafe(F.col("g")), "left")
@@ -127,9 +156,8 @@ def _decide(docs, doc_id, text, classes, held, lines, sets, place) -> DataFrame:
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the lines that are later matches."""
+    """``docs`` without the lines that are later matches. A null text stays null."""
     gone = scratch.kept(matched(docs, doc_id, text).where("size(removed) > 0").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("removed").alias("_removed")).distinct(), "cleaned")
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    met = docs.join(F.broadcast(gone) if few else gone, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(text)) == F.col("_h")), "left")
+    met = docs.join(if_small(gone), F.col(doc_id).eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(text)) == F.col("_h")), "left")
     rest = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("_removed", i)), "\n")
     return met.withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(rest)).drop("_d", "_h", "_removed")
