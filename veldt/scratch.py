@@ -6,10 +6,16 @@ of our own chosen. What is written survives the loss of any executor and is remo
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths made under a tag, until its next use.
+_made: dict[str, list[str]] = {}
+_tag: list[str] = []
+
 #: Used only where the session names no shared folder.
 OWN = "/tmp/checkpoints/veldt"
 
@@ -25,9 +31,24 @@ def fresh(spark: SparkSession, name: str) -> str:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     at = hadoop.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    if _tag:
+        _made[_tag[-1]].append(path)
     return path
 
 
+@contextlib.contextmanager
+def tagged(spark: SparkSession, tag: str) -> Iterator[None]:
+    """What is made inside goes when the tag is used again: for steps whose results are written before the next."""
+    for path in _made.pop(tag, []):
+        drop(spark, path)
+    _made[tag] = []
+    _tag.append(tag)
+    try:
+        yield
+    finally:
+        _tag.pop()
+
+
 def drop(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
