@@ -6,6 +6,9 @@ columns of documents. A stage only decides by its operator; what it removes is g
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,27 +21,43 @@ def _sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def _stage(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage's result is written before the next begins, so what an earlier stage kept for itself can go then."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with scratch.tagged(spark, "corpus_pipeline"):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; rows of a rejected doc_id and text go together."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.clean(docs, model)
 
 
+@_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match an earlier line go; documents stay, if need be without text."""
     return _sized(linededup.clean(docs))
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints, the document with the least doc_id stays."""
     return simhash.clean(docs)
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in their target weights: a document comes once for each pass over its source that takes words of it."""
     return _sized(mixing.mixed_documents(docs))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Batches of documents of like lengths."""
     return packing.pack(docs)

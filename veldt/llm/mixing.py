@@ -180,16 +180,16 @@ class Mix:
     def taken(self) -> DataFrame:
         """(doc_id, size, source_size, target, taken), a row for each document."""
         took = self.pieces().groupBy("row").agg(F.sum(F.col("end") - F.col("begin")).alias("taken"))
-        told = F.array(*[F.struct(F.lit(s.size).cast("long").alias("size"), F.lit(s.target).alias("target")) for s in self.sources])
+        told = F.array(*[F.struct(F.lit(s.size).cast("long").alias("size"), F.lit(s.target).alias("target")) for s in self.sources]).cast("array<struct<size:bigint,target:double>>")
         mine = F.get(told, F.col("number"))
         return self.documents.join(took, "row", "left").select("doc_id", "size", mine["size"].alias("source_size"), mine["target"].alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> Mix:
-    """The mix of all rows of ``docs``. ``row`` numbers them: where ``docs`` has a column _row, that is used."""
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, row: str | None = None) -> Mix:
+    """The mix of all rows of ``docs``; the column ``row``, if given, numbers them."""
     spark = docs.sparkSession
-    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
-    slim = docs.select(row.alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("h"))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    slim = docs.select(number.alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("h"))
     slim = scratch.kept(slim, "mixed_documents")
     held = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row for each source
     held.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
@@ -243,11 +243,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     columns of ``docs``; where only some blocks of it are taken, its text is those words. A text taken whole stays as
     it is."""
     spark, text = docs.sparkSession, options.get("text", "text")
-    docs = scratch.kept(docs.withColumn("_row", F.monotonically_increasing_id()), "mix_input")
-    made = mix(docs, **options)
+    names = docs.columns
+    docs = scratch.kept(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix_input")
+    made = mix(docs, row="_mix_row", **options)
     spans = made.pieces().groupBy("row", "epoch").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"), F.sum(F.col("end") - F.col("begin")).alias("took"))
-    spans = spans.join(made.documents.select("row", "size"), "row").select("row", F.when(F.col("took") < F.col("size"), F.col("spans")).alias("spans"))
-    out = docs.join(spans, F.col("_row") == F.col("row"))
+    spans = spans.join(made.documents.select("row", "size"), "row").select(F.col("row").alias("_mix_of"), F.when(F.col("took") < F.col("size"), F.col("spans")).alias("_mix_spans"))
+    out = docs.join(spans, F.col("_mix_row") == F.col("_mix_of"))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -261,5 +262,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         return pd.Series(done)
 
     short_batches(spark)
-    part = out.where("spans is not null").withColumn(text, cut(F.col(text), F.col("spans")))
-    return out.where("spans is null").unionByName(part).drop("_row", "row", "spans")
+    part = out.where("_mix_spans is not null").withColumn(text, cut(F.col(text), F.col("_mix_spans")))
+    return out.where("_mix_spans is null").unionByName(part).select(*names)
