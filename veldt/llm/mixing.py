@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldt import scratch
-from veldt.llm.texts import n_words, short_batches
+from veldt.llm.texts import let, n_words, words
 from veldt.operators.ranks import buckets, positions
 
 #: Fixed values of the contract: the weights, in turn, and how often a source may be repeated.
@@ -242,7 +242,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: for each pass over a source, a row for each document of which words are taken, with the
     columns of ``docs``; where only some blocks of it are taken, its text is those words. A text taken whole stays as
     it is."""
-    spark, text = docs.sparkSession, options.get("text", "text")
+    text = options.get("text", "text")
     names = docs.columns
     docs = scratch.kept(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix_input")
     made = mix(docs, row="_mix_row", **options)
@@ -250,17 +250,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     spans = spans.join(made.documents.select("row", "size"), "row").select(F.col("row").alias("_mix_of"), F.when(F.col("took") < F.col("size"), F.col("spans")).alias("_mix_spans"))
     out = docs.join(spans, F.col("_mix_row") == F.col("_mix_of"))
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        done = []
-        for t, parts in zip(texts, spans, strict=True):
-            if parts is None:
-                done.append(t)
-                continue
-            words = t.encode().split()
-            done.append("\n".join(b" ".join(words[p["begin"] : p["end"]]).decode() for p in parts))
-        return pd.Series(done)
-
-    short_batches(spark)
-    part = out.where("_mix_spans is not null").withColumn(text, cut(F.col(text), F.col("_mix_spans")))
-    return out.where("_mix_spans is null").unionByName(part).select(*names)
+    # Nested: a text's words are cut once, and only where blocks of it are left out.
+    part = let(words(F.col(text)), lambda ws: F.array_join(F.transform("_mix_spans", lambda x: F.array_join(F.slice(ws, x["begin"].cast("int") + 1, (x["end"] - x["begin"]).cast("int")), " ")), "\n"))
+    return out.withColumn(text, F.when(F.col("_mix_spans").isNull(), F.col(text)).otherwise(part)).select(*names)
