@@ -1,5 +1,6 @@
 """Every named query against its SQL on the smallest tables, and the invariants of those without SQL."""
 
+import functools
 import math
 
 import duckdb
@@ -14,6 +15,17 @@ from veldt.plans import catalog
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_scene(spark, sf):
+    """The queries' shared steps run once for this module."""
+    made = catalog.Scene(spark, sf)
+    for name in ("foreground", "cleaned", "labels", "grid", "hotspots"):
+        setattr(made, name, functools.cache(getattr(made, name)))
+    real, catalog.Scene = catalog.Scene, lambda *_: made
+    yield
+    catalog.Scene = real
+
+
 @pytest.fixture(scope="module")
 def duck(sf):
     con = duckdb.connect()

@@ -7,6 +7,7 @@ of our own chosen. What is written survives the loss of any executor and is remo
 from __future__ import annotations
 
 import contextlib
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 _made: dict[str, list[str]] = {}
 _tag: list[str] = []
 
+#: Seconds between the driver's collections of garbage.
+FREE_S = 3.0
+_freed = [0.0]
+
 #: Used only where the session names no shared folder.
 OWN = "/tmp/checkpoints/veldt"
 
@@ -64,5 +69,7 @@ def kept_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = fresh(spark, name)
     df.write.parquet(path)
     # Shuffle files go when the driver has collected the plans that made them: don't wait for memory to run short.
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _freed[0] > FREE_S:
+        spark.sparkContext._jvm.System.gc()
+        _freed[0] = time.monotonic()
     return spark.read.schema(df.schema).parquet(path), path
