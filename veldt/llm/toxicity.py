@@ -6,7 +6,7 @@ enough different words share. Each word scores its log-odds less a drift, all ot
 scan of Ruzzo and Tompa finds every maximal scoring segment of a text. Extreme-value theory turns a segment's score
 into one that texts of any length share: lambda solves E[exp(lambda s)] = 1 over the words of clean documents, K is
 fitted to the best segments of clean documents, and a segment's calibrated score is lambda S - ln(K n). A document is
-scored by its best segment and the sum of its significant ones, through a logistic curve fitted to documents that had
+scored by its best segment, the sum of its significant ones and the joint score of its best five, through a logistic curve fitted to documents that had
 no part in the words' log-odds.
 
 Fitted on at most ``max_docs`` labelled documents, drawn by hash; ``held_out`` ones are never among them. The word
@@ -41,6 +41,8 @@ STEMS = (6, 5, 4)
 DRIFT, MAX_WORD = 0.5, 5.0
 #: A segment is significant when fewer than so many as good are expected in a clean text.
 EXPECT = 0.05
+#: Segments in a joint score.
+JOINT = 5
 PUNCTUATION = ".,;:!?|#*$%&<>()[]{}\"'`-_"
 CACHE = 500_000
 
@@ -85,7 +87,7 @@ class Model:
     stems: dict[str, float]
     lam: float = 1.0
     k: float = 1.0
-    curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    curve: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
     rate: float = 0.0
     fitted: bool = False
 
@@ -113,17 +115,24 @@ class Model:
     def calibrated(self, n: int, score: float) -> float:
         return self.lam * score - math.log(self.k * max(n, 1))
 
-    def evidence(self, text: bytes | None, cache: dict[bytes, float]) -> tuple[float, float]:
-        """The best segment's calibrated score, and the sum of those of significant ones; bounded."""
+    def evidence(self, n: int, scores: list[float]) -> tuple[float, float, float]:
+        """Of a text's words and its segments' scores: the best calibrated score, the sum of significant ones, and the
+        joint score of the best few, for texts that are toxic in many places and not much in any; all bounded."""
+        if not scores:
+            return -8.0, 0.0, -8.0
+        top = sorted(scores, reverse=True)
+        told = [self.calibrated(n, s) for s in top]
+        joint = self.calibrated(n, sum(top[:JOINT]))
+        return min(max(told[0], -8.0), 8.0), min(sum(t for t in told if t > -math.log(EXPECT)), 16.0), min(max(joint, -8.0), 16.0)
+
+    def rate_text(self, text: bytes | None, cache: dict[bytes, float]) -> float:
         n, found = self.passages(text, cache)
-        told = [self.calibrated(n, s) for _, _, s in found]
-        best = max(told, default=-8.0)
-        return min(max(best, -8.0), 12.0), min(sum(t for t in told if t > -math.log(EXPECT)), 24.0)
+        return self.score(self.evidence(n, [s for _, _, s in found]))
 
-    def score(self, evidence: tuple[float, float]) -> float:
+    def score(self, evidence: tuple[float, float, float]) -> float:
         if not self.fitted:
             return self.rate
-        z = self.curve[0] + self.curve[1] * evidence[0] + self.curve[2] * evidence[1]
+        z = self.curve[0] + sum(w * x for w, x in zip(self.curve[1:], evidence, strict=True))
         return 1 / (1 + math.exp(-min(max(z, -40.0), 40.0)))
 
 
@@ -169,18 +178,24 @@ def _table(docs: DataFrame, share: float) -> Model:
     return Model({r["word"]: _odds(r["toxic"], r["clean"], share) for r in high.collect()}, stems)
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """A logistic curve, by Newton's steps, slightly held back."""
+def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """A logistic curve, by Newton's steps, slightly held back. More evidence never lowers a score: what would is left
+    out."""
     a = np.c_[np.ones(len(x)), x]
-    w = np.zeros(3)
-    hold = np.diag([1e-3, 1e-2, 1e-2]) * max(1.0, len(x) / 1000)
+    w = np.zeros(a.shape[1])
+    hold = np.diag([1e-3] + [1e-2] * x.shape[1]) * max(1.0, len(x) / 1000)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + hold, a.T @ (y - p) - hold @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1]), float(w[2])
+    if (w[1:] < 0).any():
+        some = [i for i in range(x.shape[1]) if w[i + 1] >= 0]
+        part = _fit_curve(x[:, some], y) if some else (float(w[0]),)
+        full = dict(zip(some, part[1:], strict=True))
+        return (part[0], *(full.get(i, 0.0) for i in range(x.shape[1])))
+    return tuple(map(float, w))
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_DOCS) -> Model:
@@ -220,8 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     for r in rows:
         kinds.update(dict(zip(r["kinds"], r["counts"], strict=True)))
     part.lam, part.k = _extremes(kinds, [(r["n"], max(r["found"], default=0.0)) for r in rows if not r["toxic"] and r["n"]])
-    seen_best = lambda r: [part.calibrated(r["n"], s) for s in r["found"]]
-    x = np.array([(min(max(max(t, default=-8.0), -8.0), 12.0), min(sum(v for v in t if v > -math.log(EXPECT)), 24.0)) for t in map(seen_best, rows)])
+    x = np.array([part.evidence(r["n"], r["found"]) for r in rows])
     curve = _fit_curve(x, np.array([r["toxic"] for r in rows], float))
     model = _table(known, share)
     model.lam, model.k, model.curve, model.rate, model.fitted = part.lam, part.k, curve, share, True
@@ -258,7 +272,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         m = Model(**tell.value)
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
-            cols = [b.column(0), pa.array([m.score(m.evidence(t, cache)) for t in texts], pa.float64())]
+            cols = [b.column(0), pa.array([m.rate_text(t, cache) for t in texts], pa.float64())]
             if passages:
                 spans = []
                 for t in texts:
@@ -282,7 +296,7 @@ def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         m = Model(**tell.value)
         for b in batches:
             texts = b.column(b.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
-            yield b.filter(pa.array([m.score(m.evidence(t, cache)) < THRESHOLD for t in texts], pa.bool_()))
+            yield b.filter(pa.array([m.rate_text(t, cache) < THRESHOLD for t in texts], pa.bool_()))
 
     short_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
