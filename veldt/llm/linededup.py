@@ -9,8 +9,11 @@ Lines of equal sets are joined into one. Of each set, the rarest keys, of which
 and one more for each 32 words, are dealt out by key; the join keeps pairs that pass the length filter, the positional
 filter, and a bound from 64-bit parity sketches (which differ in at most as many bits as the sets do in words), and that
 share as many keys as the longer prefix asks for. Pairs that are left are verified
-on the sets themselves: first the nearest earlier candidate of each set, which settles nearly all, then all candidates
-of the others.
+on the sets themselves.
+
+A set need only have one similar earlier set. So each first looks at the earliest set of a few of its keys; if that is
+similar, the set is settled, and the join leaves out pairs whose later set is settled: a line with very many near
+copies does not make a pair of each two. Of the pairs that are left, the nearest of each set is verified first.
 
 Sets are told apart by 128-bit hashes, words within a line by 53 bits and their class.
 
@@ -33,6 +36,8 @@ MIN_WORDS = 5
 BUCKET_BITS, KEY_BITS = 17, 53
 #: One more shared key is asked for, and dealt out, for each so many words.
 PER_KEY = 32
+#: Keys of a set, from its last, by which it looks for the earliest set that shares them.
+LOOK = 8
 
 
 def _long(x) -> Column:
@@ -112,23 +117,50 @@ def _later(pairs: DataFrame, *held) -> DataFrame:
     return scratch.kept(sure.unionByName(_verified(rest, *held).select(F.col("y").alias("sid"))).distinct(), "later_sets")
 
 
+def _dealt(sets: DataFrame) -> DataFrame:
+    """(key, sid, where, sketch): a row for each key that a set deals out; where packs the set's words, whether it is
+    settled, and the key's place."""
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).bitwiseOR(F.when(F.col("settled"), _long(1 << 31)).otherwise(_long(0)))
+    return sets.select("sid", "n", "sketch", "settled", F.size("prefix").alias("dealt"), F.posexplode("prefix").alias("at", "key")).select("key", "sid", packed.alias("where"), "sketch", (F.col("dealt") - F.col("at")).alias("last"))
+
+
+class _Pair:
+    """Conditions on rows a and b of ``_dealt`` that share a key."""
+
+    def __init__(self) -> None:
+        self.n = {t: F.shiftright(F.col(f"{t}.where"), 32) for t in "ab"}
+        self.at = {t: F.col(f"{t}.where").bitwiseAND(_long((1 << 31) - 1)) for t in "ab"}
+        self.settled = {t: F.col(f"{t}.where").bitwiseAND(_long(1 << 31)) != 0 for t in "ab"}
+        n, at = self.n, self.at
+        self.need = F.call_function("div", NUM * (n["a"] + n["b"]) + NUM + DEN - 1, F.lit(NUM + DEN))
+        self.apart = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch")))
+        near = self.apart <= n["a"] + n["b"] - 2 * self.need
+        self.good = near & (F.least(at["a"], at["b"]) + F.least(n["a"] - at["a"], n["b"] - at["b"]) >= self.need)
+
+
+def _first_of_keys(sets: DataFrame) -> DataFrame:
+    """(x, y): for a set y the nearest of the earliest sets of its last keys. At most one pair for each set."""
+    dealt = _dealt(sets).where(F.col("last") <= LOOK).drop("last")
+    first = dealt.groupBy("key").agg(F.min(F.struct("sid", "where", "sketch")).alias("f"), F.count("*").alias("m")).where("m > 1").select("key", "f.*")
+    p = _Pair()
+    length = DEN * F.least(p.n["a"], p.n["b"]) >= NUM * F.greatest(p.n["a"], p.n["b"])
+    met = first.alias("a").join(dealt.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") < F.col("b.sid")) & length & p.good)
+    return met.groupBy(F.col("b.sid").alias("y")).agg(F.min(F.struct(p.apart.alias("apart"), F.col("a.sid").alias("x"))).alias("f")).select("f.x", "y")
+
+
 def _candidates(sets: DataFrame) -> DataFrame:
-    """(x, y, apart): pairs of sets, x the earlier, that share a dealt key and pass the filters; how far their sketches
-    are apart."""
-    dealt = sets.select("sid", "n", "sketch", F.posexplode("prefix").alias("at", "key"))
-    dealt = dealt.select("key", "sid", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("where"), "sketch")
-    n = lambda t: F.shiftright(F.col(f"{t}.where"), 32)
-    at = lambda t: F.col(f"{t}.where").bitwiseAND(_long(0xFFFFFFFF))
-    need = F.call_function("div", NUM * (n("a") + n("b")) + NUM + DEN - 1, F.lit(NUM + DEN))
-    length = (DEN * n("a") >= NUM * n("b")) & ((n("a") < n("b")) | ((n("a") == n("b")) & (F.col("a.sid") < F.col("b.sid"))))
+    """(x, y, apart): pairs of sets, x the earlier and y not settled, that share a dealt key and pass the filters; how
+    far their sketches are apart."""
+    dealt = _dealt(sets).drop("last")
+    p = _Pair()
+    n, at, settled = p.n, p.at, p.settled
+    length = (DEN * n["a"] >= NUM * n["b"]) & ((n["a"] < n["b"]) | ((n["a"] == n["b"]) & (F.col("a.sid") < F.col("b.sid"))))
+    later = ((F.col("a.sid") > F.col("b.sid")) & ~settled["a"]) | ((F.col("a.sid") < F.col("b.sid")) & ~settled["b"])
     # The shorter set need deal out fewer keys; b's length stands here to keep both sides one shuffle.
-    more = F.call_function("div", n("a"), F.lit(PER_KEY))
-    indexed = (at("a") <= n("a") - F.call_function("div", 2 * NUM * n("a") + NUM + DEN - 1, F.lit(NUM + DEN)) + more) | (n("b") < 0)
-    position = F.least(at("a"), at("b")) + F.least(n("a") - at("a"), n("b") - at("b")) >= need
-    apart = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch")))
-    sketch = apart <= n("a") + n("b") - 2 * need
-    met = dealt.alias("a").join(dealt.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & length & sketch & indexed & position)
-    told = met.groupBy(F.least("a.sid", "b.sid").alias("x"), F.greatest("a.sid", "b.sid").alias("y")).agg(F.count("*").alias("shared"), F.first(apart).alias("apart"), F.first(more).alias("more"))
+    more = F.call_function("div", n["a"], F.lit(PER_KEY))
+    indexed = (at["a"] <= n["a"] - F.call_function("div", 2 * NUM * n["a"] + NUM + DEN - 1, F.lit(NUM + DEN)) + more) | (n["b"] < 0)
+    met = dealt.alias("a").join(dealt.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & later & length & p.good & indexed)
+    told = met.groupBy(F.least("a.sid", "b.sid").alias("x"), F.greatest("a.sid", "b.sid").alias("y")).agg(F.count("*").alias("shared"), F.first(p.apart).alias("apart"), F.first(more).alias("more"))
     return told.where(F.col("shared") > F.col("more")).select("x", "y", "apart")
 
 
@@ -144,8 +176,12 @@ def matched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     # Numbers that grow with the place of a set's first line: an earlier set has the lesser number.
     sets = sets.repartitionByRange("none", "fd", "fh", "fl").sortWithinPartitions("none", "fd", "fh", "fl").withColumn("sid", F.monotonically_increasing_id())
     sets = scratch.kept(sets, "line_sets")
-    pairs = scratch.kept(_candidates(sets), "line_pairs")
-    later = _later(pairs, sets, docs, doc_id, text, classes).withColumn("later", F.lit(True))
+    held_by = (sets, docs, doc_id, text, classes)
+    nearest = scratch.kept(_first_of_keys(sets.withColumn("settled", F.lit(False))), "first_of_keys")
+    settled = scratch.kept(_verified(nearest, *held_by).select("y").distinct(), "settled")
+    marked = sets.join(if_small(settled.select(F.col("y").alias("sid"), F.lit(True).alias("_done"))), "sid", "left").withColumn("settled", F.col("_done").isNotNull())
+    pairs = scratch.kept(_candidates(marked), "line_pairs")
+    later = scratch.kept(_later(pairs, *held_by).unionByName(settled.select(F.col("y").alias("sid"))).distinct(), "later_sets").withColumn("later", F.lit(True))
     told = sets.join(later, "sid", "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), "fd", "fh", "fl", F.coalesce("later", F.lit(False)).alias("later"))
     other = ~(F.col("doc_id").eqNullSafe(F.col("fd")) & F.col("h").eqNullSafe(F.col("fh")) & (F.col("line") == F.col("fl")))
     gone = lines.select("doc_id", "h", "line", "s1", "s2").join(told, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2"))).where(F.col("later") | other)
