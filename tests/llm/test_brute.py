@@ -118,6 +118,20 @@ def test_lm_base(spark, sf, texts):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_tree_grows_with_the_corpus(spark):
+    """What is seen often enough is kept, however long the rest of the corpus is."""
+    filler = " ".join(f"w{i % 1000}" for i in range(100_000))
+    rows = [(i, False, "zeta omega") for i in range(25)] + [(100 + i, False, filler) for i in range(30)]
+    head = ["zeta", "omega", *[f"w{i}" for i in range(1000)]]
+    enc = scratch.kept(lm_scoring._encode(spark.createDataFrame(rows, "doc_id long, held_out boolean, text string"), head), "enc")
+    counts = np.array([0, len(rows), 25, 25, *[3000] * 1000], np.int64)
+    total = int(counts.sum())
+    tree = lm_scoring.train(enc, counts, counts / total, total)
+    zeta, omega = 2, 3
+    at = np.flatnonzero(tree.codes[0] == zeta)
+    assert len(at) and tree.kept[0][at[0]] and tree.suffix_share(1, at, np.array([omega]))[0] > 0.9
+
+
 def test_boundaries():
     rng = random.Random(5)
     for _ in range(30):

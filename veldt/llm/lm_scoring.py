@@ -2,15 +2,15 @@
 
 Symbols are the HEAD most frequent training tokens, the text's end, and one class for all other tokens; in that class
 a token has its own share, from its count (looked up in a shuffle join, as the vocabulary grows with the corpus).
-The tree grows by depth. Candidates of a depth are the contexts seen at least P_CONTEXT of all tokens whose suffix is
+The tree grows by depth. Candidates of a depth are the contexts seen at least LEAST_CONTEXT times whose suffix is
 in the tree; their next symbols are counted over all training texts. A context is retained if its next-symbol
 distribution diverges from its suffix's by enough (its count times the Kullback-Leibler divergence against a price for
-each branch). Branches seen at least P_BRANCH of all tokens are kept. Distributions are smoothed by absolute
+each branch). Branches seen at least LEAST_BRANCH times are kept. Distributions are smoothed by absolute
 discounting: what the branches leave goes to the suffix's distribution, down to the root, whose own discount leaves a
 share for unseen tokens. A text's score follows the longest suffix in the tree at every token.
 
-P_CONTEXT and P_BRANCH bound the tree by 1 / P_CONTEXT contexts and 1 / P_BRANCH branches a depth, whatever the
-corpus; that is what is broadcast. Counts are over all training texts.
+Both counts are absolute, so the tree grows with the corpus. It is gathered and broadcast whole: the memory of the
+driver and of a worker limits the corpus, not a share of it. Counts are over all training texts.
 
 Defined results: a null text is its end alone; a null doc_id is a training text; repeated rows are counted and scored
 each; ties at the edge of HEAD are broken by the token; without training texts every token is unseen and scores 0;
@@ -33,7 +33,6 @@ from veldt.llm.texts import short_batches
 
 HEAD = 1 << 17
 DEPTH = 3
-P_CONTEXT, P_BRANCH = 1e-5, 2e-6
 #: Least count of a context and of a branch, and the price of a branch, in nats.
 LEAST_CONTEXT, LEAST_BRANCH, PRICE = 20, 3, 3.0
 DISCOUNT = 0.75
@@ -223,26 +222,27 @@ def _arrays(df: DataFrame, *cols: str) -> list[np.ndarray]:
 def train(encoded: DataFrame, counts: np.ndarray, root: np.ndarray, total: int) -> Tree:
     """The tree of the encoded training texts; ``counts`` are those of the symbols."""
     tree = Tree(len(root), root)
-    floor = max(LEAST_CONTEXT, P_CONTEXT * total)
-    codes = np.flatnonzero(counts >= floor).astype(np.int64)
+    if not total:
+        return tree
+    codes = np.flatnonzero(counts >= LEAST_CONTEXT).astype(np.int64)
     size = counts[codes]
     for _ in range(DEPTH):
         if not len(codes):
             break
-        told = scratch.kept(_count_next(encoded, tree, codes).where(F.col("n") >= max(LEAST_BRANCH, P_BRANCH * total)), "branches")
-        branch, count = _arrays(told, "code", "n")  # at most 1 / P_BRANCH rows
+        told = scratch.kept(_count_next(encoded, tree, codes).where(F.col("n") >= LEAST_BRANCH), "branches")
+        branch, count = _arrays(told, "code", "n")
         order = np.argsort(branch)
         tree.grow(codes, size, branch[order], count[order])
-        codes, size = _extend(tree, floor)
+        codes, size = _extend(tree)
     return tree
 
 
-def _extend(tree: Tree, floor: float) -> tuple[np.ndarray, np.ndarray]:
+def _extend(tree: Tree) -> tuple[np.ndarray, np.ndarray]:
     """Candidates one symbol longer: a branch (x s' -> b), frequent enough, is the context x s' b if s' b, its suffix, is
     a retained context."""
     depth, m = len(tree.codes), tree.symbols
     branch, _, count = tree.branches[-1]
-    often = count >= floor
+    often = count >= LEAST_CONTEXT
     node, last, count = branch[often] // m, branch[often] % m, count[often]
     symbols = []  # of the context, the nearest first
     at = node
@@ -280,7 +280,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", head: int
     root = np.maximum(counts - off, 1e-9) / max(total, 1)
     rest_types = types - len(words) - (of["ends"] > 0)
     root[REST] = (counts[REST] - off * rest_types) / max(total, 1) + unseen
-    tree = train(encoded, counts, root, total) if total else Tree(len(root), root)
+    tree = train(encoded, counts, root, total)
 
     state = spark.sparkContext.broadcast((vars(tree), counts))
 
