@@ -149,6 +149,16 @@ def test_packing_budget(spark, sf):
     assert ((g.n * g.b <= 2000) | (g.n == 1)).all() and len(p) == 200
 
 
+def test_packing_beside_a_long_text(spark):
+    """One very long document leaves the other lengths exact."""
+    sizes = [1 + i % 9 for i in range(90)] + [200 + i for i in range(30)] + [1_000_000]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, n long")
+    p = packing.pack(df, length=df["n"], n_buckets=6).toPandas()
+    edges = packing.boundaries(Counter(sizes), 6)
+    assert sorted(set(p.boundary)) == edges and set(edges) <= set(sizes)
+    assert p.padding.sum() == sum(min(e for e in edges if e >= n) - n for n in sizes)
+
+
 def test_segments():
     rng = random.Random(3)
     for _ in range(60):

@@ -4,8 +4,8 @@ The lengths of all documents form one histogram. Dynamic programming over it cho
 minimise padding, every document being padded to its bucket's boundary. Inside a bucket, documents are dealt to
 batches of at most ``token_budget`` padded tokens; one longer than that is a batch of its own.
 
-The histogram is exact up to MAX_BINS distinct lengths; beyond, lengths are rounded up to a multiple of the least
-power of two that leaves so many, so it is bounded whatever the table's size. Boundaries come from all documents.
+The histogram is exact at any size: one row for each distinct length, so a corpus of w words has at most sqrt(2 w) of
+them. It comes to the driver, which keeps 8 bytes for each length and bucket. Boundaries come from all documents.
 
 Defined results: a null text has length 0 and is padded like any other; a null length counts as 0; repeated rows are
 packed each; ties in length stand in the order of a hash of doc_id; fewer distinct lengths than buckets give fewer
@@ -14,6 +14,7 @@ buckets; an empty table gives no rows; clashing extra columns are dropped.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,7 @@ from veldt.llm.texts import n_words
 from veldt.operators.ranks import buckets as piece_count
 from veldt.operators.ranks import positions
 
-N_BUCKETS, TOKEN_BUDGET, MAX_BINS = 16, 65_536, 65_536
+N_BUCKETS, TOKEN_BUDGET = 16, 65_536
 PIECE_ROWS = 4_000
 
 
@@ -44,7 +45,7 @@ def boundaries(histogram: dict[int, int], n_buckets: int) -> list[int]:
     for _ in range(min(n_buckets, m)):
         hull: list[tuple[int, int, int]] = []  # (slope, intercept, from)
         new: list[int | None] = [None] * (m + 1)
-        back, at = [0] * (m + 1), 0
+        back, at = array("q", bytes(8 * (m + 1))), 0
         for j in range(1, m + 1):
             if cost[j - 1] is not None:
                 line = (-counts[j - 1], cost[j - 1] + total[j - 1], j - 1)
@@ -71,12 +72,8 @@ def pack(docs: DataFrame, length: Column | None = None, doc_id: str = "doc_id",
     within its bucket, slot within its batch. ``length`` gives tokens; words are counted where it isn't given."""
     size = F.coalesce((n_words(F.col(text)) if length is None else length).cast("long"), F.lit(0))
     slim = scratch.kept(docs.select(F.col(doc_id).alias("doc_id"), size.alias("n_tokens")), "lengths")
-    longest = slim.agg(F.max("n_tokens")).first()[0] or 0
-    step = 1
-    while longest // step >= MAX_BINS:
-        step *= 2
-    padded = F.ceil(F.col("n_tokens") / step) * step
-    told = {r["x"]: r["n"] for r in slim.groupBy(padded.cast("long").alias("x")).agg(F.count("*").alias("n")).collect()}
+    seen = slim.groupBy(F.col("n_tokens").alias("x")).agg(F.count("*").alias("n")).toArrow()
+    told = dict(zip(seen.column("x").to_pylist(), seen.column("n").to_pylist(), strict=True))
     edges = boundaries(told, n_buckets)
     held = [0] * len(edges)
     for x, n in told.items():
