@@ -42,7 +42,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match an earlier line go; documents stay, if need be without text."""
-    return _sized(linededup.clean(docs))
+    return _sized(linededup.clean(docs, min_words=1))
 
 
 @_stage

@@ -218,6 +218,30 @@ def test_line_dedup(spark, sf, texts):
     assert got == want and any(want.values())
 
 
+def test_line_dedup_short_lines(spark, sf, texts):
+    """The query lets all lines with words take part, short ones too."""
+    seen, want, short = [], {}, 0
+    for d in sorted(texts):
+        want[d] = []
+        for i, line in enumerate(texts[d].split("\n")):
+            w = re.findall(r"[^\x20\x09-\x0D]+", line)
+            s = set(w)
+            if s:
+                if any(9 * len(s & o) >= 4 * (len(s) + len(o)) for o in seen):
+                    want[d].append(str(i))
+                    short += len(w) < 5
+                seen.append(s)
+    got = {r["doc_id"]: r["removed_lines"] for r in queries.op8_linededup(spark, sf).collect()}
+    assert got == {d: ",".join(x) for d, x in want.items()} and short
+
+
+def test_line_dedup_of_few_words(spark):
+    rows = ["a b c", "c b a", "a b c d", "a b c d e", "x", "x x x x x", "", " ", "y z", "a b c d e f", "z", "p q r s t", "p q r s"]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(rows)], SCHEMA)
+    got = {r["doc_id"] for r in linededup.matched(df, min_words=1).where("size(removed) > 0").collect()}
+    assert got == {1, 3, 5, 9, 12}
+
+
 def test_line_dedup_families(spark):
     """Many near copies of few lines, long ones too."""
     rng = random.Random(2)

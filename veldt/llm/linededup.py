@@ -1,7 +1,8 @@
 """Line dedup by an exact set-similarity join (operator 8), in DataFrame functions alone.
 
 A line is the set of its words. Of lines whose sets have a Jaccard similarity of at least 4/5, all but the first
-(by doc_id, then place) are later matches and are removed. Lines of fewer than ``min_words`` words stay.
+(by doc_id, then place) are later matches and are removed. Lines of fewer than ``min_words`` words stay; with 1 all
+lines that have words take part.
 
 Words become 64-bit keys that sort by rarity: a class of the word's frequency, counted over all documents in
 2**17 hashed buckets (a table of fixed size), then the word's hash. Any such order is right; rarity makes it quick.
@@ -15,6 +16,8 @@ A set need only have one similar earlier set. So each first looks at the earlies
 similar, the set is settled, and the join leaves out pairs whose later set is settled: a line with very many near
 copies does not make a pair of each two. Of the pairs that are left, the nearest of each set is verified first.
 
+Sets of up to ALIKE words have no similar set but their equals, which are joined into one: they deal out no keys.
+
 Sets are told apart by 128-bit hashes, words within a line by 53 bits and their class.
 
 Defined results: a null text has one empty line; empty lines stay; rows that repeat doc_id and text are one document
@@ -33,6 +36,8 @@ from veldt.llm.texts import if_small, let
 #: Similarity, as NUM / DEN.
 NUM, DEN = 4, 5
 MIN_WORDS = 5
+#: Sets of so many words are similar to equal sets alone: n / (n + 1) is under NUM / DEN.
+ALIKE = NUM // (DEN - NUM) - 1
 BUCKET_BITS, KEY_BITS = 17, 53
 #: One more shared key is asked for, and dealt out, for each so many words.
 PER_KEY = 32
@@ -64,28 +69,29 @@ def rarity(docs: DataFrame, text: str) -> DataFrame:
     return packed.select(F.transform("all", lambda x: x.bitwiseAND(_long(127)).cast("tinyint")).alias("classes"))
 
 
-def keys(line: Column, classes: Column) -> Column:
-    """The set of words of a tidy line, rarest first."""
+def keys(line: Column, classes: Column, min_words: int) -> Column:
+    """The set of words of a tidy line, rarest first; null where there are fewer words."""
     mask, low = _long((1 << BUCKET_BITS) - 1), _long((1 << KEY_BITS) - 1)
     key = lambda x: F.shiftleft(F.get(classes, x.bitwiseAND(mask).cast("int")).cast("long"), KEY_BITS).bitwiseOR(x.bitwiseAND(low))
-    return let(F.split(line, " ", -1), lambda ws: F.when(F.size(ws) >= MIN_WORDS, F.sort_array(F.transform(F.array_distinct(F.transform(ws, lambda w: F.xxhash64(w))), key))))
+    return let(F.split(line, " ", -1), lambda ws: F.when((F.size(ws) >= min_words) & (line != ""), F.sort_array(F.transform(F.array_distinct(F.transform(ws, lambda w: F.xxhash64(w))), key))))
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str, classes: Column) -> DataFrame:
-    """A row for each document: doc_id, h, n_lines, and what is known of its lines of at least MIN_WORDS words. The
+def _lines(docs: DataFrame, doc_id: str, text: str, classes: Column, min_words: int) -> DataFrame:
+    """A row for each document: doc_id, h, n_lines, and what is known of its lines of at least ``min_words`` words. The
     prefix holds 32-bit hashes of keys: clashes only add candidates."""
 
     def told(ks: Column, i: Column) -> Column:
         n = F.size(ks)
-        prefix = F.transform(F.slice(ks, F.lit(1), n - F.floor((NUM * n + DEN - 1) / DEN).cast("int") + F.floor(n / PER_KEY).cast("int") + 1), lambda x: F.hash(x))
+        dealt = F.when(n > ALIKE, n - F.floor((NUM * n + DEN - 1) / DEN).cast("int") + F.floor(n / PER_KEY).cast("int") + 1).otherwise(0)
+        prefix = F.transform(F.slice(ks, F.lit(1), dealt), lambda x: F.hash(x))
         sketch = F.aggregate(ks, _long(0), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", _long(1), x.bitwiseAND(_long(63)).cast("int"))))
         return F.struct(i.alias("line"), n.alias("n"), F.xxhash64(ks).alias("s1"), F.xxhash64(F.lit(7), ks).alias("s2"), sketch.alias("sketch"), prefix.alias("prefix"))
 
-    each = lambda ls: F.filter(F.transform(ls, lambda x, i: let(keys(x, F.col("classes")), lambda ks: F.when(ks.isNotNull(), told(ks, i)))), lambda x: x.isNotNull())
+    each = lambda ls: F.filter(F.transform(ls, lambda x, i: let(keys(x, F.col("classes"), min_words), lambda ks: F.when(ks.isNotNull(), told(ks, i)))), lambda x: x.isNotNull())
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"), classes.alias("classes")).select("doc_id", "h", let(F.split(_tidy(F.col("text")), "\n", -1), lambda ls: F.struct(F.size(ls).cast("long").alias("n_lines"), each(ls).alias("lines"))).alias("t")).select("doc_id", "h", "t.n_lines", "t.lines")
 
 
-def _known(asked: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, text: str, classes: Column) -> DataFrame:
+def _known(asked: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, text: str, classes: Column, min_words: int) -> DataFrame:
     """(sid, keys) of the sets asked for, once or more often. Their words are read again from the documents."""
     spots = sets.join(asked, "sid").select("sid", F.col("fh").alias("h"), F.col("fd").alias("d"), F.col("fl").alias("line"))
     spots = scratch.kept(spots.groupBy("d", "h").agg(F.collect_list(F.struct("line", "sid")).alias("spots")), "spots")
@@ -93,7 +99,7 @@ def _known(asked: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, text
     met = rows.join(if_small(spots), F.col("d0").eqNullSafe(F.col("d")) & (F.col("h0") == F.col("h")))
     spot = F.transform("spots", lambda x: F.struct(x["sid"].alias("sid"), F.get("ls", x["line"]).alias("line")))
     lines = met.select(F.split(_tidy(F.col("text")), "\n", -1).alias("ls"), "spots").select(F.explode(spot).alias("s"))
-    return scratch.kept(lines.select("s.sid", "s.line", classes.alias("classes")).select("sid", keys(F.col("line"), F.col("classes")).alias("keys")), "known")
+    return scratch.kept(lines.select("s.sid", "s.line", classes.alias("classes")).select("sid", keys(F.col("line"), F.col("classes"), min_words).alias("keys")), "known")
 
 
 def _verified(pairs: DataFrame, *held) -> DataFrame:
@@ -164,11 +170,11 @@ def _candidates(sets: DataFrame) -> DataFrame:
     return told.where(F.col("shared") > F.col("more")).select("x", "y", "apart")
 
 
-def matched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def matched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, h, n_lines, removed), a row for each row of ``docs``: removed lists the lines that are later matches,
     from 0; h is the text's hash."""
     classes = scratch.kept(rarity(docs, text), "rarity").select("classes").scalar()
-    held = scratch.kept(_lines(docs, doc_id, text, classes), "lines")
+    held = scratch.kept(_lines(docs, doc_id, text, classes, min_words), "lines")
     lines = held.select("doc_id", "h", F.explode("lines").alias("l")).select("doc_id", "h", "l.*")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("raw"), F.col("h").alias("h"), F.col("line").alias("line"))
     sets = lines.groupBy("s1", "s2").agg(F.min(place).alias("f"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
@@ -176,7 +182,7 @@ def matched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     # Numbers that grow with the place of a set's first line: an earlier set has the lesser number.
     sets = sets.repartitionByRange("none", "fd", "fh", "fl").sortWithinPartitions("none", "fd", "fh", "fl").withColumn("sid", F.monotonically_increasing_id())
     sets = scratch.kept(sets, "line_sets")
-    held_by = (sets, docs, doc_id, text, classes)
+    held_by = (sets, docs, doc_id, text, classes, min_words)
     nearest = scratch.kept(_first_of_keys(sets.withColumn("settled", F.lit(False))), "first_of_keys")
     settled = scratch.kept(_verified(nearest, *held_by).select("y").distinct(), "settled")
     marked = sets.join(if_small(settled.select(F.col("y").alias("sid"), F.lit(True).alias("_done"))), "sid", "left").withColumn("settled", F.col("_done").isNotNull())
@@ -191,9 +197,9 @@ def matched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return out.select("doc_id", "h", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
-def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the lines that are later matches. A null text stays null."""
-    gone = scratch.kept(matched(docs, doc_id, text).where("size(removed) > 0").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("removed").alias("_removed")).distinct(), "cleaned")
+    gone = scratch.kept(matched(docs, doc_id, text, min_words).where("size(removed) > 0").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("removed").alias("_removed")).distinct(), "cleaned")
     met = docs.join(if_small(gone), F.col(doc_id).eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(text)) == F.col("_h")), "left")
     rest = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("_removed", i)), "\n")
     return met.withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(rest)).drop("_d", "_h", "_removed")

@@ -47,7 +47,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document: its lines, how many are later matches, and which (from 0)."""
-    found = linededup.matched(documents(spark, sf_dir))
+    found = linededup.matched(documents(spark, sf_dir), min_words=1)
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
 
 
