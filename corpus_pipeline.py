@@ -47,8 +47,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints, the document with the least doc_id stays."""
-    return simhash.clean(docs)
+    """Of each group of linked fingerprints, the document with the least doc_id stays; documents whose five-word shingles
+    are similar to an earlier document's go too."""
+    return simhash.clean(docs, similar_shingle=5)
 
 
 @_stage

@@ -337,6 +337,28 @@ def test_pipeline(spark, sf):
     assert sorted(b.n_tokens) == sorted(size(a))
 
 
+def test_near_copies_by_shingles(spark, sf):
+    """The stage finds texts of similar shingles that fingerprints keep apart."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([3, 60, 200, 400]))]
+        for _ in range(6):
+            x = list(base)
+            for _ in range(rng.randint(0, max(1, len(x) // 40))):
+                x[rng.randrange(len(x))] = "New"
+            texts.append(" ".join(x))
+    rng.shuffle(texts)
+    n = len(texts)
+    cut = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})(t.lower().split())
+    sets, fp = [cut(t) for t in texts], [simhash.fingerprint(t.encode()) for t in texts]
+    comp = components(n, [(i, j) for i in range(n) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 3])
+    late = {i for i in range(n) if any(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in range(i))}
+    got = corpus_pipeline.near_copies(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA), sf)
+    assert {r["doc_id"] for r in got.collect()} == {i for i in range(n) if comp[i] == i} - late
+    assert any(comp[i] == i for i in late)
+
+
 def test_measures(spark, sf, texts):
     for r in quality.judge(documents(spark, sf)).collect():
         t = texts[r["doc_id"]]
