@@ -1,20 +1,19 @@
 """Line dedup by an exact set-similarity join (operator 8), in DataFrame functions alone.
 
 A line is the set of its words. Of lines whose sets have a Jaccard similarity of at least 4/5, all but the first
-(by doc_id, then place) are later matches and are removed. Lines of fewer than ``min_words`` words stay; with 1 all
-lines that have words take part.
+(by doc_id, then place) are later matches and are removed. All lines that have words take part; a greater ``min_words``
+leaves out lines of fewer words.
 
 Words become 64-bit keys that sort by rarity: a class of the word's frequency, counted over all documents in
 2**17 hashed buckets (a table of fixed size), then the word's hash. Any such order is right; rarity makes it quick.
-Lines of equal sets are joined into one. Of each set, the rarest keys, of which a match must share one (prefix filter),
-and one more for each 32 words, are dealt out by key; the join keeps pairs that pass the length filter, the positional
-filter, and a bound from 64-bit parity sketches (which differ in at most as many bits as the sets do in words), and that
-share as many keys as the longer prefix asks for. Pairs that are left are verified
-on the sets themselves.
+Lines of equal sets are joined into one. The rarest keys of each set, of which a match must share one (prefix filter),
+are dealt out by key; the shorter of two sets need deal out fewer. The join keeps pairs that pass the length filter, the
+positional filter, and a bound from parity sketches, which differ in at most as many bits as the sets do in words (64
+bits, 128 for sets of more than WIDE words). Pairs that are left are verified on the sets themselves.
 
-A set need only have one similar earlier set. So each first looks at the earliest set of a few of its keys; if that is
-similar, the set is settled, and the join leaves out pairs whose later set is settled: a line with very many near
-copies does not make a pair of each two. Of the pairs that are left, the nearest of each set is verified first.
+A set need only have one similar earlier set. So each first looks, for a few neighbouring pairs of its dealt keys, at
+the earliest set that has the same pair; if one is similar, the set is settled, and the join leaves out pairs whose
+later set is settled: a line with very many near copies does not make a pair of each two.
 
 Sets of up to ALIKE words have no similar set but their equals, which are joined into one: they deal out no keys.
 
@@ -31,18 +30,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldt import scratch
-from veldt.llm.texts import if_small, let
+from veldt.llm.texts import WORD, if_small, let, lower_ascii, words
 
 #: Similarity, as NUM / DEN.
 NUM, DEN = 4, 5
-MIN_WORDS = 5
 #: Sets of so many words are similar to equal sets alone: n / (n + 1) is under NUM / DEN.
 ALIKE = NUM // (DEN - NUM) - 1
 BUCKET_BITS, KEY_BITS = 17, 53
-#: One more shared key is asked for, and dealt out, for each so many words.
-PER_KEY = 32
-#: Keys of a set, from its last, by which it looks for the earliest set that shares them.
-LOOK = 8
+#: Sets of more words have sketches of twice the bits.
+WIDE = 64
+#: Neighbouring pairs of dealt keys, from the last, by which a set looks for the earliest set that has them.
+LOOK = 4
+#: Flags beside a key's place.
+SETTLED, INDEXED = 1 << 31, 1 << 30
 
 
 def _long(x) -> Column:
@@ -55,149 +55,202 @@ def _tidy(text: Column) -> Column:
     odd = t.startswith(" ") | t.endswith(" ")
     for x in ("  ", "\t", "\x0b", "\x0c", "\r", "\n ", " \n"):
         odd = odd | t.contains(x)
-    return F.when(odd, F.regexp_replace(F.regexp_replace(t, r"[ \t\x0B-\r]+", " "), r"(?m)^ +| +$", "")).otherwise(t)
+    return F.when(odd, F.regexp_replace(F.regexp_replace(t, r"[ \t\x0B-\r]+", " "), r"(?md)^ +| +$", "")).otherwise(t)
 
 
-def rarity(docs: DataFrame, text: str) -> DataFrame:
-    """One row: for each bucket, a class that grows with how often its words stand in the documents."""
-    each = docs.select(F.explode(F.split(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\n"), F.lit(" ")), " ", -1)).alias("w")).select(F.xxhash64("w").bitwiseAND((1 << BUCKET_BITS) - 1).alias("bucket"))
-    counts = each.groupBy("bucket").agg(F.count("*").alias("n"))
-    every = docs.sparkSession.range(1 << BUCKET_BITS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left")
-    told = every.select("bucket", F.least(F.floor(3 * F.log2(F.coalesce("n", F.lit(0)) + 1)), F.lit(127)).cast("int").alias("class"))
+class Lines:
+    """A text as the sets of its lines' words."""
+
+    def pieces(self, text: Column) -> Column:
+        """Of a text made ready."""
+        return F.split(text, "\n", -1)
+
+    def ready(self, text: Column) -> Column:
+        return _tidy(text)
+
+    def takes(self, piece: Column) -> Column:
+        """Whether a piece has words."""
+        return piece != ""
+
+    def count(self, text: Column) -> Column:
+        """How many pieces a text has."""
+        t = F.coalesce(text.cast("string"), F.lit(""))
+        return (F.octet_length(t) - F.octet_length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).cast("long")
+
+    def hashes(self, piece: Column) -> Column:
+        """Of the words of a piece, with repeats. The empty word of an empty line is told by its hash."""
+        return F.transform(F.split(piece, " ", -1), lambda w: F.xxhash64(w))
+
+    def each(self, docs: DataFrame, text: str) -> DataFrame:
+        """(w): the hashes of all words."""
+        ws = F.split(F.replace(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit("\n"), F.lit(" ")), " ", -1)
+        return docs.select(F.explode(ws).alias("w")).select(F.xxhash64("w").alias("w"))
+
+
+class Shingles(Lines):
+    """A text as one set: its shingles of so many words, A-Z in lower case; a shorter text is one shingle."""
+
+    def __init__(self, n: int) -> None:
+        self.n = n
+
+    def pieces(self, text: Column) -> Column:
+        return F.array(text)
+
+    def ready(self, text: Column) -> Column:
+        return F.coalesce(text.cast("string"), F.lit(""))
+
+    def takes(self, piece: Column) -> Column:
+        return piece.rlike(WORD)
+
+    def count(self, text: Column) -> Column:
+        return _long(1)
+
+    def hashes(self, piece: Column) -> Column:
+        each = lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - self.n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(ws, i, self.n)))
+        return let(words(lower_ascii(piece)), lambda ws: F.when(F.size(ws) > 0, each(ws)).otherwise(F.array(F.xxhash64(F.lit("")))))
+
+    def each(self, docs: DataFrame, text: str) -> DataFrame:
+        return docs.select(F.explode(self.hashes(F.col(text).cast("string"))).alias("w"))
+
+
+def rarity(each: DataFrame) -> Column:
+    """An array: for each bucket of words, a class that grows with how often they stand in ``each`` (w)."""
+    counts = each.groupBy(F.col("w").bitwiseAND((1 << BUCKET_BITS) - 1).alias("bucket")).agg(F.count("*").alias("n"))
+    every = each.sparkSession.range(1 << BUCKET_BITS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left")
+    told = every.select("bucket", F.least(F.floor(3 * F.log2(F.coalesce("n", F.lit(0)) + 1)), F.lit(127)).alias("class"))
     # One task sorts 2**17 numbers, whatever the table's size.
-    packed = told.agg(F.sort_array(F.collect_list(F.col("bucket") * 128 + F.col("class"))).alias("all"))
-    return packed.select(F.transform("all", lambda x: x.bitwiseAND(_long(127)).cast("tinyint")).alias("classes"))
+    packed = told.agg(F.sort_array(F.collect_list(F.col("bucket") * 128 + F.col("class"))).alias("all")).first()[0]
+    # As JSON, so that the optimizer makes it one literal: as a column, every row would hold a copy.
+    return F.from_json(F.lit(str([x % 128 for x in packed])), "array<tinyint>")
 
 
-def keys(line: Column, classes: Column, min_words: int) -> Column:
-    """The set of words of a tidy line, rarest first; null where there are fewer words."""
+def _keyed(pieces: DataFrame, cut: Lines, classes: Column, *keep: str) -> DataFrame:
+    """The columns ``keep`` of ``pieces``, and of its column piece keys, the set of words, rarest first, and n, how many.
+    The set is a projection of its own, named twice above, so that it is compiled: what stands below a lambda is not."""
     mask, low = _long((1 << BUCKET_BITS) - 1), _long((1 << KEY_BITS) - 1)
     key = lambda x: F.shiftleft(F.get(classes, x.bitwiseAND(mask).cast("int")).cast("long"), KEY_BITS).bitwiseOR(x.bitwiseAND(low))
-    return let(F.split(line, " ", -1), lambda ws: F.when((F.size(ws) >= min_words) & (line != ""), F.sort_array(F.transform(F.array_distinct(F.transform(ws, lambda w: F.xxhash64(w))), key))))
+    return pieces.select(*keep, F.array_distinct(cut.hashes(F.col("piece"))).alias("set")).select(*keep, F.size("set").alias("n"), F.sort_array(F.transform("set", key)).alias("keys"))
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str, classes: Column, min_words: int) -> DataFrame:
-    """A row for each document: doc_id, h, n_lines, and what is known of its lines of at least ``min_words`` words. The
+def _lines(docs: DataFrame, doc_id: str, text: str, cut: Lines, classes: Column, min_words: int) -> DataFrame:
+    """A row for each line: doc_id, h, n_lines, line, and what is known of it, n being 0 where it takes no part. The
     prefix holds 32-bit hashes of keys: clashes only add candidates."""
-
-    def told(ks: Column, i: Column) -> Column:
-        n = F.size(ks)
-        dealt = F.when(n > ALIKE, n - F.floor((NUM * n + DEN - 1) / DEN).cast("int") + F.floor(n / PER_KEY).cast("int") + 1).otherwise(0)
-        prefix = F.transform(F.slice(ks, F.lit(1), dealt), lambda x: F.hash(x))
-        sketch = F.aggregate(ks, _long(0), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", _long(1), x.bitwiseAND(_long(63)).cast("int"))))
-        return F.struct(i.alias("line"), n.alias("n"), F.xxhash64(ks).alias("s1"), F.xxhash64(F.lit(7), ks).alias("s2"), sketch.alias("sketch"), prefix.alias("prefix"))
-
-    each = lambda ls: F.filter(F.transform(ls, lambda x, i: let(keys(x, F.col("classes"), min_words), lambda ks: F.when(ks.isNotNull(), told(ks, i)))), lambda x: x.isNotNull())
-    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"), classes.alias("classes")).select("doc_id", "h", let(F.split(_tidy(F.col("text")), "\n", -1), lambda ls: F.struct(F.size(ls).cast("long").alias("n_lines"), each(ls).alias("lines"))).alias("t")).select("doc_id", "h", "t.n_lines", "t.lines")
-
-
-def _known(asked: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, text: str, classes: Column, min_words: int) -> DataFrame:
-    """(sid, keys) of the sets asked for, once or more often. Their words are read again from the documents."""
-    spots = sets.join(asked, "sid").select("sid", F.col("fh").alias("h"), F.col("fd").alias("d"), F.col("fl").alias("line"))
-    spots = scratch.kept(spots.groupBy("d", "h").agg(F.collect_list(F.struct("line", "sid")).alias("spots")), "spots")
-    rows = docs.select(F.col(doc_id).alias("d0"), F.xxhash64(F.col(text)).alias("h0"), F.col(text).alias("text"))
-    met = rows.join(if_small(spots), F.col("d0").eqNullSafe(F.col("d")) & (F.col("h0") == F.col("h")))
-    spot = F.transform("spots", lambda x: F.struct(x["sid"].alias("sid"), F.get("ls", x["line"]).alias("line")))
-    lines = met.select(F.split(_tidy(F.col("text")), "\n", -1).alias("ls"), "spots").select(F.explode(spot).alias("s"))
-    return scratch.kept(lines.select("s.sid", "s.line", classes.alias("classes")).select("sid", keys(F.col("line"), F.col("classes"), min_words).alias("keys")), "known")
-
-
-def _verified(pairs: DataFrame, *held) -> DataFrame:
-    """(x, y): the pairs of sets that are similar."""
-    asked = pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).distinct()
-    known = _known(asked, *held)
-    both = pairs.join(known.select(F.col("sid").alias("x"), F.col("keys").alias("kx")), "x").join(known.select(F.col("sid").alias("y"), F.col("keys").alias("ky")), "y")
-    shared = F.size(F.array_intersect("kx", "ky"))
-    return both.where((NUM + DEN) * shared >= NUM * (F.size("kx") + F.size("ky"))).select("x", "y")
-
-
-def _later(pairs: DataFrame, *held) -> DataFrame:
-    """(sid): sets with a similar earlier one. One candidate of each, the one whose sketch is nearest, is verified
-    first; only sets that it doesn't settle have all theirs verified."""
-    best = scratch.kept(pairs.groupBy("y").agg(F.min(F.struct("apart", "x")).alias("b")).select("y", F.col("b.x").alias("x")), "nearest")
-    sure = scratch.kept(_verified(best, *held).select(F.col("y").alias("sid")).distinct(), "settled")
-    rest = pairs.join(sure.select(F.col("sid").alias("y")), "y", "left_anti").join(best, ["x", "y"], "left_anti").select("x", "y")
-    rest = scratch.kept(rest, "unsettled")
-    if not rest.take(1):
-        return sure
-    return scratch.kept(sure.unionByName(_verified(rest, *held).select(F.col("y").alias("sid"))).distinct(), "later_sets")
-
-
-def _dealt(sets: DataFrame) -> DataFrame:
-    """(key, sid, where, sketch): a row for each key that a set deals out; where packs the set's words, whether it is
-    settled, and the key's place."""
-    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).bitwiseOR(F.when(F.col("settled"), _long(1 << 31)).otherwise(_long(0)))
-    return sets.select("sid", "n", "sketch", "settled", F.size("prefix").alias("dealt"), F.posexplode("prefix").alias("at", "key")).select("key", "sid", packed.alias("where"), "sketch", (F.col("dealt") - F.col("at")).alias("last"))
-
-
-class _Pair:
-    """Conditions on rows a and b of ``_dealt`` that share a key."""
-
-    def __init__(self) -> None:
-        self.n = {t: F.shiftright(F.col(f"{t}.where"), 32) for t in "ab"}
-        self.at = {t: F.col(f"{t}.where").bitwiseAND(_long((1 << 31) - 1)) for t in "ab"}
-        self.settled = {t: F.col(f"{t}.where").bitwiseAND(_long(1 << 31)) != 0 for t in "ab"}
-        n, at = self.n, self.at
-        self.need = F.call_function("div", NUM * (n["a"] + n["b"]) + NUM + DEN - 1, F.lit(NUM + DEN))
-        self.apart = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch")))
-        near = self.apart <= n["a"] + n["b"] - 2 * self.need
-        self.good = near & (F.least(at["a"], at["b"]) + F.least(n["a"] - at["a"], n["b"] - at["b"]) >= self.need)
-
-
-def _first_of_keys(sets: DataFrame) -> DataFrame:
-    """(x, y): for a set y the nearest of the earliest sets of its last keys. At most one pair for each set."""
-    dealt = _dealt(sets).where(F.col("last") <= LOOK).drop("last")
-    first = dealt.groupBy("key").agg(F.min(F.struct("sid", "where", "sketch")).alias("f"), F.count("*").alias("m")).where("m > 1").select("key", "f.*")
-    p = _Pair()
-    length = DEN * F.least(p.n["a"], p.n["b"]) >= NUM * F.greatest(p.n["a"], p.n["b"])
-    met = first.alias("a").join(dealt.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") < F.col("b.sid")) & length & p.good)
-    return met.groupBy(F.col("b.sid").alias("y")).agg(F.min(F.struct(p.apart.alias("apart"), F.col("a.sid").alias("x"))).alias("f")).select("f.x", "y")
-
-
-def _candidates(sets: DataFrame) -> DataFrame:
-    """(x, y, apart): pairs of sets, x the earlier and y not settled, that share a dealt key and pass the filters; how
-    far their sketches are apart."""
-    dealt = _dealt(sets).drop("last")
-    p = _Pair()
-    n, at, settled = p.n, p.at, p.settled
-    length = (DEN * n["a"] >= NUM * n["b"]) & ((n["a"] < n["b"]) | ((n["a"] == n["b"]) & (F.col("a.sid") < F.col("b.sid"))))
-    later = ((F.col("a.sid") > F.col("b.sid")) & ~settled["a"]) | ((F.col("a.sid") < F.col("b.sid")) & ~settled["b"])
-    # The shorter set need deal out fewer keys; b's length stands here to keep both sides one shuffle.
-    more = F.call_function("div", n["a"], F.lit(PER_KEY))
-    indexed = (at["a"] <= n["a"] - F.call_function("div", 2 * NUM * n["a"] + NUM + DEN - 1, F.lit(NUM + DEN)) + more) | (n["b"] < 0)
-    met = dealt.alias("a").join(dealt.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & later & length & p.good & indexed)
-    told = met.groupBy(F.least("a.sid", "b.sid").alias("x"), F.greatest("a.sid", "b.sid").alias("y")).agg(F.count("*").alias("shared"), F.first(p.apart).alias("apart"), F.first(more).alias("more"))
-    return told.where(F.col("shared") > F.col("more")).select("x", "y", "apart")
-
-
-def matched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), cut.count(F.col(text)).alias("n_lines"), cut.ready(F.col(text)).alias("text"))
+    rows = texts.select("doc_id", "h", "n_lines", F.posexplode(cut.pieces(F.col("text"))).alias("line", "piece"))
+    takes = cut.takes(F.col("piece"))
+    if min_words > 1:
+        takes &= F.size(cut.hashes(F.col("piece"))) >= min_words
+    rows = _keyed(rows.withColumn("takes", takes), cut, classes, "doc_id", "h", "n_lines", "line", "takes")
+    n = F.col("n")
+    dealt = F.when(F.col("takes") & (n > ALIKE), n - F.floor((NUM * n + DEN - 1) / DEN).cast("int") + 1).otherwise(0)
+    bit = lambda x: F.call_function("shiftleft", _long(1), x.bitwiseAND(_long(63)).cast("int"))
+    high = lambda x: F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(_long(1)), x.bitwiseAND(_long(63)).cast("int"))
+    fold = F.aggregate("keys", _long(0), lambda s, x: s.bitwiseXOR(bit(x)))
+    half = F.when(n > WIDE, F.aggregate("keys", _long(0), lambda s, x: s.bitwiseXOR(high(x)))).otherwise(_long(0))
+    return rows.select(
+        "doc_id", "h", "n_lines", "line", F.when(F.col("takes"), n).otherwise(0).alias("n"), F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(7), "keys").alias("s2"),
+        fold.alias("fold"), half.alias("half"), F.transform(F.slice("keys", F.lit(1), dealt), lambda x: F.hash(x)).alias("prefix"),
+    )
+
+
+def _near(a: dict, b: dict, least: Column) -> Column:
+    """Whether two sets' sketches leave it open that they are similar: half holds the upper half of the words' bits, fold
+    both halves, one over the other."""
+    whole, upper = a["fold"].bitwiseXOR(b["fold"]), a["half"].bitwiseXOR(b["half"])
+    apart = F.when(least > WIDE, F.bit_count(whole.bitwiseXOR(upper)) + F.bit_count(upper)).otherwise(F.bit_count(whole))
+    return (NUM + DEN) * apart <= a["n"] + b["n"]
+
+
+class _Join:
+    """The similar pairs among ``sets``, whose words are read again from the documents."""
+
+    def __init__(self, sets: DataFrame, docs: DataFrame, doc_id: str, text: str, cut: Lines, classes: Column) -> None:
+        self.sets, self.cut, self.classes = sets, cut, classes
+        self.docs = docs.select(F.col(doc_id).alias("d0"), F.xxhash64(F.col(text)).alias("h0"), F.col(text).alias("text"))
+
+    def known(self, asked: DataFrame) -> DataFrame:
+        """(sid, keys) of the sets asked for, once or more often."""
+        spots = self.sets.join(if_small(asked), "sid").select("sid", F.col("fh").alias("h"), F.col("fd").alias("d"), F.col("fl").alias("line"))
+        spots = scratch.kept(spots.groupBy("d", "h").agg(F.collect_list(F.struct("line", "sid")).alias("spots")), "spots")
+        met = self.docs.join(if_small(spots), F.col("d0").eqNullSafe(F.col("d")) & (F.col("h0") == F.col("h")))
+        spot = F.transform("spots", lambda x: F.struct(x["sid"].alias("sid"), F.get("ls", x["line"]).alias("piece")))
+        pieces = met.select(self.cut.pieces(self.cut.ready(F.col("text"))).alias("ls"), "spots").select(F.explode(spot).alias("s")).select("s.sid", "s.piece")
+        return scratch.kept(_keyed(pieces, self.cut, self.classes, "sid").select("sid", "keys"), "known")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """(sid): the later sets of those pairs (x, y) that are similar."""
+        asked = pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).distinct()
+        known = self.known(scratch.kept(asked, "asked"))
+        both = pairs.join(known.select(F.col("sid").alias("x"), F.col("keys").alias("kx")), "x").join(known.select(F.col("sid").alias("y"), F.col("keys").alias("ky")), "y")
+        shared = F.size(F.array_intersect("kx", "ky"))
+        return both.where((NUM + DEN) * shared >= NUM * (F.size("kx") + F.size("ky"))).select(F.col("y").alias("sid")).distinct()
+
+    def first_of_pairs(self) -> DataFrame:
+        """(x, y): for a set y the earliest set that has one of its last pairs of neighbouring keys; of several such
+        sets, the one met most often. At most one pair for each set."""
+        some = self.sets.where(F.size("prefix") > 0).select("sid", F.slice("prefix", F.greatest(F.size("prefix") - LOOK, F.lit(1)), LOOK + 1).alias("ends"))
+        hashed = F.transform("ends", lambda x, i: F.xxhash64(x, F.get("ends", i + 1)))
+        looks = some.select("sid", F.explode(F.slice(hashed, F.lit(1), F.greatest(F.size("ends") - 1, F.lit(1)))).alias("key"))
+        first = looks.groupBy("key").agg(F.min("sid").alias("x"), F.count("*").alias("m")).where("m > 1").select("key", "x")
+        met = looks.join(first, "key").where("sid > x").groupBy(F.col("sid").alias("y"), "x").agg(F.count("*").alias("times"))
+        met = scratch.kept(met.groupBy("y").agg(F.max(F.struct("times", -F.col("x"))).alias("f")).select((-F.col("f.col2")).alias("x"), "y"), "first_of_pairs")
+        told = self.sets.select("sid", F.col("n").cast("long").alias("n"), "fold", "half")
+        for c in ("x", "y"):
+            met = told.withColumnsRenamed({k: f"{c}_{k}" for k in ("n", "fold", "half")}).withColumnRenamed("sid", c).join(if_small(met), c)
+        a, b = ({k: F.col(f"{c}_{k}") for k in ("n", "fold", "half")} for c in ("x", "y"))
+        return met.where((DEN * F.least(a["n"], b["n"]) >= NUM * F.greatest(a["n"], b["n"])) & _near(a, b, F.least(a["n"], b["n"]))).select("x", "y")
+
+    def candidates(self, settled: DataFrame) -> DataFrame:
+        """(x, y): pairs of sets, x the earlier and y not settled, that share a dealt key and pass the filters."""
+        done = settled.select("sid", F.lit(True).alias("done"))
+        place = F.col("at").cast("long").bitwiseOR(F.when(F.col("at") <= F.floor(F.col("n") / (NUM + DEN)), _long(INDEXED)).otherwise(_long(0)))
+        dealt = self.sets.where(F.size("prefix") > 0).join(if_small(done), "sid", "left")
+        dealt = dealt.select("sid", "fold", "half", "n", F.when(F.col("done"), _long(SETTLED)).otherwise(_long(0)).alias("flag"), F.posexplode("prefix").alias("at", "key"))
+        dealt = dealt.select("key", "sid", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("flag")).bitwiseOR(place).alias("w"), "fold", "half")
+        a, b = ({c: F.col(f"{t}.{c}") for c in ("key", "sid", "w", "fold", "half")} for t in "ab")
+        n, at = [F.shiftright(t["w"], 32) for t in (a, b)], [t["w"].bitwiseAND(_long(INDEXED - 1)) for t in (a, b)]
+        flag = lambda t, f: t["w"].bitwiseAND(_long(f)) != 0
+        # a is the shorter set and need only deal out n // 9 + 1 keys; b stands there to keep both sides one shuffle.
+        indexed = flag(a, INDEXED) | (b["w"] < 0)
+        length = (n[0] <= n[1]) & (DEN * n[0] >= NUM * n[1]) & ((n[0] < n[1]) | (a["sid"] < b["sid"]))
+        later = F.when(a["sid"] < b["sid"], ~flag(b, SETTLED)).otherwise(~flag(a, SETTLED))
+        near = _near({**a, "n": n[0]}, {**b, "n": n[1]}, n[0])
+        reach = (NUM + DEN) * (F.least(*at) + F.least(n[0] - at[0], n[1] - at[1])) >= NUM * (n[0] + n[1])
+        met = dealt.alias("a").join(dealt.alias("b").hint("merge"), (a["key"] == b["key"]) & indexed & near & length & later & reach)
+        return met.select(F.least(a["sid"], b["sid"]).alias("x"), F.greatest(a["sid"], b["sid"]).alias("y")).distinct()
+
+    def later(self) -> DataFrame:
+        """(sid): sets that have a similar earlier one."""
+        settled = scratch.kept(self.verified(scratch.kept(self.first_of_pairs(), "first_of_pairs")), "settled")
+        pairs = scratch.kept(self.candidates(settled), "line_pairs")
+        return scratch.kept(settled.unionByName(self.verified(pairs)), "later_sets") if pairs.take(1) else settled
+
+
+def matched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 1, cut: Lines | None = None) -> DataFrame:
     """(doc_id, h, n_lines, removed), a row for each row of ``docs``: removed lists the lines that are later matches,
-    from 0; h is the text's hash."""
-    classes = scratch.kept(rarity(docs, text), "rarity").select("classes").scalar()
-    held = scratch.kept(_lines(docs, doc_id, text, classes, min_words), "lines")
-    lines = held.select("doc_id", "h", F.explode("lines").alias("l")).select("doc_id", "h", "l.*")
+    from 0; h is the text's hash. ``cut`` says how a text becomes sets of words: by lines, if not given."""
+    cut = cut or Lines()
+    classes = rarity(cut.each(docs, text))
+    held = scratch.kept(_lines(docs, doc_id, text, cut, classes, min_words), "lines")
+    lines = held.where("n > 0")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("raw"), F.col("h").alias("h"), F.col("line").alias("line"))
-    sets = lines.groupBy("s1", "s2").agg(F.min(place).alias("f"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
-    sets = sets.select("s1", "s2", "n", "sketch", "prefix", F.col("f.none").alias("none"), F.col("f.raw").alias("fd"), F.col("f.h").alias("fh"), F.col("f.line").alias("fl"))
+    sets = lines.groupBy("s1", "s2").agg(F.min(place).alias("f"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "fold", "half", "prefix")])
+    sets = sets.select("s1", "s2", "copies", "n", "fold", "half", "prefix", F.col("f.none").alias("none"), F.col("f.raw").alias("fd"), F.col("f.h").alias("fh"), F.col("f.line").alias("fl"))
     # Numbers that grow with the place of a set's first line: an earlier set has the lesser number.
     sets = sets.repartitionByRange("none", "fd", "fh", "fl").sortWithinPartitions("none", "fd", "fh", "fl").withColumn("sid", F.monotonically_increasing_id())
     sets = scratch.kept(sets, "line_sets")
-    held_by = (sets, docs, doc_id, text, classes, min_words)
-    nearest = scratch.kept(_first_of_keys(sets.withColumn("settled", F.lit(False))), "first_of_keys")
-    settled = scratch.kept(_verified(nearest, *held_by).select("y").distinct(), "settled")
-    marked = sets.join(if_small(settled.select(F.col("y").alias("sid"), F.lit(True).alias("_done"))), "sid", "left").withColumn("settled", F.col("_done").isNotNull())
-    pairs = scratch.kept(_candidates(marked), "line_pairs")
-    later = scratch.kept(_later(pairs, *held_by).unionByName(settled.select(F.col("y").alias("sid"))).distinct(), "later_sets").withColumn("later", F.lit(True))
-    told = sets.join(later, "sid", "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), "fd", "fh", "fl", F.coalesce("later", F.lit(False)).alias("later"))
+    later = _Join(sets, docs, doc_id, text, cut, classes).later().withColumn("later", F.lit(True))
+    told = sets.select("sid", "s1", "s2", "copies", "fd", "fh", "fl").join(if_small(later), "sid", "left").where("later or copies > 1")
+    told = scratch.kept(told.select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), "fd", "fh", "fl", F.coalesce("later", F.lit(False)).alias("later")), "told")
     other = ~(F.col("doc_id").eqNullSafe(F.col("fd")) & F.col("h").eqNullSafe(F.col("fh")) & (F.col("line") == F.col("fl")))
-    gone = lines.select("doc_id", "h", "line", "s1", "s2").join(told, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2"))).where(F.col("later") | other)
+    gone = lines.select("doc_id", "h", "line", "s1", "s2").join(if_small(told), (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2"))).where(F.col("later") | other)
     gone = gone.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "removed")
     gone = scratch.kept(gone, "removed_lines")
-    out = held.select("doc_id", "h", "n_lines").join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("h").eqNullSafe(F.col("g")), "left")
+    out = held.where("line = 0").select("doc_id", "h", "n_lines").join(if_small(gone), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("h").eqNullSafe(F.col("g")), "left")
     return out.select("doc_id", "h", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
-def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 1) -> DataFrame:
     """``docs`` without the lines that are later matches. A null text stays null."""
     gone = scratch.kept(matched(docs, doc_id, text, min_words).where("size(removed) > 0").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("removed").alias("_removed")).distinct(), "cleaned")
     met = docs.join(if_small(gone), F.col(doc_id).eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(text)) == F.col("_h")), "left")

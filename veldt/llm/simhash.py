@@ -29,12 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldt import scratch
 from veldt.llm import linededup
-from veldt.llm.texts import if_small, let, lower_ascii, short_batches, words
+from veldt.llm.texts import if_small, short_batches
 from veldt.operators.graph import connected_components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -126,16 +126,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return known.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _shingles(text: Column, shingle: int) -> Column:
-    """A line of the hashes of a text's shingles; no words give an empty line."""
-    told = lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - shingle + 1, F.lit(1))), lambda i: F.hex(F.xxhash64(F.slice(ws, i, shingle))))
-    return let(words(lower_ascii(text.cast("string"))), lambda ws: F.when(F.size(ws) > 0, F.array_join(told(ws), " ")).otherwise(""))
-
-
 def similar(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, h): documents whose shingles are similar to an earlier one's; h is the hash of their line of shingles."""
-    lines = docs.select(F.col(doc_id).alias("doc_id"), _shingles(F.col(text), shingle).alias("text"))
-    return linededup.matched(lines, min_words=1).where("size(removed) > 0").select("doc_id", "h").distinct()
+    """(doc_id, h): documents whose shingles are similar to an earlier one's; h is the hash of their text."""
+    return linededup.matched(docs, doc_id, text, cut=linededup.Shingles(shingle)).where("size(removed) > 0").select("doc_id", "h").distinct()
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar_shingle: int | None = None) -> DataFrame:
@@ -147,9 +140,7 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar_s
     out = docs.join(if_small(gone), F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
     if similar_shingle is not None:
         late = scratch.kept(similar(docs, similar_shingle, doc_id, text).select(F.col("doc_id").alias("_late"), F.col("h").alias("_h")), "similar")
-        # Not an equality: shingles are only made where the doc_id meets.
-        same = F.xxhash64(_shingles(F.col(text), similar_shingle)).bitwiseXOR(F.col("_h")) == 0
-        out = out.join(if_small(late), F.col(doc_id).eqNullSafe(F.col("_late")) & same, "left_anti")
+        out = out.join(if_small(late), F.col(doc_id).eqNullSafe(F.col("_late")) & (F.xxhash64(F.col(text)) == F.col("_h")), "left_anti")
     twice = scratch.kept(docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_twice")).count().where("count > 1").select("_twice"), "repeated")
     if not twice.take(1):
         return out
