@@ -11,8 +11,8 @@ are dealt out by key; the shorter of two sets need deal out fewer. The join keep
 positional filter, and a bound from parity sketches, which differ in at most as many bits as the sets do in words (64
 bits, 128 for sets of more than WIDE words). Pairs that are left are verified on the sets themselves.
 
-A set need only have one similar earlier set. So each first looks, for a few neighbouring pairs of its dealt keys, at
-the earliest set that has the same pair; if one is similar, the set is settled, and the join leaves out pairs whose
+A set need only have one similar earlier set. So sets that have a neighbouring pair of dealt keys in common with many
+others first look at the earliest of these; if it is similar, the set is settled, and the join leaves out pairs whose
 later set is settled: a line with very many near copies does not make a pair of each two.
 
 Sets of up to ALIKE words have no similar set but their equals, which are joined into one: they deal out no keys.
@@ -26,6 +26,8 @@ table gives no rows; clashing extra columns are dropped, or kept by ``clean``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,8 @@ BUCKET_BITS, KEY_BITS = 17, 53
 WIDE = 64
 #: Neighbouring pairs of dealt keys, from the last, by which a set looks for the earliest set that has them.
 LOOK = 4
+#: So many sets that have a pair of keys in common are a crowd.
+CROWD = 8
 #: Flags beside a key's place.
 SETTLED, INDEXED = 1 << 31, 1 << 30
 
@@ -49,24 +53,22 @@ def _long(x) -> Column:
     return F.lit(x).cast("long")
 
 
-def _tidy(text: Column) -> Column:
-    """The text with its words parted by single spaces, none at a line's ends."""
-    t = F.coalesce(text.cast("string"), F.lit(""))
-    odd = t.startswith(" ") | t.endswith(" ")
-    for x in ("  ", "\t", "\x0b", "\x0c", "\r", "\n ", " \n"):
-        odd = odd | t.contains(x)
-    return F.when(odd, F.regexp_replace(F.regexp_replace(t, r"[ \t\x0B-\r]+", " "), r"(?md)^ +| +$", "")).otherwise(t)
+def _tidy(line: Column) -> Column:
+    """The line with its words parted by single spaces, none at its ends."""
+    odd = line.startswith(" ") | line.endswith(" ")
+    for x in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | line.contains(x)
+    return F.when(odd, F.regexp_replace(F.regexp_replace(line, r"[ \t\x0B-\r]+", " "), r"\A +| +\z", "")).otherwise(line)
 
 
 class Lines:
     """A text as the sets of its lines' words."""
 
     def pieces(self, text: Column) -> Column:
-        """Of a text made ready."""
-        return F.split(text, "\n", -1)
+        return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
 
-    def ready(self, text: Column) -> Column:
-        return _tidy(text)
+    def ready(self, piece: Column) -> Column:
+        return _tidy(piece)
 
     def takes(self, piece: Column) -> Column:
         """Whether a piece has words."""
@@ -77,9 +79,13 @@ class Lines:
         t = F.coalesce(text.cast("string"), F.lit(""))
         return (F.octet_length(t) - F.octet_length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).cast("long")
 
-    def hashes(self, piece: Column) -> Column:
-        """Of the words of a piece, with repeats. The empty word of an empty line is told by its hash."""
-        return F.transform(F.split(piece, " ", -1), lambda w: F.xxhash64(w))
+    def keys(self, piece: Column, key: Callable[[Column], Column]) -> Column:
+        """``key`` of each different word of a piece made ready; an empty one has the empty word."""
+        return F.transform(F.array_distinct(F.split(piece, " ", -1)), lambda w: key(F.xxhash64(w)))
+
+    def size(self, piece: Column) -> Column:
+        """The words of a piece, with repeats."""
+        return F.size(F.split(piece, " ", -1))
 
     def each(self, docs: DataFrame, text: str) -> DataFrame:
         """(w): the hashes of all words."""
@@ -94,10 +100,10 @@ class Shingles(Lines):
         self.n = n
 
     def pieces(self, text: Column) -> Column:
-        return F.array(text)
+        return F.array(F.coalesce(text.cast("string"), F.lit("")))
 
-    def ready(self, text: Column) -> Column:
-        return F.coalesce(text.cast("string"), F.lit(""))
+    def ready(self, piece: Column) -> Column:
+        return piece
 
     def takes(self, piece: Column) -> Column:
         return piece.rlike(WORD)
@@ -109,6 +115,12 @@ class Shingles(Lines):
         each = lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - self.n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(ws, i, self.n)))
         return let(words(lower_ascii(piece)), lambda ws: F.when(F.size(ws) > 0, each(ws)).otherwise(F.array(F.xxhash64(F.lit("")))))
 
+    def keys(self, piece: Column, key: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array_distinct(self.hashes(piece)), key)
+
+    def size(self, piece: Column) -> Column:
+        return F.size(self.hashes(piece))
+
     def each(self, docs: DataFrame, text: str) -> DataFrame:
         return docs.select(F.explode(self.hashes(F.col(text).cast("string"))).alias("w"))
 
@@ -125,22 +137,22 @@ def rarity(each: DataFrame) -> Column:
 
 
 def _keyed(pieces: DataFrame, cut: Lines, classes: Column, *keep: str) -> DataFrame:
-    """The columns ``keep`` of ``pieces``, and of its column piece keys, the set of words, rarest first, and n, how many.
-    The set is a projection of its own, named twice above, so that it is compiled: what stands below a lambda is not."""
+    """The columns ``keep`` of ``pieces``, and keys: the set of words of its column piece (made ready), rarest first."""
     mask, low = _long((1 << BUCKET_BITS) - 1), _long((1 << KEY_BITS) - 1)
     key = lambda x: F.shiftleft(F.get(classes, x.bitwiseAND(mask).cast("int")).cast("long"), KEY_BITS).bitwiseOR(x.bitwiseAND(low))
-    return pieces.select(*keep, F.array_distinct(cut.hashes(F.col("piece"))).alias("set")).select(*keep, F.size("set").alias("n"), F.sort_array(F.transform("set", key)).alias("keys"))
+    return pieces.select(*keep, F.sort_array(cut.keys(F.col("piece"), key)).alias("keys"))
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str, cut: Lines, classes: Column, min_words: int) -> DataFrame:
     """A row for each line: doc_id, h, n_lines, line, and what is known of it, n being 0 where it takes no part. The
-    prefix holds 32-bit hashes of keys: clashes only add candidates."""
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), cut.count(F.col(text)).alias("n_lines"), cut.ready(F.col(text)).alias("text"))
-    rows = texts.select("doc_id", "h", "n_lines", F.posexplode(cut.pieces(F.col("text"))).alias("line", "piece"))
+    prefix holds 32-bit hashes of keys: clashes only add candidates. Lines are rows here, not arrays of a text, so that
+    all but what is done to each word is compiled."""
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), cut.count(F.col(text)).alias("n_lines"), cut.pieces(F.col(text)).alias("ls"))
+    rows = texts.select("doc_id", "h", "n_lines", F.posexplode("ls").alias("line", "raw")).withColumn("piece", cut.ready(F.col("raw")))
     takes = cut.takes(F.col("piece"))
     if min_words > 1:
-        takes &= F.size(cut.hashes(F.col("piece"))) >= min_words
-    rows = _keyed(rows.withColumn("takes", takes), cut, classes, "doc_id", "h", "n_lines", "line", "takes")
+        takes &= cut.size(F.col("piece")) >= min_words
+    rows = _keyed(rows.withColumn("takes", takes), cut, classes, "doc_id", "h", "n_lines", "line", "takes").withColumn("n", F.size("keys"))
     n = F.col("n")
     dealt = F.when(F.col("takes") & (n > ALIKE), n - F.floor((NUM * n + DEN - 1) / DEN).cast("int") + 1).otherwise(0)
     bit = lambda x: F.call_function("shiftleft", _long(1), x.bitwiseAND(_long(63)).cast("int"))
@@ -173,9 +185,9 @@ class _Join:
         spots = self.sets.join(if_small(asked), "sid").select("sid", F.col("fh").alias("h"), F.col("fd").alias("d"), F.col("fl").alias("line"))
         spots = scratch.kept(spots.groupBy("d", "h").agg(F.collect_list(F.struct("line", "sid")).alias("spots")), "spots")
         met = self.docs.join(if_small(spots), F.col("d0").eqNullSafe(F.col("d")) & (F.col("h0") == F.col("h")))
-        spot = F.transform("spots", lambda x: F.struct(x["sid"].alias("sid"), F.get("ls", x["line"]).alias("piece")))
-        pieces = met.select(self.cut.pieces(self.cut.ready(F.col("text"))).alias("ls"), "spots").select(F.explode(spot).alias("s")).select("s.sid", "s.piece")
-        return scratch.kept(_keyed(pieces, self.cut, self.classes, "sid").select("sid", "keys"), "known")
+        spot = F.transform("spots", lambda x: F.struct(x["sid"].alias("sid"), F.get("ls", x["line"]).alias("raw")))
+        pieces = met.select(self.cut.pieces(F.col("text")).alias("ls"), "spots").select(F.explode(spot).alias("s")).select("s.sid", self.cut.ready(F.col("s.raw")).alias("piece"))
+        return scratch.kept(_keyed(pieces, self.cut, self.classes, "sid"), "known")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(sid): the later sets of those pairs (x, y) that are similar."""
@@ -185,20 +197,32 @@ class _Join:
         shared = F.size(F.array_intersect("kx", "ky"))
         return both.where((NUM + DEN) * shared >= NUM * (F.size("kx") + F.size("ky"))).select(F.col("y").alias("sid")).distinct()
 
-    def first_of_pairs(self) -> DataFrame:
-        """(x, y): for a set y the earliest set that has one of its last pairs of neighbouring keys; of several such
-        sets, the one met most often. At most one pair for each set."""
-        some = self.sets.where(F.size("prefix") > 0).select("sid", F.slice("prefix", F.greatest(F.size("prefix") - LOOK, F.lit(1)), LOOK + 1).alias("ends"))
+    def looks(self) -> DataFrame:
+        """(sid, n, key): for each set the last pairs of neighbouring keys that it deals out."""
+        some = self.sets.where(F.size("prefix") > 0).select("sid", "n", F.slice("prefix", F.greatest(F.size("prefix") - LOOK, F.lit(1)), LOOK + 1).alias("ends"))
         hashed = F.transform("ends", lambda x, i: F.xxhash64(x, F.get("ends", i + 1)))
-        looks = some.select("sid", F.explode(F.slice(hashed, F.lit(1), F.greatest(F.size("ends") - 1, F.lit(1)))).alias("key"))
-        first = looks.groupBy("key").agg(F.min("sid").alias("x"), F.count("*").alias("m")).where("m > 1").select("key", "x")
-        met = looks.join(first, "key").where("sid > x").groupBy(F.col("sid").alias("y"), "x").agg(F.count("*").alias("times"))
-        met = scratch.kept(met.groupBy("y").agg(F.max(F.struct("times", -F.col("x"))).alias("f")).select((-F.col("f.col2")).alias("x"), "y"), "first_of_pairs")
+        return some.select("sid", "n", F.explode(F.slice(hashed, F.lit(1), F.greatest(F.size("ends") - 1, F.lit(1)))).alias("key"))
+
+    def settled(self) -> DataFrame:
+        """(sid): sets that are similar to the earliest or the shortest set of a crowd, that is of at least CROWD sets that
+        have one of their pairs of neighbouring keys. What a crowd has in common is the greater share of a set the shorter
+        the set is."""
+        looks = self.looks()
+        crowds = looks.groupBy("key").agg(F.min("sid").alias("first"), F.count("*").alias("m")).where(F.col("m") >= CROWD).select("key", "first")
+        crowds = scratch.kept(crowds, "crowds")
+        met = scratch.kept(looks.join(if_small(crowds), "key"), "crowd_members")
+        short = scratch.kept(met.groupBy("key").agg(F.min(F.struct("n", "sid")).alias("s")).select("key", F.col("s.sid").alias("short")), "crowd_shortest")
+        pairs = met.select(F.col("sid").alias("y"), F.col("first").alias("x")).unionByName(met.join(if_small(short), "key").select(F.col("sid").alias("y"), F.col("short").alias("x")))
+        return scratch.kept(self.verified(self.near(scratch.kept(pairs.where("x < y").distinct(), "crowd_pairs"))), "settled")
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (x, y) that pass the length filter and the sketches."""
         told = self.sets.select("sid", F.col("n").cast("long").alias("n"), "fold", "half")
         for c in ("x", "y"):
-            met = told.withColumnsRenamed({k: f"{c}_{k}" for k in ("n", "fold", "half")}).withColumnRenamed("sid", c).join(if_small(met), c)
+            pairs = told.withColumnsRenamed({k: f"{c}_{k}" for k in ("n", "fold", "half")}).withColumnRenamed("sid", c).join(if_small(pairs), c)
         a, b = ({k: F.col(f"{c}_{k}") for k in ("n", "fold", "half")} for c in ("x", "y"))
-        return met.where((DEN * F.least(a["n"], b["n"]) >= NUM * F.greatest(a["n"], b["n"])) & _near(a, b, F.least(a["n"], b["n"]))).select("x", "y")
+        least = F.least(a["n"], b["n"])
+        return scratch.kept(pairs.where((DEN * least >= NUM * F.greatest(a["n"], b["n"])) & _near(a, b, least)).select("x", "y"), "near_pairs")
 
     def candidates(self, settled: DataFrame) -> DataFrame:
         """(x, y): pairs of sets, x the earlier and y not settled, that share a dealt key and pass the filters."""
@@ -216,12 +240,12 @@ class _Join:
         later = F.when(a["sid"] < b["sid"], ~flag(b, SETTLED)).otherwise(~flag(a, SETTLED))
         near = _near({**a, "n": n[0]}, {**b, "n": n[1]}, n[0])
         reach = (NUM + DEN) * (F.least(*at) + F.least(n[0] - at[0], n[1] - at[1])) >= NUM * (n[0] + n[1])
-        met = dealt.alias("a").join(dealt.alias("b").hint("merge"), (a["key"] == b["key"]) & indexed & near & length & later & reach)
+        met = dealt.alias("a").join(dealt.alias("b").hint("merge"), (a["key"] == b["key"]) & indexed & length & near & later & reach)
         return met.select(F.least(a["sid"], b["sid"]).alias("x"), F.greatest(a["sid"], b["sid"]).alias("y")).distinct()
 
     def later(self) -> DataFrame:
         """(sid): sets that have a similar earlier one."""
-        settled = scratch.kept(self.verified(scratch.kept(self.first_of_pairs(), "first_of_pairs")), "settled")
+        settled = self.settled()
         pairs = scratch.kept(self.candidates(settled), "line_pairs")
         return scratch.kept(settled.unionByName(self.verified(pairs)), "later_sets") if pairs.take(1) else settled
 
