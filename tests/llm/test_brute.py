@@ -76,34 +76,73 @@ def test_mixing_slots_by_hand(spark, sf):
     assert got == again
 
 
-def test_tree_is_a_distribution(spark, sf):
-    """Next-symbol probabilities sum to one at every depth, and scores follow the definition."""
-    docs = documents(spark, sf)
-    rows = docs.select("doc_id", lm_scoring.held_out(docs["doc_id"]).alias("held_out"), "text")
-    train = [t.encode().lower().split() for t in (r["text"] for r in rows.where("not held_out").collect())]
-    count = Counter(w for t in train for w in t)
-    head = [w.decode() for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:300]]
-    enc = scratch.kept(lm_scoring._encode(rows, head), "enc")
-    counts = np.array([0, len(train), *[count[w.encode()] for w in head]], np.int64)
-    total = sum(count.values()) + len(train)
-    counts[0] = total - counts.sum()
-    root = counts / total
-    tree = lm_scoring.train(enc, counts, root, total)
-    assert sum(k.sum() for k in tree.kept) > 0
-    m = tree.symbols
-    for depth in range(1, len(tree.codes) + 1):
-        for node in np.flatnonzero(tree.kept[depth - 1])[:20]:
-            p = tree.suffix_share(depth, np.full(m, node), np.arange(m))
-            assert p.sum() == pytest.approx(1, abs=1e-6) and (p > 0).all()
-    # Counts of depth one, by hand.
-    number = {w.encode(): i + 2 for i, w in enumerate(head)}
-    pairs = Counter()
+def suffix_tree(train, root, deep=lm_scoring.DEPTH):
+    """A plain suffix tree over dicts: {context (nearest last): (left, {next: share})} of retained contexts."""
+    seen = defaultdict(Counter)
     for t in train:
-        ids = [1, *[number.get(w, 0) for w in t], 1]
-        pairs.update(zip(ids, ids[1:], strict=False))
-    code, _, n = tree.branches[0]
-    for c, k in zip(code, n, strict=True):
-        assert pairs[int(tree.codes[0][c // m]), int(c % m)] == k
+        run = [""] + t + [""]
+        for i in range(1, len(run)):
+            for k in range(1, min(deep, i) + 1):
+                seen[tuple(run[i - k : i])][run[i]] += 1
+    tree = {}
+
+    def p(context, x):
+        return share(context, x) if context in tree else p(context[1:], x) if context else root(x)
+
+    def share(context, x):
+        left, branches = tree[context]
+        return branches.get(x, 0.0) + left * p(context[1:], x)
+
+    for k in range(1, deep + 1):
+        new = {}
+        for c, nexts in seen.items():
+            n = sum(nexts.values())
+            if len(c) != k or n < lm_scoring.LEAST_CONTEXT or (k > 1 and c[1:] not in tree):
+                continue
+            often = {x: m for x, m in nexts.items() if m >= lm_scoring.LEAST_BRANCH}
+            theirs = {x: p(c[1:], x) for x in often}
+            gain = sum(m / n * math.log(m / n / theirs[x]) for x, m in often.items())
+            rest, rest_theirs = max(1 - sum(often.values()) / n, 1e-9), max(1 - sum(theirs.values()), 1e-9)
+            gain += rest * math.log(rest / rest_theirs)
+            if n * gain > lm_scoring.PRICE * (len(often) + 1):
+                shares = {x: (m - lm_scoring.DISCOUNT) / n for x, m in often.items()}
+                new[c] = (max(1 - sum(shares.values()), 1e-12), shares)
+        tree |= new
+    return tree, p
+
+
+def test_suffix_tree(spark, sf, texts):
+    """Every score, over a head of few tokens and over the whole vocabulary, in one part and in several."""
+    cut = lambda t: t.encode().lower().split()
+    train = [[w.decode() for w in cut(t)] for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for t in train for w in [*t, ""])
+    total = sum(count.values())
+    once, twice = (sum(n == k for n in count.values()) for k in (1, 2))
+    off = min(max(once / (once + 2 * twice), 0.05), 0.95)
+    root = lambda w: max(count[w] - off, 1e-9) / total if w in count else off * len(count) / total
+    tree, p = suffix_tree(train, root)
+    assert {len(c) for c in tree} == {1, 2, 3}
+    sums = [sum(p(c, w) for w in count) + off * len(count) / total * math.prod(tree[c[k:]][0] for k in range(len(c)) if c[k:] in tree) for c in list(tree)[::40]]
+    assert sums == pytest.approx([1] * len(sums), abs=1e-6)
+    want = {}
+    for i, t in texts.items():
+        run = [""] + [w.decode() for w in cut(t)] + [""]
+        at = 0.0
+        for j in range(1, len(run)):
+            c = next((tuple(run[j - k : j]) for k in range(min(lm_scoring.DEPTH, j), 0, -1) if all(tuple(run[j - m : j]) in tree for m in range(1, k + 1))), ())
+            at += math.log10(p(c, run[j]))
+        want[i] = at
+    for head, part in ((50, 10**9), (50, total // 3), (10**6, 10**9)):
+        got = {r["doc_id"]: r["score"] for r in lm_scoring.score(documents(spark, sf), head=head, part_tokens=part).collect()}
+        assert all(got[i] == pytest.approx(want[i], rel=1e-5, abs=1e-6) for i in want)
+
+
+def test_table():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 3, 1000, 70_000):
+        codes = np.unique(rng.integers(0, 1 << 60, n))
+        table = lm_scoring.Table(codes)
+        assert (table.codes[table.find(codes)] == codes).all() and (lm_scoring.Table.of(table.plain()).find(rng.integers(1 << 61, 1 << 62, 99)) == -1).all()
 
 
 def test_lm_base(spark, sf, texts):
@@ -119,17 +158,13 @@ def test_lm_base(spark, sf, texts):
 
 
 def test_tree_grows_with_the_corpus(spark):
-    """What is seen often enough is kept, however long the rest of the corpus is."""
+    """What is seen often enough is kept, however long the rest of the corpus is, and whatever the head."""
     filler = " ".join(f"w{i % 1000}" for i in range(100_000))
-    rows = [(i, False, "zeta omega") for i in range(25)] + [(100 + i, False, filler) for i in range(30)]
-    head = ["zeta", "omega", *[f"w{i}" for i in range(1000)]]
-    enc = scratch.kept(lm_scoring._encode(spark.createDataFrame(rows, "doc_id long, held_out boolean, text string"), head), "enc")
-    counts = np.array([0, len(rows), 25, 25, *[3000] * 1000], np.int64)
-    total = int(counts.sum())
-    tree = lm_scoring.train(enc, counts, counts / total, total)
-    zeta, omega = 2, 3
-    at = np.flatnonzero(tree.codes[0] == zeta)
-    assert len(at) and tree.kept[0][at[0]] and tree.suffix_share(1, at, np.array([omega]))[0] > 0.9
+    rows = [(i, "zeta omega") for i in range(30)] + [(100 + i, filler) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for head in (100, 10**6):
+        got = {r["doc_id"]: r["score"] for r in lm_scoring.score(df, head=head).collect()}
+        assert got[1] > -1.5
 
 
 def test_boundaries():

@@ -1,16 +1,19 @@
 """Language-model scoring with a probabilistic suffix tree (operator 2).
 
-Symbols are the HEAD most frequent training tokens, the text's end, and one class for all other tokens; in that class
-a token has its own share, from its count (looked up in a shuffle join, as the vocabulary grows with the corpus).
-The tree grows by depth. Candidates of a depth are the contexts seen at least LEAST_CONTEXT times whose suffix is
-in the tree; their next symbols are counted over all training texts. A context is retained if its next-symbol
-distribution diverges from its suffix's by enough (its count times the Kullback-Leibler divergence against a price for
-each branch). Branches seen at least LEAST_BRANCH times are kept. Distributions are smoothed by absolute
+Symbols: the HEAD most frequent training tokens and the text's end are numbered; every other token is told by 31 bits of
+its hash, so contexts and next symbols are not limited to a vocabulary. Tokens of one hash are one symbol, in which each
+has its own share, from its count (looked up in a shuffle join, as the vocabulary grows with the corpus).
+
+The tree grows by depth, up to DEPTH symbols. Candidates of a depth are the contexts seen at least LEAST_CONTEXT times
+whose suffix is in the tree; their next symbols are counted over all training texts. A context is retained if its
+next-symbol distribution diverges from its suffix's by enough (its count times the Kullback-Leibler divergence against a
+price for each branch). Branches seen at least LEAST_BRANCH times are kept. Distributions are smoothed by absolute
 discounting: what the branches leave goes to the suffix's distribution, down to the root, whose own discount leaves a
 share for unseen tokens. A text's score follows the longest suffix in the tree at every token.
 
-Both counts are absolute, so the tree grows with the corpus. It is gathered and broadcast whole: the memory of the
-driver and of a worker limits the corpus, not a share of it. Counts are over all training texts.
+Both counts are absolute, so the tree grows with the corpus. A token's context starts at the symbol before it; the tree
+is therefore grown and used in parts, by that symbol: as many as there are ``part_tokens`` in the training texts. Driver
+and workers hold one part at a time. Each part reads the encoded texts again. Counts are over all training texts.
 
 Defined results: a null text is its end alone; a null doc_id is a training text; repeated rows are counted and scored
 each; ties at the edge of HEAD are broken by the token; without training texts every token is unseen and scores 0;
@@ -19,12 +22,14 @@ an empty table gives no rows; clashing extra columns are dropped.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +41,14 @@ DEPTH = 3
 #: Least count of a context and of a branch, and the price of a branch, in nats.
 LEAST_CONTEXT, LEAST_BRANCH, PRICE = 20, 3, 3.0
 DISCOUNT = 0.75
-#: The class of tokens beyond HEAD, and the end (also what stands before a text).
+#: The place of the class of tokens beyond HEAD among the numbered symbols, and the end (also what stands before a text).
 REST, END = 0, 1
+#: Symbols are less than this.
+SYMBOLS = 1 << 31
+#: Training tokens for each part of the tree: a part then has about a tenth as many branches, of 12 bytes.
+PART_TOKENS = 200_000_000
 #: Counts that a worker holds before it passes them on.
-HELD = 1_000_000
+HELD = 4_000_000
 CODES = 4_000_000
 
 
@@ -47,48 +56,76 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words, A-Z in lower case. The end is left to the caller."""
-    return (text or b"").lower().split()
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in one array, A-Z in lower case, and how many each text has. Ends are left to the caller."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    flat, text = lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    some = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(some), np.bincount(text[some.to_numpy(zero_copy_only=False)], minlength=len(lists))
+
+
+def rare(token: bytes, numbered: int) -> int:
+    """The symbol of a token that has no number; ``numbered`` symbols have one."""
+    return numbered + zlib.crc32(token) % (SYMBOLS - numbered)
 
 
 def unigrams(texts: DataFrame) -> DataFrame:
     """(token, n) of ``texts`` (text); the end is the empty token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held, size, ends = [], 0, 0
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["token", "n"])
-            seen.clear()
-            return made
+            told = pa.chunked_array(held, pa.string()).value_counts()
+            held.clear()
+            return pa.RecordBatch.from_arrays([told.field("values"), told.field("counts")], names=["token", "n"])
 
         for b in batches:
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                seen.update(tokens(t))
-            seen[b""] += b.num_rows
-            if len(seen) > HELD:
+            words, _ = tokens(b.column(0))
+            held.append(words)
+            size, ends = size + len(words), ends + b.num_rows
+            if size > HELD:
                 yield out()
-        if seen:
+                size = 0
+        if held:
             yield out()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([ends], pa.int64())], names=["token", "n"])
 
     return texts.mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes, or of one given batch."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) > size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _encode(docs: DataFrame, head: list[str]) -> DataFrame:
     """(doc_id, held_out, ids, rest): a text's symbols as 32-bit numbers, and its tokens beyond HEAD."""
     tell = docs.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w.encode(): i + 2 for i, w in enumerate(tell.value)}
-        for b in batches:
-            ids, rest = [], []
-            for t in b.column(2).cast(pa.binary()).to_pylist():
-                ws = tokens(t)
-                got = [number.get(w, REST) for w in ws]
-                rest.append([w for w, i in zip(ws, got, strict=True) if i == REST])
-                ids.append(np.array(got, np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(rest, pa.list_(pa.binary())).cast(pa.list_(pa.string()))], names=["doc_id", "held_out", "ids", "rest"])
+        known = pa.array(tell.value, pa.string())
+        numbered = len(known) + 2
+        for b in _gathered(batches):
+            words, size = tokens(b.column(2))
+            at = pc.index_in(words, known)
+            other = at.is_null()
+            ids = pc.fill_null(at, -1).to_numpy().astype(np.int32) + 2
+            beyond, mask = words.filter(other), other.to_numpy(zero_copy_only=False)
+            ids[mask] = [rare(w, numbered) for w in beyond.cast(pa.binary()).to_pylist()]
+            ends = np.cumsum(size)
+            raw = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
+            many = np.bincount(np.repeat(np.arange(len(size)), size)[mask], minlength=len(size))
+            rest = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), beyond)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary()), rest], names=["doc_id", "held_out", "ids", "rest"])
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, ids binary, rest array<string>")
 
@@ -109,92 +146,172 @@ def _stream(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return run, np.flatnonzero(predict)
 
 
-class Tree:
-    """Contexts by depth. ``codes[k]``: the sorted codes of the contexts of depth k + 1: number of the suffix's node
-    times the symbols, plus the symbol before it. ``kept``, ``left`` (what the branches leave), ``size`` (count): of
-    each context; ``branches``: sorted codes of (context, next symbol), their shares and counts."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A one-to-one map of 64-bit numbers that spreads them."""
+    x = x.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Table:
+    """Places of codes in the order of their mixed values. A code is found by its first bits in about two looks, where a
+    binary search of a large table misses the cache at every step."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        mixed = _mix(codes)
+        self.order = np.argsort(mixed)
+        self.codes, n = codes[self.order], len(codes)
+        bits = max(1, n.bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.mixed = np.append(mixed[self.order], np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.starts = np.searchsorted(self.mixed[:n], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def plain(self) -> tuple:
+        """What lookups need, in values of numpy alone."""
+        return self.shift, self.mixed, self.starts
+
+    @staticmethod
+    def of(plain: tuple) -> Table:
+        out = Table.__new__(Table)
+        out.shift, out.mixed, out.starts = plain
+        return out
 
-    def __init__(self, symbols: int, root: np.ndarray) -> None:
-        self.symbols, self.root = symbols, root
-        self.codes: list[np.ndarray] = []
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Places, or -1."""
+        mixed = _mix(codes)
+        at = self.starts[mixed >> self.shift].astype(np.int64)
+        todo = np.flatnonzero(self.mixed[at] < mixed)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[self.mixed[at[todo]] < mixed[todo]]
+        at[(self.mixed[at] != mixed) | (at == len(self.mixed) - 1)] = -1
+        return at
+
+
+class Tree:
+    """Contexts by depth. ``codes[k]``: the contexts of depth k + 1, each the place of the suffix's node times SYMBOLS, plus
+    the symbol before it. ``kept``, ``left`` (what the branches leave), ``size`` (count): of each context, by place;
+    ``branches``: (context, next symbol), with their shares. ``root``: shares of the numbered symbols; ``known`` and
+    ``shares``: those of the others that branches have."""
+
+    def __init__(self, root: np.ndarray, part: int = 0, parts: int = 1) -> None:
+        self.root, self.part, self.parts = root, part, parts
+        self.known, self.shares = Table(np.zeros(0, np.int64)), np.zeros(0)
+        self.codes: list[Table] = []
         self.size: list[np.ndarray] = []
         self.kept: list[np.ndarray] = []
         self.left: list[np.ndarray] = []
-        self.branches: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.branches: list[tuple[Table, np.ndarray]] = []
+
+    def plain(self, more: Table | None = None) -> dict:
+        """What scoring needs, in plain values, or with a table of candidates, what counting needs."""
+        told = {"root": self.root, "part": self.part, "parts": self.parts, "kept": self.kept}
+        if more is not None:
+            return told | {"codes": [t.plain() for t in (*self.codes, more)]}
+        told |= {"codes": [t.plain() for t in self.codes], "known": self.known.plain(), "shares": self.shares, "left": [x.astype(np.float32) for x in self.left]}
+        return told | {"branches": [(t.plain(), x.astype(np.float32)) for t, x in self.branches]}
 
     @staticmethod
-    def _find(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Places in a sorted table, or -1."""
-        if not len(table):
-            return np.full(len(codes), -1, np.int64)
-        at = np.minimum(np.searchsorted(table, codes), len(table) - 1)
-        return np.where(table[at] == codes, at, -1)
-
-    def nodes(self, run: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
-        """The number of each place's context of that depth among the candidates, or -1; its suffixes are retained."""
+    def of(plain: dict) -> Tree:
+        out = Tree(plain["root"], plain["part"], plain["parts"])
+        out.kept, out.codes = plain["kept"], [Table.of(x) for x in plain["codes"]]
+        if "known" in plain:
+            out.known, out.shares, out.left = Table.of(plain["known"]), plain["shares"], plain["left"]
+            out.branches = [(Table.of(t), x) for t, x in plain["branches"]]
+        return out
+
+    def mine(self, run: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Of the places, those whose context is of this part of the tree."""
+        return places if self.parts == 1 else places[run[places - 1] % self.parts == self.part]
+
+    def below(self, symbol: np.ndarray) -> np.ndarray:
+        """The root's shares of symbols; of the whole class where only that is known."""
+        out = self.root[np.where(symbol < len(self.root), symbol, REST)]
+        some = np.flatnonzero(symbol >= len(self.root))
+        at = self.known.find(symbol[some])
+        out[some[at >= 0]] = self.shares[at[at >= 0]]
+        return out
+
+    def walk(self, run: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places whose context of that depth is a candidate with retained suffixes, and its place."""
         node = np.zeros(len(places), np.int64)
         for k in range(depth):
             before = run[places - k - 1]
-            node = np.where((node >= 0) & (before >= 0), self._find(self.codes[k], np.maximum(node, 0) * self.symbols + before), -1)
+            at = self.codes[k].find(node * SYMBOLS + np.maximum(before, 0))
+            good = (at >= 0) & (before >= 0)
             if k + 1 < depth:
-                node = np.where((node >= 0) & self.kept[k][np.maximum(node, 0)], node, -1)
-        return node
+                good[good] = self.kept[k][at[good]]
+            places, node = places[good], at[good]
+        return places, node
 
     def share(self, depth: int, node: np.ndarray, symbol: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Next-symbol probabilities at retained contexts of a depth; ``below`` holds the suffixes'. -1: none."""
-        codes, share, _ = self.branches[depth - 1]
-        some = np.flatnonzero(node >= 0)
-        some = some[self.kept[depth - 1][node[some]]]
-        out = below.copy()
-        at = self._find(codes, node[some] * self.symbols + symbol[some])
-        out[some] = np.where(at >= 0, share[at] if len(share) else 0.0, 0.0) + self.left[depth - 1][node[some]] * below[some]
+        """Next-symbol probabilities at retained contexts of a depth; ``below`` holds the suffixes'."""
+        table, share = self.branches[depth - 1]
+        out = self.left[depth - 1][node] * below
+        at = table.find(node * SYMBOLS + symbol)
+        out[at >= 0] += share[at[at >= 0]]
         return out
 
     def probabilities(self, run: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Of the symbols at ``places``, which are of this part of the tree."""
         symbol = run[places]
-        p = self.root[symbol]
-        node = np.zeros(len(places), np.int64)
+        p = self.below(symbol)
+        live, node = np.arange(len(places)), np.zeros(len(places), np.int64)
         for k in range(len(self.codes)):
-            before = run[places - k - 1]
-            node = np.where((node >= 0) & (before >= 0), self._find(self.codes[k], np.maximum(node, 0) * self.symbols + before), -1)
-            node = np.where((node >= 0) & (self.kept[k][np.maximum(node, 0)] if len(self.kept[k]) else False), node, -1)
-            p = self.share(k + 1, node, symbol, p)
+            before = run[places[live] - k - 1]
+            at = self.codes[k].find(node * SYMBOLS + np.maximum(before, 0))
+            good = (at >= 0) & (before >= 0)
+            good[good] = self.kept[k][at[good]]
+            live, node = live[good], at[good]
+            p[live] = self.share(k + 1, node, symbol[live], p[live])
         return p
 
     def suffix_share(self, depth: int, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Next-symbol probabilities at contexts of a depth (0: the root), all of whose suffixes are retained."""
         if depth == 0:
-            return self.root[symbol]
-        below = self.suffix_share(depth - 1, self.codes[depth - 1][node] // self.symbols, symbol)
-        return self.share(depth, node, symbol, below)
-
-    def grow(self, codes: np.ndarray, size: np.ndarray, branch: np.ndarray, count: np.ndarray) -> None:
-        """Add the next depth: sorted candidates with their counts, and their branches."""
-        depth = len(self.codes) + 1
-        node, symbol = branch // self.symbols, branch % self.symbols
+            return self.below(symbol)
+        return self.share(depth, node, symbol, self.suffix_share(depth - 1, self.codes[depth - 1].codes[node] // SYMBOLS, symbol))
+
+    def grow(self, table: Table, size: np.ndarray, branch: np.ndarray, count: np.ndarray) -> None:
+        """Add the next depth: candidates with their counts, and their branches."""
+        depth, n = len(self.codes) + 1, len(size)
+        node, symbol = branch // SYMBOLS, branch % SYMBOLS
         share = np.maximum(count - DISCOUNT, 0) / np.maximum(size[node], 1)
-        left = np.maximum(1 - np.bincount(node, share, len(codes)), 1e-12)
+        left = np.maximum(1 - np.bincount(node, share, n), 1e-12)
         mine = count / np.maximum(size[node], 1)
-        theirs = self.suffix_share(depth - 1, codes[node] // self.symbols, symbol)
-        gain = np.bincount(node, mine * np.log(mine / theirs), len(codes))
-        rest, rest_theirs = np.maximum(1 - np.bincount(node, mine, len(codes)), 1e-9), np.maximum(1 - np.bincount(node, theirs, len(codes)), 1e-9)
+        theirs = self.suffix_share(depth - 1, table.codes[node] // SYMBOLS, symbol)
+        gain = np.bincount(node, mine * np.log(mine / theirs), n)
+        rest, rest_theirs = np.maximum(1 - np.bincount(node, mine, n), 1e-9), np.maximum(1 - np.bincount(node, theirs, n), 1e-9)
         gain += rest * np.log(rest / rest_theirs)
-        self.codes.append(codes)
+        self.codes.append(table)
         self.size.append(size)
         self.left.append(left)
-        self.kept.append(size * gain > PRICE * (np.bincount(node, minlength=len(codes)) + 1))
-        self.branches.append((branch, share, count))
+        self.kept.append(size * gain > PRICE * (np.bincount(node, minlength=n) + 1))
+        found = Table(branch)
+        self.branches.append((found, share[found.order]))
 
+    def pairs(self, branch: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the whole tree at depth one: a branch (x -> b) is as often the context x b, if b is retained."""
+        often = count >= LEAST_CONTEXT
+        before, node = self.codes[0].codes[branch[often] // SYMBOLS], self.codes[0].find(branch[often] % SYMBOLS)
+        return self.retained(np.maximum(node, 0) * SYMBOLS + before, count[often], node >= 0)
 
-def _count_next(encoded: DataFrame, tree: Tree, codes: np.ndarray) -> DataFrame:
-    """(code, n): counts of (candidate, next symbol), over training texts."""
-    depth, symbols = len(tree.codes) + 1, tree.symbols
-    tell = encoded.sparkSession.sparkContext.broadcast((tree.codes + [codes], tree.kept))
+    def retained(self, codes: np.ndarray, count: np.ndarray, good: np.ndarray | bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Those of longer contexts (place of the suffix at the last depth, symbol before it) whose suffix is retained."""
+        good = good & self.kept[-1][codes // SYMBOLS]
+        return codes[good], count[good]
+
+
+def _count_next(encoded: DataFrame, tree: Tree, table: Table, longer: bool) -> DataFrame:
+    """(code, n): counts of (candidate, next symbol), over training texts; if asked for, also of (candidate, symbol before
+    it), told by codes of -1 and less."""
+    tell = encoded.sparkSession.sparkContext.broadcast(tree.plain(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Tree(symbols, np.zeros(0))
-        t.codes, t.kept = tell.value
-        held: list[np.ndarray] = []
+        t = Tree.of(tell.value)
+        depth, held = len(t.codes), []
 
         def out() -> pa.RecordBatch:
             code, n = np.unique(np.concatenate(held), return_counts=True)
@@ -203,64 +320,85 @@ def _count_next(encoded: DataFrame, tree: Tree, codes: np.ndarray) -> DataFrame:
 
         for b in batches:
             stream, places = _stream(b.column(0).to_pylist())
-            node = t.nodes(stream, places, depth)
-            some = node >= 0
-            held.append(node[some] * symbols + stream[places[some]])
+            places, node = t.walk(stream, t.mine(stream, places), depth)
+            held.append(node * SYMBOLS + stream[places])
+            if longer:
+                before = stream[places - depth - 1]
+                held.append(-1 - (node * SYMBOLS + before)[before >= 0])
             if sum(map(len, held)) > CODES:
                 yield out()
         if held:
             yield out()
 
-    return encoded.where("not held_out").select("ids").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    told = encoded.where("not held_out").select("ids").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return told.where(F.col("n") >= F.when(F.col("code") < 0, F.lit(LEAST_CONTEXT)).otherwise(F.lit(LEAST_BRANCH)))
 
 
-def _arrays(df: DataFrame, *cols: str) -> list[np.ndarray]:
+def _arrays(df: DataFrame, **cols: type) -> list[np.ndarray]:
     table = df.select(*cols).toArrow()
-    return [table.column(c).to_numpy().astype(np.int64) for c in cols]
+    return [table.column(c).to_numpy().astype(kind) for c, kind in cols.items()]
 
 
-def train(encoded: DataFrame, counts: np.ndarray, root: np.ndarray, total: int) -> Tree:
-    """The tree of the encoded training texts; ``counts`` are those of the symbols."""
-    tree = Tree(len(root), root)
-    if not total:
+def train(encoded: DataFrame, counts: np.ndarray, root: np.ndarray, others: DataFrame, part: int = 0, parts: int = 1) -> Tree:
+    """A part of the tree of the encoded training texts. ``counts`` and ``root`` are those of the numbered symbols,
+    ``others`` (symbol, n, share) of the others."""
+    tree = Tree(root, part, parts)
+    if not counts.sum():
         return tree
-    codes = np.flatnonzero(counts >= LEAST_CONTEXT).astype(np.int64)
-    size = counts[codes]
-    for _ in range(DEPTH):
+    first = np.flatnonzero(counts >= LEAST_CONTEXT).astype(np.int64)
+    first = first[(first != REST) & (first % parts == part)]
+    more, size = _arrays(others.where((F.col("n") >= LEAST_CONTEXT) & (F.col("symbol") % parts == part)), symbol=np.int64, n=np.int64)
+    codes, size = np.append(first, more), np.append(counts[first], size)
+    for depth in range(DEPTH):
         if not len(codes):
             break
-        told = scratch.kept(_count_next(encoded, tree, codes).where(F.col("n") >= LEAST_BRANCH), "branches")
-        branch, count = _arrays(told, "code", "n")
-        order = np.argsort(branch)
-        tree.grow(codes, size, branch[order], count[order])
-        codes, size = _extend(tree)
+        table = Table(codes)
+        longer = depth + 1 < DEPTH and (depth > 0 or parts > 1)
+        told = scratch.kept(_count_next(encoded, tree, table, longer), "branches")
+        if depth == 0:
+            seen = told.where("code >= 0").select((F.col("code") % SYMBOLS).alias("symbol")).where(F.col("symbol") >= len(root)).distinct()
+            known, shares = _arrays(others.join(seen, "symbol"), symbol=np.int64, share=np.float64)
+            tree.known = Table(known)
+            tree.shares = shares[tree.known.order]
+        branch, count = _arrays(told, code=np.int64, n=np.int64)
+        more = branch < 0
+        tree.grow(table, size[table.order], branch[~more], count[~more])
+        codes, size = tree.retained(-1 - branch[more], count[more]) if longer else tree.pairs(branch, count) if depth == 0 else (codes[:0], size[:0])
     return tree
 
 
-def _extend(tree: Tree) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates one symbol longer: a branch (x s' -> b), frequent enough, is the context x s' b if s' b, its suffix, is
-    a retained context."""
-    depth, m = len(tree.codes), tree.symbols
-    branch, _, count = tree.branches[-1]
-    often = count >= LEAST_CONTEXT
-    node, last, count = branch[often] // m, branch[often] % m, count[often]
-    symbols = []  # of the context, the nearest first
-    at = node
-    for k in range(depth - 1, -1, -1):
-        symbols.append(tree.codes[k][at] % m)
-        at = tree.codes[k][at] // m
-    symbols = symbols[::-1]
-    nodes = np.zeros(len(node), np.int64)
-    for k, before in enumerate([last, *symbols[:-1]]):
-        nodes = np.where(nodes >= 0, Tree._find(tree.codes[k], np.maximum(nodes, 0) * m + before), -1)
-        nodes = np.where((nodes >= 0) & tree.kept[k][np.maximum(nodes, 0)], nodes, -1)
-    good = nodes >= 0
-    codes, count = nodes[good] * m + symbols[-1][good], count[good]
-    order = np.argsort(codes)
-    return codes[order], count[order]
-
-
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
+def _score_part(encoded: DataFrame, tree: Tree, counts: np.ndarray) -> DataFrame:
+    """(row, n_tokens, known, base, score): the part's share of each; counts are told by the first part."""
+    state = encoded.sparkSession.sparkContext.broadcast((tree.plain(), counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told, n = state.value
+        t = Tree.of(told)
+        seen = n > 0
+        seen[REST] = False
+        base = np.log10(n + 1.0)
+        base[REST] = 0.0
+        for b in batches:
+            ids = b.column(1).to_pylist()
+            stream, places = _stream(ids)
+            size = np.array([len(x) // 4 + 1 for x in ids], np.int64)
+            text = np.repeat(np.arange(len(ids)), size)
+            mine = t.mine(stream, places)
+            where = np.searchsorted(places, mine) if t.parts > 1 else slice(None)
+            symbol = stream[mine]
+            p = t.probabilities(stream, mine) / np.where(symbol < len(t.root), 1.0, t.below(symbol) / t.root[REST])
+            told = np.where(stream[places] < len(n), stream[places], REST)
+            sums = lambda x, to: np.bincount(to, x, len(ids))  # noqa: B023, E731
+            first = t.part == 0
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(size * first), pa.array((sums(seen[told], text) * first).astype(np.int64)), pa.array(sums(base[told], text) * first), pa.array(sums(np.log10(p), text[where]))],
+                names=["row", "n_tokens", "known", "base", "score"],
+            )
+
+    return encoded.select("row", "ids").mapInArrow(run, "row long, n_tokens long, known long, base double, score double")
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", head: int = HEAD, part_tokens: int = PART_TOKENS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of ``docs``."""
     spark = docs.sparkSession
     short_batches(spark)
@@ -280,32 +418,18 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", head: int
     root = np.maximum(counts - off, 1e-9) / max(total, 1)
     rest_types = types - len(words) - (of["ends"] > 0)
     root[REST] = (counts[REST] - off * rest_types) / max(total, 1) + unseen
-    tree = train(encoded, counts, root, total)
-
-    state = spark.sparkContext.broadcast((vars(tree), counts))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told, n = state.value
-        t = Tree(told["symbols"], told["root"])
-        vars(t).update(told)
-        base = np.log10(n + 1.0)
-        base[REST] = 0.0
-        for b in batches:
-            ids = b.column(1).to_pylist()
-            stream, places = _stream(ids)
-            symbol = stream[places]
-            size = np.array([len(x) // 4 + 1 for x in ids], np.int64)
-            starts = np.cumsum(size) - size
-            sums = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size), pa.array(sums((symbol != REST) & (n[symbol] > 0)).astype(np.int64)), pa.array(sums(base[symbol])), pa.array(sums(np.log10(t.probabilities(stream, places))))],
-                names=["row", "n_tokens", "known", "base", "score"],
-            )
-
-    scored = encoded.select("row", "ids").mapInArrow(run, "row long, n_tokens long, known long, base double, score double")
+    mine = F.greatest(F.col("n") - off, F.lit(1e-9)) / max(total, 1)
+    symbol = F.crc32(F.col("token").cast("binary")) % (SYMBOLS - len(root)) + len(root)
+    least = (int(counts[-1]), words[-1]) if words else (0, "")
+    beyond = known.where("token <> ''").where((F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("token") > least[1])) if words else F.lit(True))
+    others = scratch.kept(beyond.groupBy(symbol.alias("symbol")).agg(F.sum("n").alias("n"), F.sum(mine).alias("share")), "others")
+
+    parts = max(1, -(-total // part_tokens))
+    scored = [scratch.kept(_score_part(encoded, train(encoded, counts, root, others, i, parts), counts), "scored") for i in range(parts)]
+    scored = functools.reduce(DataFrame.unionByName, scored).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "score")])
     # Tokens beyond HEAD: their counts come by a join, never by a broadcast of the vocabulary.
-    rest = encoded.select("row", F.explode("rest").alias("token")).join(known.hint("merge"), "token", "left")
-    p = F.when(F.col("n").isNull(), F.lit(unseen)).otherwise(F.greatest(F.col("n") - off, F.lit(1e-9)) / max(total, 1)) / float(root[REST])
+    rest = encoded.select("row", F.explode("rest").alias("token")).join(known.hint("shuffle_hash"), "token", "left")
+    p = F.when(F.col("n").isNull(), F.lit(unseen)).otherwise(mine) / float(root[REST])
     rest = rest.groupBy("row").agg(F.count("n").alias("rest_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("rest_base"), F.sum(F.log10(p)).alias("rest_score"))
     out = encoded.select("row", "doc_id", "held_out").join(scored, "row").join(rest, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
