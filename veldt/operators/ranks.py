@@ -30,10 +30,10 @@ def _before(df: DataFrame, by: list[str], piece: Column, order: list[str], name:
     dealt = df.withColumn("_piece", piece)
     totals = dealt.groupBy(*by, "_piece").agg(F.sum("_w").alias("_sum"))
     before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_piece").alias("_p"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
+    offsets = totals.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_piece").alias("_p"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(*by, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0))).join(offsets, _same(by, "_") & (F.col("_piece") == F.col("_p")))
-    return out.withColumn(name, (F.col("_off") + F.col("_in")).cast("long")).drop("_piece", "_p", "_off", "_in", *[f"_{c}" for c in by])
+    out = dealt.withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0))).join(offsets, _same(by, "_by_") & (F.col("_piece") == F.col("_p")))
+    return out.withColumn(name, (F.col("_off") + F.col("_in")).cast("long")).drop("_piece", "_p", "_off", "_in", *[f"_by_{c}" for c in by])
 
 
 def positions(df: DataFrame, by: list[str], order: list[str], n_buckets: int, name: str = "pos", weight: Column | None = None) -> DataFrame:
