@@ -297,6 +297,43 @@ def test_line_dedup_families(spark):
     assert [got[i] for i in range(len(rows))] == want
 
 
+def test_sharding_tells_long_sources_apart(spark):
+    """Sources that begin alike are far apart all the same: the split falls between two of them."""
+    rows = [(i, f"text {i:04d} of one length", "en", f"https://host{i % 4}.example", 0) for i in range(400)]
+    p = sharding.shards(spark.createDataFrame(rows, SCHEMA), 4).toPandas()
+    assert all(p[p.doc_id % 4 == k].shard.nunique() == 1 for k in range(4)) and p.shard.nunique() == 4
+
+
+def test_positions(spark):
+    """Gapless in groups, the same for any layout, with crowds of equal rows and nulls."""
+    from veldt.operators import ranks
+
+    rows = [(i % 3, i // 7 if i % 2 else None, i % 5) for i in range(9000)] + [(None, None, 2)] * 3000 + [(1, 5, 3)] * 2500
+    seen = []
+    for n in (1, 4):
+        df = scratch.kept(spark.createDataFrame(rows, "g int, k int, w long").repartition(n), "positions")
+        got = ranks.positions(df, ["g"], ["k", "w"], 5, "at", df["w"]).collect()
+        for g in (0, 1, 2, None):
+            own = sorted((r["at"], r["w"]) for r in got if r["g"] == g)
+            at = 0
+            for a, w in own:
+                assert a == at
+                at += w
+        seen.append(sorted(map(str, got)))
+    assert seen[0] == seen[1] and len(seen[0]) == len(rows)
+    assert [tuple(r) for r in ranks.ranks(df, "k").orderBy("k").limit(3).collect()] == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_mixing_of_any_layout(spark):
+    """Several pieces, in any partitions: the same words are taken."""
+    rows = [(i if i % 50 else None, "w " * (i % 37), "en", f"s{i % 6}", 0) for i in range(9000)] + [(1, "a b c", "en", "s1", 0)] * 30
+    seen = []
+    for n in (1, 4, 7):
+        df = spark.createDataFrame(rows, SCHEMA).repartition(n)
+        seen.append(sorted(str(tuple(r)) for r in mixing.mix(df, block=16, shard_slots=100).taken().collect()))
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_sharding(spark):
     rng = random.Random(4)
     words = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(rng.randint(1, 80))) for _ in range(1500)]

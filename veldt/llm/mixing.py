@@ -11,7 +11,8 @@ Targets: sources by code point, null last, weigh 5, 2, 1, repeating, and share a
 ``max_epochs`` times its source's size, and the excess is reshared by weight until none is above. The last slot of a
 source is cut to the words left of its target, so each source's words are its target rounded down.
 
-Everything is a function of the rows and the seed: no draw depends on partitions, and reruns agree.
+Everything is a function of the rows and the seed: no draw depends on partitions, and reruns agree (documents that agree
+in doc_id, size and text change places at most). Sources are a row each on the driver, and are joined as a table.
 
 Defined results: a null text has no words; a null source is a source of its own, last; documents of no words take
 none; repeated rows are documents of their own, and ties in doc_id are ordered by size and text; an empty table gives
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldt import scratch
-from veldt.llm.texts import let, n_words, words
+from veldt.llm.texts import if_small, let, n_words, words
 from veldt.operators.ranks import buckets, positions
 
 #: Fixed values of the contract: the weights, in turn, and how often a source may be repeated.
@@ -39,6 +40,8 @@ WEIGHTS, MAX_EPOCHS = (5, 2, 1), 3
 BLOCK, SHARD_SLOTS, SEED = 256, 4096, 17
 #: Rows that one task orders.
 PIECE_ROWS = 4_000
+#: Cells of the line on which spare slots and sources that lack slots meet.
+CELLS = 1_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> list[float]:
@@ -180,9 +183,9 @@ class Mix:
     def taken(self) -> DataFrame:
         """(doc_id, size, source_size, target, taken), a row for each document."""
         took = self.pieces().groupBy("row").agg(F.sum(F.col("end") - F.col("begin")).alias("taken"))
-        told = F.array(*[F.struct(F.lit(s.size).cast("long").alias("size"), F.lit(s.target).alias("target")) for s in self.sources]).cast("array<struct<size:bigint,target:double>>")
-        mine = F.get(told, F.col("number"))
-        return self.documents.join(took, "row", "left").select("doc_id", "size", mine["size"].alias("source_size"), mine["target"].alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        told = self.documents.sparkSession.createDataFrame([(s.number, s.size, s.target) for s in self.sources], "number int, source_size long, target double")
+        out = self.documents.join(took, "row", "left").join(if_small(told), "number")
+        return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, row: str | None = None) -> Mix:
@@ -196,8 +199,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     sizes = [r["size"] for r in held]
     sources = [_source(i, r["source"], r["size"], t, block, seed) for i, (r, t) in enumerate(zip(held, targets(sizes, weights, max_epochs), strict=True))]
     names = spark.createDataFrame([(s.number, s.name) for s in sources] or [(0, None)], "number int, name string")
-    ordered = slim.join(names, F.col("source").eqNullSafe(F.col("name"))).select("row", "doc_id", "number", "size", "h")
-    documents = scratch.kept(positions(ordered, ["number"], ["doc_id", "size", "h", "row"], buckets(sum(r["n"] for r in held), PIECE_ROWS), "start", F.col("size")).drop("h"), "mixed_order")
+    ordered = slim.join(if_small(names), F.col("source").eqNullSafe(F.col("name"))).select("row", "doc_id", "number", "size", "h")
+    documents = scratch.kept(positions(ordered, ["number"], ["doc_id", "size", "h"], buckets(sum(r["n"] for r in held), PIECE_ROWS), "start", F.col("size")).drop("h"), "mixed_order")
 
     total = sum(s.slots for s in sources)
     n_shards = -(-total // shard_slots)
@@ -231,11 +234,16 @@ def _settle(drawn: DataFrame, sources: list[Source]) -> DataFrame:
             at += miss
     if not lacks:
         return kept
-    spare = positions(spare, ["all"], ["shard"], n_pieces, "at", F.col("n"))
-    table = F.array(*[F.struct(F.lit(a).alias("number"), F.lit(b).cast("long").alias("lo"), F.lit(c).cast("long").alias("hi"), F.lit(d).cast("long").alias("had")) for a, b, c, d in lacks])
-    handed = spare.withColumn("to", F.explode(F.filter(table, lambda x: (x["lo"] < F.col("at") + F.col("n")) & (x["hi"] > F.col("at")))))
-    lo, hi = F.greatest(F.col("at"), F.col("to.lo")), F.least(F.col("at") + F.col("n"), F.col("to.hi"))
-    return kept.unionByName(handed.select("shard", F.col("to.number").alias("number"), (F.col("to.had") + lo - F.col("to.lo")).alias("first"), (hi - lo).alias("n")))
+    spare = positions(scratch.kept(spare, "spare"), ["all"], ["shard"], n_pieces, "at", F.col("n"))
+    table = spark.createDataFrame(lacks, "number int, lo long, hi long, had long")
+    # Both are runs on one line: they meet by cells of it, each pair in the first cell that both touch.
+    cell = max(1, at // CELLS)
+    cells = lambda a, b: F.explode(F.sequence(F.floor(a / cell), F.floor((b - 1) / cell)))
+    ends = F.col("at") + F.col("n")
+    met = spare.withColumn("cell", cells(F.col("at"), ends)).join(if_small(table.withColumn("cell", cells(F.col("lo"), F.col("hi")))), "cell")
+    lo, hi = F.greatest("at", "lo"), F.least(ends, F.col("hi"))
+    handed = met.where((lo < hi) & (F.col("cell") == F.floor(lo / cell)))
+    return kept.unionByName(handed.select("shard", "number", (F.col("had") + lo - F.col("lo")).alias("first"), (hi - lo).alias("n")))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

@@ -6,7 +6,8 @@ weighted median (or the quantile that fits its number of shards) of its widest d
 against the whole table's. The median is found by refining histograms: each pass sums bytes by bin of all open
 nodes at once, and only those bounded sums reach the driver. Points of one coordinate are ordered by a hash of the
 text, so ties split where they must. A group of equal texts that holds more than ``1 / PIECES`` of a shard is cut,
-by a hash of doc_id, into pieces that are points of their own; any other group stays in one shard.
+by a hash of doc_id, into pieces that are points of their own, as a split can be off by half of its heaviest point; any
+other group stays in one shard.
 
 Law: ``bytes`` (the shards' sizes are near equal: off by a small share of a shard, or by a single document's size).
 
@@ -21,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldt import scratch
-from veldt.operators.ranks import buckets, positions
+from veldt.llm.texts import if_small
+from veldt.operators.ranks import buckets, positions, ranks
 
 #: Bins of a histogram, for each node.
 BIN_BITS = 13
@@ -36,9 +38,11 @@ PIECE_ROWS = 4_000
 DIMS = ("size", "source", "lang")
 
 
-def _prefix(text: Column) -> Column:
-    """The first 7 bytes as a number, in the order of the bytes; 0 for null."""
-    return F.conv(F.rpad(F.hex(F.substring(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+def _ranked(docs: DataFrame, col: str) -> DataFrame:
+    """``docs`` with the rank of a column's value among all its values in place of it, from 1; 0 for null."""
+    told = ranks(docs, col).select(F.col(col).alias("_value"), F.col("rank").alias("_rank"))
+    met = docs.join(if_small(scratch.kept(told, "ranked_values")), F.col(col) == F.col("_value"), "left")
+    return met.withColumn(col, F.coalesce(F.col("_rank") + 1, F.lit(0)).cast("long")).drop("_value", "_rank")
 
 
 def _quantiles(points: DataFrame, col: str, nodes: dict[int, dict], fine: float) -> None:
@@ -81,8 +85,8 @@ def shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | Non
     """(doc_id, size, text_crc32, shard, slot), a row for each row of ``docs``; shards of ``target_bytes`` each, or
     ``n_shards`` of them."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    slim = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("h"), _prefix(F.col(source)).alias("source"), _prefix(F.col(lang)).alias("lang"))
-    slim = scratch.kept(slim, "sharded_documents")
+    slim = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("h"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"))
+    slim = scratch.kept(_ranked(_ranked(scratch.kept(slim, "sharded_texts"), "source"), "lang"), "sharded_documents")
     total, rows = slim.agg(F.sum("size"), F.count("*")).first()
     total = total or 0
     if n_shards is None:
