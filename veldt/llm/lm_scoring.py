@@ -45,8 +45,11 @@ DISCOUNT = 0.75
 REST, END = 0, 1
 #: Symbols are less than this.
 SYMBOLS = 1 << 31
-#: Training tokens for each part of the tree: a part then has about a tenth as many branches, of 12 bytes.
-PART_TOKENS = 200_000_000
+#: Training tokens for each part of the tree: a part then has about a twelfth as many branches, of some 16 bytes where
+#: they are used and four times that while they are grown.
+PART_TOKENS = 50_000_000
+#: Branches that are compared with the suffixes' at a time.
+STEP = 500_000
 #: Counts that a worker holds before it passes them on.
 HELD = 4_000_000
 CODES = 4_000_000
@@ -160,9 +163,9 @@ class Table:
     binary search of a large table misses the cache at every step."""
 
     def __init__(self, codes: np.ndarray) -> None:
-        mixed = _mix(codes)
-        self.order = np.argsort(mixed)
-        self.codes, n = codes[self.order], len(codes)
+        mixed, n = _mix(codes), len(codes)
+        self.order = np.argsort(mixed).astype(np.int32)
+        self.codes: np.ndarray | None = codes[self.order]
         bits = max(1, n.bit_length())
         self.shift = np.uint64(64 - bits)
         self.mixed = np.append(mixed[self.order], np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -211,7 +214,7 @@ class Tree:
         if more is not None:
             return told | {"codes": [t.plain() for t in (*self.codes, more)]}
         told |= {"codes": [t.plain() for t in self.codes], "known": self.known.plain(), "shares": self.shares, "left": [x.astype(np.float32) for x in self.left]}
-        return told | {"branches": [(t.plain(), x.astype(np.float32)) for t, x in self.branches]}
+        return told | {"branches": [(t.plain(), x) for t, x in self.branches]}
 
     @staticmethod
     def of(plain: dict) -> Tree:
@@ -277,11 +280,11 @@ class Tree:
     def grow(self, table: Table, size: np.ndarray, branch: np.ndarray, count: np.ndarray) -> None:
         """Add the next depth: candidates with their counts, and their branches."""
         depth, n = len(self.codes) + 1, len(size)
-        node, symbol = branch // SYMBOLS, branch % SYMBOLS
-        share = np.maximum(count - DISCOUNT, 0) / np.maximum(size[node], 1)
-        left = np.maximum(1 - np.bincount(node, share, n), 1e-12)
+        node = branch // SYMBOLS
         mine = count / np.maximum(size[node], 1)
-        theirs = self.suffix_share(depth - 1, table.codes[node] // SYMBOLS, symbol)
+        share = (mine - DISCOUNT / np.maximum(size[node], 1)).astype(np.float32)
+        left = np.maximum(1 - np.bincount(node, share, n), 1e-12)
+        theirs = np.concatenate([self.suffix_share(depth - 1, table.codes[node[i : i + STEP]] // SYMBOLS, branch[i : i + STEP] % SYMBOLS) for i in range(0, len(node), STEP)] or [np.zeros(0)])
         gain = np.bincount(node, mine * np.log(mine / theirs), n)
         rest, rest_theirs = np.maximum(1 - np.bincount(node, mine, n), 1e-9), np.maximum(1 - np.bincount(node, theirs, n), 1e-9)
         gain += rest * np.log(rest / rest_theirs)
@@ -289,8 +292,10 @@ class Tree:
         self.size.append(size)
         self.left.append(left)
         self.kept.append(size * gain > PRICE * (np.bincount(node, minlength=n) + 1))
+        del node, mine, theirs
         found = Table(branch)
         self.branches.append((found, share[found.order]))
+        found.codes = found.order = None  # lookups need neither
 
     def pairs(self, branch: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the whole tree at depth one: a branch (x -> b) is as often the context x b, if b is retained."""
@@ -360,10 +365,13 @@ def train(encoded: DataFrame, counts: np.ndarray, root: np.ndarray, others: Data
             known, shares = _arrays(others.join(seen, "symbol"), symbol=np.int64, share=np.float64)
             tree.known = Table(known)
             tree.shares = shares[tree.known.order]
-        branch, count = _arrays(told, code=np.int64, n=np.int64)
-        more = branch < 0
-        tree.grow(table, size[table.order], branch[~more], count[~more])
-        codes, size = tree.retained(-1 - branch[more], count[more]) if longer else tree.pairs(branch, count) if depth == 0 else (codes[:0], size[:0])
+        branch, count = _arrays(told.where("code >= 0"), code=np.int64, n=np.int32)
+        tree.grow(table, size[table.order], branch, count)
+        if longer:
+            codes, size = _arrays(told.where("code < 0"), code=np.int64, n=np.int64)
+            codes, size = tree.retained(-1 - codes, size)
+        else:
+            codes, size = tree.pairs(branch, count) if depth == 0 else (codes[:0], size[:0])
     return tree
 
 
