@@ -74,6 +74,50 @@ def test_utm():
     assert x == pytest.approx(500000) and 10_000_000 - y == pytest.approx(110574.4 * 0.9996, abs=2)
 
 
+def square(x0, y0, x1, y1):
+    return [[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]
+
+
+def test_areas_of_interest(spark, tmp_path):
+    """Overlapping polygons are one area, multipolygons are all their parts, holes are out; clips are exact."""
+    from veldt.operators import raster
+
+    hole = [square(0, 0, 9, 9), square(2, 2, 5, 5)[::-1]]
+    cases = {
+        "overlap": ({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [s]}} for s in (square(0, 0, 6, 6), square(3, 3, 9, 9))]}, 63),
+        "multi": ({"type": "MultiPolygon", "coordinates": [[square(0, 0, 6, 6)], [square(7, 7, 10, 10)]]}, 45),
+        "mixed": ({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": None}, {"type": "Feature", "geometry": {"type": "GeometryCollection", "geometries": [{"type": "Polygon", "coordinates": hole}]}}]}, 72),
+    }
+    px = spark.range(400).selectExpr("cast(id / 20 as int) row", "cast(id % 20 as int) col", "id % 20 + 0.5 x", "cast(id / 20 as int) + 0.5 y").selectExpr("row", "col", "double(x) x", "double(y) y")
+    for name, (shape, n) in cases.items():
+        (tmp_path / name).write_text(json.dumps(shape))
+        polygons = vectors.polygons(spark, str(tmp_path / name))
+        edges = vectors.edges(spark, polygons)
+        assert raster.inside_polygon(px, edges).count() == n
+        if name != "overlap":
+            cut = raster.clipped_area(px.selectExpr("1 label", "row", "col"), edges, 100.0).first()
+            assert cut["area_m2"] == pytest.approx(100.0 * n)
+    tilted = vectors.edges(spark, [[[(0.5, 0.5), (7.25, 1.0), (3.0, 8.5)]]])
+    twice = abs((7.25 - 0.5) * (8.5 - 0.5) - (3.0 - 0.5) * (1.0 - 0.5))
+    assert raster.clipped_area(px.selectExpr("int(col >= 4) label", "row", "col"), tilted, 1.0).agg({"area_m2": "sum"}).first()[0] == pytest.approx(twice / 2)
+    assert raster.clipped_area(px.where("col > 12").selectExpr("1 label", "row", "col"), tilted, 1.0).count() == 0
+    assert vectors.meets_box([[[(0, 0), (9, 0), (9, 9)]]], (4, 1, 5, 2)) and not vectors.meets_box([[[(0, 0), (9, 0), (9, 9)]]], (0, 5, 2, 9))
+    assert vectors.crosses_itself([(0, 0), (2, 2), (2, 0), (0, 2)]) and not vectors.crosses_itself([(0, 0), (2, 0), (2, 2), (0, 2)])
+    for text, code in (("{", "aoi_unreadable"), ('{"type": "FeatureCollection", "features": []}', "aoi_empty")):
+        (tmp_path / "bad").write_text(text)
+        with pytest.raises(vectors.AoiError) as e:
+            vectors.polygons(spark, str(tmp_path / "bad"))
+        assert e.value.code == code
+    with pytest.raises(vectors.AoiError) as e:
+        vectors.polygons(spark, str(tmp_path / "none"))
+    assert e.value.code == "aoi_missing"
+
+
+def test_output_folder_must_be_writable(spark, tmp_path):
+    (tmp_path / "file").write_text("x")
+    assert runs.writable(spark, str(tmp_path / "new")) and not runs.writable(spark, str(tmp_path / "file" / "sub"))
+
+
 def test_end_to_end(spark, root):
     path = config(root)
     request = requests.load(path, str(root))

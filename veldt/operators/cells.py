@@ -135,13 +135,18 @@ def gi_star(cells: DataFrame, edges: DataFrame, value: str) -> DataFrame:
     return told.select("id", (F.col("wy") / F.lit(s["sum"])).alias("gi_star"), F.when(spread > 0, (F.col("wy") - F.lit(s["mean"]) * F.col("w")) / spread).alias("gi_zscore"))
 
 
+#: Coefficients of a Chebyshev fit to ln(erfc(x) exp(x^2) / t), t = 1 / (1 + x / 2), highest last. Fixed values.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
 def normal_p(z: Column) -> Column:
-    """Two-sided p of a standard normal by the rational approximation 7.1.26 of Abramowitz and Stegun (error under 1.5e-7)."""
+    """Two-sided p of a standard normal: erfc(|z| / sqrt(2)) with a relative error under 1.2e-7 at any z."""
     x = F.abs(z) / math.sqrt(2)
-    t = 1 / (1 + 0.3275911 * x)
-    # Fixed values of the approximation.
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return poly * F.exp(-x * x)
+    t = 1 / (1 + 0.5 * x)
+    poly = F.lit(ERFC[-1])
+    for c in ERFC[-2::-1]:
+        poly = F.lit(c) + t * poly
+    return t * F.exp(poly - x * x)
 
 
 def bh_fdr(df: DataFrame, p: str, key: str, q: str = "q") -> DataFrame:

@@ -18,9 +18,13 @@ def metrics(labels: DataFrame, intensity: DataFrame, value: str, pixel_m: float)
     """(label, area_m2, perimeter_m, compactness, mean_change, max_change, p95_change) by component."""
     v = labels.join(intensity.select("row", "col", F.col(value).alias("v")), ["row", "col"], "left")
     told = v.groupBy("label").agg((F.count("*") * F.lit(pixel_m * pixel_m)).alias("area_m2"), F.avg("v").alias("mean_change"), F.max("v").alias("max_change"), F.percentile("v", F.lit(0.95)).alias("p95_change"))
-    out = told.join(perimeter(labels, pixel_m), "label")
-    round_ = F.least(4 * F.pi() * F.col("area_m2") / F.pow("perimeter_m", 2), F.lit(1.0))
-    return out.withColumn("compactness", F.when(F.col("perimeter_m") > 0, round_).otherwise(F.lit(0.0)))
+    return rounded(told.join(perimeter(labels, pixel_m), "label"))
+
+
+def rounded(features: DataFrame) -> DataFrame:
+    """Adds compactness: 1 for a circle."""
+    share = F.least(4 * F.pi() * F.col("area_m2") / F.pow("perimeter_m", 2), F.lit(1.0))
+    return features.withColumn("compactness", F.when(F.col("perimeter_m") > 0, share).otherwise(F.lit(0.0)))
 
 
 def _clip(c: Column) -> Column:
@@ -45,11 +49,11 @@ def confidence(features: DataFrame, threshold: float, anomaly: str | None = None
     return features.withColumn("confidence", _clip(sum((F.lit(WEIGHTS[k] / whole) * c for k, c in parts.items()), F.lit(0.0))))
 
 
-def attach(labels: DataFrame, grid: DataFrame, cell_px: int, numeric: list[str], category: list[str], pixel_m: float) -> DataFrame:
+def attach(labels: DataFrame, grid: DataFrame, cell_px: float, numeric: list[str], category: list[str], pixel_m: float) -> DataFrame:
     """(label, means of ``numeric`` by overlap, ``category`` of the cell with the greatest overlap, least cell first).
 
-    Components are sets of pixels and cells are aligned with them, so the overlap is a count of pixels."""
-    by = [F.floor(F.col("row") / cell_px).cast("long").alias("cell_row"), F.floor(F.col("col") / cell_px).cast("long").alias("cell_col")]
+    A pixel belongs to the cell that holds its centre, as in the grid, so the overlap is a count of pixels."""
+    by = [F.floor((F.col(c) + 0.5) / cell_px).cast("long").alias(f"cell_{c}") for c in ("row", "col")]
     share = labels.groupBy("label", *by).agg((F.count("*") * F.lit(pixel_m * pixel_m)).alias("w"))
     met = share.join(grid, ["cell_row", "cell_col"])
     mean = lambda c: (F.sum(F.col("w") * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), F.col("w")))).alias(c)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldt import scratch
 from veldt.functions.quantiles import quantiles
 from veldt.operators.change import AnalysisError
 from veldt.operators.graph import connected_components
@@ -70,30 +71,41 @@ def _path(tree: list, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def isolation_forest(cells: DataFrame, key: str, cols: list[str], trees: int = 200, seed: int = 42) -> DataFrame:
-    """``cells`` with ml_anomaly_score in (0, 1), higher for odder. Each tree is grown on at most 256 cells, drawn by a
-    hash of the key, so the forest is of bounded size; scoring is one pass."""
-    n = cells.count()
-    if n < LEAST_CELLS:
-        raise AnalysisError(f"at least {LEAST_CELLS} cells are needed")
-    psi = min(SAMPLE, n)
-    scaled = robust_scale(cells, cols)
-    # A sample that is surely large enough for all trees' draws, from the least hashes.
-    pool = scaled.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(n)) < max(16 * SAMPLE, 64)).select(key, *cols).orderBy(F.xxhash64(F.lit(seed), key)).limit(32 * SAMPLE).toPandas()
-    x = pool[cols].to_numpy(float)
-    forest = []
+def _pool(scaled: DataFrame, key: str, cols: list[str], size: int, seed: int) -> pd.DataFrame:
+    """At most ``size`` cells, drawn by a hash of the key: as many as all trees' draws together."""
+    return scaled.orderBy(F.xxhash64(F.lit(seed), key), key).limit(size).toPandas()
+
+
+def _forest(x: np.ndarray, trees: int, psi: int, seed: int) -> list:
+    out = []
     for t in range(trees):
         rng = np.random.default_rng([seed, t])
-        forest.append(_grow(x[rng.choice(len(x), min(psi, len(x)), replace=False)], rng, math.ceil(math.log2(max(psi, 2)))))
-    told = cells.sparkSession.sparkContext.broadcast(forest)
-    unit = _depth(psi)
+        out.append(_grow(x[rng.choice(len(x), min(psi, len(x)), replace=False)], rng, math.ceil(math.log2(max(psi, 2)))))
+    return out
 
-    @F.pandas_udf("double")
+
+def _scores(scaled: DataFrame, cols: list[str], forests: list[tuple[list, int]]) -> Column:
+    """An array: each forest's score of a cell, in (0, 1), higher for odder."""
+    told = scaled.sparkSession.sparkContext.broadcast(forests)
+
+    @F.pandas_udf("array<double>")
     def score(*v: pd.Series) -> pd.Series:
         at = np.column_stack([s.to_numpy(float) for s in v])
-        return pd.Series(2.0 ** (-np.mean([_path(t, at) for t in told.value], axis=0) / unit))
+        return pd.Series(list(np.column_stack([2.0 ** (-np.mean([_path(t, at) for t in trees], axis=0) / _depth(psi)) for trees, psi in told.value])))
+
+    return score(*cols)
 
-    own = scaled.select(F.col(key).alias("_key"), score(*cols).alias("ml_anomaly_score"))
+
+def isolation_forest(cells: DataFrame, key: str, cols: list[str], trees: int = 200, seed: int = 42) -> DataFrame:
+    """``cells`` with ml_anomaly_score in (0, 1), higher for odder. Each tree is grown on at most 256 cells, so the forest
+    is of bounded size; scoring is one pass."""
+    n = cells.count()
+    if n < LEAST_CELLS:
+        raise AnalysisError(f"at least {LEAST_CELLS} cells are needed")
+    psi = min(SAMPLE, n)
+    scaled = scratch.kept(robust_scale(cells, cols).select(key, *cols), "scaled")
+    x = _pool(scaled, key, cols, trees * psi, seed)[cols].to_numpy(float)
+    own = scaled.select(F.col(key).alias("_key"), F.get(_scores(scaled, cols, [(_forest(x, trees, psi, seed), psi)]), F.lit(0)).alias("ml_anomaly_score"))
     return cells.join(own, F.col(key) == F.col("_key")).drop("_key")
 
 
@@ -123,19 +135,43 @@ def top_k(df: DataFrame, key: str, score: str, k: int) -> DataFrame:
     return df.orderBy(F.desc(score), key).limit(k).select(key)
 
 
-def forest_stability(cells: DataFrame, key: str, cols: list[str], replicates: int = 20, k: int = 20, trees: int = 50, blocks: int = 16, seed: int = 42) -> dict[str, float]:
-    """Overlap of the top k with and without a fifth of the cells, left out by random block numbers."""
-    k = min(k, cells.count())
-    base = {r[0] for r in top_k(isolation_forest(cells, key, cols, trees, seed), key, "ml_anomaly_score", k).collect()}
-    seen = []
+def forest_stability(cells: DataFrame, key: str, cols: list[str], replicates: int = 20, k: int = 20, trees: int = 50, seed: int = 42) -> dict[str, float]:
+    """How much of the top k stays when blocks of cells are left out: cells are dealt to max(4, 2 sqrt(replicates)) blocks,
+    and each replicate draws four fifths of them without replacement. All forests score the cells in one pass."""
+    n = cells.count()
+    if n < LEAST_CELLS:
+        raise AnalysisError(f"at least {LEAST_CELLS} cells are needed")
+    k, blocks, rng = min(k, n), max(4, int(2 * math.sqrt(replicates))), np.random.default_rng(seed)
+    scaled = robust_scale(cells, cols).select(key, *cols).withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), F.lit(1), key), F.lit(blocks)).cast("int"))
+    scaled = scratch.kept(scaled, "scaled")
+    held = dict(scaled.groupBy("_block").count().collect())
+    pool = _pool(scaled, key, cols, trees * SAMPLE, seed)
+    draws, forests = [list(range(blocks))], [(_forest(pool[cols].to_numpy(float), trees, min(SAMPLE, n), seed), min(SAMPLE, n))]
     for r in range(replicates):
-        part = cells.where(F.pmod(F.xxhash64(F.lit(seed + r), F.pmod(F.xxhash64(F.lit(seed), key), F.lit(blocks))), F.lit(5)) > 0)
-        if part.count() >= k + 5:
-            got = {x[0] for x in top_k(isolation_forest(part, key, cols, trees, seed + r), key, "ml_anomaly_score", k).collect()}
-            seen.append(len(base & got) / k)
+        keep = sorted(rng.choice(blocks, max(1, int(0.8 * blocks)), replace=False).tolist())
+        m = sum(held.get(b, 0) for b in keep)
+        if m >= k + 5:
+            draws.append(keep)
+            forests.append((_forest(pool[pool["_block"].isin(keep)][cols].to_numpy(float), trees, min(SAMPLE, m), seed + r + 1), min(SAMPLE, m)))
+    each = scaled.select(key, "_block", F.posexplode(_scores(scaled, cols, forests)).alias("_r", "_score"))
+    mine = F.array_contains(F.get(F.array(*[F.array(*[F.lit(b) for b in d]) for d in draws]), F.col("_r")), F.col("_block"))
+    ranked = each.where(mine).withColumn("_rank", F.row_number().over(Window.partitionBy("_r").orderBy(F.desc("_score"), key))).where(F.col("_rank") <= k)
+    tops: dict[int, set] = {}
+    for row in ranked.select("_r", key).collect():  # at most k for each forest
+        tops.setdefault(row[0], set()).add(row[1])
+    seen = [len(tops[0] & tops[r]) / k for r in range(1, len(draws))]
     return {"replicates": len(seen), "overlap_mean": float(np.mean(seen)) if seen else None, "overlap_std": float(np.std(seen)) if seen else None}
 
 
+def contamination_sensitivity(scored: DataFrame, contamination: float = 0.05) -> DataFrame:
+    """(factor, contamination, n_flagged, top_k_overlap): cells flagged as anomalies when half or twice the share is
+    expected, and how much of the top k stays. The share moves the cut, not the scores, so the top k stays whole."""
+    shares = [(f, min(max(contamination * f, 0.01), 0.49)) for f in (0.5, 1.0, 2.0)]
+    told = scored.sparkSession.createDataFrame(shares, "factor double, contamination double")
+    n = scored.agg(F.count("*").alias("n"))
+    return told.join(F.broadcast(n)).select("factor", "contamination", F.floor(F.col("contamination") * F.col("n")).cast("long").alias("n_flagged"), F.lit(1.0).alias("top_k_overlap"))
+
+
 def dbscan_sensitivity(points: DataFrame, key: str, cols: list[str], eps: float, min_samples: int) -> list[dict]:
     out = []
     for f in (0.8, 1.0, 1.2):

@@ -16,10 +16,6 @@ def dilate(src: str, h: str = "(select h from dims)") -> str:
     return f"select distinct f.r + a r, f.c + b c from {src} f, {SQUARE} o(a, b) where f.r + a between 0 and {h} - 1 and f.c + b between 0 and 99"
 
 
-def norm(diffs: str, med: str) -> str:
-    return f"median({diffs} - {med})"
-
-
 CHAIN = f"""with recursive px0 as (
   select o_orderkey pid, cast(floor(o_orderkey / 100.0) as int) r, cast(o_orderkey % 100 as int) c,
     cast(1400 + cast(floor(o_totalprice) as bigint) % 500 as double) b04, cast(1200 + (o_custkey * 31) % 500 as double) b03, cast(1000 + (o_orderkey * 7919) % 500 as double) b02,
@@ -66,8 +62,8 @@ den as (select sum(z * z) d from zc),
 lag as (select src id, sum(w * z) lag from wr join zc on dst = id group by 1),
 gi0 as (select src id, sum(y) wy, count(*) w from (select src, dst from queen union all select id, id from cell) join cell on dst = id group by 1),
 gi as (select id, wy / total g, (wy - mean * w) / (sd * sqrt((n * w - w * w) / (n - 1e0))) z from gi0, g0),
-pv as (select *, abs(z) / sqrt(2e0) x, 1 / (1 + 0.3275911e0 * abs(z) / sqrt(2e0)) u from gi),
-pp as (select id, g, z, u * (0.254829592e0 + u * (-0.284496736e0 + u * (1.421413741e0 + u * (-1.453152027e0 + u * 1.061405429e0)))) * exp(-x * x) p from pv),
+pv as (select *, abs(z) / sqrt(2e0) x, 1 / (1 + 0.5e0 * abs(z) / sqrt(2e0)) u from gi),
+pp as (select id, g, z, u * exp(-x * x - 1.26551223e0 + u * (1.00002368e0 + u * (0.37409196e0 + u * (0.09678418e0 + u * (-0.18628806e0 + u * (0.27886807e0 + u * (-1.13520398e0 + u * (1.48851587e0 + u * (-0.82215223e0 + u * 0.17087277e0))))))))) p from pv),
 rk as (select *, row_number() over (order by p, id) k, count(*) over () m from pp),
 fdr as (select *, least(1e0, min(p * m / k) over (order by k desc rows between unbounded preceding and current row)) q from rk),
 hot as (select *, case when q < 0.1 then (case when z > 0 then 'hot' else 'cold' end) || (case when q < 0.01 then '_99' when q < 0.05 then '_95' else '_90' end) else 'not_significant' end cls from fdr),
@@ -86,8 +82,3 @@ dn as (select pid, r, c, (b04 + n4 + blk) v from px0 where r > 0 and c > 0)
 
 def sql(last: str) -> str:
     return CHAIN + last
-
-
-def rounded(*cols: str) -> str:
-    """'x y z' columns, doubles to 6 places under the same name."""
-    return ", ".join(f"round({c}, 6) {c}" for c in cols)

@@ -38,6 +38,7 @@ class Result:
     warnings: list[str] = field(default_factory=list)
     grid: Grid | None = None
     moran: dict | None = None
+    counts: dict = field(default_factory=dict)
     runtime_seconds: float = 0.0
 
 
@@ -83,15 +84,19 @@ def validate_request(spark: SparkSession, request: Request) -> DataFrame:
             found.append(("error", "unreadable_raster", str(e)))
     if request.aoi_path:
         try:
-            shape = vectors.rings(spark, request.aoi_path)
+            shape = vectors.polygons(spark, request.aoi_path)
+            if any(vectors.crosses_itself(ring) for rings in shape for ring in rings):
+                found.append(("warning", "aoi_invalid_geometry", "sides of the area of interest cross; what is inside an odd number of them counts"))
             if meta is not None and (crs := meta.select("crs").first()[0]):
                 g = next(iter(tiff.grids(spark, paths[min(paths)]).values()))
-                xy = [vectors.utm(*p, crs) for ring in shape for p in ring]
-                x0, y0, x1, y1 = g.bounds
-                if max(p[0] for p in xy) < x0 or min(p[0] for p in xy) > x1 or max(p[1] for p in xy) < y0 or min(p[1] for p in xy) > y1:
+                if not vectors.meets_box(projected(shape, crs), g.bounds):
                     found.append(("error", "aoi_no_overlap", request.aoi_path))
-        except Exception as e:  # noqa: BLE001
-            found.append(("error", "aoi_empty" if "no polygon" in str(e) else "aoi_missing", str(e).split("\n")[0]))
+        except vectors.AoiError as e:
+            found.append(("error", e.code, str(e)))
+        except AnalysisError as e:
+            found.append(("error", "aoi_reprojection_failed", str(e)))
+    if not writable(spark, request.output_dir):
+        found.append(("error", "output_dir_not_writable", request.output_dir))
     out = spark.createDataFrame(found, "severity string, code string, message string").unionByName(validation.parameters(spark, request))
     if meta is not None:
         own = validation.issues(meta)
@@ -101,6 +106,23 @@ def validate_request(spark: SparkSession, request: Request) -> DataFrame:
     return out
 
 
+def projected(shape: list, crs: str | None) -> list:
+    """The polygons' points in a reference system; as they are where there is none."""
+    return [[[vectors.utm(*p, crs) for p in ring] for ring in rings] for rings in shape] if crs else shape
+
+
+def writable(spark: SparkSession, folder: str) -> bool:
+    """Whether a file can be made in a folder, which is made if need be."""
+    jvm = spark.sparkContext._jvm
+    try:
+        probe = jvm.org.apache.hadoop.fs.Path(folder, f".write_test-{uuid.uuid4().hex[:8]}")
+        fs = probe.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.create(probe, True).close()
+        return fs.delete(probe, False)
+    except Exception:  # noqa: BLE001  whatever the file system says, it can't be written
+        return False
+
+
 def aligned(spark: SparkSession, request: Request) -> tuple[DataFrame, Grid, list[str]]:
     """(row, col, before_*, after_*) of the pixels that are valid on both dates and inside the area of interest."""
     token = {"b04": "B04", "b03": "B03", "b02": "B02"}
@@ -123,7 +145,7 @@ def aligned(spark: SparkSession, request: Request) -> tuple[DataFrame, Grid, lis
         two = moved[0].join(moved[1], ["row", "col"]).join(moved[2], ["row", "col"]).where(F.col("row").between(0, g.height - 1) & F.col("col").between(0, g.width - 1))
     px = one.join(two, ["row", "col"])
     if request.aoi_path:
-        shape = [[vectors.utm(*p, g.crs) for p in ring] if g.crs else ring for ring in vectors.rings(spark, request.aoi_path)]
+        shape = projected(vectors.polygons(spark, request.aoi_path), g.crs)
         px = px.withColumns({"x": F.lit(g.c) + (F.col("col") + 0.5) * g.a, "y": F.lit(g.f) + (F.col("row") + 0.5) * g.e})
         px = raster.inside_polygon(px, vectors.edges(spark, shape)).drop("x", "y")
     px = scratch.kept(px.withColumns({f"{d}_{b}": F.col(f"{d}_{b}") / F.lit(request.reflectance_scale) for d in ("before", "after") for b in BANDS}), "aligned")
@@ -175,7 +197,16 @@ def run_pipeline(spark: SparkSession, request: Request, progress: Callable[[str,
     binary = primary.withColumn("changed", F.col(value) > F.lit(threshold))
     labels = clean(binary.where("changed"))
     out.tables["labels"] = labels
-    made = features.metrics(labels, primary, value, m).where(F.col("area_m2") >= request.min_area_m2)
+    made, raw = features.metrics(labels, primary, value, m), labels.select("label").distinct().count()
+    after = raw
+    if request.aoi_path:
+        shape = projected(vectors.polygons(spark, request.aoi_path), g.crs)
+        shape = [[[((x - g.c) / g.a, (y - g.f) / g.e) for x, y in ring] for ring in rings] for rings in shape]
+        cut = scratch.kept(raster.clipped_area(labels, vectors.edges(spark, shape), g.pixel_area), "clipped")
+        after = cut.count()
+        made = features.rounded(made.drop("area_m2", "compactness").join(cut, "label"))
+    made = scratch.kept(made.where(F.col("area_m2") >= request.min_area_m2), "metrics")
+    out.counts = {"n_raw_components": raw, "n_after_aoi": after, "n_after_min_area": made.count()}
     grid = None
     extra = {"gi_zscore": "double", "gi_pvalue": "double", "gi_qvalue": "double", "hotspot_class": "string", "lisa_cluster": "string", "ml_anomaly_score": "double", "ml_cluster_id": "double"}
     if request.spatial_statistics_enabled and value == "cva":
@@ -183,7 +214,7 @@ def run_pipeline(spark: SparkSession, request: Request, progress: Callable[[str,
         grid = statistics(spark, request, binary, m, out)
         have = [c for c in extra if c in grid.columns]
         numeric = [c for c in have if extra[c] == "double"]
-        made = made.join(features.attach(labels, grid, round(request.spatial_grid_size_m / m), numeric, [c for c in have if c not in numeric], m), "label", "left")
+        made = made.join(features.attach(labels, grid, request.spatial_grid_size_m / m, numeric, [c for c in have if c not in numeric], m), "label", "left")
     elif request.spatial_statistics_enabled:
         out.warnings.append("spatial statistics need change vectors")
     made = made.withColumns({c: F.lit(None).cast(t) for c, t in extra.items() if c not in made.columns})

@@ -1,7 +1,7 @@
 """Shared scratch space: lineage is cut by writing Parquet where every executor can read it.
 
-The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests, a laptop) is a folder
-of our own chosen. What is written survives the loss of any executor and is removed when the JVM ends.
+The folder is ``spark.checkpoint.dir`` of the session, or the checkpoint folder of its context. Only where neither is
+set and all runs in one machine's process (tests, a laptop) is a folder of our own chosen. What is written survives the loss of any executor and is removed when the JVM ends.
 """
 
 from __future__ import annotations
@@ -26,7 +26,12 @@ OWN = "/tmp/checkpoints/veldt"
 
 
 def folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or OWN
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = OWN
     return f"{base.rstrip('/')}/veldt-{spark.sparkContext.applicationId}"
 
 

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from veldt.operators.change import AnalysisError
 
-EXTENSIONS = (".tif", ".tiff", ".jp2")
 WANTED = ("B02", "B03", "B04")
-#: A band token is not part of a longer run of letters and digits. Fixed pattern.
+#: A band token is not part of a longer run of letters and digits; a date is 20 and six digits. Fixed patterns and names.
 TOKEN = r"(?i)(?<![A-Za-z0-9])(B0[2348]|B8A)(?![A-Za-z0-9])"
 
 
@@ -22,11 +21,16 @@ def date_label(folder: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(folder, r"(20[0-9]{6})", 1), F.lit("")), folder)
 
 
+def _tokens(stem: Column) -> Column:
+    """The bands that a name holds, each once."""
+    return F.array_distinct(F.regexp_extract_all(F.upper(stem), F.lit(TOKEN), 1))
+
+
 def band_table(names: DataFrame, wanted: tuple[str, ...] = WANTED) -> DataFrame:
     """(folder, band, n, status) for each wanted band of each folder, from (folder, name)."""
     files = names.where(F.lower("name").rlike("[.](tif|tiff|jp2)$"))
     stem = F.regexp_replace("name", "[.][^.]*$", "")
-    found = files.select("folder", F.explode(F.regexp_extract_all(stem, F.lit(TOKEN), 1)).alias("token")).select("folder", F.upper("token").alias("band"))
+    found = files.select("folder", F.explode(_tokens(stem)).alias("band"))
     every = names.select("folder").distinct().select("folder", F.explode(F.array(*[F.lit(b) for b in wanted])).alias("band"))
     out = every.join(found.groupBy("folder", "band").agg(F.count("*").alias("n")), ["folder", "band"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     return out.withColumn("status", F.when(F.col("n") == 0, "missing").when(F.col("n") > 1, "duplicate").otherwise("ok"))
@@ -39,5 +43,5 @@ def discover(spark: SparkSession, folder: str, wanted: tuple[str, ...] = WANTED)
     if bad:
         raise DiscoveryError("; ".join(f"{r['band']}: {r['status']}" for r in bad))
     stem = F.regexp_replace("name", "[.][^.]*$", "")
-    rows = files.where(F.lower("name").rlike("[.](tif|tiff|jp2)$")).select("path", F.explode(F.regexp_extract_all(stem, F.lit(TOKEN), 1)).alias("token")).select("path", F.upper("token").alias("band"))
+    rows = files.where(F.lower("name").rlike("[.](tif|tiff|jp2)$")).select("path", F.explode(_tokens(stem)).alias("band"))
     return {r["band"]: r["path"] for r in rows.where(F.col("band").isin(*wanted)).collect()}
