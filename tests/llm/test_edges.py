@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from veldt import scratch
 from veldt.llm import embedding, linededup, lm_scoring, mixing, packing, quality, sharding, simhash, toxicity, warc
@@ -132,6 +133,8 @@ def test_embedding(spark):
     got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding.near_duplicates(df).collect()), key=str)
     assert got == sorted([(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (None, 3, 1, False), *[(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10)]], key=str)
     assert embedding.near_duplicates(df.limit(0)).count() == 0
+    big = spark.createDataFrame([(1, [1e200, 1e200], 1, 5), (2, [1e-200, 1e-200], 1, 5), (3, [1e200, -1e200], 1, 5)], "vec_id long, embedding array<double>, label int, uid long").withColumn("n", F.lit(0)).withColumn("u1", F.lit(0)).withColumn("cell", F.lit(0))
+    assert sorted((r["vec_id"], r["n_links"]) for r in embedding.near_duplicates(big).collect()) == [(1, 1), (2, 1), (3, 0)]
 
 
 def test_held_out_rules(spark):

@@ -34,10 +34,13 @@ CELL_ROWS, MAX_PIVOTS = 2048, 4096
 BLOCK_ROWS = 2048
 #: Allowance for rounding in distances. Cosines themselves are compared without any.
 SLACK = 1e-6
+#: Vectors that are held against all pivots at a time.
+CHUNK = 256
 
 
 def _unit(values: pd.Series) -> np.ndarray:
     x = np.stack(values.to_numpy()).astype(np.float64)
+    x = x / np.abs(x).max(axis=1)[:, None]  # else squares of very large or small numbers leave the range of doubles
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -51,14 +54,16 @@ def _deal(pivots: dict[tuple, np.ndarray], reach: float):
                 if p is None:
                     yield rows.assign(cell=0, inner=True)
                     continue
-                d2 = np.maximum(2 - 2 * _unit(rows["embedding"]) @ p.T, 0)
-                own = d2.argmin(axis=1)
-                least = d2[np.arange(len(own)), own][:, None]
-                apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))[own]
-                near = (d2 - least <= 2 * reach * apart + SLACK) & (np.sqrt(d2) <= np.sqrt(least) + 2 * reach + SLACK)
-                near[np.arange(len(own)), own] = True
-                i, j = np.nonzero(near)
-                yield rows.iloc[i].assign(cell=j.astype(np.int32), inner=j == own[i])
+                x = _unit(rows["embedding"])
+                for k in range(0, len(x), CHUNK):
+                    d2 = np.maximum(2 - 2 * x[k : k + CHUNK] @ p.T, 0)
+                    own = d2.argmin(axis=1)
+                    least = d2[np.arange(len(own)), own][:, None]
+                    apart = np.sqrt(np.maximum(2 - 2 * p[own] @ p.T, 0))
+                    near = (d2 - least <= 2 * reach * apart + SLACK) & (np.sqrt(d2) <= np.sqrt(least) + 2 * reach + SLACK)
+                    near[np.arange(len(own)), own] = True
+                    i, j = np.nonzero(near)
+                    yield rows.iloc[k + i].assign(cell=j.astype(np.int32), inner=j == own[i])
 
     return run
 
@@ -98,10 +103,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "v
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), F.col(label).cast("long").alias("label"))
     e = F.col("embedding")
     sound = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    rows = rows.withColumn("dim", F.size(e)).withColumn("uid", F.when(F.coalesce(F.col("label").isNotNull() & sound, F.lit(False)), F.xxhash64("label", F.size(e), e)))
-    rows = scratch.kept(rows, "vectors")
-    ids = rows.where("uid is not null").groupBy("uid").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.first("embedding").alias("embedding"), F.first("label").alias("label"), F.first("dim").alias("dim"))
-    ids = scratch.kept(ids, "distinct_vectors")
+    rows = rows.withColumn("dim", F.size(e)).withColumn("usable", F.coalesce(F.col("label").isNotNull() & sound, F.lit(False)))
+    # Equal vectors are told by 128 bits of hash, and numbered.
+    rows = scratch.kept(rows.withColumns({c: F.when(F.col("usable"), F.xxhash64(F.lit(c), "label", F.size(e), e)) for c in ("u1", "u2")}), "vectors")
+    ids = rows.where("usable").groupBy("u1", "u2").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), *[F.first(c).alias(c) for c in ("embedding", "label", "dim")])
+    ids = scratch.kept(ids.withColumn("uid", F.monotonically_increasing_id()), "distinct_vectors")
 
     sizes = ids.groupBy("label", "dim").agg(F.count("*").alias("m"))
     n = ids.count()
@@ -131,9 +137,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "v
     links = told.groupBy("uid").agg(F.sum("links").alias("links"))
     groups = connected_components(told.where("uid <> root"), "uid", "root").withColumnRenamed("node", "uid")
 
-    named = ids.select("uid", "n", "first").join(links, "uid", "left").join(groups, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    named = ids.select("u1", "u2", "uid", "n", "first").join(links, "uid", "left").join(groups, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(lowest, "component").select("uid", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "uid").join(named, "uid", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("uid").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = named.join(lowest, "component").select("u1", "u2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    out = rows.select("vec_id", "u1", "u2").join(named, ["u1", "u2"], "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("u1").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -40,7 +40,7 @@ NUM, DEN = 4, 5
 ALIKE = NUM // (DEN - NUM) - 1
 BUCKET_BITS, KEY_BITS = 17, 53
 #: Sets of more words have sketches of twice the bits.
-WIDE = 64
+WIDE = 48
 #: Neighbouring pairs of dealt keys, from the last, by which a set looks for the earliest set that has them.
 LOOK = 4
 #: So many sets that have a pair of keys in common are a crowd.

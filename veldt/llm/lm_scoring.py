@@ -47,12 +47,12 @@ REST, END = 0, 1
 SYMBOLS = 1 << 31
 #: Training tokens for each part of the tree: a part then has about a twelfth as many branches, of some 16 bytes where
 #: they are used and four times that while they are grown.
-PART_TOKENS = 50_000_000
+PART_TOKENS = 200_000_000
 #: Branches that are compared with the suffixes' at a time.
 STEP = 500_000
 #: Counts that a worker holds before it passes them on.
-HELD = 4_000_000
-CODES = 4_000_000
+HELD = 1_000_000
+CODES = 3_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -98,7 +98,7 @@ def unigrams(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``size`` bytes, or of one given batch."""
     held: list[pa.RecordBatch] = []
     for b in batches:
@@ -159,17 +159,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """Places of codes in the order of their mixed values. A code is found by its first bits in about two looks, where a
+    """Places of codes in the order of their mixed values. A code is found by its first bits in about three looks, where a
     binary search of a large table misses the cache at every step."""
 
     def __init__(self, codes: np.ndarray) -> None:
         mixed, n = _mix(codes), len(codes)
         self.order = np.argsort(mixed).astype(np.int32)
         self.codes: np.ndarray | None = codes[self.order]
-        bits = max(1, n.bit_length())
+        bits = max(1, n.bit_length() - 1)
         self.shift = np.uint64(64 - bits)
         self.mixed = np.append(mixed[self.order], np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.starts = np.searchsorted(self.mixed[:n], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        ends = np.cumsum(np.bincount((self.mixed[:n] >> self.shift).astype(np.int32), minlength=1 << bits), dtype=np.int32)
+        self.starts = np.append(np.int32(0), ends[:-1])
 
     def plain(self) -> tuple:
         """What lookups need, in values of numpy alone."""
