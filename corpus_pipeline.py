@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and but for the last returns the
 columns of documents. A stage only decides by its operator; what it removes is gone for all that follow.
+
+Defined results, for every stage: an empty table gives no rows; columns beyond those of documents, whatever their names,
+pass through the first four stages; texts of any length are read whole; rows that repeat are each decided by the same
+rule. What a stage does with nulls, empty texts and ties stands at the stage.
 """
 
 from __future__ import annotations
@@ -34,33 +38,39 @@ def _stage(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 @_stage
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; rows of a rejected doc_id and text go together."""
+    """Documents that the toxicity model rejects go; rows of a rejected doc_id and text go together. Null and empty texts
+    score as texts without evidence and stay, unless labels are toxic nearly throughout; a null doc_id is never labelled;
+    without labels of both classes every score is the share of toxic labels."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.clean(docs, model)
 
 
 @_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier line go; documents stay, if need be without text."""
-    return _sized(linededup.clean(docs, min_words=1))
+    """Lines that match an earlier line go; documents stay, if need be without text. A null text stays null, empty lines
+    stay; of equal lines the first by doc_id (null last), text and place stays."""
+    return _sized(linededup.clean(docs))
 
 
 @_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints, the document with the least doc_id stays; documents whose five-word shingles
-    are similar to an earlier document's go too."""
+    are similar to an earlier document's go too. Null, empty and blank texts are copies of each other. Of rows that repeat
+    a doc_id one stays; rows without a doc_id stay, if their group has no other."""
     return simhash.clean(docs, similar_shingle=5)
 
 
 @_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target weights: a document comes once for each pass over its source that takes words of it."""
+    """Sources in their target weights: a document comes once for each pass over its source that takes words of it. A null
+    source is the last of the sources; documents without words are taken by none; ties in doc_id go by size and text."""
     return _sized(mixing.mixed_documents(docs))
 
 
 @_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Batches of documents of like lengths."""
+    """Batches of documents of like lengths. A null text has length 0; ties in length stand in the order of a hash of
+    doc_id."""
     return packing.pack(docs)
 
 
