@@ -6,6 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from veldt import scratch
 from veldt.llm import embedding, linededup, lm_scoring, mixing, packing, quality, sharding, simhash, toxicity, warc
 
@@ -137,6 +138,26 @@ def test_embedding(spark):
     assert sorted((r["vec_id"], r["n_links"]) for r in embedding.near_duplicates(big).collect()) == [(1, 1), (2, 1), (3, 0)]
 
 
+def test_pipeline(spark, docs, none, sf):
+    """Every stage on rows of every kind, and on none."""
+    one, two = docs, none
+    for name, stage in corpus_pipeline.STAGES:
+        last = name == "packing"
+        one, two = (scratch.kept(stage(spark, x, sf), name) for x in (one, two))
+        assert two.count() == 0 and (last or one.columns == two.columns == docs.columns), name
+        ids = [r["doc_id"] for r in one.select("doc_id").collect()]
+        if name == "toxicity":
+            assert sorted(ids, key=str) == sorted((r[0] for r in ROWS), key=str)
+        if name == "line_dedup":
+            texts = {r["doc_id"]: r["text"] for r in one.collect()}
+            assert texts[6] == "" and texts[2] is None and texts[5] == LONG and texts[None].startswith("one")
+        if name == "simhash":
+            assert sorted(ids, key=str) == sorted([1, 2, 5, 7, None], key=str)
+        if name == "mixing":
+            assert set(ids) <= {1, 5, 7, None} and 5 in ids
+    assert one.where("n_tokens + padding <> boundary").count() == 0
+
+
 def test_held_out_rules(spark):
     df = spark.range(200).withColumnRenamed("id", "doc_id")
     got = {r[0]: (r[1], r[2]) for r in df.select("doc_id", lm_scoring.held_out(df["doc_id"]), toxicity.held_out(df["doc_id"])).collect()}
