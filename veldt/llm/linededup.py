@@ -9,7 +9,8 @@ Words become 64-bit keys that sort by rarity: a class of the word's frequency, c
 Lines of equal sets are joined into one. The rarest keys of each set, of which a match must share one (prefix filter),
 are dealt out by key; the shorter of two sets need deal out fewer. The join keeps pairs that pass the length filter, the
 positional filter, and a bound from parity sketches, which differ in at most as many bits as the sets do in words (64
-bits, 128 for sets of more than WIDE words). Pairs that are left are verified on the sets themselves.
+bits, 128 for sets of more than WIDE words). Pairs that are left must have enough of their dealt keys in common, and
+are then verified on the sets themselves.
 
 A set need only have one similar earlier set. So sets that have a neighbouring pair of dealt keys in common with many
 others first look at the earliest of these; if it is similar, the set is settled, and the join leaves out pairs whose
@@ -39,8 +40,8 @@ NUM, DEN = 4, 5
 #: Sets of so many words are similar to equal sets alone: n / (n + 1) is under NUM / DEN.
 ALIKE = NUM // (DEN - NUM) - 1
 BUCKET_BITS, KEY_BITS = 17, 53
-#: Sets of more words have sketches of twice the bits.
-WIDE = 48
+#: Sets of more words have sketches of twice the bits; of sets of more than WIDEST words sketches tell nothing.
+WIDE, WIDEST = 48, 512
 #: Neighbouring pairs of dealt keys, from the last, by which a set looks for the earliest set that has them.
 LOOK = 4
 #: So many sets that have a pair of keys in common are a crowd.
@@ -157,8 +158,8 @@ def _lines(docs: DataFrame, doc_id: str, text: str, cut: Lines, classes: Column,
     dealt = F.when(F.col("takes") & (n > ALIKE), n - F.floor((NUM * n + DEN - 1) / DEN).cast("int") + 1).otherwise(0)
     bit = lambda x: F.call_function("shiftleft", _long(1), x.bitwiseAND(_long(63)).cast("int"))
     high = lambda x: F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(_long(1)), x.bitwiseAND(_long(63)).cast("int"))
-    fold = F.aggregate("keys", _long(0), lambda s, x: s.bitwiseXOR(bit(x)))
-    half = F.when(n > WIDE, F.aggregate("keys", _long(0), lambda s, x: s.bitwiseXOR(high(x)))).otherwise(_long(0))
+    fold = F.when(n <= WIDEST, F.aggregate("keys", _long(0), lambda s, x: s.bitwiseXOR(bit(x)))).otherwise(_long(0))
+    half = F.when((n > WIDE) & (n <= WIDEST), F.aggregate("keys", _long(0), lambda s, x: s.bitwiseXOR(high(x)))).otherwise(_long(0))
     return rows.select(
         "doc_id", "h", "n_lines", "line", F.when(F.col("takes"), n).otherwise(0).alias("n"), F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(7), "keys").alias("s2"),
         fold.alias("fold"), half.alias("half"), F.transform(F.slice("keys", F.lit(1), dealt), lambda x: F.hash(x)).alias("prefix"),
@@ -170,7 +171,7 @@ def _near(a: dict, b: dict, least: Column) -> Column:
     both halves, one over the other."""
     whole, upper = a["fold"].bitwiseXOR(b["fold"]), a["half"].bitwiseXOR(b["half"])
     apart = F.when(least > WIDE, F.bit_count(whole.bitwiseXOR(upper)) + F.bit_count(upper)).otherwise(F.bit_count(whole))
-    return (NUM + DEN) * apart <= a["n"] + b["n"]
+    return (F.greatest(a["n"], b["n"]) > WIDEST) | ((NUM + DEN) * apart <= a["n"] + b["n"])
 
 
 class _Join:
@@ -216,13 +217,21 @@ class _Join:
         return scratch.kept(self.verified(self.near(scratch.kept(pairs.where("x < y").distinct(), "crowd_pairs"))), "settled")
 
     def near(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) that pass the length filter and the sketches."""
-        told = self.sets.select("sid", F.col("n").cast("long").alias("n"), "fold", "half")
+        """The pairs (x, y) that pass the length filter, the sketches, and the count of keys that both deal out: of two
+        prefixes, all keys of the one that ends first are in the other if they are in its set at all, and a set of n words
+        lacks at most n less the least overlap of them."""
+        told = self.sets.select("sid", F.col("n").cast("long").alias("n"), "fold", "half", "prefix")
+        names = ("n", "fold", "half", "prefix")
         for c in ("x", "y"):
-            pairs = told.withColumnsRenamed({k: f"{c}_{k}" for k in ("n", "fold", "half")}).withColumnRenamed("sid", c).join(if_small(pairs), c)
-        a, b = ({k: F.col(f"{c}_{k}") for k in ("n", "fold", "half")} for c in ("x", "y"))
-        least = F.least(a["n"], b["n"])
-        return scratch.kept(pairs.where((DEN * least >= NUM * F.greatest(a["n"], b["n"])) & _near(a, b, least)).select("x", "y"), "near_pairs")
+            pairs = told.withColumnsRenamed({k: f"{c}_{k}" for k in names}).withColumnRenamed("sid", c).join(if_small(pairs), c)
+        a, b = ({k: F.col(f"{c}_{k}") for k in names} for c in ("x", "y"))
+        least, need = F.least(a["n"], b["n"]), F.ceil(NUM * (a["n"] + b["n"]) / (NUM + DEN))
+        met = pairs.where((DEN * least >= NUM * F.greatest(a["n"], b["n"])) & _near(a, b, least))
+        shared = F.size(F.array_intersect(a["prefix"], b["prefix"]))
+        # Clashing hashes are one in a prefix: as many count as shared.
+        clash = sum((F.size(t["prefix"]) - F.size(F.array_distinct(t["prefix"])) for t in (a, b)), F.lit(0))
+        enough = shared + clash >= F.least(*[F.size(t["prefix"]) - (t["n"] - need) for t in (a, b)])
+        return scratch.kept(met.where(enough).select("x", "y"), "near_pairs")
 
     def candidates(self, settled: DataFrame) -> DataFrame:
         """(x, y): pairs of sets, x the earlier and y not settled, that share a dealt key and pass the filters."""
@@ -246,7 +255,7 @@ class _Join:
     def later(self) -> DataFrame:
         """(sid): sets that have a similar earlier one."""
         settled = self.settled()
-        pairs = scratch.kept(self.candidates(settled), "line_pairs")
+        pairs = self.near(scratch.kept(self.candidates(settled), "line_pairs"))
         return scratch.kept(settled.unionByName(self.verified(pairs)), "later_sets") if pairs.take(1) else settled
 
 
