@@ -222,8 +222,11 @@ class _Join:
         lacks at most n less the least overlap of them."""
         told = self.sets.select("sid", F.col("n").cast("long").alias("n"), "fold", "half", "prefix")
         names = ("n", "fold", "half", "prefix")
+        asked = pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).distinct()
+        # Prefixes of long sets are long: only numbers are broadcast, what is told of the sets is joined in shuffles.
+        told = scratch.kept(told.join(if_small(scratch.kept(asked, "asked")), "sid"), "asked_sets")
         for c in ("x", "y"):
-            pairs = told.withColumnsRenamed({k: f"{c}_{k}" for k in names}).withColumnRenamed("sid", c).join(if_small(pairs), c)
+            pairs = pairs.join(told.withColumnsRenamed({k: f"{c}_{k}" for k in names}).withColumnRenamed("sid", c).hint("merge"), c)
         a, b = ({k: F.col(f"{c}_{k}") for k in names} for c in ("x", "y"))
         least, need = F.least(a["n"], b["n"]), F.ceil(NUM * (a["n"] + b["n"]) / (NUM + DEN))
         met = pairs.where((DEN * least >= NUM * F.greatest(a["n"], b["n"])) & _near(a, b, least))
