@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldt import scratch
-from veldt.llm.texts import WORD, if_small, let, lower_ascii, words
+from veldt.llm.texts import if_small
 
 #: Similarity, as NUM / DEN.
 NUM, DEN = 4, 5
@@ -88,82 +88,49 @@ class Lines:
         """The words of a piece, with repeats."""
         return F.size(F.split(piece, " ", -1))
 
-    def each(self, docs: DataFrame, text: str) -> DataFrame:
-        """(w): the hashes of all words."""
+    def buckets(self, docs: DataFrame, text: str) -> DataFrame:
+        """(bucket, n): how many words fall into each hashed bucket."""
         ws = F.split(F.replace(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit("\n"), F.lit(" ")), " ", -1)
-        return docs.select(F.explode(ws).alias("w")).select(F.xxhash64("w").alias("w"))
-
-
-class Shingles(Lines):
-    """A text as one set: its shingles of so many words, A-Z in lower case; a shorter text is one shingle."""
-
-    def __init__(self, n: int) -> None:
-        self.n = n
-
-    def pieces(self, text: Column) -> Column:
-        return F.array(F.coalesce(text.cast("string"), F.lit("")))
-
-    def ready(self, piece: Column) -> Column:
-        return piece
-
-    def takes(self, piece: Column) -> Column:
-        return piece.rlike(WORD)
-
-    def count(self, text: Column) -> Column:
-        return _long(1)
-
-    def hashes(self, piece: Column) -> Column:
-        each = lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - self.n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(ws, i, self.n)))
-        return let(words(lower_ascii(piece)), lambda ws: F.when(F.size(ws) > 0, each(ws)).otherwise(F.array(F.xxhash64(F.lit("")))))
-
-    def keys(self, piece: Column, key: Callable[[Column], Column]) -> Column:
-        return F.transform(F.array_distinct(self.hashes(piece)), key)
-
-    def size(self, piece: Column) -> Column:
-        return F.size(self.hashes(piece))
-
-    def each(self, docs: DataFrame, text: str) -> DataFrame:
-        return docs.select(F.explode(self.hashes(F.col(text).cast("string"))).alias("w"))
-
-
-def rarity(each: DataFrame) -> Column:
-    """An array: for each bucket of words, a class that grows with how often they stand in ``each`` (w)."""
-    counts = each.groupBy(F.col("w").bitwiseAND((1 << BUCKET_BITS) - 1).alias("bucket")).agg(F.count("*").alias("n"))
-    every = each.sparkSession.range(1 << BUCKET_BITS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left")
+        each = docs.select(F.explode(ws).alias("w")).select(F.xxhash64("w").bitwiseAND((1 << BUCKET_BITS) - 1).alias("bucket"))
+        return each.groupBy("bucket").agg(F.count("*").alias("n"))
+
+    def keyed(self, pieces: DataFrame, classes: list[int], *keep: str) -> DataFrame:
+        """The columns ``keep`` of ``pieces``, and keys: the set of words of its column piece (made ready), rarest first."""
+        # As JSON, so that the optimizer makes it one literal: as a column, every row would hold a copy.
+        told = F.from_json(F.lit(str(classes)), "array<tinyint>")
+        mask, low = _long((1 << BUCKET_BITS) - 1), _long((1 << KEY_BITS) - 1)
+        key = lambda x: F.shiftleft(F.get(told, x.bitwiseAND(mask).cast("int")).cast("long"), KEY_BITS).bitwiseOR(x.bitwiseAND(low))
+        return pieces.select(*keep, F.sort_array(self.keys(F.col("piece"), key)).alias("keys"))
+
+    def sets(self, docs: DataFrame, doc_id: str, text: str, classes: list[int], min_words: int) -> DataFrame:
+        """A row for each line: doc_id, h, n_lines, line, and what is known of it, n being 0 where it takes no part. The
+        prefix holds 32-bit hashes of keys: clashes only add candidates. Lines are rows here, not arrays of a text, so that
+        all but what is done to each word is compiled."""
+        texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), self.count(F.col(text)).alias("n_lines"), self.pieces(F.col(text)).alias("ls"))
+        rows = texts.select("doc_id", "h", "n_lines", F.posexplode("ls").alias("line", "raw")).withColumn("piece", self.ready(F.col("raw")))
+        takes = self.takes(F.col("piece"))
+        if min_words > 1:
+            takes &= self.size(F.col("piece")) >= min_words
+        rows = self.keyed(rows.withColumn("takes", takes), classes, "doc_id", "h", "n_lines", "line", "takes").withColumn("n", F.size("keys"))
+        n = F.col("n")
+        dealt = F.when(F.col("takes") & (n > ALIKE), n - F.floor((NUM * n + DEN - 1) / DEN).cast("int") + 1).otherwise(0)
+        bit = lambda x: F.call_function("shiftleft", _long(1), x.bitwiseAND(_long(63)).cast("int"))
+        high = lambda x: F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(_long(1)), x.bitwiseAND(_long(63)).cast("int"))
+        fold = F.when(n <= WIDEST, F.aggregate("keys", _long(0), lambda s, x: s.bitwiseXOR(bit(x)))).otherwise(_long(0))
+        half = F.when((n > WIDE) & (n <= WIDEST), F.aggregate("keys", _long(0), lambda s, x: s.bitwiseXOR(high(x)))).otherwise(_long(0))
+        return rows.select(
+            "doc_id", "h", "n_lines", "line", F.when(F.col("takes"), n).otherwise(0).alias("n"), F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(7), "keys").alias("s2"),
+            fold.alias("fold"), half.alias("half"), F.transform(F.slice("keys", F.lit(1), dealt), lambda x: F.hash(x)).alias("prefix"),
+        )
+
+
+def rarity(counts: DataFrame) -> list[int]:
+    """For each bucket of words, a class that grows with how many ``counts`` (bucket, n) has of them."""
+    every = counts.sparkSession.range(1 << BUCKET_BITS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left")
     told = every.select("bucket", F.least(F.floor(3 * F.log2(F.coalesce("n", F.lit(0)) + 1)), F.lit(127)).alias("class"))
     # One task sorts 2**17 numbers, whatever the table's size.
     packed = told.agg(F.sort_array(F.collect_list(F.col("bucket") * 128 + F.col("class"))).alias("all")).first()[0]
-    # As JSON, so that the optimizer makes it one literal: as a column, every row would hold a copy.
-    return F.from_json(F.lit(str([x % 128 for x in packed])), "array<tinyint>")
-
-
-def _keyed(pieces: DataFrame, cut: Lines, classes: Column, *keep: str) -> DataFrame:
-    """The columns ``keep`` of ``pieces``, and keys: the set of words of its column piece (made ready), rarest first."""
-    mask, low = _long((1 << BUCKET_BITS) - 1), _long((1 << KEY_BITS) - 1)
-    key = lambda x: F.shiftleft(F.get(classes, x.bitwiseAND(mask).cast("int")).cast("long"), KEY_BITS).bitwiseOR(x.bitwiseAND(low))
-    return pieces.select(*keep, F.sort_array(cut.keys(F.col("piece"), key)).alias("keys"))
-
-
-def _lines(docs: DataFrame, doc_id: str, text: str, cut: Lines, classes: Column, min_words: int) -> DataFrame:
-    """A row for each line: doc_id, h, n_lines, line, and what is known of it, n being 0 where it takes no part. The
-    prefix holds 32-bit hashes of keys: clashes only add candidates. Lines are rows here, not arrays of a text, so that
-    all but what is done to each word is compiled."""
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), cut.count(F.col(text)).alias("n_lines"), cut.pieces(F.col(text)).alias("ls"))
-    rows = texts.select("doc_id", "h", "n_lines", F.posexplode("ls").alias("line", "raw")).withColumn("piece", cut.ready(F.col("raw")))
-    takes = cut.takes(F.col("piece"))
-    if min_words > 1:
-        takes &= cut.size(F.col("piece")) >= min_words
-    rows = _keyed(rows.withColumn("takes", takes), cut, classes, "doc_id", "h", "n_lines", "line", "takes").withColumn("n", F.size("keys"))
-    n = F.col("n")
-    dealt = F.when(F.col("takes") & (n > ALIKE), n - F.floor((NUM * n + DEN - 1) / DEN).cast("int") + 1).otherwise(0)
-    bit = lambda x: F.call_function("shiftleft", _long(1), x.bitwiseAND(_long(63)).cast("int"))
-    high = lambda x: F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(_long(1)), x.bitwiseAND(_long(63)).cast("int"))
-    fold = F.when(n <= WIDEST, F.aggregate("keys", _long(0), lambda s, x: s.bitwiseXOR(bit(x)))).otherwise(_long(0))
-    half = F.when((n > WIDE) & (n <= WIDEST), F.aggregate("keys", _long(0), lambda s, x: s.bitwiseXOR(high(x)))).otherwise(_long(0))
-    return rows.select(
-        "doc_id", "h", "n_lines", "line", F.when(F.col("takes"), n).otherwise(0).alias("n"), F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(7), "keys").alias("s2"),
-        fold.alias("fold"), half.alias("half"), F.transform(F.slice("keys", F.lit(1), dealt), lambda x: F.hash(x)).alias("prefix"),
-    )
+    return [x % 128 for x in packed]
 
 
 def _near(a: dict, b: dict, least: Column) -> Column:
@@ -177,7 +144,7 @@ def _near(a: dict, b: dict, least: Column) -> Column:
 class _Join:
     """The similar pairs among ``sets``, whose words are read again from the documents."""
 
-    def __init__(self, sets: DataFrame, docs: DataFrame, doc_id: str, text: str, cut: Lines, classes: Column) -> None:
+    def __init__(self, sets: DataFrame, docs: DataFrame, doc_id: str, text: str, cut: Lines, classes: list[int]) -> None:
         self.sets, self.cut, self.classes = sets, cut, classes
         self.docs = docs.select(F.col(doc_id).alias("d0"), F.xxhash64(F.col(text)).alias("h0"), F.col(text).alias("text"))
 
@@ -188,7 +155,7 @@ class _Join:
         met = self.docs.join(if_small(spots), F.col("d0").eqNullSafe(F.col("d")) & (F.col("h0") == F.col("h")))
         spot = F.transform("spots", lambda x: F.struct(x["sid"].alias("sid"), F.get("ls", x["line"]).alias("raw")))
         pieces = met.select(self.cut.pieces(F.col("text")).alias("ls"), "spots").select(F.explode(spot).alias("s")).select("s.sid", self.cut.ready(F.col("s.raw")).alias("piece"))
-        return scratch.kept(_keyed(pieces, self.cut, self.classes, "sid"), "known")
+        return scratch.kept(self.cut.keyed(pieces, self.classes, "sid"), "known")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(sid): the later sets of those pairs (x, y) that are similar."""
@@ -266,8 +233,8 @@ def matched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wor
     """(doc_id, h, n_lines, removed), a row for each row of ``docs``: removed lists the lines that are later matches,
     from 0; h is the text's hash. ``cut`` says how a text becomes sets of words: by lines, if not given."""
     cut = cut or Lines()
-    classes = rarity(cut.each(docs, text))
-    held = scratch.kept(_lines(docs, doc_id, text, cut, classes, min_words), "lines")
+    classes = rarity(cut.buckets(docs, text))
+    held = scratch.kept(cut.sets(docs, doc_id, text, classes, min_words), "lines")
     lines = held.where("n > 0")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("raw"), F.col("h").alias("h"), F.col("line").alias("line"))
     sets = lines.groupBy("s1", "s2").agg(F.min(place).alias("f"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "fold", "half", "prefix")])

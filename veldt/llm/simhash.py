@@ -15,7 +15,7 @@ Documents are first reduced to distinct fingerprints, so copies cost nothing her
 
 Fingerprints miss most texts of a true similarity near 0.8. ``clean`` can also take out those whose sets of shingles
 have a Jaccard similarity of at least 4/5 with an earlier text's: the exact join of line dedup, a text being one line
-and its shingles the words.
+and its shingles the words. Shingles are told apart by 53 bits of hash and a frequency class.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; a text of fewer words
 than a shingle is one shingle; repeated rows come back each; a null doc_id never names a component unless its
@@ -25,12 +25,13 @@ rows; clashing extra columns are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veldt import scratch
 from veldt.llm import linededup
@@ -42,6 +43,8 @@ SHINGLE, RADIUS, SEED = 3, 3, 42
 DENSE = 64
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
 CHUNK = 200_000
+#: Words whose hashes a task remembers, and the odd number by which hashes are mixed.
+REMEMBERED, MULTIPLIER = 1_000_000, np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -126,9 +129,122 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return known.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+class _Hashes(dict):
+    """Words' hashes, computed once for each word; a bounded number of them is remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) >= REMEMBERED:
+            self.clear()
+        out = self[word] = xxh64_intdigest(word, SEED)
+        return out
+
+
+def shingle_hashes(text: bytes | None, shingle: int, hashes: dict[bytes, int]) -> np.ndarray:
+    """A 64-bit hash of each shingle of a text in UTF-8, A-Z in lower case, with repeats; one where there are fewer words
+    than a shingle has, none where there are no words. A shingle's hash is a polynomial of its words' hashes, mixed."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    each = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(words) - shingle + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(min(shingle, len(words))):
+        out = out * MULTIPLIER + each[i : i + n]
+    return (out ^ (out >> np.uint64(31))) * MULTIPLIER
+
+
+class Shingles(linededup.Lines):
+    """A text as one set: its different shingles. Arrow functions read the texts, once for the rarity of shingles, once for
+    the sets and once for those sets that are verified."""
+
+    def __init__(self, shingle: int) -> None:
+        self.shingle = shingle
+
+    def pieces(self, text: Column) -> Column:
+        return F.array(F.coalesce(text.cast("string"), F.lit("")))
+
+    def ready(self, piece: Column) -> Column:
+        return piece
+
+    def buckets(self, docs: DataFrame, text: str) -> DataFrame:
+        shingle = self.shingle
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts, hashes = np.zeros(1 << linededup.BUCKET_BITS, np.int64), _Hashes()
+            for b in batches:
+                for t in b.column(0).cast(pa.binary()).to_pylist():
+                    at = shingle_hashes(t, shingle, hashes) & np.uint64(len(counts) - 1)
+                    np.add.at(counts, at.astype(np.int64), 1)
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
+
+        short_batches(docs.sparkSession)
+        return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+    def _keys(self, classes: list[int]) -> Callable[[bytes | None, dict[bytes, int]], np.ndarray]:
+        told, shingle, bits = bytes(classes), self.shingle, linededup.KEY_BITS
+
+        def keys(text: bytes | None, hashes: dict[bytes, int]) -> np.ndarray:
+            hs = shingle_hashes(text, shingle, hashes)
+            rank = np.frombuffer(told, np.uint8)[(hs & np.uint64(len(told) - 1)).astype(np.int64)]
+            return np.unique(rank.astype(np.int64) << bits | (hs & np.uint64((1 << bits) - 1)).astype(np.int64))
+
+        return keys
+
+    def keyed(self, pieces: DataFrame, classes: list[int], *keep: str) -> DataFrame:
+        keys = self._keys(classes)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = _Hashes()
+            for b in batches:
+                sets = [keys(t, hashes) for t in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(sets, np.int64)], names=[*keep, "keys"])
+
+        short_batches(pieces.sparkSession)
+        rows = pieces.select(*keep, F.col("piece").cast("string").alias("piece"))
+        return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("keys", T.ArrayType(T.LongType()))]))
+
+    def sets(self, docs: DataFrame, doc_id: str, text: str, classes: list[int], min_words: int) -> DataFrame:
+        keys, (num, den) = self._keys(classes), (linededup.NUM, linededup.DEN)
+
+        def told(text: bytes | None, hashes: dict[bytes, int]) -> tuple[int, int, int, int, int, np.ndarray]:
+            ks = keys(text, hashes)
+            n, raw = len(ks), ks.tobytes()
+            dealt = n - -(-num * n // den) + 1 if n > linededup.ALIKE else 0
+            fold, half = 0, 0
+            if 0 < n <= linededup.WIDEST:
+                bits = np.bincount(ks & 63, minlength=64), np.bincount(ks & 63, weights=ks >> 6 & 1, minlength=64).astype(np.int64)
+                fold, half = (sum(1 << i for i in np.flatnonzero(x & 1).tolist()) for x in bits)
+            prefix = (ks[:dealt].view(np.uint64) * MULTIPLIER >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            return n, xxh64_intdigest(raw, 1), xxh64_intdigest(raw, 2), fold, half if n > linededup.WIDE else 0, prefix
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = _Hashes()
+            for b in batches:
+                n, *longs, prefix = zip(*[told(t, hashes) for t in b.column(2).cast(pa.binary()).to_pylist()], strict=True) if b.num_rows else ((),) * 6
+                one, none = np.ones(len(n), np.int64), np.zeros(len(n), np.int32)
+                values = [pa.array(one), pa.array(none), pa.array(n, pa.int32()), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in longs], _lists(prefix, np.int32)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *values], names=["doc_id", "h", "n_lines", "line", "n", "s1", "s2", "fold", "half", "prefix"])
+
+        from xxhash import xxh64_intdigest
+
+        short_batches(docs.sparkSession)
+        rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).cast("string").alias("text"))
+        longs = [T.StructField(c, T.LongType()) for c in ("s1", "s2", "fold", "half")]
+        counts = [T.StructField("n_lines", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("n", T.IntegerType())]
+        return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *counts, *longs, T.StructField("prefix", T.ArrayType(T.IntegerType()))]))
+
+
+def _lists(arrays: Sequence[np.ndarray], kind: type) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if len(arrays) else np.empty(0, kind), pa.from_numpy_dtype(kind)))
+
+
 def similar(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, h): documents whose shingles are similar to an earlier one's; h is the hash of their text."""
-    return linededup.matched(docs, doc_id, text, cut=linededup.Shingles(shingle)).where("size(removed) > 0").select("doc_id", "h").distinct()
+    return linededup.matched(docs, doc_id, text, cut=Shingles(shingle)).where("size(removed) > 0").select("doc_id", "h").distinct()
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar_shingle: int | None = None) -> DataFrame:
