@@ -409,6 +409,20 @@ def test_pipeline(spark, sf):
     assert sorted(b.n_tokens) == sorted(size(a))
 
 
+def test_shingle_hashes(monkeypatch):
+    """As many different hashes as shingles, whatever the white space, the case or how many words are remembered."""
+    rng = random.Random(5)
+    for n in (0, 1, 4, 5, 6, 300):
+        ws = [f"W{rng.randrange(4)}" for _ in range(n)]
+        got = simhash.shingle_hashes(" ".join(ws).encode(), 5, simhash._Hashes())
+        assert len(got) == (max(1, n - 4) if n else 0)
+        assert len(set(got.tolist())) == (len({tuple(ws[i : i + 5]) for i in range(max(1, n - 4))}) if n else 0)
+        monkeypatch.setattr(simhash, "REMEMBERED", 2)
+        assert got.tolist() == simhash.shingle_hashes(" \t\n".join(ws).lower().encode(), 5, simhash._Hashes()).tolist()
+        monkeypatch.undo()
+    assert len(simhash.shingle_hashes(None, 5, simhash._Hashes())) == 0
+
+
 def test_near_copies_by_shingles(spark, sf):
     """The stage finds texts of similar shingles that fingerprints keep apart."""
     rng = random.Random(8)
