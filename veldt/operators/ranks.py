@@ -61,15 +61,20 @@ def positions(df: DataFrame, by: list[str], order: list[str], n_buckets: int, na
     return placed.where("_light").drop("_light", "_w").unionByName(many.drop("_id", "_first", "_nth", "_w", "_w1"))
 
 
-def ranks(values: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """(value, rank): the different values that aren't null, numbered from 0 in their order."""
-    some = values.select(value).where(F.col(value).isNotNull()).distinct()
-    put = scratch.kept(some.repartitionByRange(value).sortWithinPartitions(value).withColumn("_id", F.monotonically_increasing_id()), "ranks")
-    # As many rows as the sort has partitions.
+def placed(df: DataFrame, order: list[Column], name: str = "place", start: int = 0) -> DataFrame:
+    """Add ``name``: the gapless place of each row in one order over the whole table, without a window over all rows:
+    range partitions are sorted and numbered each on its own, and the counts before them, a number for each partition,
+    are added. Rows that agree in all of ``order`` share their places in any order."""
+    put = scratch.kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "placed")
     counts = sorted((r["p"], r["n"]) for r in put.groupBy(F.shiftright("_id", 33).alias("p")).agg(F.count("*").alias("n")).collect())
-    before, at = [], 0
+    before, at = [], start
     for p, n in counts:
         before.append((p, at))
         at += n
-    offsets = values.sparkSession.createDataFrame(before, "_p long, _off long")
-    return put.join(F.broadcast(offsets), F.shiftright("_id", 33) == F.col("_p")).select(value, (F.col("_off") + F.col("_id").bitwiseAND((1 << 33) - 1)).alias(name))
+    offsets = df.sparkSession.createDataFrame(before, "_p long, _off long")
+    return put.join(F.broadcast(offsets), F.shiftright("_id", 33) == F.col("_p")).withColumn(name, F.col("_off") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_p", "_off", "_id")
+
+
+def ranks(values: DataFrame, value: str, name: str = "rank") -> DataFrame:
+    """(value, rank): the different values that aren't null, numbered from 0 in their order."""
+    return placed(values.select(value).where(F.col(value).isNotNull()).distinct(), [F.col(value)], name)
