@@ -369,7 +369,7 @@ def test_oracles(spark, sf):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, text in queries.SQL.items():
         df = queries.QUERIES[name](spark, sf)
