@@ -445,6 +445,31 @@ def test_near_copies_by_shingles(spark, sf):
     assert any(comp[i] == i for i in late)
 
 
+def test_clean_of_repeated_ids(spark):
+    """Unlike texts of one doc_id are documents of their own: one row of each group stays, whatever its doc_id."""
+    rng = random.Random(4)
+    a, b = (" ".join(f"w{rng.randrange(900)}" for _ in range(80)) for _ in range(2))
+    got = simhash.clean(spark.createDataFrame([(1, a, "", "", 0), (5, a, "", "", 0), (5, b, "", "", 0)], SCHEMA))
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(1, a), (5, b)]
+    base = [" ".join(f"w{rng.randrange(2000)}" for _ in range(rng.choice([0, 2, 50, 300]))) for _ in range(25)]
+    texts = base + [t + " more" for t in base if t] + [None]
+    rows = [(rng.choice([None, *range(12)]), rng.choice(texts), "en", rng.choice("pq"), 0) for _ in range(160)]
+    fp = [simhash.fingerprint((r[1] or "").encode()) for r in rows]
+    comp = components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 3])
+    want = []
+    for c in set(comp):
+        group = [rows[i] for i in range(len(rows)) if comp[i] == c]
+        ids = [r[0] for r in group if r[0] is not None]
+        want.append((min(ids) if ids else None, {r[1] for r in group if r[0] == (min(ids) if ids else None)}))
+    for layout in (2, 7):
+        got = simhash.clean(spark.createDataFrame(rows, SCHEMA).repartition(layout)).collect()
+        assert len(got) == len(want) and all(tuple(r) in rows for r in got)
+        left = [(r["doc_id"], r["text"]) for r in got]
+        assert all(any(d == i and t in some for d, t in left) for i, some in want)
+        last = sorted(map(str, got)) if layout == 2 else last
+        assert sorted(map(str, got)) == last
+
+
 def test_measures(spark, sf, texts):
     for r in quality.judge(documents(spark, sf)).collect():
         t = texts[r["doc_id"]]

@@ -68,15 +68,16 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp holds the fingerprint's bits as a signed long."""
+    """(doc_id, h, fp): fp holds the fingerprint's bits as a signed long, h a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "h", "fp"])
 
     short_batches(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text)).alias("h"))
+    return rows.mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def _ball(bits: int, radius: int) -> list[int]:
@@ -120,13 +121,18 @@ def _by(*cols: str):
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, dense: int = DENSE) -> DataFrame:
     """(doc_id, fp, component_id), a row for each row of ``docs``."""
+    return _grouped(docs, doc_id, text, shingle, dense).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE, dense: int = DENSE) -> DataFrame:
+    """(doc_id, h, fp, component, component_id): component is the group's least fingerprint."""
     known = scratch.kept(fingerprints(docs, doc_id, text, shingle), "fingerprints")
     fps = scratch.kept(known.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct_fingerprints")
     groups = connected_components(links(fps.select("fp"), dense))
     named = fps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component_id")
-    return known.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = named.join(least, "component").select("fp", "component", "component_id")
+    return known.join(named, "fp").select("doc_id", "h", "fp", "component", "component_id")
 
 
 class _Hashes(dict):
@@ -248,18 +254,25 @@ def similar(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar_shingle: int | None = None) -> DataFrame:
-    """``docs`` without all but one document of each group: the one with the least doc_id stays, once where its row is
-    repeated. Rows without a doc_id stay, if their group has no other. With ``similar_shingle``, texts similar to an
-    earlier one by shingles of so many words go too."""
-    found = near_duplicates(docs, doc_id, text)
-    gone = scratch.kept(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "copies")
-    out = docs.join(if_small(gone), F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+    """``docs`` without all but one document of each group: the one with the least doc_id stays (null last; where unlike
+    texts of a group share it, the one whose text has the least hash), once where its row is repeated. Documents are told
+    by doc_id and text, so unlike texts of one doc_id are decided each on its own. With ``similar_shingle``, texts similar
+    to an earlier one by shingles of so many words go too."""
+    found = scratch.kept(_grouped(docs, doc_id, text).groupBy("component", "component_id", "doc_id", "h").agg(F.count("*").alias("n")), "groups")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    stays = found.where(first).groupBy(F.col("component").alias("_c")).agg(F.min("h").alias("_stays"))
+    marked = found.join(stays, F.col("component") == F.col("_c"))
+    gone = scratch.kept(marked.where(~first | (F.col("h") != F.col("_stays"))).select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")), "copies")
+    same = lambda key: F.col(doc_id).eqNullSafe(F.col(key)) & (F.xxhash64(F.col(text)) == F.col("_h"))
+    out = docs.join(if_small(gone), same("_gone"), "left_anti")
     if similar_shingle is not None:
         late = scratch.kept(similar(docs, similar_shingle, doc_id, text).select(F.col("doc_id").alias("_late"), F.col("h").alias("_h")), "similar")
-        out = out.join(if_small(late), F.col(doc_id).eqNullSafe(F.col("_late")) & (F.xxhash64(F.col(text)) == F.col("_h")), "left_anti")
-    twice = scratch.kept(docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_twice")).count().where("count > 1").select("_twice"), "repeated")
+        out = out.join(if_small(late), same("_late"), "left_anti")
+    twice = scratch.kept(marked.where(first & (F.col("h") == F.col("_stays")) & (F.col("n") > 1)).select(F.col("doc_id").alias("_twice"), F.col("h").alias("_h")), "repeated")
     if not twice.take(1):
         return out
-    some = if_small(twice)
-    once = out.join(some, F.col(doc_id) == F.col("_twice"), "left_semi").dropDuplicates([doc_id])
-    return out.join(some, F.col(doc_id) == F.col("_twice"), "left_anti").unionByName(once)
+    # Of rows that agree in doc_id and text, the one with the least hash of all its columns.
+    some, row = if_small(twice), F.struct(*[F.col(c) for c in docs.columns])
+    many = out.join(some, same("_twice"), "left_semi")
+    once = many.groupBy(F.col(doc_id), F.xxhash64(F.col(text))).agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
+    return out.join(some, same("_twice"), "left_anti").unionByName(once)
