@@ -54,9 +54,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints, the document with the least doc_id stays; documents whose five-word shingles
-    are similar to an earlier document's go too. Null, empty and blank texts are copies of each other. Of rows that repeat
-    a doc_id one stays; rows without a doc_id stay, if their group has no other."""
+    """Of each group of linked fingerprints, the document with the least doc_id stays (null last, then the least hash of
+    the text); documents whose five-word shingles are similar to an earlier document's go too. Null, empty and blank texts
+    are copies of each other. Rows that repeat a doc_id with unlike texts are documents of their own; of rows that repeat
+    both one stays."""
     return simhash.clean(docs, similar_shingle=5)
 
 
