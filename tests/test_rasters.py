@@ -6,7 +6,7 @@ import sqlite3
 import numpy as np
 import pytest
 
-from veldt import cli
+from veldt import cli, scratch
 from veldt.operators import validation
 from veldt.operators.change import AnalysisError
 from veldt.plans import request as requests
@@ -80,7 +80,10 @@ def square(x0, y0, x1, y1):
 
 def test_areas_of_interest(spark, tmp_path):
     """Overlapping polygons are one area, multipolygons are all their parts, holes are out; clips are exact."""
-    from veldt.operators import raster
+    from veldt.operators import overlay
+
+    def area(pixels, edges):
+        return overlay.measures(overlay.boundary(scratch.kept(overlay.clip(overlay.runs(pixels), edges), "clipped")))
 
     hole = [square(0, 0, 9, 9), square(2, 2, 5, 5)[::-1]]
     cases = {
@@ -93,14 +96,12 @@ def test_areas_of_interest(spark, tmp_path):
         (tmp_path / name).write_text(json.dumps(shape))
         polygons = vectors.polygons(spark, str(tmp_path / name))
         edges = vectors.edges(spark, polygons)
-        assert raster.inside_polygon(px, edges).count() == n
-        if name != "overlap":
-            cut = raster.clipped_area(px.selectExpr("1 label", "row", "col"), edges, 100.0).first()
-            assert cut["area_m2"] == pytest.approx(100.0 * n)
+        assert overlay.inside(px, edges).count() == n
+        assert area(px.selectExpr("1 label", "row", "col"), edges).first()["area_m2"] == pytest.approx(n)
     tilted = vectors.edges(spark, [[[(0.5, 0.5), (7.25, 1.0), (3.0, 8.5)]]])
     twice = abs((7.25 - 0.5) * (8.5 - 0.5) - (3.0 - 0.5) * (1.0 - 0.5))
-    assert raster.clipped_area(px.selectExpr("int(col >= 4) label", "row", "col"), tilted, 1.0).agg({"area_m2": "sum"}).first()[0] == pytest.approx(twice / 2)
-    assert raster.clipped_area(px.where("col > 12").selectExpr("1 label", "row", "col"), tilted, 1.0).count() == 0
+    assert area(px.selectExpr("int(col >= 4) label", "row", "col"), tilted).agg({"area_m2": "sum"}).first()[0] == pytest.approx(twice / 2)
+    assert area(px.where("col > 12").selectExpr("1 label", "row", "col"), tilted).count() == 0
     assert vectors.meets_box([[[(0, 0), (9, 0), (9, 9)]]], (4, 1, 5, 2)) and not vectors.meets_box([[[(0, 0), (9, 0), (9, 9)]]], (0, 5, 2, 9))
     assert vectors.crosses_itself([(0, 0), (2, 2), (2, 0), (0, 2)]) and not vectors.crosses_itself([(0, 0), (2, 0), (2, 2), (0, 2)])
     for text, code in (("{", "aoi_unreadable"), ('{"type": "FeatureCollection", "features": []}', "aoi_empty")):
@@ -164,10 +165,7 @@ def test_request_round_trip():
         requests.from_config({"paths": {"aoi": "x", "before_folder": "a", "after_folder": "b"}, "spatial_ml": {"model": "hdbscan"}})
 
 
-def test_trace_and_atomic(tmp_path):
-    ring = {(r, c) for r in range(3) for c in range(3)} - {(1, 1)}
-    wkb = files.trace(ring, Grid(3, 3, 1.0, 0.0, -1.0, 0.0))
-    assert wkb[1:5] == b"\x03\0\0\0" and wkb[5] == 2
+def test_atomic(tmp_path):
     with pytest.raises(RuntimeError), files.atomic(tmp_path / "x"):
         raise RuntimeError
     assert not list(tmp_path.iterdir())

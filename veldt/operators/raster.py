@@ -121,36 +121,3 @@ def resample_bilinear(df: DataFrame, value: str, dx: float, dy: float) -> DataFr
     to = F.explode(F.array(*[F.struct((F.col("row") - i).cast("int").alias("row"), (F.col("col") - j).cast("int").alias("col"), F.lit(w).alias("w")) for i, j, w in steps]))
     spread = df.select(F.col(value).alias("v"), to.alias("t")).select("v", "t.*").where(F.col("v").isNotNull())
     return spread.groupBy("row", "col").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias(value))
-
-
-def inside_polygon(df: DataFrame, edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """Rows whose point is inside any of the polygons given by their sides (part, x1, y1, x2, y2).
-
-    The sides' crossings of each distinct y, in order, bound the intervals that are inside; a point meets those of its
-    own y alone."""
-    lines = df.select(F.col(y).alias("_y")).distinct()
-    span = edges.select("*", F.least("y1", "y2").alias("lo"), F.greatest("y1", "y2").alias("hi"))
-    met = lines.join(F.broadcast(span), (F.col("_y") >= F.col("lo")) & (F.col("_y") < F.col("hi")))
-    at = F.col("x1") + (F.col("_y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    rows = met.groupBy("_y", "part").agg(F.array_sort(F.collect_list(at)).alias("_cross"))
-    ends = rows.select("_y", "_cross", F.posexplode("_cross").alias("_i", "_from")).where("_i % 2 = 0").select("_y", "_from", F.get("_cross", F.col("_i") + 1).alias("_to"))
-    return df.join(ends, (F.col(y) == F.col("_y")) & (F.col(x) >= F.col("_from")) & (F.col(x) < F.col("_to")), "left_semi")
-
-
-def clipped_area(labels: DataFrame, edges: DataFrame, pixel_area: float) -> DataFrame:
-    """(label, area_m2): what polygons leave of each component, those of which nothing is left being gone. Sides (part,
-    x1, y1, x2, y2) are in pixels, outer rings one way round and holes the other; polygons are taken as apart.
-
-    A pixel's share of a polygon is the sum, over the sides that cross its row, of the side's mean place in the pixel's
-    columns (held between its left and right end) times the height crossed: Green's theorem, pixel by pixel."""
-    lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
-    rows = edges.where("y1 <> y2").withColumn("row", F.explode(F.sequence(F.floor(lo).cast("int"), F.ceil(hi).cast("int") - 1)))
-    met = labels.select("label", "row", "col").join(rows, "row")
-    top, end = F.greatest(lo, F.col("row").cast("double")), F.least(hi, F.col("row") + 1.0)
-    at = lambda y: F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")) - F.col("col")
-    whole = lambda t: F.when(t <= 0, 0.0).when(t < 1, t * t / 2).otherwise(t - 0.5)
-    u, v = at(top), at(end)
-    mean = F.when(F.abs(v - u) > 1e-9, (whole(v) - whole(u)) / (v - u)).otherwise(F.least(F.greatest(u, F.lit(0.0)), F.lit(1.0)))
-    share = met.groupBy("label", "row", "col", "part").agg(F.abs(F.sum(F.signum(F.col("y2") - F.col("y1")) * (end - top) * mean)).alias("share"))
-    share = share.groupBy("label", "row", "col").agg(F.least(F.sum("share"), F.lit(1.0)).alias("share"))
-    return share.groupBy("label").agg((F.sum("share") * F.lit(pixel_area)).alias("area_m2")).where("area_m2 > 1e-9")

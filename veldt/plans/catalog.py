@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from veldt import scratch
 from veldt.functions.quantiles import quantiles
-from veldt.operators import cells, change, features, ml, radiometry, raster
-from veldt.plans.oracles import K, sql
-from veldt.sources import discovery, pixels
+from veldt.operators import cells, change, features, ml, overlay, radiometry, raster
+from veldt.plans.oracles import K, ROOK, sql
+from veldt.sources import discovery, pixels, vectors
 from veldt.sources.pixels import BANDS, PIXEL_M
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,9 +196,10 @@ def valid_mask(spark, sf):
 AOI = [(0.055, 0.032), (0.951, 0.071), (0.913, 0.934), (0.027, 0.887)]
 
 
-def _aoi(height: int):
-    ring = [(x * 100, y * height) for x, y in AOI]
-    return [(*a, *b) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+def _edges(spark, sf, polygons: list):
+    """Sides of polygons whose points are shares of the frame's width and height."""
+    h = pixels.height(pixels.frame(spark, sf))
+    return vectors.edges(spark, [[[(x * 100, y * h) for x, y in ring] for ring in rings] for rings in polygons])
 
 
 _RING = " union all ".join(f"select {a[0] * 100}e0 x1, {a[1]}e0 * h y1, {b[0] * 100}e0 x2, {b[1]}e0 * h y2 from dims" for a, b in zip(AOI, AOI[1:] + AOI[:1], strict=True))
@@ -206,9 +207,8 @@ _RING = " union all ".join(f"select {a[0] * 100}e0 x1, {a[1]}e0 * h y1, {b[0] *
 
 @query(sql(f"select pid, (select count(*) from ({_RING}) e where (r + 0.5e0) >= least(y1, y2) and (r + 0.5e0) < greatest(y1, y2) and x1 + ((r + 0.5e0) - y1) * (x2 - x1) / (y2 - y1) > c + 0.5e0) % 2 = 1 in_aoi from px0"))
 def aoi_rasterize(spark, sf):
-    f = pixels.frame(spark, sf).select("pid", (F.col("col") + 0.5).alias("x"), (F.col("row") + 0.5).alias("y"))
-    edges = spark.createDataFrame(_aoi(pixels.height(pixels.frame(spark, sf))), "x1 double, y1 double, x2 double, y2 double").withColumn("part", F.lit(0))
-    inside = raster.inside_polygon(f, edges).select("pid", F.lit(True).alias("yes"))
+    f = pixels.frame(spark, sf).select("pid", "row", "col")
+    inside = overlay.inside(f, _edges(spark, sf, [[AOI]])).select("pid", F.lit(True).alias("yes"))
     return f.join(inside, "pid", "left").select("pid", F.coalesce("yes", F.lit(False)).alias("in_aoi"))
 
 
@@ -464,24 +464,104 @@ _CUT = f"""(select label, 100e0 * sum(abs(a)) area_m2 from (
   group by 1, 2, 3) p2 group by 1 having sum(abs(a)) * 100e0 > 1e-9)"""
 
 
-def _clipped(spark, sf):
+def _clip(spark, sf, polygons=((AOI,),)):
     s = Scene(spark, sf)
-    edges = spark.createDataFrame(_aoi(s.height), "x1 double, y1 double, x2 double, y2 double").withColumn("part", F.lit(0))
-    return s.labels(), scratch.kept(raster.clipped_area(s.labels(), edges, PIXEL_M**2), "clipped")
+    return s.labels(), scratch.kept(overlay.clip(overlay.runs(s.labels()), _edges(spark, sf, polygons)), "clipped")
+
+
+def _measured(traps: DataFrame) -> DataFrame:
+    return features.rounded(overlay.measures(overlay.boundary(traps), PIXEL_M)).select("label", "area_m2", "perimeter_m", "compactness")
 
 
 @query(sql(f"select label, round(area_m2, 6) area_m2 from {_CUT}"))
 def feature_clip(spark, sf):
     """What the area of interest leaves of each component; those outside are gone."""
-    return told(_clipped(spark, sf)[1])
+    return told(_measured(_clip(spark, sf)[1]).select("label", "area_m2"))
 
 
 @query(sql(f"select (select count(distinct label) from big) n_raw, count(*) n_after_aoi, count_if(area_m2 >= 700)::bigint n_after_min_area from {_CUT}"))
 def clip_counts(spark, sf):
     """Components before the clip, after it, and with enough area left."""
-    labels, cut = _clipped(spark, sf)
+    labels, traps = _clip(spark, sf)
     n = labels.select("label").distinct().count()
-    return cut.agg(F.count("*").alias("n_after_aoi"), F.count_if(F.col("area_m2") >= 700).alias("n_after_min_area")).select(F.lit(n).cast("long").alias("n_raw"), "*")
+    return _measured(traps).agg(F.count("*").alias("n_after_aoi"), F.count_if(F.col("area_m2") >= 700).alias("n_after_min_area")).select(F.lit(n).cast("long").alias("n_raw"), "*")
+
+
+# The perimeter of a clip by a convex area, in closed form: what is inside of the pixels' sides that face another component,
+# and what is on the component's pixels of the area's sides.
+_CLIP = f"""(
+  with side as (select *, row_number() over () e from ({_RING})),
+  face as (
+    select f.label, f.r, f.c, o.a, o.b from big f, {ROOK} o(a, b) left join big g on g.r = f.r + o.a and g.c = f.c + o.b
+    where g.label is distinct from f.label),
+  seg as (
+    select label, r, c, a, b, c + (case when b = 1 then 1e0 else 0e0 end) px, r + (case when a = 1 then 1e0 else 0e0 end) py,
+      c + (case when b = -1 then 0e0 else 1e0 end) qx, r + (case when a = -1 then 0e0 else 1e0 end) qy from face),
+  cut as (
+    select label, r, c, a, b, (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1) p, (x2 - x1) * (qy - y1) - (y2 - y1) * (qx - x1) q from seg, side),
+  inner_part as (
+    select label, greatest(0e0, min(case when q < 0 then case when p < 0 then -1e0 else p / (p - q) end else 1e0 end)
+      - max(case when p < 0 then case when q < 0 then 2e0 else p / (p - q) end else 0e0 end)) len from cut group by label, r, c, a, b),
+  own_part as (
+    select label, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) * greatest(0e0,
+      least(1e0, greatest((c - x1) / (x2 - x1), (c + 1 - x1) / (x2 - x1)), greatest((r - y1) / (y2 - y1), (r + 1 - y1) / (y2 - y1)))
+      - greatest(0e0, least((c - x1) / (x2 - x1), (c + 1 - x1) / (x2 - x1)), least((r - y1) / (y2 - y1), (r + 1 - y1) / (y2 - y1)))) len
+    from big join side on c + 1 >= least(x1, x2) and c <= greatest(x1, x2) and r + 1 >= least(y1, y2) and r <= greatest(y1, y2)),
+  long as (select label, 10e0 * sum(len) perimeter_m from (select * from inner_part union all select * from own_part) group by 1)
+  select label, area_m2, perimeter_m, least(4 * pi() * area_m2 / (perimeter_m * perimeter_m), 1e0) compactness from {_CUT} join long using (label))"""
+_CLIPPED = f"select label, round(area_m2, 6) area_m2, round(perimeter_m, 6) perimeter_m, round(compactness, 6) compactness from {_CLIP}"
+
+
+@query(sql(_CLIPPED))
+def clip_metrics(spark, sf):
+    """Area, perimeter and compactness of what the area of interest leaves."""
+    return told(_measured(_clip(spark, sf)[1]))
+
+
+def _between(a: tuple, b: tuple, t: float) -> tuple:
+    return (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1]))
+
+
+@query(sql(_CLIPPED))
+def clip_union(spark, sf):
+    """The same area as two polygons that overlap in a fifth of it, sides along sides: their union is clipped, once."""
+    a, b, c, d = AOI
+    west = [a, _between(a, b, 0.6), _between(d, c, 0.6), d]
+    east = [_between(a, b, 0.4), b, c, _between(d, c, 0.4)]
+    return told(_measured(_clip(spark, sf, [[west], [east[::-1]]])[1]))
+
+
+def _lobes() -> str:
+    """Sides of the two triangles that a ring A, C, B, D makes of the area's corners, its diagonals crossing."""
+    a, b, c, d = AOI
+    t = ((b[0] - a[0]) * (d[1] - b[1]) - (b[1] - a[1]) * (d[0] - b[0])) / ((c[0] - a[0]) * (d[1] - b[1]) - (c[1] - a[1]) * (d[0] - b[0]))
+    x = _between(a, c, t)
+    rows = [(k, *p, *q) for k, tri in enumerate(((x, c, b), (x, a, d))) for p, q in zip(tri, tri[1:] + tri[:1], strict=True)]
+    return " union all ".join(f"select {k} part, {p * 100}e0 x1, {q}e0 * h y1, {r * 100}e0 x2, {s}e0 * h y2 from dims" for k, p, q, r, s in rows)
+
+
+_BOW = _CUT.replace(_RING, _lobes()).replace("select label, r, c, sum(", "select label, r, c, part, sum(").replace("group by 1, 2, 3)", "group by 1, 2, 3, 4)")
+
+
+@query(sql(f"select label, round(area_m2, 4) area_m2 from {_BOW}"))
+def clip_repair(spark, sf):
+    """A ring that crosses itself is repaired: both its lobes are clipped."""
+    a, b, c, d = AOI
+    return told(_measured(_clip(spark, sf, [[[a, c, b, d]]])[1]).select("label", "area_m2"), 4)
+
+
+# A point of the lattice is a corner where one or three of its four pixels belong to the component, and two where two
+# pixels do that meet there alone.
+@query(sql("""select label, n_corners, round(area_m2, 6) area_m2, round(perimeter_m, 6) perimeter_m from met join (
+  select label, sum(case when n in (1, 3) then 1 when n = 2 and abs(d) = 2 then 2 else 0 end)::bigint n_corners from (
+    select label, count(*) n, sum(case when i = j then 1 else -1 end) d
+    from big, (values (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j) group by label, r + i, c + j) group by 1) using (label)"""))
+def feature_outlines(spark, sf):
+    """Outlines as rings of corners: how many, and the area and length that the rings enclose."""
+    traps = scratch.kept(overlay.pieces(overlay.runs(Scene(spark, sf).labels())), "traps")
+    linked = scratch.kept(overlay.rings(scratch.kept(overlay.boundary(traps), "boundary")), "rings")
+    corners = F.aggregate(F.flatten(F.transform("shape", lambda p: p["rings"])), F.lit(0).cast("long"), lambda n, r: n + F.size(r["points"]))
+    return told(overlay.shapes(linked).select("label", corners.alias("n_corners")).join(overlay.measures(linked, PIXEL_M), "label").select("label", "n_corners", "area_m2", "perimeter_m"))
 
 
 # The catalog's SQL surface, over this engine's own tables.

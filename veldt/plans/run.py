@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldt import scratch
-from veldt.operators import cells, change, features, ml, radiometry, raster, validation
+from veldt.operators import cells, change, features, ml, overlay, radiometry, raster, validation
 from veldt.operators.change import AnalysisError
 from veldt.plans.request import ConfigurationError, Request
 from veldt.sources import discovery, tiff, vectors
@@ -86,7 +86,7 @@ def validate_request(spark: SparkSession, request: Request) -> DataFrame:
         try:
             shape = vectors.polygons(spark, request.aoi_path)
             if any(vectors.crosses_itself(ring) for rings in shape for ring in rings):
-                found.append(("warning", "aoi_invalid_geometry", "sides of the area of interest cross; what is inside an odd number of them counts"))
+                found.append(("warning", "aoi_invalid_geometry", "sides of the area of interest cross; all that its ring winds around counts"))
             if meta is not None and (crs := meta.select("crs").first()[0]):
                 g = next(iter(tiff.grids(spark, paths[min(paths)]).values()))
                 if not vectors.meets_box(projected(shape, crs), g.bounds):
@@ -111,6 +111,12 @@ def projected(shape: list, crs: str | None) -> list:
     return [[[vectors.utm(*p, crs) for p in ring] for ring in rings] for rings in shape] if crs else shape
 
 
+def area_of_interest(spark: SparkSession, request: Request, g: Grid) -> DataFrame:
+    """The sides of the area of interest in pixels of a grid."""
+    shape = projected(vectors.polygons(spark, request.aoi_path), g.crs)
+    return vectors.edges(spark, [[[((x - g.c) / g.a, (y - g.f) / g.e) for x, y in ring] for ring in rings] for rings in shape])
+
+
 def writable(spark: SparkSession, folder: str) -> bool:
     """Whether a file can be made in a folder, which is made if need be."""
     jvm = spark.sparkContext._jvm
@@ -145,9 +151,7 @@ def aligned(spark: SparkSession, request: Request) -> tuple[DataFrame, Grid, lis
         two = moved[0].join(moved[1], ["row", "col"]).join(moved[2], ["row", "col"]).where(F.col("row").between(0, g.height - 1) & F.col("col").between(0, g.width - 1))
     px = one.join(two, ["row", "col"])
     if request.aoi_path:
-        shape = projected(vectors.polygons(spark, request.aoi_path), g.crs)
-        px = px.withColumns({"x": F.lit(g.c) + (F.col("col") + 0.5) * g.a, "y": F.lit(g.f) + (F.col("row") + 0.5) * g.e})
-        px = raster.inside_polygon(px, vectors.edges(spark, shape)).drop("x", "y")
+        px = overlay.inside(scratch.kept(px, "both_dates"), area_of_interest(spark, request, g))
     px = scratch.kept(px.withColumns({f"{d}_{b}": F.col(f"{d}_{b}") / F.lit(request.reflectance_scale) for d in ("before", "after") for b in BANDS}), "aligned")
     if not px.take(1):
         raise AnalysisError("no pixel is valid on both dates inside the area of interest")
@@ -198,13 +202,12 @@ def run_pipeline(spark: SparkSession, request: Request, progress: Callable[[str,
     labels = clean(binary.where("changed"))
     out.tables["labels"] = labels
     made, raw = features.metrics(labels, primary, value, m), labels.select("label").distinct().count()
-    after = raw
-    if request.aoi_path:
-        shape = projected(vectors.polygons(spark, request.aoi_path), g.crs)
-        shape = [[[((x - g.c) / g.a, (y - g.f) / g.e) for x, y in ring] for ring in rings] for rings in shape]
-        cut = scratch.kept(raster.clipped_area(labels, vectors.edges(spark, shape), g.pixel_area), "clipped")
-        after = cut.count()
-        made = features.rounded(made.drop("area_m2", "compactness").join(cut, "label"))
+    found = overlay.runs(labels)
+    traps = scratch.kept(overlay.clip(found, area_of_interest(spark, request, g)) if request.aoi_path else overlay.pieces(found), "clipped")
+    sides = scratch.kept(overlay.boundary(traps), "boundary")
+    cut = scratch.kept(overlay.measures(sides, m).where("area_m2 > 1e-9"), "measures")
+    after = cut.count()
+    made = features.rounded(made.drop("area_m2", "perimeter_m", "compactness").join(cut, "label"))
     made = scratch.kept(made.where(F.col("area_m2") >= request.min_area_m2), "metrics")
     out.counts = {"n_raw_components": raw, "n_after_aoi": after, "n_after_min_area": made.count()}
     grid = None
@@ -220,7 +223,9 @@ def run_pipeline(spark: SparkSession, request: Request, progress: Callable[[str,
     made = made.withColumns({c: F.lit(None).cast(t) for c, t in extra.items() if c not in made.columns})
     made = features.confidence(scratch.kept(made, "features"), threshold, "ml_anomaly_score" if request.spatial_ml_enabled else None)
     made = features.numbered(made, ["label"]).withColumns({"date_before": F.lit(out.before_date), "date_after": F.lit(out.after_date), "method": F.lit(request.method), "threshold_method": F.lit(method), "threshold_value": F.lit(threshold)})
-    out.tables["change_features"] = made = scratch.kept(made, "change_features")
+    large = sides.join(F.broadcast(made.select("label")) if out.counts["n_after_min_area"] <= 100_000 else made.select("label"), "label", "left_semi")
+    shapes = overlay.as_wkb(overlay.shapes(scratch.kept(overlay.rings(large), "rings"), g.c, g.a, g.f, g.e))
+    out.tables["change_features"] = made = scratch.kept(made.join(shapes, "label"), "change_features")
     if grid is not None:
         out.tables["spatial_grid"] = grid
     s = made.agg(F.coalesce(F.sum("area_m2"), F.lit(0.0)).alias("area"), F.count("*").alias("n"), F.coalesce(F.max("area_m2"), F.lit(0.0)).alias("top"), F.count_if(F.col("hotspot_class").isin("hot_95", "hot_99")).alias("hot")).first()

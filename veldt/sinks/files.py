@@ -20,6 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veldt.operators import overlay
 from veldt.plans.run import Result
 from veldt.sources import tiff
 from veldt.sources.tiff import Grid
@@ -70,68 +71,6 @@ def checksums(spark: SparkSession, paths: list[str]) -> dict[str, str]:
     return {r["path"]: r["sha"] for r in raw.select("path", F.sha2("content", 256).alias("sha")).collect()}
 
 
-def _box(x0: float, y0: float, x1: float, y1: float) -> bytes:
-    ring = [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
-    return struct.pack("<BII", 1, 3, 1) + struct.pack("<I", 5) + b"".join(struct.pack("<dd", *p) for p in ring)
-
-
-def outlines(labels: DataFrame, grid: Grid) -> DataFrame:
-    """(label, geometry): each component's outline as WKB, traced along its pixels' sides; holes are inner rings."""
-
-    def run(key, pdf):
-        import pandas as pd
-
-        return pd.DataFrame({"label": [key[0]], "geometry": [trace(set(zip(pdf["row"], pdf["col"], strict=True)), grid)]})
-
-    return labels.groupBy("label").applyInPandas(run, "label long, geometry binary")
-
-
-def trace(pixels: set[tuple[int, int]], grid: Grid) -> bytes:
-    """The outline of a set of pixels, as a WKB polygon or multipolygon."""
-    sides: dict[tuple, list] = {}
-    for r, c in pixels:
-        for (dr, dc), a, b in (((-1, 0), (r, c), (r, c + 1)), ((0, 1), (r, c + 1), (r + 1, c + 1)), ((1, 0), (r + 1, c + 1), (r + 1, c)), ((0, -1), (r + 1, c), (r, c))):
-            if (r + dr, c + dc) not in pixels:
-                sides.setdefault(a, []).append(b)
-    rings = []
-    while sides:
-        start = min(sides)
-        ring, at, before = [start], start, None
-        while True:
-            ways = sides[at]
-            # Where two outlines touch, turn so as to keep the pixel's own side.
-            k = 0 if len(ways) == 1 or before is None else max(range(len(ways)), key=lambda i: (before[0] * (ways[i][1] - at[1]) - before[1] * (ways[i][0] - at[0])) * -1)
-            to = ways.pop(k)
-            if not ways:
-                del sides[at]
-            before, at = (to[0] - at[0], to[1] - at[1]), to
-            if at == start:
-                break
-            ring.append(at)
-        rings.append(ring)
-    area = lambda ring: sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) / 2
-    outer, inner = [[x] for x in rings if area(x) > 0], [x for x in rings if area(x) < 0]
-    for hole in inner:
-        best = [p for p in outer if _within(hole[0], p[0])]
-        (best or outer)[0].append(hole)
-
-    def polygon(parts: list) -> bytes:
-        out = struct.pack("<BII", 1, 3, len(parts))
-        for ring in parts:
-            corners = [p for a, p, b in zip(ring[-1:] + ring[:-1], ring, ring[1:] + ring[:1], strict=True) if (a[0] - p[0], a[1] - p[1]) != (p[0] - b[0], p[1] - b[1])]
-            xy = [(grid.c + c * grid.a, grid.f + r * grid.e) for r, c in [*corners, corners[0]]]
-            out += struct.pack("<I", len(xy)) + b"".join(struct.pack("<dd", *p) for p in xy)
-        return out
-
-    parts = [polygon(p) for p in outer]
-    return parts[0] if len(parts) == 1 else struct.pack("<BII", 1, 6, len(parts)) + b"".join(parts)
-
-
-def _within(p: tuple, ring: list) -> bool:
-    r, c = p[0] + 1e-6, p[1] + 1e-6
-    return sum((a[0] > r) != (b[0] > r) and a[1] + (r - a[0]) * (b[1] - a[1]) / (b[0] - a[0]) > c for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) % 2 == 1
-
-
 KINDS = {"int": "INTEGER", "bigint": "INTEGER", "double": "REAL", "string": "TEXT", "boolean": "INTEGER"}
 
 
@@ -169,8 +108,7 @@ def geopackage(path: str | Path, layers: dict[str, DataFrame], plain: dict[str,
 
 def cell_boxes(grid_table: DataFrame, grid: Grid, size_m: float) -> DataFrame:
     x0, y1 = F.lit(grid.c) + F.col("cell_col") * size_m, F.lit(grid.f) - F.col("cell_row") * size_m
-    box = F.udf(_box, "binary")  # a row for each cell of an export
-    return grid_table.withColumn("geometry", box(x0, y1 - size_m, x0 + size_m, y1))
+    return overlay.as_wkb(grid_table.withColumn("shape", overlay.box(x0, y1 - size_m, x0 + size_m, y1)))
 
 
 def band(df: DataFrame, value: str, grid: Grid, path: str | Path, dtype: str = "f4", nodata: float = -9999.0) -> None:
@@ -213,7 +151,7 @@ def export(spark: SparkSession, result: Result, request, inputs: list[str]) -> d
     """All outputs of a run under ``request.output_dir`` of the driver."""
     root, g = Path(request.output_dir), result.grid
     srs = int(g.crs.split(":")[1]) if g.crs else 0
-    features = result.tables["change_features"].join(outlines(result.tables["labels"], g), "label").drop("label")
+    features = result.tables["change_features"].drop("label")
     layers = {"change_features": features}
     if "spatial_grid" in result.tables:
         layers["spatial_grid"] = cell_boxes(result.tables["spatial_grid"], g, request.spatial_grid_size_m)

@@ -121,11 +121,11 @@ def utm(lon: float, lat: float, crs: str) -> tuple[float, float]:
 
 
 def edges(spark: SparkSession, shape: list[list[list[tuple[float, float]]]]) -> DataFrame:
-    """(part, x1, y1, x2, y2): the sides of each polygon, outer rings all one way round and holes the other."""
+    """(part, ring, x1, y1, x2, y2): the sides of each polygon, outer rings (0) all one way round and holes the other."""
     rows = []
     for part, rings in enumerate(shape):
         for i, ring in enumerate(rings):
             twice = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
             ring = ring if (twice > 0) == (i == 0) else ring[::-1]
-            rows += [(part, *a, *b) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
-    return spark.createDataFrame(rows, "part int, x1 double, y1 double, x2 double, y2 double")
+            rows += [(part, i, *map(float, a), *map(float, b)) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+    return spark.createDataFrame(rows, "part int, ring int, x1 double, y1 double, x2 double, y2 double")
