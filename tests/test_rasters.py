@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 from veldt import cli, scratch
-from veldt.operators import validation
+from veldt.functions import projection
+from veldt.operators import raster, validation
 from veldt.operators.change import AnalysisError
 from veldt.plans import request as requests
 from veldt.plans import run as runs
@@ -67,11 +68,36 @@ def test_discovery(spark, root, tmp_path):
         discovery.discover(spark, str(tmp_path))
 
 
-def test_utm():
-    # The central meridian is at 500 km; a degree of latitude is about 110.6 km there, times the scale.
-    assert vectors.utm(27.0, 0.0, "EPSG:32735") == pytest.approx((500000, 10_000_000))
-    x, y = vectors.utm(27.0, -1.0, "EPSG:32735")
-    assert x == pytest.approx(500000) and 10_000_000 - y == pytest.approx(110574.4 * 0.9996, abs=2)
+def test_reference_systems(spark):
+    """Known points, there and back to a millimetre, as numbers and as columns."""
+    assert projection.to_zone(27.0, 0.0, 32735) == pytest.approx((500000, 10_000_000))
+    x, y = projection.to_zone(27.0, -1.0, 32735)
+    assert x == pytest.approx(500000) and y == pytest.approx(10_000_000 - 0.9996 * 110574.3886, abs=1)
+    rows = [(lon, lat) for lon in (20.5, 24.0, 26.9, 31.0, 33.5) for lat in (-79.0, -33.3, -0.001, 12.5, 71.0)]
+    for lon, lat in rows:
+        for code in (32635, 32735, 32736):
+            assert projection.to_degrees(*projection.to_zone(lon, lat, code), code) == pytest.approx((lon, lat), abs=1e-8)
+    df = spark.createDataFrame(rows, "x double, y double")
+    out = projection.moved(projection.moved(df, "EPSG:4326", "EPSG:32735"), "EPSG:32735", "EPSG:32736").collect()
+    for (lon, lat), r in zip(rows, out, strict=True):
+        assert (r["x"], r["y"]) == pytest.approx(projection.to_zone(lon, lat, 32736), abs=1e-3)
+    with pytest.raises(AnalysisError):
+        projection.between(0, 0, "EPSG:4326", "EPSG:3857")
+
+
+def test_regrid_of_planes(spark):
+    """A plane stays a plane on any grid; holes are renormalised; nothing comes from outside the frame."""
+    have = Grid(50, 40, 20.0, 500000.0, -20.0, 8600000.0, "EPSG:32735")
+    want = Grid(30, 30, 10.0, 500200.0, -10.0, 8599700.0, "EPSG:32735")
+    plane = spark.range(2000).selectExpr("cast(id / 50 as int) row", "cast(id % 50 as int) col", "double(id % 50 * 3 + cast(id / 50 as int) * 7) v")
+    for r in raster.regrid(plane, ["v"], have, want).collect():
+        u, v = (200 + (r["col"] + 0.5) * 10) / 20 - 0.5, (300 + (r["row"] + 0.5) * 10) / 20 - 0.5
+        assert r["v"] == pytest.approx(3 * u + 7 * v)
+    flat = plane.where("row % 3 > 0 or col % 2 = 0").selectExpr("row", "col", "5d v")
+    told = raster.regrid(flat, ["v"], have, want)
+    assert told.count() == 900 and told.where("abs(v - 5) > 1e-9").count() == 0
+    far = Grid(30, 30, 10.0, 400000.0, -10.0, 8599700.0, "EPSG:32735")
+    assert raster.regrid(plane, ["v"], have, far).count() == 0
 
 
 def square(x0, y0, x1, y1):
@@ -144,6 +170,11 @@ def test_cli_and_sinks(spark, root, capsys):
     assert n == last["summary"]["feature_count"] and area == pytest.approx(last["summary"]["changed_area_m2"])
     assert db.execute("select count(*) from spatial_grid").fetchone()[0] == 35
     assert db.execute("select geom from change_features").fetchone()[0][:2] == b"GP"
+    for name, least in (("change_features", 1), ("spatial_grid", 35)):
+        lines = [json.loads(x) for p in (root / "out/map" / name).glob("part-*") for x in p.read_text().splitlines()]
+        assert len(lines) >= least and all(x["type"] == "Feature" and x["geometry"]["type"] == "MultiPolygon" for x in lines)
+        lon, lat = lines[0]["geometry"]["coordinates"][0][0][0]
+        assert 26.9 < lon < 27.1 and -12.8 < lat < -12.6
     assert cli.main(["run", "--config", str(root / "none.yaml")], spark) == 1
 
 
@@ -156,6 +187,22 @@ def test_shifted_date_is_resampled(spark, tmp_path):
     assert out.summary["threshold_method"] == "otsu"
 
 
+def test_dates_of_other_zones_and_pixels(spark, tmp_path):
+    """The later date in the next zone, at 20 m: its bands are a plane of longitude and latitude, and stay one."""
+    scene(tmp_path)
+    x0, y0 = projection.between(500000.0, 8600000.0, "EPSG:32735", "EPSG:32736")
+    g = Grid(40, 40, 20.0, x0 - 200, -20.0, y0 + 200, "EPSG:32736", 0.0)
+    r, c = np.indices((40, 40))
+    for b in ("B02", "B03", "B04"):
+        (tmp_path / "sentinel2_20230201" / f"{b}.tif").write_bytes(tiff.encode((1000 + 10 * c + 4 * r).astype("u2"), g))
+    px, _, warnings = runs.aligned(spark, requests.load(config(tmp_path), str(tmp_path), permutations=0, method="baseline"))
+    assert warnings and px.count() == 29 * 39
+    for row in px.limit(50).collect():
+        x, y = projection.between(500000.0 + (row["col"] + 0.5) * 10, 8600000.0 - (row["row"] + 0.5) * 10, "EPSG:32735", "EPSG:32736")
+        want = 1000 + 10 * ((x - g.c) / 20 - 0.5) + 4 * ((g.f - y) / 20 - 0.5)
+        assert row["after_b04"] * 10000 == pytest.approx(want, abs=1e-3)
+
+
 def test_request_round_trip():
     r = requests.Request("a", "b", "c", "d", percentile=90.0, knn_k=5)
     assert requests.from_config(requests.to_config(r)) == requests.Request("a", "b", "c", "d", percentile=90.0, knn_k=5)

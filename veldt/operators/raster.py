@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldt import scratch
+from veldt.functions import projection
 from veldt.operators.change import AnalysisError
 from veldt.operators.graph import connected_components
 
@@ -121,3 +123,24 @@ def resample_bilinear(df: DataFrame, value: str, dx: float, dy: float) -> DataFr
     to = F.explode(F.array(*[F.struct((F.col("row") - i).cast("int").alias("row"), (F.col("col") - j).cast("int").alias("col"), F.lit(w).alias("w")) for i, j, w in steps]))
     spread = df.select(F.col(value).alias("v"), to.alias("t")).select("v", "t.*").where(F.col("v").isNotNull())
     return spread.groupBy("row", "col").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias(value))
+
+
+def regrid(df: DataFrame, values: list[str], source, target) -> DataFrame:
+    """(row, col, *values) on the grid ``target``: each of its pixels' centres is looked up in the grid ``source`` of
+    ``df``, in its reference system, and takes the bilinear mean of the four centres around it, weights being renormalised
+    over those that have data. Centres outside of the source's frame, and those without data around, give no row. The mean
+    is not widened where the target's pixels are larger."""
+    n = F.col("id")
+    frame = df.sparkSession.range(target.width * target.height).select(F.floor(n / target.width).cast("int").alias("row"), (n % target.width).cast("int").alias("col"))
+    frame = frame.withColumns({"x": F.lit(target.c) + (F.col("col") + 0.5) * target.a, "y": F.lit(target.f) + (F.col("row") + 0.5) * target.e})
+    if source.crs != target.crs:  # kept, as conditions on what follows would spell the series out again and again
+        frame = scratch.kept(projection.moved(frame, target.crs, source.crs), "looked_up")
+    frame = frame.withColumns({"u": (F.col("x") - source.c) / source.a, "v": (F.col("y") - source.f) / source.e})
+    frame = frame.where(F.col("u").between(0, source.width) & F.col("v").between(0, source.height)).withColumns({"u": F.col("u") - 0.5, "v": F.col("v") - 0.5})
+    i, j = F.floor("v").cast("int"), F.floor("u").cast("int")
+    fy, fx = F.col("v") - i, F.col("u") - j
+    four = F.explode(F.array(*[F.struct((i + a).alias("i"), (j + b).alias("j"), (wy * wx).alias("w")) for a, wy in ((0, 1 - fy), (1, fy)) for b, wx in ((0, 1 - fx), (1, fx))]))
+    at = frame.select("row", "col", four.alias("n")).select("row", "col", "n.*").where("w > 0")
+    met = at.join(df.select(F.col("row").alias("i"), F.col("col").alias("j"), *values), ["i", "j"])
+    mean = lambda c: (F.sum(F.col("w") * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), F.col("w")))).alias(c)
+    return met.groupBy("row", "col").agg(*[mean(c) for c in values])

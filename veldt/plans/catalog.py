@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldt import scratch
+from veldt.functions import projection
 from veldt.functions.quantiles import quantiles
 from veldt.operators import cells, change, features, ml, overlay, radiometry, raster
-from veldt.plans.oracles import K, ROOK, sql
+from veldt.plans.oracles import K, ROOK, projection_sql, sql
 from veldt.sources import discovery, pixels, vectors
 from veldt.sources.pixels import BANDS, PIXEL_M
+from veldt.sources.tiff import Grid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -564,6 +566,40 @@ def feature_outlines(spark, sf):
     return told(overlay.shapes(linked).select("label", corners.alias("n_corners")).join(overlay.measures(linked, PIXEL_M), "label").select("label", "n_corners", "area_m2", "perimeter_m"))
 
 
+#: A grid in the neighbouring zone, of pixels twice as large, that begins above and left of the frame.
+_EAST, _NORTH = projection.between(pixels.ORIGIN_X, pixels.ORIGIN_Y, pixels.CRS, "EPSG:32736")
+NEXT_ZONE = {"width": 60, "a": 20.0, "c": round(_EAST / 20) * 20 - 100.0, "e": -20.0, "f": round(_NORTH / 20) * 20 + 100.0, "crs": "EPSG:32736"}
+
+
+@query(sql(f"""
+, spot as (select i // 60 r, i % 60 c, {NEXT_ZONE["c"]}e0 + (i % 60 + 0.5e0) * 20 x, {NEXT_ZONE["f"]}e0 - (i // 60 + 0.5e0) * 20 y from range((select (h // 2 + 10) * 60 from dims)) t(i)),
+{projection_sql("spot", "x", "y", "EPSG:32736", "EPSG:32735")},
+uv as (select r, c, (x - {pixels.ORIGIN_X}e0) / 10 - 0.5e0 u, ({pixels.ORIGIN_Y}e0 - y) / 10 - 0.5e0 v from spot_moved),
+four as (select r, c, cast(floor(v) as int) + i rr, cast(floor(u) as int) + j cc, abs(1 - i - (v - floor(v))) * abs(1 - j - (u - floor(u))) w
+  from uv, (values (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j), dims where u between -0.5e0 and 99.5e0 and v between -0.5e0 and h - 0.5e0)
+select cast(four.r as int) as row, cast(four.c as int) as col, round(sum(w * v) / sum(w), 4) v from four join dn on dn.r = rr and dn.c = cc where w > 0 group by 1, 2"""))
+def resample_zone(spark, sf):
+    """The later date on a grid of 20 m in the next zone."""
+    f = pixels.frame(spark, sf)
+    h = pixels.height(f)
+    have = Grid(pixels.WIDTH, h, PIXEL_M, pixels.ORIGIN_X, -PIXEL_M, pixels.ORIGIN_Y, pixels.CRS)
+    want = Grid(height=h // 2 + 10, **NEXT_ZONE)
+    return told(raster.regrid(f.where(pixels.valid("after")).withColumnRenamed("after_b04", "v"), ["v"], have, want), 4)
+
+
+@query(sql(f"""
+, spot as (select cell_row, cell_col, {pixels.ORIGIN_X}e0 + cell_col * 60 x, {pixels.ORIGIN_Y}e0 - cell_row * 60 y from grid),
+{projection_sql("spot", "x", "y", "EPSG:32735", "EPSG:4326")}
+select cell_row, cell_col, round(x, 9) lon, round(y, 9) lat from spot_moved"""))
+def cells_degrees(spark, sf):
+    """The upper left corner of each cell in degrees, by way of its GeoJSON coordinates."""
+    size = PIXEL_M * CELL_PX
+    x0, y1 = F.lit(pixels.ORIGIN_X) + F.col("cell_col") * size, F.lit(pixels.ORIGIN_Y) - F.col("cell_row") * size
+    boxes = Scene(spark, sf).grid().withColumn("at", projection.in_degrees(overlay.box(x0, y1 - size, x0 + size, y1), pixels.CRS))
+    corner = F.col("at")[0][0][3]
+    return told(boxes.select("cell_row", "cell_col", corner[0].alias("lon"), corner[1].alias("lat")), 9)
+
+
 # The catalog's SQL surface, over this engine's own tables.
 VIEWS = ("change_features", "spatial_grid", "run_metadata", "quality_checks")
 RUNS = [("run_a", "2024-01-01T00:00:00", "otsu"), ("run_b", "2024-02-01T00:00:00", "otsu"), ("run_c", "2024-03-01T00:00:00", "manual")]

@@ -82,3 +82,28 @@ dn as (select pid, r, c, (b04 + n4 + blk) v from px0 where r > 0 and c > 0)
 
 def sql(last: str) -> str:
     return CHAIN + last
+
+
+def projection_sql(table: str, x: str, y: str, source: str, target: str) -> str:
+    """Common table expressions that end in ``table``_moved, with x and y of one reference system in another."""
+    from veldt.functions import projection as p
+
+    a, b = p.code_of(source), p.code_of(target)
+    n, steps, last = p._N, [], table
+    if a != p.DEGREES:
+        steps += [
+            f"{table}_a as (select * exclude ({x}, {y}), ({y} - {p.NORTH if a > 32700 else 0.0!r}) / {p._RADIUS!r} xi, ({x} - {p.EAST!r}) / {p._RADIUS!r} eta from {last})",
+            f"{table}_b as (select * exclude (xi, eta), xi " + "".join(f"- {c!r} * sin({2 * j} * xi) * cosh({2 * j} * eta) " for j, c in enumerate(p._BETA, 1)) + "up, eta " + "".join(f"- {c!r} * cos({2 * j} * xi) * sinh({2 * j} * eta) " for j, c in enumerate(p._BETA, 1)) + f"across from {table}_a)",
+            f"{table}_c as (select *, asin(sin(up) / cosh(across)) chi from {table}_b)",
+            f"{table}_d as (select * exclude (up, across, chi), degrees(atan2(sinh(across), cos(up))) + {(a % 100) * 6 - 183} {x}, degrees(chi " + "".join(f"+ {c!r} * sin({2 * j} * chi) " for j, c in enumerate(p._DELTA, 1)) + f") {y} from {table}_c)",
+        ]
+        last = f"{table}_d"
+    if b != p.DEGREES:
+        k = 2 * n**0.5 / (1 + n)
+        steps += [
+            f"{table}_e as (select *, radians({x} - {(b % 100) * 6 - 183}) lam, sinh(atanh(sin(radians({y}))) - {k!r} * atanh({k!r} * sin(radians({y})))) t from {last})",
+            f"{table}_f as (select * exclude ({x}, {y}, lam, t), atan2(t, cos(lam)) xi, asinh(sin(lam) / sqrt(t * t + cos(lam) * cos(lam))) eta from {table}_e)",
+            f"{table}_g as (select * exclude (xi, eta), {p.EAST!r} + {p._RADIUS!r} * (eta " + "".join(f"+ {c!r} * cos({2 * j} * xi) * sinh({2 * j} * eta) " for j, c in enumerate(p._ALPHA, 1)) + f") {x}, {p.NORTH if b > 32700 else 0.0!r} + {p._RADIUS!r} * (xi " + "".join(f"+ {c!r} * sin({2 * j} * xi) * cosh({2 * j} * eta) " for j, c in enumerate(p._ALPHA, 1)) + f") {y} from {table}_f)",
+        ]
+        last = f"{table}_g"
+    return ", ".join([*steps, f"{table}_moved as (select * from {last})"])

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldt import scratch
+from veldt.functions import projection
 from veldt.operators import cells, change, features, ml, overlay, radiometry, raster, validation
 from veldt.operators.change import AnalysisError
 from veldt.plans.request import ConfigurationError, Request
@@ -89,7 +90,7 @@ def validate_request(spark: SparkSession, request: Request) -> DataFrame:
                 found.append(("warning", "aoi_invalid_geometry", "sides of the area of interest cross; all that its ring winds around counts"))
             if meta is not None and (crs := meta.select("crs").first()[0]):
                 g = next(iter(tiff.grids(spark, paths[min(paths)]).values()))
-                if not vectors.meets_box(projected(shape, crs), g.bounds):
+                if not vectors.meets_box(projected(spark, request.aoi_path, crs), g.bounds):
                     found.append(("error", "aoi_no_overlap", request.aoi_path))
         except vectors.AoiError as e:
             found.append(("error", e.code, str(e)))
@@ -106,14 +107,16 @@ def validate_request(spark: SparkSession, request: Request) -> DataFrame:
     return out
 
 
-def projected(shape: list, crs: str | None) -> list:
-    """The polygons' points in a reference system; as they are where there is none."""
-    return [[[vectors.utm(*p, crs) for p in ring] for ring in rings] for rings in shape] if crs else shape
+def projected(spark: SparkSession, path: str, crs: str | None) -> list:
+    """The polygons of a file in a reference system; as they are where there is none."""
+    shape = vectors.polygons(spark, path)
+    own = vectors.reference_system(spark, path)
+    return [[[projection.between(*p, own, crs) for p in ring] for ring in rings] for rings in shape] if crs else shape
 
 
 def area_of_interest(spark: SparkSession, request: Request, g: Grid) -> DataFrame:
     """The sides of the area of interest in pixels of a grid."""
-    shape = projected(vectors.polygons(spark, request.aoi_path), g.crs)
+    shape = projected(spark, request.aoi_path, g.crs)
     return vectors.edges(spark, [[[((x - g.c) / g.a, (y - g.f) / g.e) for x, y in ring] for ring in rings] for rings in shape])
 
 
@@ -143,12 +146,8 @@ def aligned(spark: SparkSession, request: Request) -> tuple[DataFrame, Grid, lis
 
     one, two = stack(before, "before"), stack(after, "after")
     if (g.a, g.c, g.e, g.f, g.width, g.height) != (h.a, h.c, h.e, h.f, h.width, h.height):
-        if (g.crs, g.a, g.e) != (h.crs, h.a, h.e):
-            raise AnalysisError("dates of different reference systems or pixel sizes cannot be aligned here")
         warnings.append("the later date was resampled to the earlier one's grid")
-        dx, dy = (g.c - h.c) / g.a, (g.f - h.f) / g.e
-        moved = [raster.resample_bilinear(two, f"after_{b}", dx, dy) for b in BANDS]
-        two = moved[0].join(moved[1], ["row", "col"]).join(moved[2], ["row", "col"]).where(F.col("row").between(0, g.height - 1) & F.col("col").between(0, g.width - 1))
+        two = raster.regrid(two, [f"after_{b}" for b in BANDS], h, g)
     px = one.join(two, ["row", "col"])
     if request.aoi_path:
         px = overlay.inside(scratch.kept(px, "both_dates"), area_of_interest(spark, request, g))
@@ -224,8 +223,8 @@ def run_pipeline(spark: SparkSession, request: Request, progress: Callable[[str,
     made = features.confidence(scratch.kept(made, "features"), threshold, "ml_anomaly_score" if request.spatial_ml_enabled else None)
     made = features.numbered(made, ["label"]).withColumns({"date_before": F.lit(out.before_date), "date_after": F.lit(out.after_date), "method": F.lit(request.method), "threshold_method": F.lit(method), "threshold_value": F.lit(threshold)})
     large = sides.join(F.broadcast(made.select("label")) if out.counts["n_after_min_area"] <= 100_000 else made.select("label"), "label", "left_semi")
-    shapes = overlay.as_wkb(overlay.shapes(scratch.kept(overlay.rings(large), "rings"), g.c, g.a, g.f, g.e))
-    out.tables["change_features"] = made = scratch.kept(made.join(shapes, "label"), "change_features")
+    out.tables["outlines"] = shapes = scratch.kept(overlay.shapes(scratch.kept(overlay.rings(large), "rings"), g.c, g.a, g.f, g.e), "outlines")
+    out.tables["change_features"] = made = scratch.kept(made.join(overlay.as_wkb(shapes), "label"), "change_features")
     if grid is not None:
         out.tables["spatial_grid"] = grid
     s = made.agg(F.coalesce(F.sum("area_m2"), F.lit(0.0)).alias("area"), F.count("*").alias("n"), F.coalesce(F.max("area_m2"), F.lit(0.0)).alias("top"), F.count_if(F.col("hotspot_class").isin("hot_95", "hot_99")).alias("hot")).first()

@@ -17,9 +17,10 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veldt.functions import projection
 from veldt.operators import overlay
 from veldt.plans.run import Result
 from veldt.sources import tiff
@@ -107,8 +108,9 @@ def geopackage(path: str | Path, layers: dict[str, DataFrame], plain: dict[str,
 
 
 def cell_boxes(grid_table: DataFrame, grid: Grid, size_m: float) -> DataFrame:
+    """Cells with their boxes as ``shape``."""
     x0, y1 = F.lit(grid.c) + F.col("cell_col") * size_m, F.lit(grid.f) - F.col("cell_row") * size_m
-    return overlay.as_wkb(grid_table.withColumn("shape", overlay.box(x0, y1 - size_m, x0 + size_m, y1)))
+    return grid_table.withColumn("shape", overlay.box(x0, y1 - size_m, x0 + size_m, y1))
 
 
 def band(df: DataFrame, value: str, grid: Grid, path: str | Path, dtype: str = "f4", nodata: float = -9999.0) -> None:
@@ -128,11 +130,11 @@ def intensity_style(top: float) -> str:
     return f'<!DOCTYPE qgis><qgis><pipe><rasterrenderer type="singlebandpseudocolor" band="1"><rastershader><colorrampshader colorRampType="INTERPOLATED">{items}</colorrampshader></rastershader></rasterrenderer></pipe></qgis>'
 
 
-def geojson(df: DataFrame, properties: list[str], box: tuple[Column, Column, Column, Column]) -> DataFrame:
-    """A column of GeoJSON features with box geometries, made by Spark."""
-    x0, y0, x1, y1 = box
-    ring = F.array(F.array(x0, y0), F.array(x1, y0), F.array(x1, y1), F.array(x0, y1), F.array(x0, y0))
-    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), F.struct(*properties).alias("properties"))).alias("feature"))
+def geojson(df: DataFrame, path: str, crs: str, properties: list[str]) -> None:
+    """Rows with a ``shape`` as GeoJSON features in degrees, a feature to a line in files of text, written by Spark."""
+    geometry = F.struct(F.lit("MultiPolygon").alias("type"), projection.in_degrees(F.col("shape"), crs).alias("coordinates"))
+    told = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))
+    df.select(F.to_json(told).alias("value")).write.mode("overwrite").text(path)
 
 
 def report(result: Result, parameters: dict) -> str:
@@ -153,8 +155,14 @@ def export(spark: SparkSession, result: Result, request, inputs: list[str]) -> d
     srs = int(g.crs.split(":")[1]) if g.crs else 0
     features = result.tables["change_features"].drop("label")
     layers = {"change_features": features}
+    if g.crs:
+        told = result.tables["change_features"].drop("geometry").join(result.tables["outlines"], "label")
+        geojson(told, str(root / "map/change_features"), g.crs, ["id", "area_m2", "mean_change", "confidence", "hotspot_class"])
     if "spatial_grid" in result.tables:
-        layers["spatial_grid"] = cell_boxes(result.tables["spatial_grid"], g, request.spatial_grid_size_m)
+        boxes = cell_boxes(result.tables["spatial_grid"], g, request.spatial_grid_size_m)
+        layers["spatial_grid"] = overlay.as_wkb(boxes)
+        if g.crs:
+            geojson(boxes, str(root / "map/spatial_grid"), g.crs, ["grid_id", "mean_cva", "hotspot_class", "lisa_cluster"])
         csv(result.tables["spatial_grid"], str(root / "statistics/spatial_grid"))
         write_json(root / "statistics/global_moran.json", result.moran)
     geopackage(root / "change.gpkg", layers, {k: result.tables[k] for k in ("run_metadata", "quality_checks")}, srs)

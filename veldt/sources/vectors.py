@@ -1,9 +1,8 @@
-"""Areas of interest: the polygons of GeoJSON, and the UTM projection."""
+"""Areas of interest: the polygons of GeoJSON."""
 
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +36,14 @@ def _geometries(node: dict) -> Iterator[dict]:
         yield from node["coordinates"]
 
 
+def reference_system(spark: SparkSession, path: str) -> str:
+    """What the file's member ``crs`` names; degrees where it has none, as the format says."""
+    found = json.loads(spark.read.text(path, wholetext=True).first()[0]).get("crs") or {}
+    name = str((found.get("properties") or {}).get("name", ""))
+    code = name.rsplit(":", 1)[-1]
+    return f"EPSG:{code}" if code.isdigit() else "EPSG:4326"
+
+
 def polygons(spark: SparkSession, path: str) -> list[list[list[tuple[float, float]]]]:
     """The polygons of a GeoJSON file, each a list of rings, the outer one first: closed, without repeated points."""
     try:
@@ -100,26 +107,6 @@ def meets_box(shape: list[list[list[tuple[float, float]]]], box: tuple[float, fl
     return False
 
 
-def utm(lon: float, lat: float, crs: str) -> tuple[float, float]:
-    """Longitude and latitude in degrees to a UTM zone of WGS 84 (EPSG:326xx, 327xx), by Krueger's series."""
-    code = int(crs.split(":")[1])
-    if code == 4326:
-        return lon, lat
-    if not (32601 <= code <= 32660 or 32701 <= code <= 32760):
-        raise AnalysisError(f"{crs} is not a UTM zone")
-    a, f = 6378137.0, 1 / 298.257223563
-    n = f / (2 - f)
-    big = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
-    phi, lam = math.radians(lat), math.radians(lon - ((code % 100) * 6 - 183))
-    k = 2 * math.sqrt(n) / (1 + n)
-    t = math.sinh(math.atanh(math.sin(phi)) - k * math.atanh(k * math.sin(phi)))
-    xi, eta = math.atan2(t, math.cos(lam)), math.atanh(math.sin(lam) / math.sqrt(1 + t * t))
-    east = eta + sum(c * math.cos(2 * j * xi) * math.sinh(2 * j * eta) for j, c in enumerate(alpha, 1))
-    north = xi + sum(c * math.sin(2 * j * xi) * math.cosh(2 * j * eta) for j, c in enumerate(alpha, 1))
-    return 500000 + 0.9996 * big * east, (10_000_000 if code > 32700 else 0) + 0.9996 * big * north
-
-
 def edges(spark: SparkSession, shape: list[list[list[tuple[float, float]]]]) -> DataFrame:
     """(part, ring, x1, y1, x2, y2): the sides of each polygon, outer rings (0) all one way round and holes the other."""
     rows = []
