@@ -51,13 +51,104 @@ def config(root, **extra):
 
 def test_tiff_round_trip(root):
     data = (root / "sentinel2_20230101/B04.tif").read_bytes()
-    assert tiff.header(data) == GRID
+    layout = tiff.levels(tiff.Ranges(None, data))[0]
+    assert layout.grid == GRID
     x = np.zeros((30, 40))
-    for r, c, part in tiff.blocks(data):
-        x[r : r + part.shape[0], c : c + part.shape[1]] = part
-    assert x[0].sum() == 0 and x[1:, 1:].min() >= 1400
+    for i, (at, n) in enumerate(zip(layout.offsets, layout.sizes)):
+        r, c, band, part = tiff.unpacked(layout, i, data[at : at + n])
+        x[r : r + part.shape[0], c : c + part.shape[1]] = part[:, :, 0]
+    assert band == -1 and x[0].sum() == 0 and x[1:, 1:].min() >= 1400
     with pytest.raises(AnalysisError):
-        tiff.header(b"\0\0\0\x0cjP  ")
+        tiff.levels(tiff.Ranges(None, b"\0\0\0\x0cjP  "))
+
+
+def lzw_packed(data):
+    """TIFF's LZW the other way, by the format's description."""
+    out, held, bits = bytearray(), 0, 0
+
+    def put(code, width):
+        nonlocal held, bits
+        held, bits = held << width | code, bits + width
+        while bits >= 8:
+            bits -= 8
+            out.append(held >> bits & 255)
+            held &= (1 << bits) - 1
+
+    table, width, now = {bytes([i]): i for i in range(256)}, 9, b""
+    put(256, 9)
+    for k in range(len(data)):
+        ch = data[k : k + 1]
+        if now + ch in table:
+            now += ch
+            continue
+        put(table[now], width)
+        table[now + ch] = len(table) + 2
+        n = len(table) + 2
+        width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+        if n >= 4094:
+            put(256, width)
+            table, width = {bytes([i]): i for i in range(256)}, 9
+        now = ch
+    if now:
+        put(table[now], width)
+    put(257, width)
+    if bits:
+        out.append(held << (8 - bits) & 255)
+    return bytes(out)
+
+
+def packbits_packed(data):
+    return b"".join(bytes([257 - 2, data[i]]) if data[i : i + 1] * 2 == data[i : i + 2] else bytes([len(data[i : i + 2]) - 1]) + data[i : i + 2] for i in range(0, len(data), 2))
+
+
+def test_codecs():
+    """Every compression, predictor, byte order, number of bands and layout of planes gives the pixels back."""
+    import zlib
+
+    rng = np.random.default_rng(3)
+    whole = np.repeat(rng.integers(0, 9000, (16, 8, 3)), 4, axis=1).astype("u2")
+    real = rng.normal(size=(16, 32, 3)).astype("f4")
+    assert tiff.lzw(lzw_packed(b"")) == b"" and tiff.lzw(lzw_packed(b"ab" * 9000)) == b"ab" * 9000
+    noise = rng.integers(0, 256, 60_000).astype("u1").tobytes()
+    assert tiff.lzw(lzw_packed(noise)) == noise and tiff.packbits(packbits_packed(noise)) == noise
+    packs = {tiff.PLAIN: bytes, tiff.DEFLATE: zlib.compress, tiff.LZW: lzw_packed, tiff.PACKBITS: packbits_packed}
+    for x, predictors in ((whole, (1, 2)), (real, (1, 3))):
+        for predictor in predictors:
+            raw = zlib.decompress(tiff.packed_tile(x, predictor))
+            for packed, pack in packs.items():
+                layout = tiff.Layout(Grid(32, 16), "<", x.dtype.str[1:], 3, False, packed, predictor, True, (16, 32), (), ())
+                assert (tiff.unpacked(layout, 0, pack(raw))[3] == x).all()
+    layout = tiff.Layout(Grid(30, 14), ">", "u2", 3, True, tiff.PLAIN, 1, True, (16, 32), (), ())
+    for k in range(3):
+        r, c, band, got = tiff.unpacked(layout, k, whole[:, :, k].astype(">u2").tobytes())
+        assert (r, c, band) == (0, 0, k) and (got[:, :, 0] == whole[:14, :30, k]).all()
+
+
+def test_tiled_files(spark, tmp_path, monkeypatch):
+    """Bands, overviews, holes and georeference come back; each block is its own task; nothing reads beyond its bytes."""
+    g = Grid(70, 45, 10.0, 500000.0, -10.0, 8600000.0, "EPSG:32735", -9999.0)
+    df = spark.range(70 * 45).selectExpr("cast(id / 70 as int) row", "cast(id % 70 as int) col", "double(id) a", "id / 7 b").where("(row * 70 + col) % 11 > 0")
+    path = str(tmp_path / "x.tif")
+    monkeypatch.setattr(tiff, "BATCH", 500)
+    whole = [(g, scratch.kept(tiff.tiles(df, ["a", "b"], g, "f4", 3, 32), "tiles"))]
+    tiff.write(path, whole, ["a", "b"], "f4", 3, 32)
+    assert tiff.grids(spark, {"x": path}) == {"x": g}
+    px = tiff.scan(spark, {"x": path}, blocks=1)
+    assert px.rdd.getNumPartitions() == 6 and px.where("band = 2").count() == 70 * 45
+    want = {(r["row"], r["col"]): (r["a"], r["b"]) for r in df.collect()}
+    for r in px.collect():
+        value = want.get((r["row"], r["col"]), (-9999.0, -9999.0))[r["band"] - 1]
+        assert r["name"] == "x" and r["dn"] == pytest.approx(value, rel=1e-6)
+    files.raster_file(df.selectExpr("row", "col", "a"), ["a"], g, tmp_path / "y.tif", "u2", 0.0)
+    found = tiff.levels(tiff.Ranges(str(tmp_path / "y.tif")))
+    assert [(x.grid.width, x.grid.height, x.grid.a) for x in found] == [(70, 45, 10.0), (35, 23, 20.0), (18, 12, 40.0), (9, 6, 80.0)]
+    small = {(r["row"], r["col"]): r["dn"] for r in tiff.scan(spark, {"y": str(tmp_path / "y.tif")}, level=2).collect()}
+    for (row, col), v in small.items():
+        inner = [a for (r, c), (a, _) in want.items() if (r // 4, c // 4) == (row, col)]
+        assert abs(v - sum(inner) / len(inner)) <= 0.5 + 1e-9
+    (tmp_path / "bad.tif").write_bytes(b"II*\0\xff\xff")
+    with pytest.raises(AnalysisError):
+        tiff.grids(spark, {"bad": str(tmp_path / "bad.tif")})
 
 
 def test_discovery(spark, root, tmp_path):

@@ -13,7 +13,7 @@ from veldt.functions import projection
 from veldt.functions.quantiles import quantiles
 from veldt.operators import cells, change, features, ml, overlay, radiometry, raster
 from veldt.plans.oracles import K, ROOK, projection_sql, sql
-from veldt.sources import discovery, pixels, vectors
+from veldt.sources import discovery, pixels, tiff, vectors
 from veldt.sources.pixels import BANDS, PIXEL_M
 from veldt.sources.tiff import Grid
 
@@ -600,6 +600,27 @@ def cells_degrees(spark, sf):
     return told(boxes.select("cell_row", "cell_col", corner[0].alias("lon"), corner[1].alias("lat")), 9)
 
 
+@query(sql("""select (r // 64 * 2 + c // 64)::int tile, count(*) n, sum(b04 + n4 + blk)::bigint b04, sum(b03 + n3 + blk)::bigint b03,
+max(c - c // 64 * 64)::int last_col from px0 where r > 0 and c > 0 group by 1"""))
+def tile_codec(spark, sf):
+    """The later date as deflated and differenced tiles of two bands, encoded in tasks and decoded again: sums by tile."""
+    f = pixels.frame(spark, sf)
+    grid = Grid(pixels.WIDTH, pixels.height(f), PIXEL_M, pixels.ORIGIN_X, -PIXEL_M, pixels.ORIGIN_Y, pixels.CRS, 0.0)
+    layout = tiff.Layout(grid, "<", "u2", 2, False, tiff.DEFLATE, 2, True, (64, 64), (), ())
+
+    def read(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for tile, data in zip(pdf["tile"], pdf["data"], strict=True):
+                x = tiff.unpacked(layout, tile, data)[3].astype(np.int64)
+                yield pd.DataFrame({"tile": [tile], "n": [int((x[:, :, 0] > 0).sum())], "b04": [x[:, :, 0].sum()], "b03": [x[:, :, 1].sum()], "last_col": [int(np.nonzero(x[:, :, 0])[1].max(initial=-1))]})
+
+    held = tiff.tiles(f.where(pixels.valid("after")), ["after_b04", "after_b03"], grid, "u2", 2, 64)
+    return held.mapInPandas(read, "tile int, n long, b04 long, b03 long, last_col int").where("n > 0")
+
+
 # The catalog's SQL surface, over this engine's own tables.
 VIEWS = ("change_features", "spatial_grid", "run_metadata", "quality_checks")
 RUNS = [("run_a", "2024-01-01T00:00:00", "otsu"), ("run_b", "2024-02-01T00:00:00", "otsu"), ("run_c", "2024-03-01T00:00:00", "manual")]

@@ -174,6 +174,7 @@ def run_pipeline(spark: SparkSession, request: Request, progress: Callable[[str,
     at("alignment", 12)
     px, g, out.warnings = aligned(spark, request)
     out.grid, m, n = g, abs(g.a), px.count()
+    out.tables["aligned"] = px
 
     def clean(binary: DataFrame) -> DataFrame:
         op = request.morphology_operation if request.morphology_enabled else "none"

@@ -20,10 +20,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veldt import scratch
 from veldt.functions import projection
 from veldt.operators import overlay
 from veldt.plans.run import Result
 from veldt.sources import tiff
+from veldt.sources.pixels import BANDS
 from veldt.sources.tiff import Grid
 
 
@@ -113,14 +115,20 @@ def cell_boxes(grid_table: DataFrame, grid: Grid, size_m: float) -> DataFrame:
     return grid_table.withColumn("shape", overlay.box(x0, y1 - size_m, x0 + size_m, y1))
 
 
-def band(df: DataFrame, value: str, grid: Grid, path: str | Path, dtype: str = "f4", nodata: float = -9999.0) -> None:
-    """One band as a TIFF; pixels without a row hold ``nodata``. The frame fits in memory here: for larger ones, write
-    tables partitioned by row instead."""
-    out = np.full((grid.height, grid.width), nodata, dtype)
-    for r in df.select("row", "col", value).toLocalIterator():
-        out[r[0], r[1]] = r[2]
+def raster_file(df: DataFrame, values: list[str], grid: Grid, path: str | Path, dtype: str = "f4", nodata: float = -9999.0, factors: tuple[int, ...] = (2, 4, 8)) -> None:
+    """Pixels (row, col, *values) as a tiled file of a band for each value, with overviews of means; pixels without a row or
+    a value hold ``nodata``. Tasks encode the tiles."""
+    whole = np.dtype(dtype).kind != "f"
+    pyramid = []
+    for k in (1, *factors):
+        g = Grid(-(-grid.width // k), -(-grid.height // k), grid.a * k, grid.c, grid.e * k, grid.f, grid.crs, nodata)
+        level = df.select("row", "col", *values)
+        if k > 1:
+            mean = [F.round(F.avg(v)).alias(v) if whole else F.avg(v).alias(v) for v in values]
+            level = level.groupBy(F.floor(F.col("row") / k).cast("int").alias("row"), F.floor(F.col("col") / k).cast("int").alias("col")).agg(*mean)
+        pyramid.append((g, scratch.kept(tiff.tiles(level, values, g, dtype, 2 if whole else 3), "tiles")))
     with atomic(path) as p:
-        p.write_bytes(tiff.encode(out, Grid(grid.width, grid.height, grid.a, grid.c, grid.e, grid.f, grid.crs, nodata)))
+        tiff.write(p, pyramid, values, dtype, 2 if whole else 3)
 
 
 def intensity_style(top: float) -> str:
@@ -165,9 +173,13 @@ def export(spark: SparkSession, result: Result, request, inputs: list[str]) -> d
             geojson(boxes, str(root / "map/spatial_grid"), g.crs, ["grid_id", "mean_cva", "hotspot_class", "lisa_cluster"])
         csv(result.tables["spatial_grid"], str(root / "statistics/spatial_grid"))
         write_json(root / "statistics/global_moran.json", result.moran)
+    for date in ("before", "after"):
+        stack = [f"{date}_{b}" for b in BANDS]
+        dn = result.tables["aligned"].select("row", "col", *[F.round(F.col(c) * request.reflectance_scale).alias(c) for c in stack])
+        raster_file(dn, stack, g, root / f"rasters/{date}_stack.tif", "u2", float(request.nodata_value))
     geopackage(root / "change.gpkg", layers, {k: result.tables[k] for k in ("run_metadata", "quality_checks")}, srs)
     if "vectors" in result.tables:
-        band(result.tables["vectors"], "cva", g, root / "rasters/cva_intensity.tif")
+        raster_file(result.tables["vectors"], ["cva"], g, root / "rasters/cva_intensity.tif")
         top = result.tables["vectors"].agg(F.percentile("cva", F.lit(0.98))).first()[0]
         with atomic(root / "styles/cva_intensity.qml") as p:
             p.write_text(intensity_style(top))
