@@ -203,3 +203,98 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def _plain_dbscan(x, eps, least):
+    near = ((x[:, None] - x[None]) ** 2).sum(-1) <= eps * eps
+    core = near.sum(1) >= least
+    label, k = np.full(len(x), -1), 0
+    for i in range(len(x)):
+        if core[i] and label[i] < 0:
+            todo = [i]
+            label[i] = k
+            while todo:
+                for j in np.flatnonzero(near[todo.pop()]):
+                    if label[j] < 0:
+                        label[j] = k
+                        if core[j]:
+                            todo.append(j)
+            k += 1
+    return label
+
+
+def test_dbscan_of_crowds(spark, monkeypatch):
+    """Crowds, rings around each other, bridges and noise, in one to four dimensions, with boxes that are halved."""
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(ml, "LEAF", 4)
+    for d, eps in ((1, 0.02), (2, 0.11), (4, 0.5)):
+        a = rng.uniform(0, 1, (120, d))
+        b = rng.normal(3, 0.01, (150, d))
+        c = rng.normal(3 + 0.9 * eps / d**0.5, 0.01, (150, d))
+        x = np.concatenate([a, b, c, np.repeat(a[:1] + 7, 60, axis=0), rng.uniform(5, 6, (40, d))])
+        df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, " + ", ".join(f"x{i} double" for i in range(d))).repartition(3)
+        got = {r["id"]: r["ml_cluster_id"] for r in ml.dbscan(df, "id", [f"x{i}" for i in range(d)], eps, 5).collect()}
+        assert [got[i] for i in range(len(x))] == _plain_dbscan(x, eps, 5).tolist(), d
+    same = spark.range(100_000).selectExpr("id", "double(id % 2) * 1e-9 x", "0d y")
+    got = ml.dbscan(same, "id", ["x", "y"], 0.5, 5).groupBy("ml_cluster_id").count().collect()
+    assert [tuple(r) for r in got] == [(0, 100_000)]
+    assert ml.dbscan(same.limit(0), "id", ["x", "y"], 0.5, 5).count() == 0
+
+
+def test_running_and_ranks(spark):
+    rng = np.random.default_rng(8)
+    v = [float(x) for x in rng.permutation(500)]
+    df = spark.createDataFrame([(x, float(i % 7)) for i, x in enumerate(v)], "k double, v double").repartition(9)
+    total = least = 0.0
+    least = float("inf")
+    sums = {r["k"]: r["s"] for r in ranks.running(df, [F.col("k")], "v", "sum", "s").collect()}
+    mins = {r["k"]: r["m"] for r in ranks.running(df, [F.desc("k")], "v", "min", "m").collect()}
+    by = dict(zip(v, (float(i % 7) for i in range(500))))
+    for k in sorted(by):
+        total += by[k]
+        assert sums[k] == total
+    for k in sorted(by, reverse=True):
+        least = min(least, by[k])
+        assert mins[k] == least
+    scores = spark.createDataFrame([(i, s) for i, s in enumerate([0.5, 0.9, 0.5, None, 0.1, 0.9, 0.9])], "id int, s double")
+    got = {r["id"]: (r["ml_anomaly_rank"], r["ml_anomaly_quantile"]) for r in ml.ranked(scores, "s").collect()}
+    assert {i: g[0] for i, g in got.items()} == {1: 1, 5: 1, 6: 1, 0: 4, 2: 4, 4: 6, 3: 7}
+    assert got[1][1] == pytest.approx(6 / 7) and got[3][1] == pytest.approx(1 / 7) and got[0][1] == pytest.approx(3.5 / 7)
+
+
+def test_contamination_is_counted(spark):
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rng.normal(size=(300, 2)))], "id int, a double, b double")
+    got = ml.contamination_sensitivity(df, "id", ["a", "b"], 0.05, trees=30)
+    assert [r["factor"] for r in got] == [0.5, 1.0, 2.0] and [r["contamination"] for r in got] == [0.025, 0.05, 0.1]
+    assert [r["n_flagged"] for r in got] == [8, 15, 30] and all(r["top_k_overlap"] == 1.0 for r in got)
+
+
+def test_attach_by_area(spark):
+    """Pixels that a cell's border cuts count for both cells by their share."""
+    labels = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (1, 0, 2)], "label int, row int, col int")
+    g = spark.createDataFrame([(0, 0, 1.0, "a"), (0, 1, 4.0, "b")], "cell_row long, cell_col long, v double, c string")
+    r = features.attach(labels, g, 1.75, ["v"], ["c"], 10.0).first()
+    assert r["v"] == pytest.approx((1.75 * 1 + 1.25 * 4) / 3) and r["c"] == "a"
+
+
+def test_store_of_runs(spark, tmp_path):
+    from veldt.plans.store import RunStore
+
+    s = RunStore(spark, str(tmp_path / "runs"))
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "v int")
+    with pytest.raises(KeyError):
+        s.read("t")
+    assert s.put("a", {"t": rows(1, 2), "u": rows(9)}) == 1 and s.put("b", {"t": rows(3).selectExpr("v", "'x' w")}) == 2
+    told = lambda t, n=None: sorted((r["run_id"], r["v"]) for r in s.read(t, n).collect())
+    assert told("t") == [("a", 1), ("a", 2), ("b", 3)] and told("u") == [("a", 9)]
+    assert s.put("a", {"t": rows(7)}) == 3
+    assert told("t") == [("a", 7), ("b", 3)] and told("t", 1) == [("a", 1), ("a", 2)]
+    with pytest.raises(KeyError):
+        s.read("u")  # the run's new version has none
+    assert {r["w"] for r in s.read("t").collect()} == {None, "x"}
+    # a writer that comes too late begins again from what the other wrote
+    late = RunStore(spark, str(tmp_path / "runs"))
+    seen = late._version
+    late._version = lambda n=[2]: n.pop() if n else seen()
+    assert late.put("c", {"t": rows(5)}) == 4 and told("t") == [("a", 7), ("b", 3), ("c", 5)]

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldt import scratch
 from veldt.operators.change import AnalysisError
+from veldt.operators.ranks import running
 from veldt.sources.pixels import BANDS
 
 QUEEN = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
@@ -150,11 +152,15 @@ def normal_p(z: Column) -> Column:
 
 
 def bh_fdr(df: DataFrame, p: str, key: str, q: str = "q") -> DataFrame:
-    """Benjamini-Hochberg q-values. The table is of cells: some thousands, not pixels, so one ordering is enough."""
-    n = F.count("*").over(Window.partitionBy())
-    ranked = df.withColumns({"_rk": F.row_number().over(Window.orderBy(p, key)), "_n": n})
-    least = F.min(F.col(p) * F.col("_n") / F.col("_rk")).over(Window.orderBy(F.desc("_rk")).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn(q, F.least(least, F.lit(1.0))).drop("_rk", "_n")
+    """Benjamini-Hochberg q-values. Equal p take the rank of the last of them; ranks are running counts, and the least of
+    what follows a running minimum from the largest p down, both by range partitions. A null p has no q and no rank."""
+    df = scratch.kept(df, "tested")  # values are joined: they must be the same to the last bit
+    counts = scratch.kept(df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p_value")).agg(F.count("*").alias("_c")), "p_values")
+    n = counts.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    rank = running(counts, [F.col("_p_value")], "_c", "sum", "_rank")
+    rank = rank.withColumn("_v", F.col("_p_value") * F.lit(n) / F.col("_rank"))
+    least = running(rank, [F.desc("_p_value")], "_v", "min", "_least").select("_p_value", F.least("_least", F.lit(1.0)).alias(q))
+    return df.join(least, F.col(p) == F.col("_p_value"), "left").drop("_p_value")
 
 
 def hotspot_class(z: Column, p: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veldt.operators.ranks import placed
 from veldt.operators.raster import perimeter
 
 #: Weights of mean excess, consistency, size, hotspot and anomaly score. Fixed values.
@@ -52,9 +53,17 @@ def confidence(features: DataFrame, threshold: float, anomaly: str | None = None
 def attach(labels: DataFrame, grid: DataFrame, cell_px: float, numeric: list[str], category: list[str], pixel_m: float) -> DataFrame:
     """(label, means of ``numeric`` by overlap, ``category`` of the cell with the greatest overlap, least cell first).
 
-    A pixel belongs to the cell that holds its centre, as in the grid, so the overlap is a count of pixels."""
-    by = [F.floor((F.col(c) + 0.5) / cell_px).cast("long").alias(f"cell_{c}") for c in ("row", "col")]
-    share = labels.groupBy("label", *by).agg((F.count("*") * F.lit(pixel_m * pixel_m)).alias("w"))
+    A pixel that a cell's border cuts belongs to both cells by its share of area."""
+    whole = float(cell_px).is_integer()
+    cut = labels.select("label", "row", "col")
+    for c in ("row", "col"):
+        first = F.floor(F.col(c) / cell_px)
+        if whole:  # borders of cells are borders of pixels
+            cut = cut.withColumns({f"cell_{c}": first, f"_{c}": F.lit(1.0)})
+        else:
+            cut = cut.withColumn(f"cell_{c}", F.explode(F.sequence(first, F.ceil((F.col(c) + 1) / cell_px) - 1)))
+            cut = cut.withColumn(f"_{c}", F.least(F.col(c) + 1.0, (F.col(f"cell_{c}") + 1) * cell_px) - F.greatest(F.col(c).cast("double"), F.col(f"cell_{c}") * cell_px))
+    share = cut.groupBy("label", "cell_row", "cell_col").agg((F.sum(F.col("_row") * F.col("_col")) * F.lit(pixel_m * pixel_m)).alias("w"))
     met = share.join(grid, ["cell_row", "cell_col"])
     mean = lambda c: (F.sum(F.col("w") * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), F.col("w")))).alias(c)
     rank = F.struct(F.col("w"), -F.col("cell_row"), -F.col("cell_col"))
@@ -62,5 +71,5 @@ def attach(labels: DataFrame, grid: DataFrame, cell_px: float, numeric: list[str
 
 
 def numbered(features: DataFrame, order: list[str], name: str = "id") -> DataFrame:
-    """Sequential ids from 1. Features are few: components, not pixels."""
-    return features.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    """Sequential ids from 1."""
+    return placed(features, [F.col(c) for c in order], name, 1).withColumn(name, F.col(name).cast("int"))

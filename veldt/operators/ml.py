@@ -13,6 +13,7 @@ from veldt import scratch
 from veldt.functions.quantiles import quantiles
 from veldt.operators.change import AnalysisError
 from veldt.operators.graph import connected_components
+from veldt.operators.ranks import placed, running
 
 FEATURES = ("mean_cva", "p95_cva", "changed_proportion", "mean_diff_b04", "mean_diff_b03", "mean_diff_b02", "local_std_cva")
 LEAST_CELLS, SAMPLE = 20, 256
@@ -33,17 +34,16 @@ def features(cells: DataFrame, coordinates: bool = False) -> tuple[DataFrame, li
     return cells, cols
 
 
-def rank_desc(c: str) -> Column:
-    return F.rank().over(Window.orderBy(F.desc(c)))
-
-
-def quantile_avg(c: str) -> Column:
-    """Rank as a share, ties at their mean."""
-    return (F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0) / F.count("*").over(Window.partitionBy())
-
-
 def ranked(df: DataFrame, score: str) -> DataFrame:
-    return df.withColumns({"ml_anomaly_rank": rank_desc(score), "ml_anomaly_quantile": quantile_avg(score)})
+    """Adds ml_anomaly_rank (1 for the highest score, ties at their best, nulls last) and ml_anomaly_quantile (the rank from
+    below as a share, ties at their mean). Different scores are ordered with their counts, by range partitions."""
+    df = scratch.kept(df, "to_rank")  # scores are joined: they must be the same to the last bit
+    counts = scratch.kept(df.groupBy(F.col(score).alias("_score")).agg(F.count("*").alias("_c")), "scores")
+    n = counts.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    put = running(counts, [F.desc_nulls_last("_score")], "_c", "sum", "_up_to")
+    above = F.col("_up_to") - F.col("_c")
+    told = put.select("_score", (above + 1).alias("ml_anomaly_rank"), ((F.lit(n) - F.col("_up_to") + 1 + (F.col("_c") - 1) / 2.0) / F.lit(max(n, 1))).alias("ml_anomaly_quantile"))
+    return df.join(told, F.col(score).eqNullSafe(F.col("_score"))).drop("_score")
 
 
 def _depth(n: float) -> float:
@@ -109,25 +109,114 @@ def isolation_forest(cells: DataFrame, key: str, cols: list[str], trees: int = 2
     return cells.join(own, F.col(key) == F.col("_key")).drop("_key")
 
 
+#: Boxes of at most so many points are no longer halved, but compared point by point.
+LEAF = 32
+
+
+def _gap(cols: int, far: bool) -> Column:
+    """Squared distance of the nearest, or farthest, places of two boxes (lo, hi) and (lo2, hi2), arrays by dimension."""
+    out = F.lit(0.0)
+    for i in range(cols):
+        lo, hi, lo2, hi2 = (F.get(c, F.lit(i)) for c in ("lo", "hi", "lo2", "hi2"))
+        d = F.greatest(hi2 - lo, hi - lo2) if far else F.greatest(lo2 - hi, lo - hi2, F.lit(0.0))
+        out = out + d * d
+    return out
+
+
+def _boxes(points: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, n, lo, hi, who): counts, tight boxes and least keys of groups of points (a, x)."""
+    d = F.size("x")
+    dims = len(points.select("x").first()["x"])
+    lo, hi = ([f(F.get("x", F.lit(i))) for i in range(dims)] for f in (F.min, F.max))
+    return points.groupBy(*by).agg(F.count("*").alias("n"), F.array(*lo).alias("lo"), F.array(*hi).alias("hi"), F.min("a").alias("who"), F.max(d).alias("_d")).drop("_d")
+
+
 def dbscan(points: DataFrame, key: str, cols: list[str], eps: float, min_samples: int) -> DataFrame:
-    """(key, ml_cluster_id): -1 for noise; clusters are numbered by their least core key. Neighbours are found by an
-    equi-join on cells of width eps in the two leading dimensions, then by exact distance."""
-    lead = cols[:2]
-    cell = {f"_c{i}": F.floor(F.col(c) / F.lit(eps)).cast("long") for i, c in enumerate(lead)}
-    p = points.select(F.col(key).alias("a"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)], *[v.alias(n) for n, v in cell.items()])
-    steps = [(a, b)[: len(lead)] for a in (-1, 0, 1) for b in ((-1, 0, 1) if len(lead) > 1 else (0,))]
+    """(key, ml_cluster_id): -1 for noise; clusters are numbered by their least core key.
+
+    Points fall into cells of side eps / sqrt(d), within which all are neighbours: cells of ``min_samples`` points are core
+    throughout and one cluster, without a pair being looked at. Only points of thin cells count their neighbours, and whole
+    boxes of points that are surely near or surely far count at once. Two core cells are linked if any of their core points
+    are near: pairs of boxes that can't tell yet are halved along their widest side, round by round, down to ``LEAF`` points.
+    So a crowd of any number of equal or close points costs a few boxes."""
+    spark, d = points.sparkSession, len(cols)
+    side = eps / math.sqrt(d) * (1 - 1e-12)
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+    p = points.select(F.col(key).alias("a"), x.alias("x"))
+    cell = F.xxhash64(*[F.floor(F.get("x", F.lit(i)) / side).cast("long") for i in range(d)])
+    p = scratch.kept(p.withColumn("cell", cell), "points")
+    if not p.take(1):
+        return points.select(F.col(key), F.lit(-1).alias("ml_cluster_id"))
+    cells = _boxes(p, ["cell"])
+    # Cells near each other meet by the box of eps that the first corner of a cell is in, in the two leading dimensions.
+    lead = min(2, d)
+    corner = [F.floor(F.get("lo", F.lit(i)) / eps).cast("long").alias(f"_c{i}") for i in range(lead)]
+    cells = scratch.kept(cells.select("*", *corner), "cells")
+    steps = [(i, j)[:lead] for i in (-2, -1, 0, 1, 2) for j in ((-2, -1, 0, 1, 2) if lead > 1 else (0,))]
     to = F.explode(F.array(*[F.struct(*[(F.col(f"_c{i}") + s).alias(f"_c{i}") for i, s in enumerate(step)]) for step in steps]))
-    q = p.select(F.col("a").alias("b"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(len(cols))], to.alias("_to")).select("*", "_to.*").drop("_to")
-    gap = sum((F.pow(F.col(f"x{i}") - F.col(f"y{i}"), 2) for i in range(1, len(cols))), F.pow(F.col("x0") - F.col("y0"), 2))
-    near = p.join(q, [f"_c{i}" for i in range(len(lead))]).where(gap <= eps * eps).select("a", "b")
-    core = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("a")
-    pairs = near.join(core, "a", "left_semi")
-    inner = pairs.join(core.select(F.col("a").alias("b")), "b", "left_semi")
-    named = core.join(connected_components(inner).withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("component", "a").alias("root"))
-    ids = named.select("root").distinct().withColumn("ml_cluster_id", (F.row_number().over(Window.orderBy("root")) - 1).cast("int"))
-    named = named.join(ids, "root").select("a", "ml_cluster_id")
-    border = pairs.join(named, "a").groupBy("b").agg(F.min("ml_cluster_id").alias("edge")).withColumnRenamed("b", "a")
-    out = points.select(F.col(key).alias("a")).join(named, "a", "left").join(border, "a", "left")
+    other = cells.select(F.col("cell").alias("cell2"), F.col("n").alias("n2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), to.alias("_to")).select("*", "_to.*").drop("_to")
+    near = cells.join(other, [f"_c{i}" for i in range(lead)]).where(_gap(d, False) <= eps * eps)
+    near = scratch.kept(near.select("cell", "cell2", "n", "n2", (_gap(d, True) <= eps * eps).alias("all"), (F.col("n") >= min_samples).alias("dense")), "near_cells")
+    dense = cells.where(F.col("n") >= min_samples).select("cell")
+
+    # Neighbours of the points of thin cells: boxes that are near throughout count whole, others point by point, and a
+    # point's own cell is near throughout.
+    thin = p.join(cells.where(F.col("n") < min_samples).select("cell"), "cell", "left_semi")
+    whole = near.where("not dense and all").groupBy("cell").agg(F.sum("n2").alias("whole"))
+    part = near.where("not dense and not all").select("cell", "cell2")
+    dist = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    q = p.select(F.col("cell").alias("cell2"), F.col("a").alias("b"), F.col("x").alias("y"))
+    met = thin.join(part, "cell").join(q, "cell2").where(dist <= eps * eps).groupBy("a").agg(F.count("*").alias("part"))
+    told = thin.join(whole, "cell", "left").join(met, "a", "left").withColumn("n", F.coalesce("whole", F.lit(0)) + F.coalesce("part", F.lit(0)))
+    core = p.join(dense, "cell", "left_semi").select("a", "x", "cell").unionByName(told.where(F.col("n") >= min_samples).select("a", "x", "cell"))
+    core = scratch.kept(core, "core")
+    if not core.take(1):
+        return points.select(F.col(key), F.lit(-1).alias("ml_cluster_id"))
+
+    # Links of cells by their core points. A box is named by its cell and the halves taken in it so far.
+    box = scratch.kept(_boxes(core.withColumn("path", F.lit("")), ["cell", "path"]), "boxes")
+    open_pairs = near.where("cell < cell2").select("cell", F.lit("").alias("path"), "cell2", F.lit("").alias("path2"))
+    links, held = None, core.withColumn("path", F.lit(""))
+    while True:
+        two = box.select(*[F.col(c).alias(f"{c}2") for c in ("cell", "path", "n", "lo", "hi", "who")])
+        pairs = scratch.kept(open_pairs.join(box, ["cell", "path"]).join(two, ["cell2", "path2"]).where(_gap(d, False) <= eps * eps).withColumn("all", _gap(d, True) <= eps * eps), "pairs")
+        sure = pairs.where("all").select("cell", "cell2").distinct()
+        small = pairs.where((F.col("n") <= LEAF) & (F.col("n2") <= LEAF) & ~F.col("all"))
+        one = held.select("cell", "path", "x")
+        y = held.select(F.col("cell").alias("cell2"), F.col("path").alias("path2"), F.col("x").alias("y"))
+        close = small.select("cell", "path", "cell2", "path2").join(one, ["cell", "path"]).join(y, ["cell2", "path2"]).where(dist <= eps * eps).select("cell", "cell2").distinct()
+        new = sure.unionByName(close)
+        links = scratch.kept(new if links is None else links.unionByName(new), "links").distinct()
+        left = pairs.where(~F.col("all") & ((F.col("n") > LEAF) | (F.col("n2") > LEAF))).join(links, ["cell", "cell2"], "left_anti").select("cell", "path", "cell2", "path2", "n", "n2")
+        left = scratch.kept(left, "open_pairs")
+        if not left.take(1):
+            break
+        # Large boxes are halved at the middle of their widest side; a box of equal points never comes here.
+        widths = F.zip_with("hi", "lo", lambda a, b: a - b)
+        cut = box.where(F.col("n") > LEAF).select("cell", "path", (F.array_position(widths, F.array_max(widths)) - 1).cast("int").alias("_i"), "lo", "hi")
+        cut = cut.select("cell", "path", "_i", ((F.get("lo", F.col("_i")) + F.get("hi", F.col("_i"))) / 2).alias("_at"))
+        half = F.when(F.col("_at").isNull(), F.lit("")).when(F.get("x", F.col("_i")) > F.col("_at"), F.lit("1")).otherwise(F.lit("0"))
+        held = scratch.kept(held.join(cut, ["cell", "path"], "left").withColumn("path", F.concat("path", half)).select("a", "x", "cell", "path"), "halved")
+        box = scratch.kept(_boxes(held, ["cell", "path"]), "boxes")
+
+        def halves(n: str, path: str) -> Column:
+            return F.explode(F.when(F.col(n) > LEAF, F.array(F.concat(F.col(path), F.lit("0")), F.concat(F.col(path), F.lit("1")))).otherwise(F.array(F.col(path))))
+
+        open_pairs = left.withColumn("path", halves("n", "path")).withColumn("path2", halves("n2", "path2")).select("cell", "path", "cell2", "path2")
+
+    # Clusters are numbered by their least core key.
+    firsts = core.groupBy("cell").agg(F.min("a").alias("first"))
+    groups = connected_components(links, "cell", "cell2").withColumnRenamed("node", "cell")
+    named = firsts.join(groups, "cell", "left").withColumn("component", F.coalesce("component", "cell"))
+    least = placed(named.groupBy("component").agg(F.min("first").alias("root")), [F.col("root")], "ml_cluster_id")
+    clusters = scratch.kept(named.join(least, "component").select("cell", F.col("ml_cluster_id").cast("int").alias("ml_cluster_id")), "clusters")
+    own = core.join(clusters, "cell").select("a", "ml_cluster_id")
+    # Other points take the least cluster of a core point near them.
+    rest = thin.join(core.select("a"), "a", "left_anti")
+    c = core.join(clusters, "cell").select(F.col("cell").alias("cell2"), F.col("x").alias("y"), "ml_cluster_id")
+    touching = near.where("not dense").select("cell", "cell2")
+    border = rest.join(touching, "cell").join(c, "cell2").where(dist <= eps * eps).groupBy("a").agg(F.min("ml_cluster_id").alias("edge"))
+    out = points.select(F.col(key).alias("a")).join(own, "a", "left").join(border, "a", "left")
     return out.select(F.col("a").alias(key), F.coalesce("ml_cluster_id", "edge", F.lit(-1)).cast("int").alias("ml_cluster_id"))
 
 
@@ -163,13 +252,18 @@ def forest_stability(cells: DataFrame, key: str, cols: list[str], replicates: in
     return {"replicates": len(seen), "overlap_mean": float(np.mean(seen)) if seen else None, "overlap_std": float(np.std(seen)) if seen else None}
 
 
-def contamination_sensitivity(scored: DataFrame, contamination: float = 0.05) -> DataFrame:
-    """(factor, contamination, n_flagged, top_k_overlap): cells flagged as anomalies when half or twice the share is
-    expected, and how much of the top k stays. The share moves the cut, not the scores, so the top k stays whole."""
-    shares = [(f, min(max(contamination * f, 0.01), 0.49)) for f in (0.5, 1.0, 2.0)]
-    told = scored.sparkSession.createDataFrame(shares, "factor double, contamination double")
-    n = scored.agg(F.count("*").alias("n"))
-    return told.join(F.broadcast(n)).select("factor", "contamination", F.floor(F.col("contamination") * F.col("n")).cast("long").alias("n_flagged"), F.lit(1.0).alias("top_k_overlap"))
+def contamination_sensitivity(cells: DataFrame, key: str, cols: list[str], contamination: float = 0.05, k: int = 20, trees: int = 200, seed: int = 42) -> list[dict]:
+    """(factor, contamination, n_flagged, top_k_overlap): when half or twice the share of anomalies is expected, a forest is
+    grown again; cells whose score is beyond that share's percentile are flagged, and its top k held against the first's."""
+    out, first = [], None
+    for factor in (1.0, 0.5, 2.0):
+        share = min(max(contamination * factor, 0.01), 0.49)
+        scored = scratch.kept(isolation_forest(cells, key, cols, trees, seed).select(key, "ml_anomaly_score"), "scored")
+        cut = quantiles(scored, {"s": F.col("ml_anomaly_score")}, [1 - share])["s"][0]
+        top = {r[0] for r in top_k(scored, key, "ml_anomaly_score", k).collect()}
+        first = top if first is None else first
+        out.append({"factor": factor, "contamination": share, "n_flagged": scored.where(F.col("ml_anomaly_score") > cut).count(), "top_k_overlap": len(top & first) / max(1, len(first))})
+    return sorted(out, key=lambda r: r["factor"])
 
 
 def dbscan_sensitivity(points: DataFrame, key: str, cols: list[str], eps: float, min_samples: int) -> list[dict]:

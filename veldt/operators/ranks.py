@@ -75,6 +75,24 @@ def placed(df: DataFrame, order: list[Column], name: str = "place", start: int =
     return put.join(F.broadcast(offsets), F.shiftright("_id", 33) == F.col("_p")).withColumn(name, F.col("_off") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_p", "_off", "_id")
 
 
+def running(df: DataFrame, order: list[Column], value: str, how: str, name: str) -> DataFrame:
+    """Add ``name``: the sum (``how`` = "sum") or the least (``how`` = "min") of ``value`` over all rows up to this one in
+    an order over the whole table, without a window over all rows: each range partition is scanned on its own, and what
+    comes before it, a number for each partition, is put on top. Rows should not agree in all of ``order``."""
+    put = scratch.kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_id", 33)), "running")
+    total, own = {"sum": (F.sum, lambda a, b: a + b), "min": (F.min, F.least)}[how]
+    totals = sorted((r["_p"], r["v"]) for r in put.groupBy("_p").agg(total(value).alias("v")).collect())
+    before, at = [], None
+    for p, v in totals:
+        before.append((p, None if at is None else float(at)))
+        at = v if at is None else at if v is None else at + v if how == "sum" else min(at, v)
+    offsets = df.sparkSession.createDataFrame(before, "_q long, _before double")
+    within = total(value).over(Window.partitionBy("_p").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0))
+    out = put.withColumn("_own", within).join(F.broadcast(offsets), F.col("_p") == F.col("_q"))
+    kind = dict(df.dtypes)[value]
+    return out.withColumn(name, F.when(F.col("_before").isNull(), F.col("_own")).otherwise(own(F.col("_own"), F.col("_before"))).cast(kind)).drop("_p", "_q", "_id", "_own", "_before")
+
+
 def ranks(values: DataFrame, value: str, name: str = "rank") -> DataFrame:
     """(value, rank): the different values that aren't null, numbered from 0 in their order."""
     return placed(values.select(value).where(F.col(value).isNotNull()).distinct(), [F.col(value)], name)

@@ -12,6 +12,7 @@ from veldt import scratch
 from veldt.functions import projection
 from veldt.functions.quantiles import quantiles
 from veldt.operators import cells, change, features, ml, overlay, radiometry, raster
+from veldt.plans import store
 from veldt.plans.oracles import K, ROOK, projection_sql, sql
 from veldt.sources import discovery, pixels, tiff, vectors
 from veldt.sources.pixels import BANDS, PIXEL_M
@@ -374,13 +375,13 @@ def overlay_attach(spark, sf):
 @query(sql("select id, cast(rank() over (order by round(y, 6) desc) as int) ml_anomaly_rank from cell"))
 def anomaly_rank(spark, sf):
     g = Scene(spark, sf).grid().select(cells.cell_id().alias("id"), F.round("mean_cva", 6).alias("y"))
-    return g.select("id", ml.rank_desc("y").cast("int").alias("ml_anomaly_rank"))
+    return ml.ranked(g, "y").select("id", F.col("ml_anomaly_rank").cast("int").alias("ml_anomaly_rank"))
 
 
 @query(sql("select id, round((rank() over (order by y) + (count(*) over (partition by y) - 1) / 2e0) / count(*) over (), 6) ml_anomaly_quantile from (select id, round(y, 1) y from cell)"))
 def anomaly_quantile(spark, sf):
     g = Scene(spark, sf).grid().select(cells.cell_id().alias("id"), F.round("mean_cva", 1).alias("y"))
-    return told(g.select("id", ml.quantile_avg("y").alias("ml_anomaly_quantile")))
+    return told(ml.ranked(g, "y").select("id", "ml_anomaly_quantile"))
 
 
 @query(sql(f"select cell_row * {K} + cell_col id, " + ", ".join(f"round(({c} - {c}_m) / (case when {c}_h = {c}_l then 1e0 else {c}_h - {c}_l end), 6) + 0e0 {c}" for c in ml.FEATURES) + " from grid, (select " + ", ".join(f"quantile_cont({c}, 0.25) {c}_l, median({c}) {c}_m, quantile_cont({c}, 0.75) {c}_h" for c in ml.FEATURES) + " from grid)"))
@@ -428,23 +429,25 @@ def date_label(spark, sf):
     return f.select("folder", discovery.date_label(F.col("folder")).alias("label"))
 
 
-_META = [
-    ("20230812", "B02", "EPSG:32735", 100, 150, "10|0|0|10", 0.91), ("20230812", "B03", "EPSG:32735", 100, 150, "10|0|0|10", 0.42), ("20230812", "B04", "EPSG:32735", 100, 149, "10|0|0|10", 0.95),
-    ("20230902", "B02", "EPSG:32735", 100, 150, "10|0|3|10", 0.97), ("20230902", "B03", "EPSG:32736", 100, 150, "10|0|3|10", 0.88), ("20230902", "B04", None, 100, 150, "10|0|0|10", 0.93),
-]
-_ROWS = ", ".join("(" + ", ".join("null" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}e0" if isinstance(x, float) else str(x) for x in r) + ")" for r in _META)
+# Band files as orders tell of them: a date for each priority, a band for each remainder of the key.
+_META = """select o_orderpriority as date, 'B0' || cast(2 + o_orderkey % 3 as varchar(1)) as band,
+case when max(o_custkey) % 5 = 0 then null when max(o_custkey) % 5 = 1 then 'EPSG:32736' else 'EPSG:32735' end as crs,
+cast(100 + count(*) % 2 as int) as width, cast(150 as int) as height, case when min(o_orderkey) % 4 = 0 then '10|0|3|10' else '10|0|0|10' end as transform,
+avg(case when o_totalprice > 200000 then 1e0 else 0e0 end) - 0.1e0 * cast(min(o_orderkey) % 3 as int) as valid_ratio
+from orders where o_orderpriority is not null group by o_orderpriority, o_orderkey % 3"""
 
 
-@query(f"""with m(date, band, crs, width, height, transform, valid_ratio) as (values {_ROWS}), f as (select date, arg_min(crs, band) c0, arg_min(width, band) w0, arg_min(height, band) h0, arg_min(transform, band) t0 from m group by 1)
+@query(f"""with m as ({_META}), f as (select date, arg_min(row(crs), band) c0, arg_min(width, band) w0, arg_min(height, band) h0, arg_min(transform, band) t0 from m group by 1)
 select severity, code, count(*)::bigint n from (
 select 'error' severity, 'missing_crs' code from m where crs is null union all select 'warning', 'low_valid_ratio' from m where valid_ratio < 0.5
-union all select 'error', 'band_crs_mismatch' from m join f using (date) where crs is distinct from c0 union all select 'error', 'band_dimension_mismatch' from m join f using (date) where width <> w0 or height <> h0
+union all select 'error', 'band_crs_mismatch' from m join f using (date) where row(crs) is distinct from c0 union all select 'error', 'band_dimension_mismatch' from m join f using (date) where width <> w0 or height <> h0
 union all select 'error', 'band_transform_mismatch' from m join f using (date) where transform <> t0) group by 1, 2""")
 def validation_rules(spark, sf):
     from veldt.operators import validation
 
-    m = spark.createDataFrame(_META, "date string, band string, crs string, width int, height int, transform string, valid_ratio double")
-    return validation.issues(m).groupBy("severity", "code").agg(F.count("*").alias("n"))
+    spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("orders_of_bands")
+    m = spark.sql(_META.replace("from orders ", "from orders_of_bands ").replace("varchar(1)", "string"))
+    return validation.issues(scratch.kept(m, "bands")).groupBy("severity", "code").agg(F.count("*").alias("n"))
 
 
 @query(sql("select r as row, c as col, round(500000 + (c + 0.5e0) * 10, 6) x, round(8600000 - (r + 0.5e0) * 10, 6) y from px"))
@@ -623,14 +626,34 @@ def tile_codec(spark, sf):
 
 # The catalog's SQL surface, over this engine's own tables.
 VIEWS = ("change_features", "spatial_grid", "run_metadata", "quality_checks")
-RUNS = [("run_a", "2024-01-01T00:00:00", "otsu"), ("run_b", "2024-02-01T00:00:00", "otsu"), ("run_c", "2024-03-01T00:00:00", "manual")]
-CHECKS = [(1, "run_c", "no_islands", "info"), (2, "run_c", "low_valid_ratio", "warning"), (3, "run_b", "missing_crs", "error")]
-_FEATURE = "feature as change_features_base, "
-_RUNS = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in RUNS)
-_CHECKS = ", ".join(f"({a}, '{b}', '{c}', '{d}')" for a, b, c, d in CHECKS)
+# A run for each priority of orders: when its last order came, how its status is checked. The first run is put twice, older
+# and with other checks at first, so what is read is what a later put left.
+_RUN_ROWS = """select lower(replace(o_orderpriority, ' ', '_')) run_id, cast(max(o_orderdate) as varchar) run_timestamp,
+case when count(*) % 2 = 0 then 'otsu' else 'manual' end threshold_method from orders where o_orderpriority is not null group by 1"""
+_CHECK_ROWS = """select lower(replace(o_orderpriority, ' ', '_')) run_id, 'status_' || lower(o_orderstatus) check_name,
+case o_orderstatus when 'F' then 'error' when 'P' then 'warning' else 'info' end severity, count(*) n from orders
+where o_orderpriority is not null and o_orderstatus is not null group by 1, 2, 3"""
+_STORED = f"run_metadata as ({_RUN_ROWS}), quality_checks as ({_CHECK_ROWS})"
+
+
+def _runs(spark, sf) -> store.RunStore:
+    o = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderpriority is not null")
+    o = o.withColumn("run_id", F.lower(F.replace(F.col("o_orderpriority"), F.lit(" "), F.lit("_"))))
+    when = F.date_format(F.max("o_orderdate"), "yyyy-MM-dd HH:mm:ss")
+    meta = scratch.kept(o.groupBy("run_id").agg(when.alias("run_timestamp"), F.when(F.count("*") % 2 == 0, "otsu").otherwise("manual").alias("threshold_method")), "meta")
+    severity = F.when(F.col("o_orderstatus") == "F", "error").when(F.col("o_orderstatus") == "P", "warning").otherwise("info")
+    checks = o.where("o_orderstatus is not null").groupBy("run_id", F.concat(F.lit("status_"), F.lower("o_orderstatus")).alias("check_name"), severity.alias("severity")).agg(F.count("*").alias("n"))
+    checks = scratch.kept(checks, "checks")
+    held = store.RunStore(spark, scratch.fresh(spark, "runs"))
+    ids = sorted(r[0] for r in meta.select("run_id").collect())  # as many as there are priorities
+    for run in [*ids[:1], *ids]:
+        held.put(run, {"run_metadata": meta.where(F.col("run_id") == run), "quality_checks": checks.where(F.col("run_id") == run)})
+    return held
+
+
 _TABLES = f""", change_features as (select id, round(area_m2, 6) area_m2, round(mean_change, 6) mean_change, round(confidence, 6) confidence, round(gi_zscore, 6) gi_zscore, hotspot_class, case when compactness > 0.5 then round(compactness, 6) end ml_anomaly_score, case when id % 3 = 0 then null when gi_zscore > 0 then 'High-High' else 'Low-Low' end lisa_cluster from feature),
 spatial_grid as (select round(mean_cva, 6) mean_cva, round(changed_proportion, 6) changed_proportion, cls hotspot_class from grid join hot on id = cell_row * {K} + cell_col),
-run_metadata(run_id, run_timestamp, threshold_method) as (values {_RUNS}), quality_checks(id, run_id, check_name, severity) as (values {_CHECKS})
+{_STORED}
 """
 
 
@@ -645,10 +668,9 @@ def _views(spark, sf, text):
         scratch.kept(f, "view").createOrReplaceTempView("change_features")
     if "spatial_grid" in text:
         told(s.hotspots().select("mean_cva", "changed_proportion", "hotspot_class")).createOrReplaceTempView("spatial_grid")
-    if "run_metadata" in text:
-        spark.createDataFrame(RUNS, "run_id string, run_timestamp string, threshold_method string").createOrReplaceTempView("run_metadata")
-    if "quality_checks" in text:
-        spark.createDataFrame(CHECKS, "id int, run_id string, check_name string, severity string").createOrReplaceTempView("quality_checks")
+    for name in ("run_metadata", "quality_checks"):
+        if name in text:
+            _runs(spark, sf).read(name).createOrReplaceTempView(name)
 
 
 # Texts that users of the catalog run as they are. Fixed values.
@@ -730,10 +752,11 @@ def if_stability(spark, sf):
     return spark.createDataFrame([tuple(r.values())], "replicates int, overlap_mean double, overlap_std double")
 
 
-@query(sql("select factor, c contamination, cast(floor(c * n) as bigint) n_flagged, 1e0 top_k_overlap from (values (0.5e0, 0.025e0), (1e0, 0.05e0), (2e0, 0.1e0)) v(factor, c), (select count(*) n from grid)"))
+@query()
 def contamination_sensitivity(spark, sf):
-    g = Scene(spark, sf).grid().withColumn("id", cells.cell_id())
-    return told(ml.contamination_sensitivity(ml.isolation_forest(g, "id", list(ml.FEATURES))))
+    g = scratch.kept(Scene(spark, sf).grid().withColumn("id", cells.cell_id()), "cells")
+    rows = ml.contamination_sensitivity(g, "id", list(ml.FEATURES))
+    return spark.createDataFrame([tuple(r.values()) for r in rows], "factor double, contamination double, n_flagged long, top_k_overlap double")
 
 
 @query()
