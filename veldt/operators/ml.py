@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -71,16 +72,33 @@ def _path(tree: list, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pool(scaled: DataFrame, key: str, cols: list[str], size: int, seed: int) -> pd.DataFrame:
-    """At most ``size`` cells, drawn by a hash of the key: as many as all trees' draws together."""
-    return scaled.orderBy(F.xxhash64(F.lit(seed), key), key).limit(size).toPandas()
-
-
-def _forest(x: np.ndarray, trees: int, psi: int, seed: int) -> list:
-    out = []
-    for t in range(trees):
-        rng = np.random.default_rng([seed, t])
-        out.append(_grow(x[rng.choice(len(x), min(psi, len(x)), replace=False)], rng, math.ceil(math.log2(max(psi, 2)))))
+def _grown(scaled: DataFrame, key: str, cols: list[str], forests: list[tuple[list[int] | None, int]], trees: int, psi: int, seeds: list[int]) -> list[tuple[list, int]]:
+    """Forests, each of ``trees`` trees, over cells (key, *cols, _block). ``forests`` names for each the blocks that it may
+    draw from (None: all) and how many cells those have. A tree's sample are the ``psi`` cells with the least hash of tree
+    and key: each cell tells by its own hashes which trees may want it, and one task for each tree picks and grows. What
+    comes to the driver are the trees, of at most 2 psi nodes each."""
+
+    def run(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        f, t = int(key_[0]), int(key_[1])
+        size = min(psi, forests[f][1])
+        own = pdf.sort_values(["h", "k"]).head(size)
+        tree = _grow(own[cols].to_numpy(float), np.random.default_rng([seeds[f], t]), math.ceil(math.log2(max(size, 2))))
+        return pd.DataFrame({"f": [f], "t": [t], "tree": [json.dumps(tree)]})
+
+    def wanted(f: int, blocks: list[int] | None, n: int) -> Column:
+        """What trees of a forest may want a cell."""
+        # About four times as many as are needed, and no fewer than some hundreds: the least hashes are surely among them.
+        share = min(1.0, (4 * psi + 256) / max(n, 1))
+        each = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.lit(f).alias("f"), t.alias("t"), F.pmod(F.xxhash64(F.lit(seeds[f]), t, F.col(key)), F.lit(1 << 40)).alias("h")))
+        few = F.filter(each, lambda x: x["h"] < int(share * (1 << 40)))
+        return few if blocks is None else F.when(F.col("_block").isin(blocks), few).otherwise(F.slice(each, 1, 0))
+
+    wants = [wanted(f, blocks, n) for f, (blocks, n) in enumerate(forests)]
+    at = scaled.select(F.col(key).alias("k"), *cols, F.explode(F.flatten(F.array(*wants))).alias("w")).select("k", *cols, "w.*")
+    rows = at.groupBy("f", "t").applyInPandas(run, "f int, t int, tree string").collect()
+    out: list[tuple[list, int]] = [([], min(psi, n)) for _, n in forests]
+    for r in sorted(rows, key=lambda r: (r["f"], r["t"])):
+        out[r["f"]][0].append(json.loads(r["tree"]))
     return out
 
 
@@ -97,15 +115,14 @@ def _scores(scaled: DataFrame, cols: list[str], forests: list[tuple[list, int]])
 
 
 def isolation_forest(cells: DataFrame, key: str, cols: list[str], trees: int = 200, seed: int = 42) -> DataFrame:
-    """``cells`` with ml_anomaly_score in (0, 1), higher for odder. Each tree is grown on at most 256 cells, so the forest
-    is of bounded size; scoring is one pass."""
+    """``cells`` with ml_anomaly_score in (0, 1), higher for odder. Each tree is grown by a task, on at most 256 cells, so the
+    forest is of bounded size; scoring is one pass."""
     n = cells.count()
     if n < LEAST_CELLS:
         raise AnalysisError(f"at least {LEAST_CELLS} cells are needed")
-    psi = min(SAMPLE, n)
     scaled = scratch.kept(robust_scale(cells, cols).select(key, *cols), "scaled")
-    x = _pool(scaled, key, cols, trees * psi, seed)[cols].to_numpy(float)
-    own = scaled.select(F.col(key).alias("_key"), F.get(_scores(scaled, cols, [(_forest(x, trees, psi, seed), psi)]), F.lit(0)).alias("ml_anomaly_score"))
+    forest = _grown(scaled, key, cols, [(None, n)], trees, SAMPLE, [seed])
+    own = scaled.select(F.col(key).alias("_key"), F.get(_scores(scaled, cols, forest), F.lit(0)).alias("ml_anomaly_score"))
     return cells.join(own, F.col(key) == F.col("_key")).drop("_key")
 
 
@@ -224,7 +241,7 @@ def top_k(df: DataFrame, key: str, score: str, k: int) -> DataFrame:
     return df.orderBy(F.desc(score), key).limit(k).select(key)
 
 
-def forest_stability(cells: DataFrame, key: str, cols: list[str], replicates: int = 20, k: int = 20, trees: int = 50, seed: int = 42) -> dict[str, float]:
+def forest_stability(cells: DataFrame, key: str, cols: list[str], replicates: int = 20, k: int = 20, trees: int = 200, seed: int = 42) -> dict[str, float]:
     """How much of the top k stays when blocks of cells are left out: cells are dealt to max(4, 2 sqrt(replicates)) blocks,
     and each replicate draws four fifths of them without replacement. All forests score the cells in one pass."""
     n = cells.count()
@@ -234,14 +251,15 @@ def forest_stability(cells: DataFrame, key: str, cols: list[str], replicates: in
     scaled = robust_scale(cells, cols).select(key, *cols).withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), F.lit(1), key), F.lit(blocks)).cast("int"))
     scaled = scratch.kept(scaled, "scaled")
     held = dict(scaled.groupBy("_block").count().collect())
-    pool = _pool(scaled, key, cols, trees * SAMPLE, seed)
-    draws, forests = [list(range(blocks))], [(_forest(pool[cols].to_numpy(float), trees, min(SAMPLE, n), seed), min(SAMPLE, n))]
+    draws, wanted, seeds = [list(range(blocks))], [(None, n)], [seed]
     for r in range(replicates):
         keep = sorted(rng.choice(blocks, max(1, int(0.8 * blocks)), replace=False).tolist())
         m = sum(held.get(b, 0) for b in keep)
         if m >= k + 5:
             draws.append(keep)
-            forests.append((_forest(pool[pool["_block"].isin(keep)][cols].to_numpy(float), trees, min(SAMPLE, m), seed + r + 1), min(SAMPLE, m)))
+            wanted.append((keep, m))
+            seeds.append(seed + r + 1)
+    forests = _grown(scaled, key, cols, wanted, trees, SAMPLE, seeds)
     each = scaled.select(key, "_block", F.posexplode(_scores(scaled, cols, forests)).alias("_r", "_score"))
     mine = F.array_contains(F.get(F.array(*[F.array(*[F.lit(b) for b in d]) for d in draws]), F.col("_r")), F.col("_block"))
     ranked = each.where(mine).withColumn("_rank", F.row_number().over(Window.partitionBy("_r").orderBy(F.desc("_score"), key))).where(F.col("_rank") <= k)

@@ -177,7 +177,7 @@ def export(spark: SparkSession, result: Result, request, inputs: list[str]) -> d
         stack = [f"{date}_{b}" for b in BANDS]
         dn = result.tables["aligned"].select("row", "col", *[F.round(F.col(c) * request.reflectance_scale).alias(c) for c in stack])
         raster_file(dn, stack, g, root / f"rasters/{date}_stack.tif", "u2", float(request.nodata_value))
-    geopackage(root / "change.gpkg", layers, {k: result.tables[k] for k in ("run_metadata", "quality_checks")}, srs)
+    geopackage(root / "change.gpkg", layers, {k: stringified(result.tables[k]) if k == "run_metadata" else result.tables[k] for k in ("run_metadata", "quality_checks")}, srs)
     if "vectors" in result.tables:
         raster_file(result.tables["vectors"], ["cva"], g, root / "rasters/cva_intensity.tif")
         top = result.tables["vectors"].agg(F.percentile("cva", F.lit(0.98))).first()[0]
