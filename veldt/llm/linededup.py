@@ -14,7 +14,8 @@ are then verified on the sets themselves.
 
 A set need only have one similar earlier set. So sets that have a neighbouring pair of dealt keys in common with many
 others first look at the earliest of these; if it is similar, the set is settled, and the join leaves out pairs whose
-later set is settled: a line with very many near copies does not make a pair of each two.
+later set is settled: a line with very many near copies does not make a pair of each two. Of the pairs that the join keeps,
+each set's most promising one is verified first, and the others only where that one is not similar.
 
 Sets of up to ALIKE words have no similar set but their equals, which are joined into one: they deal out no keys.
 
@@ -157,10 +158,13 @@ class _Join:
         pieces = met.select(self.cut.pieces(F.col("text")).alias("ls"), "spots").select(F.explode(spot).alias("s")).select("s.sid", self.cut.ready(F.col("s.raw")).alias("piece"))
         return scratch.kept(self.cut.keyed(pieces, self.classes, "sid"), "known")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
+    def asked(self, pairs: DataFrame) -> DataFrame:
+        """The keys of all sets of pairs (x, y)."""
+        both = pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).distinct()
+        return self.known(scratch.kept(both, "asked"))
+
+    def verified(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
         """(sid): the later sets of those pairs (x, y) that are similar."""
-        asked = pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).distinct()
-        known = self.known(scratch.kept(asked, "asked"))
         both = pairs.join(known.select(F.col("sid").alias("x"), F.col("keys").alias("kx")), "x").join(known.select(F.col("sid").alias("y"), F.col("keys").alias("ky")), "y")
         shared = F.size(F.array_intersect("kx", "ky"))
         return both.where((NUM + DEN) * shared >= NUM * (F.size("kx") + F.size("ky"))).select(F.col("y").alias("sid")).distinct()
@@ -181,7 +185,8 @@ class _Join:
         met = scratch.kept(looks.join(if_small(crowds), "key"), "crowd_members")
         short = scratch.kept(met.groupBy("key").agg(F.min(F.struct("n", "sid")).alias("s")).select("key", F.col("s.sid").alias("short")), "crowd_shortest")
         pairs = met.select(F.col("sid").alias("y"), F.col("first").alias("x")).unionByName(met.join(if_small(short), "key").select(F.col("sid").alias("y"), F.col("short").alias("x")))
-        return scratch.kept(self.verified(self.near(scratch.kept(pairs.where("x < y").distinct(), "crowd_pairs"))), "settled")
+        near = self.near(scratch.kept(pairs.where("x < y").distinct(), "crowd_pairs"))
+        return scratch.kept(self.verified(near, self.asked(near)), "settled")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) that pass the length filter, the sketches, and the count of keys that both deal out: of two
@@ -204,7 +209,7 @@ class _Join:
         return scratch.kept(met.where(enough).select("x", "y"), "near_pairs")
 
     def candidates(self, settled: DataFrame) -> DataFrame:
-        """(x, y): pairs of sets, x the earlier and y not settled, that share a dealt key and pass the filters."""
+        """(x, y, shared): pairs of sets, x the earlier and y not settled, that share so many dealt keys and pass the filters."""
         done = settled.select("sid", F.lit(True).alias("done"))
         place = F.col("at").cast("long").bitwiseOR(F.when(F.col("at") <= F.floor(F.col("n") / (NUM + DEN)), _long(INDEXED)).otherwise(_long(0)))
         dealt = self.sets.where(F.size("prefix") > 0).join(if_small(done), "sid", "left")
@@ -220,13 +225,21 @@ class _Join:
         near = _near({**a, "n": n[0]}, {**b, "n": n[1]}, n[0])
         reach = (NUM + DEN) * (F.least(*at) + F.least(n[0] - at[0], n[1] - at[1])) >= NUM * (n[0] + n[1])
         met = dealt.alias("a").join(dealt.alias("b").hint("merge"), (a["key"] == b["key"]) & indexed & length & near & later & reach)
-        return met.select(F.least(a["sid"], b["sid"]).alias("x"), F.greatest(a["sid"], b["sid"]).alias("y")).distinct()
+        return met.select(F.least(a["sid"], b["sid"]).alias("x"), F.greatest(a["sid"], b["sid"]).alias("y")).groupBy("x", "y").agg(F.count("*").alias("shared"))
 
     def later(self) -> DataFrame:
         """(sid): sets that have a similar earlier one."""
         settled = self.settled()
-        pairs = self.near(scratch.kept(self.candidates(settled), "line_pairs"))
-        return scratch.kept(settled.unionByName(self.verified(pairs)), "later_sets") if pairs.take(1) else settled
+        pairs = scratch.kept(self.candidates(settled), "line_pairs")
+        if not pairs.take(1):
+            return settled
+        known = self.asked(pairs)
+        # Each set first looks at the one it shares most dealt keys with; only sets that this doesn't settle look at all.
+        first = scratch.kept(pairs.groupBy("y").agg(F.max(F.struct(F.col("shared"), (-F.col("x")).alias("x"))).alias("best")).select((-F.col("best.x")).alias("x"), "y"), "first_pairs")
+        sure = scratch.kept(self.verified(self.near(first), known), "sure")
+        rest = pairs.select("x", "y").join(sure.select(F.col("sid").alias("y")), "y", "left_anti").join(first, ["x", "y"], "left_anti").select("x", "y")
+        more = self.verified(self.near(scratch.kept(rest, "other_pairs")), known)
+        return scratch.kept(settled.unionByName(sure).unionByName(more), "later_sets")
 
 
 def matched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 1, cut: Lines | None = None) -> DataFrame:
