@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veldt.functions import quantiles
+from veldt.functions import permutation, quantiles
 from veldt.operators import cells, change, features, graph, ml, radiometry, ranks, raster
 from veldt.plans import catalog
 
@@ -174,6 +174,63 @@ def test_spatial_statistics(spark):
         cells.weights(g, "other")
 
 
+def test_keyed_permutations(spark):
+    for n in (1, 2, 7, 100, 1009):
+        for key in (1, 2):
+            assert sorted(permutation.places(n, 42, np.full(n, key), np.arange(n))) == list(range(n))
+    keys = np.arange(20_000)
+    for n, at in ((8, 3), (50, 0)):  # each value is as likely at each place, and with each successor
+        to, then = permutation.places(n, 1, keys, np.full(len(keys), at)), permutation.places(n, 1, keys, np.full(len(keys), at + 1))
+        for counts, kinds in ((np.bincount(to, minlength=n), n), (np.bincount((then - to) % n, minlength=n)[1:], n - 1)):
+            assert ((counts - len(keys) / kinds) ** 2).sum() * kinds / len(keys) < kinds + 5 * (2 * kinds) ** 0.5
+    told = spark.range(50).withColumn("to", permutation.permuted(50, 3, F.lit(9).cast("long"), F.col("id"))).toPandas()
+    assert told.to.tolist() == permutation.places(50, 3, np.full(50, 9), told.id.to_numpy()).tolist() and sorted(told.to) == list(range(50))
+
+
+def test_permutations_in_blocks_and_stretches(spark, monkeypatch):
+    """How a grid is cut changes nothing, and what is drawn follows a plain walk over the permuted places."""
+    g, reps = grid(spark), 99
+    w = cells.weights(g, "knn", 3).unionByName(cells.contiguity(g, "rook").withColumn("w", F.lit(0.5))).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    w = w.where("src != 0")  # an island: it has no row, but is drawn
+    whole = cells.moran_permutations(g, w, "mean_cva", reps), *[cells.local_permutations(g, w, "mean_cva", k, reps).toPandas().set_index("id").sort_index() for k in ("moran", "gi")]
+    monkeypatch.setattr(cells, "SLICE", 7)
+    monkeypatch.setattr(cells, "SIDE", 3)
+    monkeypatch.setattr(cells, "STRIP", 13)
+    monkeypatch.setattr(cells, "STRETCH", 11)
+    cut = cells.moran_permutations(g, w, "mean_cva", reps), *[cells.local_permutations(g, w, "mean_cva", k, reps).toPandas().set_index("id").sort_index() for k in ("moran", "gi")]
+    assert whole[0] == pytest.approx(cut[0])
+    y = {r["cell_row"] << 31 | r["cell_col"]: r["mean_cva"] for r in g.collect()}
+    ids, n = sorted(y), len(y)
+    mean = sum(y.values()) / n
+    near = {i: [] for i in ids}
+    for r in w.collect():
+        near[r["src"]].append((r["dst"], r["w"]))
+    to = {p: permutation.places(n, 42, np.full(n, p), np.arange(n)) for p in range(1, reps + 1)}
+    for got, again, kind in ((whole[1], cut[1], "moran"), (whole[2], cut[2], "gi")):
+        assert list(got.index) == list(again.index) == ids[1:]
+        assert np.allclose(got, again)
+        for at, i in list(enumerate(ids))[1::9]:
+            ws, c = sorted(x for _, x in near[i]), mean if kind == "moran" else 0.0
+            stat = lambda lag: (y[i] - c) * lag if kind == "moran" else lag + y[i]  # noqa: B023, E731
+            real, sims = stat(sum(x * (y[j] - c) for j, x in near[i])), []
+            for p in to:
+                back = np.argsort(to[p])
+                draws = [ids[back[(to[p][at] + k) % n]] for k in range(1, len(ws) + 1)]
+                assert i not in draws and len(set(draws)) == len(ws)
+                sims.append(stat(sum(x * (y[j] - c) for j, x in zip(draws, ws, strict=True))))
+            larger = sum(x >= real - 1e-12 * abs(real) for x in sims)
+            assert got.p_sim[i] == pytest.approx((min(larger, reps - larger) + 1) / (reps + 1))
+            assert got.z_sim[i] == pytest.approx((real - np.mean(sims)) / np.std(sims), abs=1e-6)
+    z = np.array([y[i] - mean for i in ids])
+    number = {i: k for k, i in enumerate(ids)}
+    src, dst, ws = (np.array(x) for x in zip(*[(number[i], number[j], x) for i in ids for j, x in near[i]], strict=True))
+    def moran(x):
+        return n * (ws * x[src] * x[dst]).sum() / ws.sum() / (z * z).sum()
+    sims = np.array([moran(z[np.argsort(to[p])]) for p in to])
+    larger = int((sims >= moran(z)).sum())
+    assert whole[0] == pytest.approx({"i": moran(z), "p_sim": (min(larger, reps - larger) + 1) / (reps + 1), "z_sim": (moran(z) - sims.mean()) / sims.std()})
+
+
 def test_fdr(spark):
     p = [0.001, 0.2, 0.03, 0.5, 0.9, 0.04]
     q = [r["q"] for r in cells.bh_fdr(spark.createDataFrame(list(enumerate(p)), "id int, p double"), "p", "id").orderBy("p").collect()]

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldt import scratch
+from veldt.functions.permutation import permuted, places
 from veldt.operators.change import AnalysisError
-from veldt.operators.ranks import running
+from veldt.operators.ranks import placed, running
 from veldt.sources.pixels import BANDS
 
 QUEEN = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
@@ -174,73 +175,111 @@ def lisa_cluster(quadrant: Column, p: Column, alpha: float = 0.05) -> Column:
     return F.when(p < alpha, name).otherwise("Not significant")
 
 
+#: Permutations that are packed together; the places of a strip to which values move, and the side of the blocks of cells
+#: in which a permuted grid is summed; the places of a permuted order that one window holds.
+SLICE, STRIP, SIDE, STRETCH = 128, 1 << 12, 64, 1 << 16
+#: Sums of one permutation in another order may differ by so much of themselves: they count as equal.
+SAME = 1e-12
+
+
+def _block(cell: Column) -> Column:
+    """The block of cells that a cell number lies in."""
+    row, col = F.shiftright(cell, 31), cell.bitwiseAND((1 << 31) - 1)
+    return F.floor(row / SIDE) * (1 << 31) + F.floor(col / SIDE)
+
+
 def moran_permutations(cells: DataFrame, edges: DataFrame, value: str, permutations: int = 999, seed: int = 42) -> dict[str, float]:
-    """I under random relabelling: tasks take permutations, not cells. The grid is broadcast: cells are few by design
-    (pixels are aggregated first), and over 5 million of them are refused rather than gathered."""
-    spark = cells.sparkSession
+    """I under random relabelling. A keyed permutation of places says where each value goes, so values are shuffled to
+    strips of places, SLICE permutations packed in one row; a strip passes its cells on to the blocks whose edges have
+    them, and a block of cells returns a sum for each permutation. No one holds the grid."""
     v, s = _values(cells, value)
-    if s["n"] > 5_000_000:
-        raise AnalysisError("too many cells for permutation inference: take larger cells")
-    pdf = v.orderBy("id").toPandas()
-    e = edges.toPandas()
-    at = pd.Index(pdf["id"])
-    y = pdf["y"].to_numpy() - s["mean"]
-    told = spark.sparkContext.broadcast((y, at.get_indexer(e["src"]), at.get_indexer(e["dst"]), e["w"].to_numpy()))
-
-    def run(batches):
-        z, i, j, w = told.value
-        scale = len(z) / w.sum() / (z * z).sum()
+    n, spark = s["n"], cells.sparkSession
+    z = scratch.kept(placed(v, [F.col("id")], "at").select("id", "at", (F.col("y") - F.lit(s["mean"])).alias("z")), "values")
+    edges = scratch.kept(edges.select("src", "dst", "w", _block(F.col("src")).alias("block")), "edges")
+    slices = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(permutations // SLICE).cast("long")))
+    perms = lambda k: np.arange(k * SLICE, min((k + 1) * SLICE, permutations + 1))
+
+    def move(batches):
         for b in batches:
-            out = []
-            for p in b["id"]:
-                x = z if p == 0 else np.random.default_rng([seed, int(p)]).permutation(z)
-                out.append(scale * (w * x[i] * x[j]).sum())
-            yield pd.DataFrame({"perm": b["id"], "i": out})
-
-    got = spark.range(permutations + 1).repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "perm long, i double").toPandas().set_index("perm")["i"]
-    i, sim = got[0], got[got.index > 0]
-    larger = int((sim >= i).sum())
+            for k, g in b.groupby("slice"):
+                ps, at = perms(k), g["at"].to_numpy()
+                perm = np.repeat(ps, len(at))
+                # Permutation 0 leaves all in its place.
+                to = np.where(perm == 0, np.tile(at, len(ps)), places(n, seed, perm, np.tile(at, len(ps))))
+                order = np.argsort(to // STRIP, kind="stable")
+                strips, starts = np.unique(to[order] // STRIP, return_index=True)
+                packed = [np.split(x[order], starts[1:]) for x in (to, (perm - ps[0]).astype(np.int16), np.tile(g["z"].to_numpy(), len(ps)))]
+                yield pd.DataFrame({"slice": k, "strip": strips} | {c: [x.tobytes() for x in xs] for c, xs in zip(("to", "perm", "z"), packed, strict=True)})
+
+    def settle(key, came: pd.DataFrame, need: pd.DataFrame) -> pd.DataFrame:
+        k, strip = key
+        x = np.zeros((min(STRIP, n - strip * STRIP), len(perms(k))))
+        for to, perm, zs in zip(came["to"], came["perm"], came["z"], strict=True):
+            x[np.frombuffer(to, np.int64) - strip * STRIP, np.frombuffer(perm, np.int16)] = np.frombuffer(zs)
+        out = [(k, block, g["id"].to_numpy(np.int64).tobytes(), x[g["at"].to_numpy() - strip * STRIP].tobytes()) for block, g in need.groupby("block")]
+        return pd.DataFrame(out, columns=["s", "b", "ids", "xs"])
+
+    def add(key, own: pd.DataFrame, has: pd.DataFrame) -> pd.DataFrame:
+        ids = np.concatenate([np.frombuffer(i, np.int64) for i in has["ids"]])
+        x = np.concatenate([np.frombuffer(i).reshape(-1, len(perms(key[1]))) for i in has["xs"]])
+        order, out = np.argsort(ids), 0.0
+        own = own.sort_values(["src", "dst"])
+        for start in range(0, len(own), 1 << 14):
+            e = own.iloc[start : start + (1 << 14)]
+            i, j = (order[np.searchsorted(ids, e[c], sorter=order)] for c in ("src", "dst"))
+            out = out + (e["w"].to_numpy()[:, None] * x[i] * x[j]).sum(axis=0)
+        return pd.DataFrame({"perm": perms(key[1]), "part": out})
+
+    dealt = z.select("at", "z", slices.alias("slice")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "slice", F.floor(F.col("at") / STRIP))
+    moved = dealt.mapInPandas(move, "slice long, strip long, to binary, perm binary, z binary")
+    ends = edges.select("block", F.col("src").alias("id")).unionByName(edges.select("block", F.col("dst").alias("id"))).distinct()
+    need = ends.join(z.select("id", "at"), "id").select("id", "at", "block", F.floor(F.col("at") / STRIP).alias("strip"), slices.alias("slice"))
+    told = moved.groupBy("slice", "strip").cogroup(need.groupBy("slice", "strip")).applyInPandas(settle, "s long, b long, ids binary, xs binary")
+    parts = edges.withColumn("slice", slices).groupBy("block", "slice").cogroup(told.groupBy("b", "s")).applyInPandas(add, "perm long, part double")
+    total, squares = edges.agg(F.sum("w")).first()[0], z.agg(F.sum(F.col("z") * F.col("z"))).first()[0]
+    got = {r["perm"]: n / total * r["i"] / squares for r in parts.groupBy("perm").agg(F.sum("part").alias("i")).collect()}
+    i, sim = got[0], np.array([got[p] for p in range(1, permutations + 1)])
+    larger = int((sim >= i - SAME * abs(i)).sum())
     c = min(larger, permutations - larger)
-    return {"i": float(i), "p_sim": (c + 1) / (permutations + 1), "z_sim": float((i - sim.mean()) / sim.std(ddof=0))}
+    return {"i": float(f"{i:.12g}"), "p_sim": (c + 1) / (permutations + 1), "z_sim": round(float((i - sim.mean()) / sim.std()), 9)}
 
 
 def local_permutations(cells: DataFrame, edges: DataFrame, value: str, statistic: str = "moran", permutations: int = 999, seed: int = 42) -> DataFrame:
-    """(id, p_sim, z_sim): each cell held, its neighbours drawn from all others. Cells are dealt to tasks; the values,
-    one number for each cell, are broadcast under the same bound as in ``moran_permutations``."""
-    spark = cells.sparkSession
+    """(id, p_sim, z_sim) of each cell that has neighbours: the cell is held, as many others as it has neighbours are drawn
+    without replacement. In each permutation a cell draws those that come next behind it, the first following the last:
+    values are shuffled to stretches of a permuted order, which windows read, each stretch with the start of the next."""
+    if statistic not in ("moran", "gi"):
+        raise AnalysisError(f"unknown statistic {statistic!r}")
     v, s = _values(cells, value)
-    if s["n"] > 5_000_000:
-        raise AnalysisError("too many cells for permutation inference: take larger cells")
-    pdf = v.orderBy("id").toPandas()
-    y, n = pdf["y"].to_numpy(), len(pdf)
-    z = y - y.mean()
-    told = spark.sparkContext.broadcast((dict(zip(pdf["id"], range(n), strict=True)), z if statistic == "moran" else y))
-    den, total = float((z * z).sum()), float(y.sum())
-    near = edges.groupBy(F.col("src").alias("id")).agg(F.collect_list(F.struct("dst", "w")).alias("near"))
-
-    def run(batches):
-        number, x = told.value
-        for b in batches:
-            rows = []
-            for cid, pairs in zip(b["id"], b["near"], strict=True):
-                me, w = number[cid], np.array([p["w"] for p in pairs])
-                rng = np.random.default_rng([seed, int(cid) & 0xFFFFFFFF, int(cid) >> 32])
-                pick = rng.integers(0, n - 1, size=(permutations, len(w)))
-                for _ in range(20):  # draws without replacement: rows with a repeat are drawn again
-                    o = np.sort(pick, axis=1)
-                    bad = np.flatnonzero((o[:, 1:] == o[:, :-1]).any(axis=1))
-                    if not len(bad) or len(w) > n - 1:
-                        break
-                    pick[bad] = rng.integers(0, n - 1, size=(len(bad), len(w)))
-                pick += pick >= me
-                own = np.array([number[p["dst"]] for p in pairs])
-                if statistic == "moran":
-                    real, sim = (n - 1) * x[me] * (w * x[own]).sum() / den, (n - 1) * x[me] * (x[pick] @ w) / den
-                else:
-                    real, sim = (x[own].sum() + x[me]) / total, (x[pick].sum(axis=1) + x[me]) / total
-                larger = int((sim >= real).sum())
-                sd = sim.std()
-                rows.append((cid, (min(larger, permutations - larger) + 1) / (permutations + 1), float((real - sim.mean()) / sd) if sd > 0 else 0.0))
-            yield pd.DataFrame(rows, columns=["id", "p_sim", "z_sim"])
-
-    return near.mapInPandas(run, "id long, p_sim double, z_sim double")
+    n = s["n"]
+    x = F.col("y") - F.lit(s["mean"]) if statistic == "moran" else F.col("y")
+    v = scratch.kept(placed(v, [F.col("id")], "at").select("id", "at", x.alias("x")), "values")
+    # Lists are sorted before they are summed: reruns agree to the last bit.
+    met = edges.select("src", "dst", F.col("w").cast("double").alias("w")).join(v.select(F.col("id").alias("dst"), F.col("x").alias("xj")), "dst")
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, b: a + b)
+    near = met.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("w")).alias("ws"), F.sort_array(F.collect_list(F.col("w") * F.col("xj"))).alias("lags"))
+    base = scratch.kept(v.join(near, "id", "left").select("id", "at", "x", "ws", add(F.col("lags")).alias("real")), "drawn_for")
+    most = base.agg(F.max(F.size("ws"))).first()[0]
+    if most is None or most <= 0 or permutations < 1:
+        return base.limit(0).select("id", F.lit(1.0).alias("p_sim"), F.lit(0.0).alias("z_sim"))
+    stretches = max(1, n // max(STRETCH, most))
+    rows = base.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("pos", permuted(n, seed, F.col("perm"), F.col("at")))
+    part = F.floor(F.col("pos") * stretches / n)
+    own = F.struct(part.alias("part"), F.col("pos").alias("pos"), F.lit(True).alias("own"))
+    ahead = F.struct(F.pmod(part - 1, F.lit(stretches)).alias("part"), (F.col("pos") + F.when(part == 0, n).otherwise(0)).alias("pos"), F.lit(False).alias("own"))
+    start = F.ceil(part * n / stretches)
+    spots = F.explode(F.when(F.col("pos") - start < most, F.array(own, ahead)).otherwise(F.array(own)))
+    rows = rows.select("id", "x", "ws", "real", "perm", spots.alias("spot")).select("id", "x", "ws", "real", "perm", "spot.*")
+    behind = Window.partitionBy("perm", "part").orderBy("pos").rowsBetween(1, most)
+    drawn = rows.withColumn("next", F.collect_list("x").over(behind)).where("own and ws is not null")
+    # Others' draws go through the same sorted sum, so equal draws are equal sums.
+    lag = add(F.sort_array(F.zip_with(F.slice("next", F.lit(1), F.size("ws")), "ws", lambda a, w: a * w)))
+    drawn = drawn.select("id", lag.alias("sim"), "real", "x")
+    # A statistic grows with its lag, or, for a cell below the mean or a negative total, against it: only their order counts.
+    sign = F.when(F.col("x") < 0, -1.0).when(F.col("x") > 0, 1.0).otherwise(0.0) if statistic == "moran" else F.lit(-1.0 if s["sum"] < 0 else 1.0)
+    sim, real = sign * F.col("sim"), sign * F.col("real")
+    told = drawn.groupBy("id").agg(
+        F.sum((sim >= real - SAME * F.abs(real)).cast("long")).alias("larger"), F.avg(sim).alias("mean"), F.stddev_pop(sim).alias("sd"), F.first(real).alias("real"),
+    )
+    p = (F.least("larger", F.lit(permutations) - F.col("larger")) + 1) / (permutations + 1)
+    return told.select("id", p.alias("p_sim"), F.when(F.col("sd") > 0, F.round((F.col("real") - F.col("mean")) / F.col("sd"), 9)).otherwise(0.0).alias("z_sim"))
