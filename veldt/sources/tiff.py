@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from veldt.operators.change import AnalysisError
+from veldt.sources import crs
 
 #: Bytes of a TIFF field type, and its struct code. Fixed values.
 TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 12: (8, "d"), 11: (4, "f"), 16: (8, "Q")}
@@ -124,9 +125,9 @@ def levels(source: Ranges) -> list[Layout]:
         t, at = _directory(source, order, magic == 43, at)
         w, h = t[256][0], t[257][0]
         scale, tie, keys = t.get(33550, (10.0, 10.0, 0.0)), t.get(33922, (0.0,) * 6), t.get(34735, ())
-        epsg = next((keys[i + 3] for i in range(4, len(keys) - 3, 4) if keys[i] in (3072, 2048) and keys[i + 1] == 0), None)
+        named = crs.of_tiff(keys, t.get(34736, ()), t[34737][0].decode("latin-1") if 34737 in t else "")
         nodata = t[42113][0].split(b"\0")[0].decode() if 42113 in t else None
-        grid = Grid(w, h, scale[0], tie[3] - tie[0] * scale[0], -scale[1], tie[4] + tie[1] * scale[1], f"EPSG:{epsg}" if epsg else None, float(nodata) if nodata else None)
+        grid = Grid(w, h, scale[0], tie[3] - tie[0] * scale[0], -scale[1], tie[4] + tie[1] * scale[1], named, float(nodata) if nodata else None)
         kind = PIXELS.get((t.get(339, (1,))[0], t.get(258, (8,))[0]))
         packed, predictor, tiled = t.get(259, (PLAIN,))[0], t.get(317, (1,))[0], 322 in t
         if kind is None or packed not in (PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS) or predictor not in (1, 2, 3):

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 from veldt.operators.change import AnalysisError
+from veldt.sources import crs
 
 
 class AoiError(AnalysisError):
@@ -37,9 +38,14 @@ def _geometries(node: dict) -> Iterator[dict]:
 
 
 def reference_system(spark: SparkSession, path: str) -> str:
-    """What the file's member ``crs`` names; degrees where it has none, as the format says."""
+    """What the file's member ``crs`` names or writes out as WKT; degrees where it has none, as the format says."""
     found = json.loads(spark.read.text(path, wholetext=True).first()[0]).get("crs") or {}
     name = str((found.get("properties") or {}).get("name", ""))
+    if "[" in name:
+        code = crs.of_wkt(name)
+        if code is None:
+            raise AnalysisError("the reference system of the area of interest has no code that is known here")
+        return code
     code = name.rsplit(":", 1)[-1]
     return f"EPSG:{code}" if code.isdigit() else "EPSG:4326"
 
