@@ -1,5 +1,6 @@
 """A small synthetic scene, end to end: band files, alignment, change, statistics, sinks, command line."""
 
+import hashlib
 import json
 import sqlite3
 
@@ -13,7 +14,7 @@ from veldt.operators.change import AnalysisError
 from veldt.plans import request as requests
 from veldt.plans import run as runs
 from veldt.sinks import files
-from veldt.sources import discovery, tiff, vectors
+from veldt.sources import discovery, records, tiff, vectors
 from veldt.sources.tiff import Grid
 
 GRID = Grid(40, 30, 10.0, 500000.0, -10.0, 8600000.0, "EPSG:32735", 0.0)
@@ -266,6 +267,16 @@ def test_cli_and_sinks(spark, root, capsys):
         assert len(lines) >= least and all(x["type"] == "Feature" and x["geometry"]["type"] == "MultiPolygon" for x in lines)
         lon, lat = lines[0]["geometry"]["coordinates"][0][0][0]
         assert 26.9 < lon < 27.1 and -12.8 < lat < -12.6
+    grid = sqlite3.connect(last["outputs"]["spatial_statistics.gpkg"])
+    assert grid.execute("select count(*) from spatial_grid").fetchone()[0] == 35
+    told = json.loads((root / "out/run_manifest.json").read_text())
+    assert set(told["output_paths"]) >= {"change.gpkg", "summary.json", "spatial_statistics.gpkg"} and told["environment"]["package_versions"]["pyspark"]
+    sums = {k.rsplit("/", 1)[1]: v for k, v in told["output_checksums"].items()}
+    assert sums["summary.json"] == hashlib.sha256((root / "out/summary.json").read_bytes()).hexdigest() and len(sums) == len(told["output_paths"])
+    assert len(told["inputs"]["checksums"]) == 6 and told["before_date"] == "20230101"
+    run = records.runs(spark, str(root / "out/run_manifest.json")).first()
+    assert run["run_id"] == told["run_id"] and json.loads(run["summary"]) == json.loads(json.dumps(last["summary"])) and run["output_dir"].endswith("/out")
+    assert run["output_paths"]["change.gpkg"] == last["outputs"]["change.gpkg"]
     assert cli.main(["run", "--config", str(root / "none.yaml")], spark) == 1
 
 
@@ -303,6 +314,22 @@ def test_request_round_trip():
         requests.from_config({"paths": {"aoi": "x", "before_folder": "a", "after_folder": "b"}, "spatial_ml": {"model": "hdbscan"}})
 
 
+def test_progress_lines(spark, tmp_path):
+    lines = ['{"type": "progress", "stage": "read", "percent": 5}', "", "no json", '{"type": "result", "manifest": "m.json"', '{"stage": "grid", "percent": 50.5, "more": [1]}',
+             '{"type": "other"}', '{"type": "warning", "message": "cloud"}', '{"type": "result", "manifest": "m.json"}', '{"percent": "x"}']
+    (tmp_path / "log").write_text("\n".join(lines))
+    got = {tuple(r) for r in records.progress(spark, str(tmp_path / "log")).collect()}
+    assert got == {("progress", "read", "", 5.0, None), ("info", "grid", "", 50.5, None), ("warning", "", "cloud", 0.0, None), ("result", "", "", 0.0, "m.json")}
+    (tmp_path / "none").write_text("")
+    assert records.progress(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_runs_without_summary(spark, tmp_path):
+    (tmp_path / "run_manifest.json").write_text('{"run_id": "r"}')
+    row = records.runs(spark, str(tmp_path / "*.json")).first()
+    assert (row["run_id"], row["before_date"], row["runtime_seconds"], row["summary"]) == ("r", None, 0.0, None)
+
+
 def test_atomic(tmp_path):
     with pytest.raises(RuntimeError), files.atomic(tmp_path / "x"):
         raise RuntimeError

@@ -43,7 +43,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         result = runs.run_pipeline(spark, request, tell)
         inputs = [x for f in (request.before_folder, request.after_folder) for x in discovery.discover(spark, f).values()]
         out = files.export(spark, result, request, inputs)
-        print(json.dumps({"type": "result", "summary": result.summary, "outputs": out}, default=str))
+        print(json.dumps({"type": "result", "manifest": out["run_manifest.json"], "summary": result.summary, "outputs": out}, default=str))
         return 0
     except AnalysisError as e:
         print(json.dumps({"type": "error", "message": str(e)}) if a["json"] or a["json_progress"] else f"error: {e}", file=sys.stderr)

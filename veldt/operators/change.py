@@ -29,6 +29,17 @@ def baseline(df: DataFrame) -> DataFrame:
     return out.withColumn("intensity", F.least(F.greatest((F.col("distance") - F.lit(lo)) / F.lit(hi - lo), F.lit(0.0)), F.lit(1.0)))
 
 
+def as_bytes(df: DataFrame, intensity: str = "intensity") -> DataFrame:
+    """change_byte: an intensity of 0 to 1 as 0 to 255, cut, not rounded; null where it is null."""
+    return df.withColumn("change_byte", F.floor(F.col(intensity) * 255).cast("int"))
+
+
+def scale_top(df: DataFrame, value: str, share: float = 0.98) -> float:
+    """Where the scale of a picture ends: a quantile of the values above 0; 1 where there are none."""
+    top = quantiles(df, {value: F.when(F.col(value) > 0, F.col(value))}, [share])[value][0]
+    return 1.0 if top is None else top
+
+
 def change_vectors(df: DataFrame) -> DataFrame:
     """z_* by median and MAD (or standard deviation where the MAD vanishes), cva: their length, brightness_diff."""
     diffs = {b: diff(b) for b in BANDS}

@@ -129,6 +129,22 @@ def _normalized(spark, sf, method):
     return told(radiometry.normalize(pixels.usable(spark, sf), method).select("pid", *[f"after_{b}" for b in BANDS]))
 
 
+_DISTANCE = "select pid, sqrt((a4-p4)*(a4-p4)+(a3-p3)*(a3-p3)+(a2-p2)*(a2-p2)) d from px"
+
+
+@query(sql(
+    "select pid, cast(floor(least(greatest((d - lo) / (hi - lo), 0e0), 1e0) * 255) as int) change_byte "
+    f"from (select pid, d, min(d) over () lo, max(d) over () hi from ({_DISTANCE}))"
+))
+def change_map(spark, sf):
+    return change.as_bytes(change.baseline(pixels.usable(spark, sf))).select("pid", "change_byte")
+
+
+@query(sql("select round(coalesce(quantile_cont(v, 0.98), 1e0), 6) top from cva where v > 0"))
+def figure_scale(spark, sf):
+    return told(spark.createDataFrame([(change.scale_top(change.change_vectors(pixels.usable(spark, sf)), "cva"),)], "top double"))
+
+
 @query(sql("select pid, " + ", ".join(f"round((a{k} - ma{k}) * (case when da{k} > 1e-6 then db{k} / da{k} else 1e0 end) + mb{k}, 6) after_b0{k}" for k in (4, 3, 2)) + " from px, (select " + ", ".join(f"median(p{k}) mb{k}, median(a{k}) ma{k}, mad(p{k}) db{k}, mad(a{k}) da{k}" for k in (4, 3, 2)) + " from px)"))
 def norm_median_mad(spark, sf):
     return _normalized(spark, sf, "robust_median_mad")

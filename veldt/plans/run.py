@@ -41,6 +41,7 @@ class Result:
     moran: dict | None = None
     counts: dict = field(default_factory=dict)
     runtime_seconds: float = 0.0
+    started_at: str = ""
 
 
 def run_id(label: str) -> str:
@@ -230,6 +231,7 @@ def run_pipeline(spark: SparkSession, request: Request, progress: Callable[[str,
         out.tables["spatial_grid"] = grid
     s = made.agg(F.coalesce(F.sum("area_m2"), F.lit(0.0)).alias("area"), F.count("*").alias("n"), F.coalesce(F.max("area_m2"), F.lit(0.0)).alias("top"), F.count_if(F.col("hotspot_class").isin("hot_95", "hot_99")).alias("hot")).first()
     out.runtime_seconds = round(time.time() - began, 3)
+    out.started_at = datetime.fromtimestamp(began, UTC).isoformat()
     moran = out.moran or {}
     out.summary = {
         "date_before": out.before_date, "date_after": out.after_date, "method": request.method, "threshold_method": method, "threshold": threshold, "changed_area_m2": s["area"],

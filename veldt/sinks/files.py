@@ -10,10 +10,13 @@ import contextlib
 import hashlib
 import json
 import os
+import platform
 import sqlite3
 import struct
+import sys
 import tempfile
 from collections.abc import Iterator
+from importlib import metadata
 from pathlib import Path
 
 import numpy as np
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from veldt import scratch
 from veldt.functions import projection
-from veldt.operators import overlay
+from veldt.operators import change, overlay
 from veldt.plans.run import Result
 from veldt.sources import tiff
 from veldt.sources.pixels import BANDS
@@ -157,9 +160,21 @@ def report(result: Result, parameters: dict) -> str:
     return "\n".join(lines) + "\n"
 
 
+def manifest(spark: SparkSession, result: Result, request, inputs: list[str], outputs: dict[str, str]) -> dict:
+    """What a run read, how it was set, what it wrote and with what: files by their SHA-256."""
+    read = {k: getattr(request, k) for k in ("before_folder", "after_folder", "aoi_path")}
+    versions = {name: metadata.version(name) for name in ("pyspark", "pyarrow", "pandas", "numpy")}
+    return {
+        "run_id": result.run_id, "started_at": result.started_at, "runtime_seconds": result.runtime_seconds, "before_date": result.before_date, "after_date": result.after_date,
+        "inputs": read | {"checksums": checksums(spark, inputs)}, "grid": {"crs": result.grid.crs, "pixel_size_m": result.grid.a}, "parameters": request.parameters(),
+        "environment": {"python_version": sys.version, "platform": platform.platform(), "package_versions": versions},
+        "output_paths": outputs, "output_checksums": checksums(spark, [Path(p).as_uri() for p in outputs.values()]) if outputs else {},
+    }
+
+
 def export(spark: SparkSession, result: Result, request, inputs: list[str]) -> dict[str, str]:
     """All outputs of a run under ``request.output_dir`` of the driver."""
-    root, g = Path(request.output_dir), result.grid
+    root, g = Path(request.output_dir).absolute(), result.grid
     srs = int(g.crs.split(":")[1]) if g.crs else 0
     features = result.tables["change_features"].drop("label")
     layers = {"change_features": features}
@@ -180,11 +195,14 @@ def export(spark: SparkSession, result: Result, request, inputs: list[str]) -> d
     geopackage(root / "change.gpkg", layers, {k: stringified(result.tables[k]) if k == "run_metadata" else result.tables[k] for k in ("run_metadata", "quality_checks")}, srs)
     if "vectors" in result.tables:
         raster_file(result.tables["vectors"], ["cva"], g, root / "rasters/cva_intensity.tif")
-        top = result.tables["vectors"].agg(F.percentile("cva", F.lit(0.98))).first()[0]
+        top = change.scale_top(result.tables["vectors"], "cva")
         with atomic(root / "styles/cva_intensity.qml") as p:
             p.write_text(intensity_style(top))
     write_json(root / "summary.json", result.summary)
     with atomic(root / "report.md") as p:
         p.write_text(report(result, request.parameters()))
-    write_json(root / "run_manifest.json", {"run_id": result.run_id, "inputs": checksums(spark, inputs), "grid": {"crs": g.crs, "pixel_size_m": g.a}, "parameters": request.parameters(), "runtime_seconds": result.runtime_seconds})
+    if "spatial_grid" in layers:
+        geopackage(root / "maps/spatial_statistics.gpkg", {"spatial_grid": layers["spatial_grid"]}, {}, srs)
+    made = {p.name: str(p) for p in root.rglob("*") if p.is_file() and not p.name.startswith((".", "_", "part-"))}
+    write_json(root / "run_manifest.json", manifest(spark, result, request, inputs, made))
     return {p.name: str(p) for p in root.rglob("*") if p.is_file()}
