@@ -174,6 +174,13 @@ def test_spatial_statistics(spark):
         cells.weights(g, "other")
 
 
+def test_bytes_and_scale(spark):
+    rows = spark.createDataFrame([(0.0, 1.0), (1.0, 3.0), (0.999, 0.0), (0.5, -2.0), (None, None)], "intensity double, v double")
+    assert [r["change_byte"] for r in change.as_bytes(rows).collect()] == [0, 255, 254, 127, None]
+    assert change.scale_top(rows, "v") == pytest.approx(np.percentile([1.0, 3.0], 98))
+    assert change.scale_top(rows.where("v <= 0"), "v") == 1.0 and change.scale_top(rows.limit(0), "v") == 1.0
+
+
 def test_keyed_permutations(spark):
     for n in (1, 2, 7, 100, 1009):
         for key in (1, 2):
