@@ -3,17 +3,19 @@
 import hashlib
 import json
 import sqlite3
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from veldt import cli, scratch
+from veldt import cli, errors, scratch
 from veldt.functions import projection
 from veldt.operators import raster, validation
 from veldt.operators.change import AnalysisError
 from veldt.plans import request as requests
 from veldt.plans import run as runs
-from veldt.sinks import files
+from veldt.sinks import files, styles
 from veldt.sources import discovery, records, tiff, vectors
 from veldt.sources.tiff import Grid
 
@@ -42,7 +44,7 @@ def root(tmp_path_factory):
 def config(root, **extra):
     import yaml
 
-    c = {"paths": {"aoi": "aoi.geojson", "before_folder": "sentinel2_20230101", "after_folder": "sentinel2_20230201", "output_dir": "out"}, "spatial_statistics": {"grid_size_m": 60, "permutations": 49}} | extra
+    c = {"paths": {"aoi": "aoi.geojson", "before_folder": "sentinel2_20230101", "after_folder": "sentinel2_20230201", "output_dir": "out"}, "spatial_statistics": {"grid_size_m": 60, "permutations": 49}, "spatial_ml": {"n_bootstrap": 2, "n_estimators": 20}} | extra
     (root / "c.yaml").write_text(yaml.safe_dump(c))
     lon = [25.0, 28.0]
     ring = [[lon[0], -13.5], [lon[1], -13.5], [lon[1], -11.5], [lon[0], -11.5], [lon[0], -13.5]]
@@ -261,6 +263,14 @@ def test_cli_and_sinks(spark, root, capsys):
     n, area = db.execute("select count(*), sum(area_m2) from change_features").fetchone()
     assert n == last["summary"]["feature_count"] and area == pytest.approx(last["summary"]["changed_area_m2"])
     assert db.execute("select count(*) from spatial_grid").fetchone()[0] == 35
+    with open(last["outputs"]["spatial_grid.csv"]) as f:
+        head, *rows = f.read().splitlines()
+    assert len(rows) == 35 and "mean_cva" in head.split(",") and "geometry" not in head
+    assert len([n for n in last["outputs"] if n.endswith(".qml")]) == 7 and "before_stack.tif" in last["outputs"]
+    told = (root / "out/report.md").read_text()
+    assert all(x in told for x in ("## 2. Data", "Local clusters", "Hotspots", "### Anomaly scores", "threshold of baseline"))
+    ml = json.loads((root / "out/statistics/spatial_ml.json").read_text())
+    assert [r["contamination"] for r in ml["sensitivity"]] == [0.05, 0.1, 0.2] and ml["stability"]["replicates"] == 2
     assert db.execute("select geom from change_features").fetchone()[0][:2] == b"GP"
     for name, least in (("change_features", 1), ("spatial_grid", 35)):
         lines = [json.loads(x) for p in (root / "out/map" / name).glob("part-*") for x in p.read_text().splitlines()]
@@ -305,7 +315,52 @@ def test_dates_of_other_zones_and_pixels(spark, tmp_path):
         assert row["after_b04"] * 10000 == pytest.approx(want, abs=1e-3)
 
 
+def test_switches_and_verbs(spark, tmp_path, capsys):
+    """Switches of outputs, stacks in a folder of their own, the binary raster's bytes, and verbs that tell of one thing."""
+    scene(tmp_path)
+    off = {"write_intermediate": False, "create_interactive_map": False, "create_qgis_styles": False}
+    folders = {"aoi": "aoi.geojson", "before_folder": "sentinel2_20230101", "after_folder": "sentinel2_20230201", "output_dir": "out", "processed_dir": "stacks"}
+    path = config(tmp_path, paths=folders, output=off, spatial_statistics={"enabled": False})
+    assert cli.main(["report", "--config", path, "--base", str(tmp_path)], spark) == 0
+    assert capsys.readouterr().out.strip().endswith("/out/report.md")
+    made = {p.name for p in (tmp_path / "out").rglob("*")}
+    assert not made & {"map", "styles", "rasters", "statistics"} and {p.name for p in (tmp_path / "stacks").iterdir()} == {"before_stack.tif", "after_stack.tif"}
+    assert "before_stack.tif" in json.loads((tmp_path / "out/run_manifest.json").read_text())["output_paths"]
+    path = config(tmp_path, paths=folders, output=off | {"write_stacks": False}, spatial_statistics={"enabled": False})
+    assert cli.main(["visualize", "--config", path, "--base", str(tmp_path), "--output", str(tmp_path / "seen")], spark) == 0
+    names = {p.rsplit("/", 1)[1] for p in capsys.readouterr().out.split()}
+    assert {"change_binary.tif", "baseline_intensity.tif", "cva_intensity.tif", "gi_hotspots.qml", "ml_anomalies.qml"} <= names and "before_stack.tif" not in names
+    b = str(tmp_path / "seen/rasters/change_binary.tif")
+    kinds = {r["dn"]: r["n"] for r in tiff.scan(spark, {"changed": b}).groupBy("dn").agg(F.count("*").alias("n")).collect()}
+    px = runs.aligned(spark, requests.load(path, str(tmp_path)))[0].count()
+    assert set(kinds) <= {0, 1, 255} and kinds[0] + kinds[1] == px and kinds[1] > 0
+
+
+def test_errors_tell_users():
+    e = errors.ConfigurationError("told", detail="logged")
+    assert (e.user_message, e.detail, str(e)) == ("told", "logged", "told (logged)")
+    assert errors.CancelledError("grid").stage == "grid" and isinstance(errors.CancelledError("grid"), errors.EngineError)
+
+
+def test_styles_are_xml():
+    made = styles.every(12.5)
+    assert len(made) == 7
+    for text in made.values():
+        ElementTree.fromstring(text.replace("<!DOCTYPE qgis>", ""))
+    assert [float(i.get("value")) for i in ElementTree.fromstring(made["cva_intensity"].replace("<!DOCTYPE qgis>", "")).iter("item")] == pytest.approx([0, 4.125, 8.25, 12.5])
+
+
+def test_database_error(tmp_path):
+    with pytest.raises(errors.WriteError), files.atomic(tmp_path / "x") as p, files._database(p) as db:
+        db.execute("no sql")
+    assert not list(tmp_path.iterdir())
+
+
 def test_request_round_trip():
+    whole = requests.Request("a", "b", "c", "d", processed_dir="e", ml_contamination=0.2, ml_n_bootstrap=7, write_stacks=False, create_qgis_styles=False)
+    assert requests.from_config(requests.to_config(whole)) == whole and requests.to_config(whole)["preprocessing"]["resampling"] == "bilinear"
+    with pytest.raises(requests.ConfigurationError):
+        requests.from_config(requests.to_config(whole) | {"preprocessing": {"resampling": "cubic"}})
     r = requests.Request("a", "b", "c", "d", percentile=90.0, knn_k=5)
     assert requests.from_config(requests.to_config(r)) == requests.Request("a", "b", "c", "d", percentile=90.0, knn_k=5)
     with pytest.raises(requests.ConfigurationError):

@@ -1,14 +1,19 @@
-"""``python -m veldt.cli validate|run|stats|report|all --config FILE``: exit 0 when all went well."""
+"""``python -m veldt.cli validate|run|stats|visualize|report|all --config FILE``: exit 0 when all went well.
+
+``run`` and ``all`` tell of everything; ``stats`` turns spatial statistics on and tells of them, ``visualize`` turns maps and
+styles on and tells where they are, ``report`` tells where the report is.
+"""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+from dataclasses import replace
 
 from veldt import session
+from veldt.errors import EngineError
 from veldt.operators import validation
-from veldt.operators.change import AnalysisError
 from veldt.plans import request as requests
 from veldt.plans import run as runs
 from veldt.sinks import files
@@ -16,10 +21,18 @@ from veldt.sources import discovery
 
 OVERRIDES = {"before": "before_folder", "after": "after_folder", "aoi": "aoi_path", "output": "output_dir", "method": "method", "threshold": "threshold_method", "percentile": "percentile", "manual-threshold": "manual_threshold", "min-area": "min_area_m2", "grid-size": "spatial_grid_size_m", "permutations": "permutations", "seed": "random_seed", "label": "run_label"}
 
+#: What a verb turns on, and what it tells of a run.
+FORCED = {"stats": {"spatial_statistics_enabled": True}, "visualize": {"create_interactive_map": True, "create_qgis_styles": True, "write_intermediate": True}}
+TOLD = {
+    "stats": lambda result, out: json.dumps(result.moran or {}),
+    "visualize": lambda result, out: "\n".join(sorted(p for name, p in out.items() if name.endswith((".qml", ".tif")))),
+    "report": lambda result, out: out["report.md"],
+}
+
 
 def main(argv: list[str] | None = None, spark=None) -> int:
     p = argparse.ArgumentParser(prog="veldt")
-    p.add_argument("verb", choices=["validate", "run", "stats", "report", "all"])
+    p.add_argument("verb", choices=["validate", "run", "stats", "visualize", "report", "all"])
     p.add_argument("--config", required=True)
     p.add_argument("--base")
     p.add_argument("--json", action="store_true")
@@ -31,6 +44,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     a = vars(p.parse_args(argv))
     try:
         request = requests.load(a["config"], a["base"], spatial_ml_enabled=a["ml"], **{f: a[o.replace("-", "_")] for o, f in OVERRIDES.items()})
+        request = replace(request, **FORCED.get(a["verb"], {}))
         spark = spark or session.local()
         if a["verb"] in ("validate", "all"):
             table = runs.validate_request(spark, request)
@@ -43,10 +57,13 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         result = runs.run_pipeline(spark, request, tell)
         inputs = [x for f in (request.before_folder, request.after_folder) for x in discovery.discover(spark, f).values()]
         out = files.export(spark, result, request, inputs)
+        if a["verb"] in TOLD and not a["json_progress"]:
+            print(TOLD[a["verb"]](result, out))
+            return 0
         print(json.dumps({"type": "result", "manifest": out["run_manifest.json"], "summary": result.summary, "outputs": out}, default=str))
         return 0
-    except AnalysisError as e:
-        print(json.dumps({"type": "error", "message": str(e)}) if a["json"] or a["json_progress"] else f"error: {e}", file=sys.stderr)
+    except EngineError as e:
+        print(json.dumps({"type": "error", "message": e.user_message}) if a["json"] or a["json_progress"] else f"error: {e}", file=sys.stderr)
         return 1
 
 

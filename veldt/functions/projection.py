@@ -12,7 +12,8 @@ from types import ModuleType
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldt.operators.change import AnalysisError
+from veldt.errors import AnalysisError
+
 
 # WGS 84 and the scale and false origin of UTM. Fixed values.
 SEMI_MAJOR, FLATTENING, SCALE, EAST, NORTH = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0, 10_000_000.0

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldt import scratch
+from veldt.errors import AnalysisError
 from veldt.functions.permutation import permuted, places
-from veldt.operators.change import AnalysisError
 from veldt.operators.ranks import placed, running
 from veldt.sources.pixels import BANDS
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldt.errors import AnalysisError
 from veldt.functions.quantiles import quantiles
 from veldt.operators.radiometry import MAD_SCALE, TINY_SCALE, median_mad
 from veldt.sources.pixels import BANDS
@@ -12,10 +13,6 @@ from veldt.sources.pixels import BANDS
 TINY_RANGE, BINS = 1e-12, 256
 
 
-class AnalysisError(ValueError):
-    """A run that cannot go on with the data it has."""
-
-
 def diff(b: str):
     return F.col(f"after_{b}") - F.col(f"before_{b}")
 

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldt import scratch
+from veldt.errors import AnalysisError
 from veldt.functions.quantiles import quantiles
-from veldt.operators.change import AnalysisError
 from veldt.operators.graph import connected_components
 from veldt.operators.ranks import placed, running
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldt import scratch
+from veldt.errors import AnalysisError
 from veldt.functions import projection
-from veldt.operators.change import AnalysisError
 from veldt.operators.graph import connected_components
 
 

@@ -5,11 +5,7 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, fields, replace
 from pathlib import Path
 
-from veldt.operators.change import AnalysisError
-
-
-class ConfigurationError(AnalysisError):
-    """Values that are missing or don't go together."""
+from veldt.errors import ConfigurationError
 
 
 @dataclass(frozen=True)
@@ -42,20 +38,27 @@ class Request:
     spatial_ml_enabled: bool = False
     ml_model: str = "isolation_forest"
     ml_n_estimators: int = 200
+    ml_contamination: float = 0.1
+    ml_n_bootstrap: int = 20
     dbscan_eps: float = 1.5
     dbscan_min_samples: int = 5
     ml_use_coordinates: bool = False
     random_seed: int = 42
+    processed_dir: str | None = None
+    write_stacks: bool = True
+    write_intermediate: bool = True
+    create_interactive_map: bool = True
+    create_qgis_styles: bool = True
 
     @property
     def grid_size_m(self) -> float:
         return self.spatial_grid_size_m
 
     def parameters(self) -> dict:
-        return {k: v for k, v in asdict(self).items() if k not in ("before_folder", "after_folder", "aoi_path", "output_dir")}
+        return {k: v for k, v in asdict(self).items() if k not in ("before_folder", "after_folder", "aoi_path", "output_dir", "processed_dir")}
 
 
-#: Where each field stands in a configuration file: section, then keys.
+#: Where each field stands in a configuration file, section, then keys; what can't be chosen stands below.
 YAML = {
     "before_folder": "paths.before_folder", "after_folder": "paths.after_folder", "aoi_path": "paths.aoi", "output_dir": "paths.output_dir",
     "normalization": "preprocessing.normalization", "reflectance_scale": "preprocessing.reflectance_scale", "nodata_value": "preprocessing.nodata_value",
@@ -65,24 +68,34 @@ YAML = {
     "spatial_statistics_enabled": "spatial_statistics.enabled", "spatial_grid_size_m": "spatial_statistics.grid_size_m", "spatial_weights": "spatial_statistics.weights", "knn_k": "spatial_statistics.knn_k",
     "row_standardization": "spatial_statistics.row_standardization", "permutations": "spatial_statistics.permutations", "alpha": "spatial_statistics.alpha", "fdr_correction": "spatial_statistics.fdr_correction",
     "spatial_ml_enabled": "spatial_ml.enabled", "ml_model": "spatial_ml.model", "ml_n_estimators": "spatial_ml.n_estimators", "dbscan_eps": "spatial_ml.clustering.eps", "dbscan_min_samples": "spatial_ml.clustering.min_samples",
-    "ml_use_coordinates": "spatial_ml.use_coordinates", "random_seed": "run.random_seed",
+    "ml_use_coordinates": "spatial_ml.use_coordinates", "ml_contamination": "spatial_ml.contamination", "ml_n_bootstrap": "spatial_ml.n_bootstrap", "random_seed": "run.random_seed",
+    "processed_dir": "paths.processed_dir", "write_stacks": "output.write_stacks", "write_intermediate": "output.write_intermediate", "create_interactive_map": "output.create_interactive_map",
+    "create_qgis_styles": "output.create_qgis_styles",
 }
+FIXED = {"preprocessing.resampling": "bilinear", "preprocessing.reference_date": "before", "spatial_ml.clustering.algorithm": "dbscan"}
+
+
+def _at(config: dict, place: str):
+    for k in place.split("."):
+        config = config.get(k) if isinstance(config, dict) else None
+    return config
 
 
 def from_config(config: dict, base: str = ".") -> Request:
-    """A request from a parsed configuration. Unknown keys are ignored; the three input paths must be there."""
+    """A request from a parsed configuration. Unknown keys are ignored; the three input paths must be there, and what can't be
+    chosen must be as it is."""
     found = {}
+    for place, only in FIXED.items():
+        if (told := _at(config, place)) not in (None, only):
+            raise ConfigurationError(f"{place} is always {only}", detail=str(told))
     for name, place in YAML.items():
-        at = config
-        for k in place.split("."):
-            at = at.get(k) if isinstance(at, dict) else None
-        if at is not None:
-            found[name] = at
+        if (told := _at(config, place)) is not None:
+            found[name] = told
     missing = [k for k in ("before_folder", "after_folder", "aoi_path") if k not in found]
     if missing:
         raise ConfigurationError(f"missing in paths: {', '.join(missing)}")
     found.setdefault("output_dir", "outputs")
-    for k in ("before_folder", "after_folder", "aoi_path", "output_dir"):
+    for k in ("before_folder", "after_folder", "aoi_path", "output_dir", *(["processed_dir"] if "processed_dir" in found else [])):
         found[k] = str(Path(base) / str(found[k]))
     if found.get("ml_model") == "hdbscan":
         raise ConfigurationError("hdbscan is not available: take dbscan")
@@ -96,16 +109,24 @@ def load(path: str, base: str | None = None, **overrides) -> Request:
 
     if not Path(path).exists():
         raise ConfigurationError(f"no configuration at {path}")
-    request = from_config(yaml.safe_load(Path(path).read_text()) or {}, base or ".")
+    try:
+        told = yaml.safe_load(Path(path).read_text()) or {}
+    except yaml.YAMLError as e:
+        raise ConfigurationError(f"the configuration at {path} is not YAML", detail=str(e)) from e
+    request = from_config(told, base or ".")
     return replace(request, **{k: v for k, v in overrides.items() if v is not None})
 
 
 def to_config(request: Request) -> dict:
+    """The configuration that gives this request; an unset folder for stacks is left out."""
     out: dict = {}
-    for name, place in YAML.items():
+    told = {place: getattr(request, name) for name, place in YAML.items()}
+    if request.processed_dir is None:
+        del told["paths.processed_dir"]
+    for place, value in (told | FIXED).items():
         at = out
         *sections, key = place.split(".")
         for s in sections:
             at = at.setdefault(s, {})
-        at[key] = getattr(request, name)
+        at[key] = value
     return out

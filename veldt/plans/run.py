@@ -14,21 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldt import scratch
+from veldt.errors import AnalysisError, CancelledError, ConfigurationError
 from veldt.functions import projection
 from veldt.operators import cells, change, features, ml, overlay, radiometry, raster, validation
-from veldt.operators.change import AnalysisError
-from veldt.plans.request import ConfigurationError, Request
+from veldt.plans.request import Request
 from veldt.sources import discovery, tiff, vectors
 from veldt.sources.pixels import BANDS
 from veldt.sources.tiff import Grid
 
 
-class CancelledError(AnalysisError):
-    def __init__(self, stage: str) -> None:
-        super().__init__(f"cancelled during {stage}")
-        self.stage = stage
-
-
 @dataclass
 class Result:
     run_id: str
@@ -40,6 +34,8 @@ class Result:
     grid: Grid | None = None
     moran: dict | None = None
     counts: dict = field(default_factory=dict)
+    shares: dict = field(default_factory=dict)
+    anomalies: dict = field(default_factory=dict)
     runtime_seconds: float = 0.0
     started_at: str = ""
 
@@ -175,8 +171,12 @@ def run_pipeline(spark: SparkSession, request: Request, progress: Callable[[str,
     at("alignment", 12)
     px, g, out.warnings = aligned(spark, request)
     out.grid, m, n = g, abs(g.a), px.count()
+    out.counts["n_pixels"] = n
     out.tables["aligned"] = px
 
+    def above(df: DataFrame, col: str, least: float) -> float:
+        return 100.0 * df.where(F.col(col) > F.lit(least)).count() / n
+
     def clean(binary: DataFrame) -> DataFrame:
         op = request.morphology_operation if request.morphology_enabled else "none"
         fg = raster.morphology(binary.select("row", "col"), g.height, g.width, op, request.morphology_kernel_size)
@@ -191,6 +191,7 @@ def run_pipeline(spark: SparkSession, request: Request, progress: Callable[[str,
         base = scratch.kept(change.baseline(px), "baseline")
         t = change.threshold(base, "intensity", "otsu")  # whatever the request says: the baseline is always parted by Otsu
         out.tables["baseline"] = base
+        out.shares["baseline"] = above(base, "intensity", t)
         primary, value, threshold, method = base, "intensity", t, "otsu"
     if request.method in ("cva", "both"):
         at("change vectors", 55)
@@ -198,6 +199,7 @@ def run_pipeline(spark: SparkSession, request: Request, progress: Callable[[str,
         value, method = "cva", request.threshold_method
         threshold = change.threshold(primary, "cva", method, request.percentile, request.manual_threshold)
         out.tables["vectors"] = primary
+        out.shares["cva"] = above(primary, "cva", threshold)
     at("components", 68)
     binary = primary.withColumn("changed", F.col(value) > F.lit(threshold))
     labels = clean(binary.where("changed"))
@@ -210,7 +212,7 @@ def run_pipeline(spark: SparkSession, request: Request, progress: Callable[[str,
     after = cut.count()
     made = features.rounded(made.drop("area_m2", "perimeter_m", "compactness").join(cut, "label"))
     made = scratch.kept(made.where(F.col("area_m2") >= request.min_area_m2), "metrics")
-    out.counts = {"n_raw_components": raw, "n_after_aoi": after, "n_after_min_area": made.count()}
+    out.counts |= {"n_raw_components": raw, "n_after_aoi": after, "n_after_min_area": made.count()}
     grid = None
     extra = {"gi_zscore": "double", "gi_pvalue": "double", "gi_qvalue": "double", "hotspot_class": "string", "lisa_cluster": "string", "ml_anomaly_score": "double", "ml_cluster_id": "double"}
     if request.spatial_statistics_enabled and value == "cva":
@@ -264,18 +266,32 @@ def statistics(spark: SparkSession, request: Request, binary: DataFrame, pixel_m
     told = cells.bh_fdr(told, "gi_pvalue", "id", "gi_qvalue") if request.fdr_correction else told.withColumn("gi_qvalue", F.col("gi_pvalue"))
     told = told.withColumns({"hotspot_class": cells.hotspot_class(F.col("gi_zscore"), F.col("gi_qvalue")), "lisa_cluster": cells.lisa_cluster(F.col("quadrant"), F.col("local_moran_p"), request.alpha)})
     grid = scratch.kept(features.numbered(grid.join(told, cells.cell_id() == F.col("id")), ["cell_row", "cell_col"], "grid_id"), "grid")
-    if request.spatial_ml_enabled and grid.count() >= ml.LEAST_CELLS:
+    if request.spatial_ml_enabled and grid.count() < ml.LEAST_CELLS:
+        out.warnings.append(f"fewer than {ml.LEAST_CELLS} cells: no anomaly scores")
+    elif request.spatial_ml_enabled:
+        if missing := sorted(set(ml.FEATURES) - set(grid.columns)):
+            out.warnings.append(f"anomaly scores go without {', '.join(missing)}")
         x, cols = ml.features(grid, request.ml_use_coordinates or request.ml_model != "isolation_forest")
         if request.ml_model == "isolation_forest":
+            out.anomalies = {"model": request.ml_model, "n_cells": x.count(), "features": cols} | forest_checks(request, x, cols)
             return scratch.kept(ml.ranked(ml.isolation_forest(x, "id", cols, request.ml_n_estimators, request.random_seed), "ml_anomaly_score").withColumn("ml_cluster_id", F.lit(-1.0)), "scored")
         some = scratch.kept(ml.robust_scale(x.where("changed_proportion > 0"), cols).select("id", *cols), "points")
         if some.count() >= ml.LEAST_CELLS:
             c = ml.dbscan(some, "id", cols, request.dbscan_eps, request.dbscan_min_samples)
+            out.anomalies = {"model": "dbscan", "n_cells": some.count(), "features": cols, "sensitivity": ml.dbscan_sensitivity(some, "id", cols, request.dbscan_eps, request.dbscan_min_samples)}
             c = c.withColumns({"ml_anomaly_score": F.when(F.col("ml_cluster_id") == -1, 1.0).otherwise(0.0), "ml_cluster_id": F.col("ml_cluster_id").cast("double")})
             return scratch.kept(grid.join(ml.ranked(c, "ml_anomaly_score"), "id", "left"), "scored")
     return grid
 
 
+def forest_checks(request: Request, x: DataFrame, cols: list[str]) -> dict:
+    """How far the forest's top cells hold when blocks of cells are left out, and when more or fewer anomalies are expected."""
+    out = {"sensitivity": ml.contamination_sensitivity(x, "id", cols, request.ml_contamination, trees=request.ml_n_estimators, seed=request.random_seed)}
+    if request.ml_n_bootstrap > 0:
+        out["stability"] = ml.forest_stability(x, "id", cols, request.ml_n_bootstrap, trees=request.ml_n_estimators, seed=request.random_seed)
+    return out
+
+
 def catalog(spark: SparkSession, request: Request, out: Result, report: DataFrame) -> None:
     """The run's tables as temporary views, with its metadata and checks."""
     meta = {"run_id": out.run_id, "run_timestamp": datetime.now(UTC).isoformat(), "before_folder": request.before_folder, "after_folder": request.after_folder, "before_date": out.before_date, "after_date": out.after_date, "aoi_path": request.aoi_path, "crs": out.grid.crs, "pixel_size_m": out.grid.a, "threshold_value": out.summary["threshold"]}

@@ -24,9 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldt import scratch
+from veldt.errors import WriteError
 from veldt.functions import projection
 from veldt.operators import change, overlay
+from veldt.plans.request import Request
 from veldt.plans.run import Result
+from veldt.sinks import styles
 from veldt.sources import tiff
 from veldt.sources.pixels import BANDS
 from veldt.sources.tiff import Grid
@@ -61,9 +64,11 @@ def tables(result: Result, path: str) -> dict[str, str]:
     return out
 
 
-def csv(df: DataFrame, path: str) -> None:
-    """The grid without geometry, as one CSV file with a header."""
-    df.drop("geometry").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def csv(df: DataFrame, path: str | Path) -> None:
+    """The grid without geometry, as one CSV file with a header: a task writes it, and it is then moved into place."""
+    with atomic(path) as p, tempfile.TemporaryDirectory(dir=p.parent, prefix=".csv") as folder:
+        df.drop("geometry").coalesce(1).write.mode("overwrite").option("header", True).csv(Path(folder).as_uri())
+        os.replace(next(Path(folder).glob("part-*")), p)
 
 
 def stringified(df: DataFrame) -> DataFrame:
@@ -77,14 +82,22 @@ def checksums(spark: SparkSession, paths: list[str]) -> dict[str, str]:
     return {r["path"]: r["sha"] for r in raw.select("path", F.sha2("content", 256).alias("sha")).collect()}
 
 
+@contextlib.contextmanager
+def _database(path: Path) -> Iterator[sqlite3.Connection]:
+    path.unlink(missing_ok=True)
+    try:
+        with contextlib.closing(sqlite3.connect(path)) as db:
+            yield db
+    except sqlite3.Error as e:
+        raise WriteError(f"the database in {path.parent} could not be written", detail=str(e)) from e
+
+
 KINDS = {"int": "INTEGER", "bigint": "INTEGER", "double": "REAL", "string": "TEXT", "boolean": "INTEGER"}
 
 
 def geopackage(path: str | Path, layers: dict[str, DataFrame], plain: dict[str, DataFrame], srs: int) -> None:
     """Layers have a ``geometry`` column of WKB; plain tables have none."""
-    with atomic(path) as p:
-        p.unlink()
-        db = sqlite3.connect(p)
+    with atomic(path) as p, _database(p) as db:
         # Fixed values of the format: its application id and required tables.
         db.executescript(
             "PRAGMA application_id = 1196444487; PRAGMA user_version = 10200;"
@@ -109,7 +122,6 @@ def geopackage(path: str | Path, layers: dict[str, DataFrame], plain: dict[str,
             if shaped:
                 db.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom', 'GEOMETRY', ?, 0, 0)", (name, srs))
         db.commit()
-        db.close()
 
 
 def cell_boxes(grid_table: DataFrame, grid: Grid, size_m: float) -> DataFrame:
@@ -134,13 +146,6 @@ def raster_file(df: DataFrame, values: list[str], grid: Grid, path: str | Path,
         tiff.write(p, pyramid, values, dtype, 2 if whole else 3)
 
 
-def intensity_style(top: float) -> str:
-    """A layer style: a ramp with stops at 0, 33, 66 and 100 % of ``top``."""
-    colours = ("#ffffcc", "#fd8d3c", "#e31a1c", "#800026")
-    items = "".join(f'<item value="{top * s:.6f}" label="{top * s:.3f}" color="{c}"/>' for s, c in zip((0, 0.33, 0.66, 1), colours, strict=True))
-    return f'<!DOCTYPE qgis><qgis><pipe><rasterrenderer type="singlebandpseudocolor" band="1"><rastershader><colorrampshader colorRampType="INTERPOLATED">{items}</colorrampshader></rastershader></rasterrenderer></pipe></qgis>'
-
-
 def geojson(df: DataFrame, path: str, crs: str, properties: list[str]) -> None:
     """Rows with a ``shape`` as GeoJSON features in degrees, a feature to a line in files of text, written by Spark."""
     geometry = F.struct(F.lit("MultiPolygon").alias("type"), projection.in_degrees(F.col("shape"), crs).alias("coordinates"))
@@ -148,19 +153,40 @@ def geojson(df: DataFrame, path: str, crs: str, properties: list[str]) -> None:
     df.select(F.to_json(told).alias("value")).write.mode("overwrite").text(path)
 
 
-def report(result: Result, parameters: dict) -> str:
-    s = result.summary
-    lines = [f"# Change between {result.before_date} and {result.after_date}", "", f"Run {result.run_id}.", "", "| Measure | Value |", "|---|---|"]
+def counted(df: DataFrame, col: str) -> str:
+    """How many rows have each value, as text, most frequent first."""
+    rows = df.groupBy(col).count().orderBy(F.desc("count"), col).collect()  # a class is one of a fixed few
+    return ", ".join(f"{r[0]} {r[1]}" for r in rows) or "none"
+
+
+def report(result: Result, request: Request) -> str:
+    """The run as Markdown: summary, data, method, results, and what to be careful with."""
+    s, g, tables = result.summary, result.grid, result.tables
+    issues = tables["quality_checks"].groupBy("severity").count().orderBy("severity").collect()
+    x0, y0, x1, y1 = g.bounds
+    lines = [f"# Change between {result.before_date} and {result.after_date}", "", f"Run {result.run_id}.", "", "## 1. Summary", "", "| Measure | Value |", "|---|---|"]
     lines += [f"| {k.replace('_', ' ')} | {v} |" for k, v in s.items()]
+    lines += ["", "## 2. Data", "", f"- Bands: {', '.join(b.upper() for b in BANDS)}", f"- Reference system: {g.crs or 'unknown'}, pixels of {g.a:g} m", f"- Grid: {g.width} x {g.height} pixels, {x0:g} {y0:g} to {x1:g} {y1:g}"]
+    lines += [f"- No data: {request.nodata_value:g}", f"- Pixels used: {result.counts['n_pixels']} ({100 - 100 * result.counts['n_pixels'] / (g.width * g.height):.2f} % of the grid left out)"]
+    lines += [f"- Checks: {', '.join(f'{r[0]} {r[1]}' for r in issues) or 'nothing found'}"]
+    cleaning = f"{request.morphology_operation}, kernel {request.morphology_kernel_size}" if request.morphology_enabled else "none"
+    lines += ["", "## 3. Method", "", f"- Normalisation: {request.normalization}", f"- Method: {request.method}; threshold: {s['threshold_method']} = {s['threshold']:.4f}", f"- Morphology: {cleaning}; holes {'filled' if request.fill_holes else 'kept'}"]
+    lines += [f"- Least area: {request.min_area_m2:g} m2; components {result.counts['n_raw_components']}, inside the area of interest {result.counts['n_after_aoi']}, large enough {result.counts['n_after_min_area']}"]
+    lines += ["", "## 4. Results", "", *[f"- Pixels above the threshold of {k}: {v:.2f} %" for k, v in result.shares.items()]]
+    top = tables["change_features"].orderBy(F.desc("area_m2"), "id").limit(5).collect()
+    lines += ["", "### Largest features", "", "| Feature | Area, m2 | Mean change | Confidence | Hotspot |", "|---|---|---|---|---|"]
+    lines += [f"| {r['id']} | {r['area_m2']:.0f} | {r['mean_change']:.3f} | {r['confidence']:.3f} | {r['hotspot_class'] or '-'} |" for r in top]
     if result.moran:
-        lines += ["", "## Spatial autocorrelation", "", *[f"- {k}: {v:.6g}" for k, v in result.moran.items()]]
-    top = result.tables["change_features"].orderBy(F.desc("area_m2"), "id").limit(5).collect()
-    lines += ["", "## Largest features", "", *[f"- {r['id']}: {r['area_m2']:.0f} m2, confidence {r['confidence']:.3f}" for r in top]]
-    lines += ["", "## Warnings", "", *([f"- {w}" for w in result.warnings] or ["- none"]), "", "## Parameters", "", *[f"- {k}: {v}" for k, v in parameters.items()]]
+        lines += ["", "### Spatial autocorrelation", "", *[f"- {k}: {v:.6g}" for k, v in result.moran.items()]]
+        lines += [f"- Local clusters: {counted(tables['spatial_grid'], 'lisa_cluster')}", f"- Hotspots: {counted(tables['spatial_grid'], 'hotspot_class')}"]
+    if result.anomalies:
+        lines += ["", "### Anomaly scores", "", *[f"- {k.replace('_', ' ')}: {v}" for k, v in result.anomalies.items()]]
+    lines += ["", "## 5. Limits", "", "- Two dates and three visible bands: seasons, clouds and shadows are not told from lasting change.", "- Confidence is a rule of thumb, not a probability; anomaly scores are ranks without ground truth.", "- p-values speak of the pattern in space, not of its cause."]
+    lines += ["", "## Warnings", "", *([f"- {w}" for w in result.warnings] or ["- none"]), "", "## Parameters", "", *[f"- {k}: {v}" for k, v in request.parameters().items()]]
     return "\n".join(lines) + "\n"
 
 
-def manifest(spark: SparkSession, result: Result, request, inputs: list[str], outputs: dict[str, str]) -> dict:
+def manifest(spark: SparkSession, result: Result, request: Request, inputs: list[str], outputs: dict[str, str]) -> dict:
     """What a run read, how it was set, what it wrote and with what: files by their SHA-256."""
     read = {k: getattr(request, k) for k in ("before_folder", "after_folder", "aoi_path")}
     versions = {name: metadata.version(name) for name in ("pyspark", "pyarrow", "pandas", "numpy")}
@@ -172,37 +198,53 @@ def manifest(spark: SparkSession, result: Result, request, inputs: list[str], ou
     }
 
 
-def export(spark: SparkSession, result: Result, request, inputs: list[str]) -> dict[str, str]:
-    """All outputs of a run under ``request.output_dir`` of the driver."""
+def export(spark: SparkSession, result: Result, request: Request, inputs: list[str]) -> dict[str, str]:
+    """All outputs of a run under ``request.output_dir`` of the driver, and its stacks under ``processed_dir`` if that is set."""
     root, g = Path(request.output_dir).absolute(), result.grid
+    made: dict[str, str] = {}  # what this run wrote: the folders may hold files of earlier ones
+
+    def at(path: Path) -> Path:
+        made[path.name] = str(path)
+        return path
+
     srs = int(g.crs.split(":")[1]) if g.crs else 0
     features = result.tables["change_features"].drop("label")
     layers = {"change_features": features}
-    if g.crs:
+    mapped = bool(g.crs) and request.create_interactive_map
+    if mapped:
         told = result.tables["change_features"].drop("geometry").join(result.tables["outlines"], "label")
         geojson(told, str(root / "map/change_features"), g.crs, ["id", "area_m2", "mean_change", "confidence", "hotspot_class"])
     if "spatial_grid" in result.tables:
         boxes = cell_boxes(result.tables["spatial_grid"], g, request.spatial_grid_size_m)
         layers["spatial_grid"] = overlay.as_wkb(boxes)
-        if g.crs:
+        if mapped:
             geojson(boxes, str(root / "map/spatial_grid"), g.crs, ["grid_id", "mean_cva", "hotspot_class", "lisa_cluster"])
-        csv(result.tables["spatial_grid"], str(root / "statistics/spatial_grid"))
-        write_json(root / "statistics/global_moran.json", result.moran)
-    for date in ("before", "after"):
+        csv(result.tables["spatial_grid"], at(root / "statistics/spatial_grid.csv"))
+        write_json(at(root / "statistics/global_moran.json"), result.moran)
+    if result.anomalies:
+        write_json(at(root / "statistics/spatial_ml.json"), result.anomalies)
+    stacks = Path(request.processed_dir).absolute() if request.processed_dir else root / "rasters"
+    for date in ("before", "after") if request.write_stacks else ():
         stack = [f"{date}_{b}" for b in BANDS]
         dn = result.tables["aligned"].select("row", "col", *[F.round(F.col(c) * request.reflectance_scale).alias(c) for c in stack])
-        raster_file(dn, stack, g, root / f"rasters/{date}_stack.tif", "u2", float(request.nodata_value))
-    geopackage(root / "change.gpkg", layers, {k: stringified(result.tables[k]) if k == "run_metadata" else result.tables[k] for k in ("run_metadata", "quality_checks")}, srs)
-    if "vectors" in result.tables:
-        raster_file(result.tables["vectors"], ["cva"], g, root / "rasters/cva_intensity.tif")
-        top = change.scale_top(result.tables["vectors"], "cva")
-        with atomic(root / "styles/cva_intensity.qml") as p:
-            p.write_text(intensity_style(top))
-    write_json(root / "summary.json", result.summary)
-    with atomic(root / "report.md") as p:
-        p.write_text(report(result, request.parameters()))
+        raster_file(dn, stack, g, at(stacks / f"{date}_stack.tif"), "u2", float(request.nodata_value))
+    geopackage(at(root / "change.gpkg"), layers, {k: stringified(result.tables[k]) if k == "run_metadata" else result.tables[k] for k in ("run_metadata", "quality_checks")}, srs)
+    top = change.scale_top(result.tables["vectors"], "cva") if "vectors" in result.tables else None
+    if request.write_intermediate:
+        if "baseline" in result.tables:
+            raster_file(result.tables["baseline"], ["intensity"], g, at(root / "rasters/baseline_intensity.tif"))
+        if "vectors" in result.tables:
+            raster_file(result.tables["vectors"], ["cva"], g, at(root / "rasters/cva_intensity.tif"))
+        # Pixels that are not valid are neither changed nor unchanged: they hold the nodata value.
+        changed = result.tables["aligned"].select("row", "col").join(result.tables["labels"], ["row", "col"], "left")
+        raster_file(changed.select("row", "col", F.col("label").isNotNull().cast("int").alias("changed")), ["changed"], g, at(root / "rasters/change_binary.tif"), "u1", 255.0)
+    for name, style in styles.every(top).items() if request.create_qgis_styles else ():
+        with atomic(at(root / f"styles/{name}.qml")) as p:
+            p.write_text(style)
+    write_json(at(root / "summary.json"), result.summary)
+    with atomic(at(root / "report.md")) as p:
+        p.write_text(report(result, request))
     if "spatial_grid" in layers:
-        geopackage(root / "maps/spatial_statistics.gpkg", {"spatial_grid": layers["spatial_grid"]}, {}, srs)
-    made = {p.name: str(p) for p in root.rglob("*") if p.is_file() and not p.name.startswith((".", "_", "part-"))}
+        geopackage(at(root / "maps/spatial_statistics.gpkg"), {"spatial_grid": layers["spatial_grid"]}, {}, srs)
     write_json(root / "run_manifest.json", manifest(spark, result, request, inputs, made))
-    return {p.name: str(p) for p in root.rglob("*") if p.is_file()}
+    return made | {"run_manifest.json": str(root / "run_manifest.json")}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.operators.change import AnalysisError
+from veldt.errors import AnalysisError
+
 
 WANTED = ("B02", "B03", "B04")
 #: A band token is not part of a longer run of letters and digits; a date is 20 and six digits. Fixed patterns and names.

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from veldt.operators.change import AnalysisError
+from veldt.errors import AnalysisError
 from veldt.sources import crs
 
 #: Bytes of a TIFF field type, and its struct code. Fixed values.

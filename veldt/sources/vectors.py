@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veldt.operators.change import AnalysisError
+from veldt.errors import AnalysisError
 from veldt.sources import crs
 
 
