@@ -1,9 +1,10 @@
 """Toxic passages by maximum-scoring segments (operator 5).
 
-Words get log-odds of standing in a toxic rather than a clean document, under a Dirichlet prior of the classes'
-shares; words that training saw too seldom take those of the longest of their beginnings (4 to 6 letters) that
-enough different words share. Each word scores its log-odds less a drift, all others minus the drift. The linear-time
-scan of Ruzzo and Tompa finds every maximal scoring segment of a text. Extreme-value theory turns a segment's score
+Words get log-odds of their tokens' share in toxic against that in clean documents, under a Dirichlet prior over the
+vocabulary in proportion to the words' counts in both, brought towards zero by a standard deviation; words that training
+saw too seldom take those of the longest of their beginnings (4 to 6 letters) that enough different words share. Each
+word scores its log-odds less a drift, unknown ones minus the drift, so clean words end a passage. The linear-time scan of
+Ruzzo and Tompa finds every maximal scoring segment of a text. Extreme-value theory turns a segment's score
 into one that texts of any length share: lambda solves E[exp(lambda s)] = 1 over the words of clean documents, K is
 fitted to the best segments of clean documents, and a segment's calibrated score is lambda S - ln(K n). A document is
 scored by its best segment, the sum of its significant ones and the joint score of its best five, through a logistic curve fitted to documents that had
@@ -13,7 +14,7 @@ Fitted on at most ``max_docs`` labelled documents, drawn by hash; ``held_out`` o
 table is broadcast; its size is bounded by that sample.
 
 Defined results: null and empty texts have no segment and the score of such texts; documents with conflicting labels
-count as toxic; labels that are null, or of documents that don't exist, are ignored; without labels of both classes
+count as toxic; of rows that share a labelled doc_id one, fixed by its text's hash, is learned from; labels that are null, or of documents that don't exist, are ignored; without labels of both classes
 every score is the share of toxic labels (0 without labels); repeated rows are scored each; ties between equal
 segments don't change a score; an empty table gives no rows; clashing extra columns are dropped.
 """
@@ -35,8 +36,8 @@ from veldt.llm.texts import short_batches
 
 MAX_DOCS = 50_000
 THRESHOLD = 0.3
-#: Weight of the prior, in words; least count of a word, or of words that share a beginning, to be used.
-PRIOR, LEAST = 4.0, 3
+#: Weight of the prior, as a share of all training tokens; least count of a word, or of words that share a beginning.
+PRIOR, LEAST = 0.1, 3
 STEMS = (6, 5, 4)
 DRIFT, MAX_WORD = 0.5, 5.0
 #: A segment is significant when fewer than so many as good are expected in a clean text.
@@ -61,13 +62,15 @@ def _plain(word: bytes) -> str:
 
 def segments(spots: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (begin, end, score) of a run of words that score ``-drift`` but for ``spots``
-    (place, score > 0), by Ruzzo and Tompa's scan over the positive words."""
+    (place, score), by Ruzzo and Tompa's scan over prefix sums; segments begin and end with words that score above 0."""
     out: list[list] = []  # begin, end, sum before, sum at the end, nearest earlier one with a lower sum before
     total, last = 0.0, 0
     for at, score in spots:
         total -= drift * (at - last)
         k = [at, at + 1, total, total + score, -1]
         total, last = total + score, at + 1
+        if score <= 0:
+            continue
         while True:
             j = len(out) - 1
             while j >= 0 and out[j][2] >= k[2]:
@@ -96,7 +99,7 @@ class Model:
         for n in STEMS if found is None else ():
             if len(word) > n and (found := self.stems.get(word[:n])) is not None:
                 break
-        return min(found or 0.0, MAX_WORD) - DRIFT
+        return max(min(found or 0.0, MAX_WORD), -MAX_WORD) - DRIFT
 
     def passages(self, text: bytes | None, cache: dict[bytes, float]) -> tuple[int, list[tuple[int, int, float]]]:
         """The text's words, and its maximal segments."""
@@ -108,9 +111,9 @@ class Model:
             s = cache.get(w)
             if s is None:
                 s = cache[w] = self.word(_plain(w))
-            if s > 0:
+            if s != -DRIFT:
                 spots.append((i, s))
-        return len(words), segments(spots, DRIFT) if spots else []
+        return len(words), segments(spots, DRIFT)
 
     def calibrated(self, n: int, score: float) -> float:
         return self.lam * score - math.log(self.k * max(n, 1))
@@ -137,7 +140,7 @@ class Model:
 
 
 def _count(docs: DataFrame) -> DataFrame:
-    """(word, toxic, clean): documents of each class that hold a word."""
+    """(word, toxic, clean): a word's tokens in documents of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -151,7 +154,7 @@ def _count(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for t, y in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
-                both[y].update({_plain(w) for w in set(_split(t))})
+                both[y].update(map(_plain, _split(t)))
             if len(both[0]) + len(both[1]) > CACHE:
                 yield out()
         yield out()
@@ -159,23 +162,42 @@ def _count(docs: DataFrame) -> DataFrame:
     return docs.select("text", "toxic").mapInArrow(run, "word string, toxic long, clean long").where("word <> ''").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _odds(a: float, b: float, share: float) -> float:
-    return math.log((a + PRIOR * share) / (b + PRIOR * (1 - share))) - math.log(share / (1 - share))
+def _odds(a: Column, b: Column, toxic: int, clean: int) -> Column:
+    """Log-odds of a word with ``a`` of all ``toxic`` and ``b`` of all ``clean`` tokens, under a Dirichlet prior that gives
+    it its share of both, brought towards zero by its standard deviation."""
+    every = PRIOR * (toxic + clean)
+    own = F.lit(PRIOR) * (a + b)
+    x, y = a + own, b + own
+    odds = F.log(x / (toxic + every - x)) - F.log(y / (clean + every - y))
+    return F.signum(odds) * F.greatest(F.abs(odds) - F.sqrt(1 / x + 1 / y), F.lit(0.0))
 
 
-def _table(docs: DataFrame, share: float) -> Model:
-    """Log-odds of words and stems, from labelled documents. Stems count the different words that share them, so one
-    frequent word doesn't speak for others."""
+def _table(docs: DataFrame) -> Model:
+    """Log-odds of words and stems, from labelled documents. Stems count each of the different words that share them
+    once, so one frequent word doesn't speak for others."""
     words = scratch.kept(_count(docs), "word_counts")
+    toxic, clean = words.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0))).first()
+    if not toxic or not clean:
+        return Model({}, {})
     n = F.col("toxic") + F.col("clean")
+    odds = _odds(F.col("toxic"), F.col("clean"), toxic, clean).alias("odds")
+    known = words.where(n >= LEAST).select("word", odds).where("odds <> 0")
     stems: dict[str, float] = {}
     for k in STEMS:
-        some = words.where(F.length("word") > k).groupBy(F.substring("word", 1, k).alias("stem")).agg(F.count("*").alias("n"), F.sum(F.col("toxic") / n).alias("a"), F.sum(F.col("clean") / n).alias("b"))
-        for r in some.where((F.col("n") >= LEAST) & (F.col("a") > F.col("n") * share)).collect():
-            stems[r["stem"]] = _odds(r["a"], r["b"], share)
-    known = words.where(n >= LEAST)
-    high = known.where((F.col("toxic") > n * share) | F.substring("word", 1, STEMS[-1]).isin([s for s in stems if len(s) == STEMS[-1] and stems[s] > DRIFT]))
-    return Model({r["word"]: _odds(r["toxic"], r["clean"], share) for r in high.collect()}, stems)
+        some = words.where(F.length("word") > k).groupBy(F.substring("word", 1, k).alias("stem")).agg(F.count("*").alias("n"), F.sum(F.col("toxic") / n).alias("toxic"), F.sum(F.col("clean") / n).alias("clean"))
+        # Words, not tokens, are counted here, so the classes are as large as their tokens' shares of those words.
+        share = toxic / (toxic + clean)
+        each = F.lit(1.0) * F.col("n")
+        told = _stem_odds(F.col("toxic"), F.col("clean"), each, share).alias("odds")
+        stems |= {r["stem"]: r["odds"] for r in some.where(F.col("n") >= LEAST).select("stem", told).where("odds <> 0").collect()}
+    return Model({r["word"]: r["odds"] for r in known.collect()}, stems)
+
+
+def _stem_odds(a: Column, b: Column, n: Column, share: float) -> Column:
+    """As ``_odds`` for the ``a`` toxic and ``b`` clean of a stem's ``n`` words, the classes' shares being known."""
+    x, y = a + F.lit(PRIOR * share) * n, b + F.lit(PRIOR * (1 - share)) * n
+    odds = F.log(x / y) - math.log(share / (1 - share))
+    return F.signum(odds) * F.greatest(F.abs(odds) - F.sqrt(1 / x + 1 / y), F.lit(0.0))
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -208,6 +230,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         told = told.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1e6 * max_docs / n))
     # About max_docs rows at most: small enough to broadcast, whatever the table's size.
     known = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(told), "id")
+    # One row for each labelled document, so that repeated ones don't outgrow the bound.
+    known = known.groupBy("id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
     short_batches(spark)
     known = scratch.kept(known.withColumn("fold", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(3))), "labelled")
     seen = {(r["toxic"], r["own"]): r["n"] for r in known.groupBy("toxic", (F.col("fold") == 0).alias("own")).agg(F.count("*").alias("n")).collect()}
@@ -215,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     share = toxic / every if every else 0.0
     if not all(seen.get(k) for k in ((0, True), (1, True), (0, False), (1, False))):
         return Model({}, {}, rate=share)
-    part = _table(known.where("fold <> 0"), share)
+    part = _table(known.where("fold <> 0"))
     tell = spark.sparkContext.broadcast(vars(part))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     part.lam, part.k = _extremes(kinds, [(r["n"], max(r["found"], default=0.0)) for r in rows if not r["toxic"] and r["n"]])
     x = np.array([part.evidence(r["n"], r["found"]) for r in rows])
     curve = _fit_curve(x, np.array([r["toxic"] for r in rows], float))
-    model = _table(known, share)
+    model = _table(known)
     model.lam, model.k, model.curve, model.rate, model.fitted = part.lam, part.k, curve, share, True
     return model
 
