@@ -486,3 +486,78 @@ def test_hosts_are_rejected(spark):
     got = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert not got[100] and all(got[200 + i] for i in range(400))
     assert warc.MIN_REVISIT == 1000
+
+
+def slow_segments(scores, left=0):
+    """Maximal scoring segments by their definition: the best one, then those left and right of it."""
+    best = max(((sum(scores[i:j]), i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0, 0, 0))
+    total, i, j = best
+    if total <= 0:
+        return []
+    return slow_segments(scores[:i], left) + [(left + i, left + j, total)] + slow_segments(scores[j:], left + j)
+
+
+def test_toxicity_against_plain_arithmetic(spark):
+    """Word table, stems, passages and scores of a small corpus, by loops over its words."""
+    rng = random.Random(5)
+    clean, bad = [f"calm{c}{d}" for c in "abcde" for d in "fghi"], [f"nasty{c}{d}" for c in "abc" for d in "def"]
+    rows = [(i, " ".join(rng.choice(bad if rng.random() < (0.5 if i % 4 == 0 else 0.02) else clean) for _ in range(rng.randint(5, 30))), int(i % 4 == 0)) for i in range(300)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    kept = {r[0] for r in docs.where(~toxicity.held_out(docs.doc_id)).select("doc_id").collect()}
+    count = {0: Counter(), 1: Counter()}
+    for i, text, y in rows:
+        if i in kept:
+            count[y].update(text.split())
+    sizes = [sum(count[y].values()) for y in (0, 1)]
+
+    def shrunk(odds, x, y):
+        return math.copysign(max(abs(odds) - math.sqrt(1 / x + 1 / y), 0), odds)
+
+    words, groups = {}, defaultdict(list)
+    for w in count[0] | count[1]:
+        b, a = count[0][w], count[1][w]
+        x, y, every = a + toxicity.PRIOR * (a + b), b + toxicity.PRIOR * (a + b), toxicity.PRIOR * sum(sizes)
+        if a + b >= toxicity.LEAST:
+            words[w] = shrunk(math.log(x / (sizes[1] + every - x)) - math.log(y / (sizes[0] + every - y)), x, y)
+        for k in toxicity.STEMS:
+            if len(w) > k:
+                groups[w[:k]].append(a / (a + b))
+    share, stems = sizes[1] / sum(sizes), {}
+    for stem, of in groups.items():
+        if len(of) >= toxicity.LEAST:
+            x, y = sum(of) + toxicity.PRIOR * share * len(of), len(of) - sum(of) + toxicity.PRIOR * (1 - share) * len(of)
+            stems[stem] = shrunk(math.log(x / y) - math.log(share / (1 - share)), x, y)
+    assert model.words == pytest.approx({w: v for w, v in words.items() if v}) and min(model.words.values()) < 0 < max(model.words.values())
+    assert model.stems == pytest.approx({s: v for s, v in stems.items() if v}) and model.stems["nasty"] > 0 > model.stems.get("calm", -1)
+
+    def word(w):
+        v = words[w] if words.get(w) else next((stems[w[:k]] for k in toxicity.STEMS if len(w) > k and stems.get(w[:k])), 0.0)
+        return max(min(v, toxicity.MAX_WORD), -toxicity.MAX_WORD) - toxicity.DRIFT
+
+    got = {r[0]: r for r in toxicity.score(docs, model, passages=True).collect()}
+    for i, text, _ in rows:
+        scores = [word(w) for w in text.split()]
+        found = slow_segments(scores)
+        told = sorted((model.lam * s - math.log(model.k * len(scores)) for _, _, s in found), reverse=True)
+        least = -math.log(toxicity.EXPECT)
+        assert [(p["begin"], p["end"]) for p in got[i]["passages"]] == [(b, e) for b, e, s in found if model.lam * s - math.log(model.k * len(scores)) > least]
+        joint = model.lam * sum(sorted((s for _, _, s in found), reverse=True)[: toxicity.JOINT]) - math.log(model.k * len(scores))
+        seen = (min(max(told[0], -8), 8), min(sum(t for t in told if t > least), 16), min(max(joint, -8), 16)) if told else (-8.0, 0.0, -8.0)
+        z = model.curve[0] + sum(w * x for w, x in zip(model.curve[1:], seen))
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def test_extremes():
+    """lambda makes the mean of exp(lambda s) one; K puts the median of clean texts' best segments at that of the law."""
+    kinds, best = Counter({-6: 80, 2: 15, 5: 5}), [(50, 1.0 + i / 10) for i in range(21)]
+    lam, k = toxicity._extremes(kinds, best)
+    assert sum(n * math.exp(lam * s / 4) for s, n in kinds.items()) / 100 == pytest.approx(1)
+    assert math.exp(-k * 50 * math.exp(-lam * 2.0)) == pytest.approx(0.5)
+
+
+def test_repeated_labelled_rows_count_once(spark):
+    rows = [(i, ("bad worse " if i % 2 else "good fine ") * 5) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    once, often = (toxicity.train(spark.createDataFrame(rows * n, "doc_id long, text string"), labels) for n in (1, 3))
+    assert once.words == often.words and once.stems == often.stems and (once.lam, once.k, *once.curve) == pytest.approx((often.lam, often.k, *often.curve)) and once.fitted

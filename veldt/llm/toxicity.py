@@ -2,21 +2,22 @@
 
 Words get log-odds of their tokens' share in toxic against that in clean documents, under a Dirichlet prior over the
 vocabulary in proportion to the words' counts in both, brought towards zero by a standard deviation; words that training
-saw too seldom take those of the longest of their beginnings (4 to 6 letters) that enough different words share. Each
-word scores its log-odds less a drift, unknown ones minus the drift, so clean words end a passage. The linear-time scan of
-Ruzzo and Tompa finds every maximal scoring segment of a text. Extreme-value theory turns a segment's score
-into one that texts of any length share: lambda solves E[exp(lambda s)] = 1 over the words of clean documents, K is
-fitted to the best segments of clean documents, and a segment's calibrated score is lambda S - ln(K n). A document is
-scored by its best segment, the sum of its significant ones and the joint score of its best five, through a logistic curve fitted to documents that had
-no part in the words' log-odds.
+saw too seldom, or that tell nothing by themselves, take those of the longest of their beginnings (4 to 6 letters) that
+enough different words share. Each word scores its log-odds less a drift, unknown ones minus the drift, so clean words
+end a passage. The linear-time scan of Ruzzo and Tompa finds every maximal scoring segment of a text. Extreme-value
+theory turns a segment's score into one that texts of any length share: lambda, kept from 0.2 to 3, solves E[exp(lambda
+s)] = 1 over the words of clean documents, K is fitted to the best segments of clean documents, and a segment's
+calibrated score is lambda S - ln(K n). A document is scored by its best segment, the sum of its significant ones and
+the joint score of its best five, through a logistic curve fitted to documents that had no part in the words' log-odds.
 
-Fitted on at most ``max_docs`` labelled documents, drawn by hash; ``held_out`` ones are never among them. The word
-table is broadcast; its size is bounded by that sample.
+Fitted on at most ``max_docs`` labelled documents, drawn by hash; ``held_out`` ones are never among them. The word table
+is broadcast; its size is bounded by that sample.
 
 Defined results: null and empty texts have no segment and the score of such texts; documents with conflicting labels
-count as toxic; of rows that share a labelled doc_id one, fixed by its text's hash, is learned from; labels that are null, or of documents that don't exist, are ignored; without labels of both classes
-every score is the share of toxic labels (0 without labels); repeated rows are scored each; ties between equal
-segments don't change a score; an empty table gives no rows; clashing extra columns are dropped.
+count as toxic; of rows that share a labelled doc_id one, fixed by its text's hash, is learned from; labels that are
+null, or of documents that don't exist, are ignored; without labels of both classes every score is the share of toxic
+labels (0 without labels); repeated rows are scored each; ties between equal segments don't change a score; an empty
+table gives no rows; clashing extra columns are dropped.
 """
 
 from __future__ import annotations
