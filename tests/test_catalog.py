@@ -6,6 +6,8 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
+from pyspark.sql.group import GroupedData
 
 from veldt.functions import permutation, quantiles
 from veldt.operators import cells, change, features, graph, ml, radiometry, ranks, raster
@@ -89,6 +91,38 @@ def test_quantiles_without_gathering(spark, monkeypatch):
     assert one == pytest.approx(list(np.quantile(x, shares)))
 
 
+def test_quantiles_by_brackets(spark, monkeypatch):
+    """Brackets of columns and shares together, with nulls, NaN, heavy ties and a lone value, also when they are narrowed."""
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(0, 1e3, 30_000), rng.choice([0.0, -1.5, 7.25], 30_000)
+    rows = [(float(x), float(y) if i % 3 else None, math.nan if i % 10 == 0 else float(i % 7), 4.0 if i == 5 else None) for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(4)
+    cols, shares = {c: F.col(c) for c in "abcd"} | {"none": F.lit(None).cast("double")}, [0, 0.02, 0.5, 0.98, 1]
+    want = quantiles.quantiles(df, cols, shares)
+    monkeypatch.setattr(quantiles, "GATHER", 0)
+    for held, accuracy in ((200_000, 10_000), (200, 100)):
+        monkeypatch.setattr(quantiles, "HELD", held)
+        monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+        got = quantiles.quantiles(df, cols, shares)
+        assert {k: [str(x) if x is None or x != x else x for x in v] for k, v in got.items()} == {k: [str(x) if x is None or x != x else pytest.approx(x, rel=1e-12) for x in v] for k, v in want.items()}
+
+
+def test_quantiles_of_long_expressions_keep_plans_small(spark, monkeypatch):
+    """A filter on a quantile's expression once repeated it hundreds of times in the plan, which filled the driver."""
+    monkeypatch.setattr(quantiles, "GATHER", 0)
+    longest = []
+    agg = DataFrame.agg
+    monkeypatch.setattr(DataFrame, "agg", lambda self, *e: longest.append(len(agg(self, *e)._jdf.queryExecution().optimizedPlan().toString())) or agg(self, *e))
+    group = GroupedData.agg
+    monkeypatch.setattr(GroupedData, "agg", lambda self, *e: longest.append(len(group(self, *e)._jdf.queryExecution().optimizedPlan().toString())) or group(self, *e))
+    spark.conf.set("spark.sql.maxPlanStringLength", str(10_000_000))
+    try:
+        change.scale_top(change.change_vectors(pixels(spark)), "cva")
+    finally:
+        spark.conf.unset("spark.sql.maxPlanStringLength")
+    assert longest and max(longest) < 60_000
+
+
 def test_positions_are_gapless(spark):
     df = spark.range(5000).select((F.col("id") % 3).alias("g"), "id")
     got = ranks.positions(df, ["g"], ["id"], 7).toPandas()
