@@ -205,3 +205,10 @@ def test_recall(spark):
     df = scratch.kept(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), "grouped")
     index = routing.Index(df, F.col("vec_id") % 20 == 0)
     assert index.router.n_parts == 16 and index.probes <= 4 and _recall(df, index, 20) >= 0.9
+
+
+def test_spelling_broadcasts_no_words(spark):
+    """The planner takes exploded deletions for as small as the words' file; a broadcast would gather them in the driver."""
+    found = scratch.kept(spark.createDataFrame([("maschine", 50), ("maschinen", 9), ("mashine", 5)], "word string, n long"), "words")
+    for df in (spelling.near(found), spelling.variants(_docs(spark, [(1, "maschine maschinen " * 40)]), misspelt=2)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

@@ -6,7 +6,8 @@ the letter in the same place, are the same. So keys of deletions carry the place
 for each letter: never more than the alphabet, however large or skewed the corpus. What meets is verified for a distance
 of exactly one, each pair once, and words aggregate their near words: how many, and the most frequent one. It is the
 word's form if it is ``RATIO`` times as frequent; as counts grow with each step, chains of forms end, and their roots are
-found by joining each word's root with that root's own root until nothing changes.
+found by joining each word's root with that root's own root until nothing changes. All joins are sorted merges: a table of
+words is small as compressed Parquet but not as a hash table, which a broadcast would build in the driver.
 
 Counting: runs are counted in each document and summed in the worker before the shuffle, so a very common word is one row
 for each task.
@@ -85,10 +86,10 @@ def near(found: DataFrame) -> DataFrame:
     keys = found.select("word", "n", F.posexplode(cut).alias("place", "key"))
     one = keys.select("key", "place", "word", "n")
     two = keys.select("key", "place", F.col("word").alias("other"), F.col("n").alias("m"))
-    replaced = one.join(two, ["key", "place"]).where("word <> other").select("word", "other", F.col("m").alias("n"))
+    replaced = one.join(two.hint("merge"), ["key", "place"]).where("word <> other").select("word", "other", F.col("m").alias("n"))
     # Of equal neighbouring letters one deletion is enough.
     longer = found.select(F.col("word").alias("long"), F.col("n").alias("long_n"), F.explode(F.array_distinct(cut)).alias("word"))
-    shorter = found.join(longer, "word")
+    shorter = found.hint("merge").join(longer.hint("merge"), "word")
     added = shorter.select("word", F.col("long").alias("other"), F.col("long_n").alias("n")).unionByName(shorter.select(F.col("long").alias("word"), F.col("word").alias("other"), "n"))
     return replaced.unionByName(added).where(F.levenshtein("word", "other", 1) == 1)
 
@@ -97,10 +98,10 @@ def variants(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_
     """(word, form, root, n, n_near, form_n), a row for each word."""
     found = words(docs, doc_id, text, least_length, least_count, misspelt)
     best = near(found).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n")).alias("less"), F.col("other"))).alias("best"))
-    told = found.join(best, "word", "left")
+    told = found.join(best.hint("merge"), "word", "left")
     better = -F.col("best.less") >= ratio * F.col("n")
     told = scratch.kept(told.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(better, F.col("best.other")).alias("form"), F.when(better, -F.col("best.less")).alias("form_n")), "forms")
-    return told.join(roots(told), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return told.join(roots(told).hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = scratch.kept(forms.where("form is not null").select("word", F.col("form").alias("root")), "roots")
     while True:
         after = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        new = scratch.kept(now.join(after, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        new = scratch.kept(now.join(after.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         if not new.where("moved").take(1):
             return new.select("word", "root")
         now = new.select("word", "root")
