@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql.group import GroupedData
 
+from veldt import scratch
 from veldt.functions import permutation, quantiles
 from veldt.operators import cells, change, features, graph, ml, radiometry, ranks, raster
 from veldt.plans import catalog
@@ -272,6 +273,25 @@ def test_permutations_in_blocks_and_stretches(spark, monkeypatch):
     assert whole[0] == pytest.approx({"i": moran(z), "p_sim": (min(larger, reps - larger) + 1) / (reps + 1), "z_sim": (moran(z) - sims.mean()) / sims.std()})
 
 
+def test_local_permutations_walked_and_stretched(spark, monkeypatch):
+    """Up to WHOLE cells no cell and permutation is a row of its own; both ways count alike, also islands and equal values."""
+    g, reps = grid(spark).where("not (cell_row = 0 and cell_col = 0)").coalesce(1), 60
+    g = scratch.kept(g.unionByName(g.where("cell_row = 5 and cell_col = 5").withColumn("cell_row", F.lit(900).cast("long"))), "cells")
+    w = scratch.kept(cells.contiguity(g, "queen").withColumn("w", 1.0 / (1 + F.pmod("dst", F.lit(3)))), "weights")
+    flat = g.withColumn("mean_cva", F.lit(0.3))
+    for cs, how in ((g, "moran"), (flat, "gi")):
+        got = []
+        for whole in (1 << 20, 0):
+            monkeypatch.setattr(cells, "WHOLE", whole)
+            asked = cells.local_permutations(cs, w, "mean_cva", how, reps)
+            assert (("Window" in asked._jdf.queryExecution().optimizedPlan().toString()) == (whole == 0))
+            got.append({r["id"]: (r["p_sim"], r["z_sim"]) for r in asked.collect()})
+        walked, stretched = got
+        assert walked.keys() == stretched.keys() and len(walked) == cs.count() - 1
+        for k, (p, z) in walked.items():
+            assert p == stretched[k][0] and z == pytest.approx(stretched[k][1], rel=1e-7, abs=1e-8)
+
+
 def test_fdr(spark):
     p = [0.001, 0.2, 0.03, 0.5, 0.9, 0.04]
     q = [r["q"] for r in cells.bh_fdr(spark.createDataFrame(list(enumerate(p)), "id int, p double"), "p", "id").orderBy("p").collect()]
