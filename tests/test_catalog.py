@@ -416,3 +416,11 @@ def test_store_of_runs(spark, tmp_path):
     seen = late._version
     late._version = lambda n=[2]: n.pop() if n else seen()
     assert late.put("c", {"t": rows(5)}) == 4 and told("t") == [("a", 7), ("b", 3), ("c", 5)]
+
+
+def test_latest_of_runs_that_share_a_time(spark, tmp_path):
+    o = "select id o_orderkey, id o_custkey, 'F' o_orderstatus, 1d o_totalprice, timestamp'2001-08-01 00:00:00' - make_interval(0, 0, 0, if(id > 2, 1, 0)) o_orderdate, concat(%s, '-P') o_orderpriority from range(5)"
+    for i, (digit, want) in enumerate((("5 - id", "5-p"), ("id + 1", "3-p"))):  # three runs share the last time
+        sf = str(tmp_path / str(i))
+        spark.sql(o % digit).write.parquet(f"{sf}/orders.parquet")
+        assert [tuple(r) for r in catalog.QUERIES["sql_n07"](spark, sf).collect()] == [(want, "2001-08-01 00:00:00", "manual")]
