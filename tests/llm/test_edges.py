@@ -162,3 +162,17 @@ def test_held_out_rules(spark):
     df = spark.range(200).withColumnRenamed("id", "doc_id")
     got = {r[0]: (r[1], r[2]) for r in df.select("doc_id", lm_scoring.held_out(df["doc_id"]), toxicity.held_out(df["doc_id"])).collect()}
     assert all(got[i] == (zlib.crc32(str(i).encode()) % 7 == 2, zlib.crc32(str(i).encode()) % 4 == 2) for i in got)
+
+
+def test_line_dedup_sorts_plain_numbers(spark):
+    """Keys are said to hold no null, so that they are sorted compiled; looks need no lambda."""
+    pieces = spark.createDataFrame([("b a b",), ("",)], "piece string")
+    cut, classes = linededup.Lines(), [3] * (1 << linededup.BUCKET_BITS)
+    keyed = cut.keyed(pieces, classes, "piece")
+    assert not keyed.schema["keys"].dataType.containsNull
+    assert {r["piece"]: len(r["keys"]) for r in keyed.collect()} == {"b a b": 2, "": 1}
+    sets = spark.createDataFrame([(0, 4, [7]), (1, 9, [1, 2, 3]), (2, 40, list(range(9))), (3, 2, [])], "sid long, n int, prefix array<int>")
+    looks = linededup._Join(sets, spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", cut, classes).looks()
+    assert "lambda" not in looks._jdf.queryExecution().optimizedPlan().toString()
+    rows = looks.collect()
+    assert sorted(r["sid"] for r in rows) == [0, 1, 1, 2, 2, 2, 2] and all(r["key"] is not None for r in rows)

@@ -82,7 +82,8 @@ class Lines:
 
     def keys(self, piece: Column, key: Callable[[Column], Column]) -> Column:
         """``key`` of each different word of a piece made ready; an empty one has the empty word."""
-        return F.transform(F.array_distinct(F.split(piece, " ", -1)), lambda w: key(F.xxhash64(w)))
+        # Lambdas are not compiled, what is done to arrays of numbers is: words are hashed once and told apart as numbers.
+        return F.transform(F.array_distinct(F.transform(F.split(piece, " ", -1), lambda w: F.xxhash64(w))), key)
 
     def size(self, piece: Column) -> Column:
         """The words of a piece, with repeats."""
@@ -99,7 +100,8 @@ class Lines:
         # As JSON, so that the optimizer makes it one literal: as a column, every row would hold a copy.
         told = F.from_json(F.lit(str(classes)), "array<tinyint>")
         mask, low = _long((1 << BUCKET_BITS) - 1), _long((1 << KEY_BITS) - 1)
-        key = lambda x: F.shiftleft(F.get(told, x.bitwiseAND(mask).cast("int")).cast("long"), KEY_BITS).bitwiseOR(x.bitwiseAND(low))
+        # None is null, and said to be none: keys are then sorted as plain numbers.
+        key = lambda x: F.coalesce(F.shiftleft(F.get(told, x.bitwiseAND(mask)).cast("long"), KEY_BITS), _long(0)).bitwiseOR(x.bitwiseAND(low))
         return pieces.select(*keep, F.sort_array(self.keys(F.col("piece"), key)).alias("keys"))
 
     def sets(self, docs: DataFrame, doc_id: str, text: str, classes: list[int], min_words: int) -> DataFrame:
@@ -114,10 +116,11 @@ class Lines:
         rows = self.keyed(rows.withColumn("takes", takes), classes, "doc_id", "h", "n_lines", "line", "takes").withColumn("n", F.size("keys"))
         n = F.col("n")
         dealt = F.when(F.col("takes") & (n > ALIKE), n - F.floor((NUM * n + DEN - 1) / DEN).cast("int") + 1).otherwise(0)
-        bit = lambda x: F.call_function("shiftleft", _long(1), x.bitwiseAND(_long(63)).cast("int"))
-        high = lambda x: F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(_long(1)), x.bitwiseAND(_long(63)).cast("int"))
-        fold = F.when(n <= WIDEST, F.aggregate("keys", _long(0), lambda s, x: s.bitwiseXOR(bit(x)))).otherwise(_long(0))
-        half = F.when((n > WIDE) & (n <= WIDEST), F.aggregate("keys", _long(0), lambda s, x: s.bitwiseXOR(high(x)))).otherwise(_long(0))
+        # The bit of each value of the low 6 bits, and the upper half's of the low 7.
+        ones = [1 << i if i < 63 else -(1 << 63) for i in range(64)]
+        bits, uppers = (F.from_json(F.lit(str(x)), "array<bigint>") for x in (ones, [0] * 64 + ones))
+        fold = F.when(n <= WIDEST, F.aggregate("keys", _long(0), lambda s, x: s.bitwiseXOR(F.get(bits, x.bitwiseAND(_long(63)))))).otherwise(_long(0))
+        half = F.when((n > WIDE) & (n <= WIDEST), F.aggregate("keys", _long(0), lambda s, x: s.bitwiseXOR(F.get(uppers, x.bitwiseAND(_long(127)))))).otherwise(_long(0))
         return rows.select(
             "doc_id", "h", "n_lines", "line", F.when(F.col("takes"), n).otherwise(0).alias("n"), F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(7), "keys").alias("s2"),
             fold.alias("fold"), half.alias("half"), F.transform(F.slice("keys", F.lit(1), dealt), lambda x: F.hash(x)).alias("prefix"),
@@ -168,8 +171,9 @@ class _Join:
     def looks(self) -> DataFrame:
         """(sid, n, key): for each set the last pairs of neighbouring keys that it deals out."""
         some = self.sets.where(F.size("prefix") > 0).select("sid", "n", F.slice("prefix", F.greatest(F.size("prefix") - LOOK, F.lit(1)), LOOK + 1).alias("ends"))
-        hashed = F.transform("ends", lambda x, i: F.xxhash64(x, F.get("ends", i + 1)))
-        return some.select("sid", "n", F.explode(F.slice(hashed, F.lit(1), F.greatest(F.size("ends") - 1, F.lit(1)))).alias("key"))
+        # Columns, not a lambda over the ends: these are compiled. A single end is hashed alone.
+        hashed = F.array(*[F.when((F.size("ends") > i + 1) | F.lit(i == 0), F.xxhash64(F.get("ends", F.lit(i)), F.get("ends", F.lit(i + 1)))) for i in range(LOOK)])
+        return some.select("sid", "n", F.explode(hashed).alias("key")).where("key IS NOT NULL")
 
     def settled(self) -> DataFrame:
         """(sid): sets that are similar to the earliest or the shortest set of a crowd, that is of at least CROWD sets that
