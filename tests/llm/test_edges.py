@@ -176,3 +176,13 @@ def test_line_dedup_sorts_plain_numbers(spark):
     assert "lambda" not in looks._jdf.queryExecution().optimizedPlan().toString()
     rows = looks.collect()
     assert sorted(r["sid"] for r in rows) == [0, 1, 1, 2, 2, 2, 2] and all(r["key"] is not None for r in rows)
+
+
+def test_words_are_counted_four_buckets_a_row(spark):
+    """Each bucket has its own count, those of one row too, and none that is empty; few groups are counted."""
+    docs = spark.createDataFrame([(1, "a b  a\nc\tb a"), (2, None), (3, "")], "doc_id long, text string")
+    counted = linededup.Lines().buckets(docs, "text")
+    words = ["a", "b", "", "a", "c\tb", "a", "", ""]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").groupBy((F.xxhash64("w").bitwiseAND((1 << linededup.BUCKET_BITS) - 1)).alias("bucket")).count()
+    assert {(r["bucket"], r["n"]) for r in counted.collect()} == {(r["bucket"], r["count"]) for r in rows.collect()}
+    assert "four" in counted._jdf.queryExecution().optimizedPlan().toString()

@@ -46,6 +46,8 @@ WIDE, WIDEST = 48, 512
 LOOK = 4
 #: So many sets that have a pair of keys in common are a crowd.
 CROWD = 8
+#: Columns of lines and sets that hold hashes.
+HASHES = ("s1", "s2", "fold", "half", "prefix.list.element")
 #: Flags beside a key's place.
 SETTLED, INDEXED = 1 << 31, 1 << 30
 
@@ -93,7 +95,10 @@ class Lines:
         """(bucket, n): how many words fall into each hashed bucket."""
         ws = F.split(F.replace(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit("\n"), F.lit(" ")), " ", -1)
         each = docs.select(F.explode(ws).alias("w")).select(F.xxhash64("w").bitwiseAND((1 << BUCKET_BITS) - 1).alias("bucket"))
-        return each.groupBy("bucket").agg(F.count("*").alias("n"))
+        # Four buckets a row: so few groups fit in the small table that Spark compiles for counting.
+        fours = each.groupBy(F.shiftright("bucket", 2).alias("four")).agg(*[F.count_if(F.col("bucket").bitwiseAND(3) == i).alias(f"n{i}") for i in range(4)])
+        counts = [F.struct((F.col("four") * 4 + i).alias("bucket"), F.col(f"n{i}").alias("n")) for i in range(4)]
+        return fours.select(F.inline(F.array(*counts))).where("n > 0")
 
     def keyed(self, pieces: DataFrame, classes: list[int], *keep: str) -> DataFrame:
         """The columns ``keep`` of ``pieces``, and keys: the set of words of its column piece (made ready), rarest first."""
@@ -238,14 +243,16 @@ def matched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wor
     from 0; h is the text's hash. ``cut`` says how a text becomes sets of words: by lines, if not given."""
     cut = cut or Lines()
     classes = rarity(cut.buckets(docs, text))
-    held = scratch.kept(cut.sets(docs, doc_id, text, classes, min_words), "lines")
+    held = scratch.kept(cut.sets(docs, doc_id, text, classes, min_words), "lines", HASHES)
     lines = held.where("n > 0")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("raw"), F.col("h").alias("h"), F.col("line").alias("line"))
-    sets = lines.groupBy("s1", "s2").agg(F.min(place).alias("f"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "fold", "half", "prefix")])
-    sets = sets.select("s1", "s2", "copies", "n", "fold", "half", "prefix", F.col("f.none").alias("none"), F.col("f.raw").alias("fd"), F.col("f.h").alias("fh"), F.col("f.line").alias("fl"))
+    # One minimum holds all that is told of a set, its place first: a group of sort-based sums has a price for each.
+    told_of = ("n", "fold", "half", "prefix")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("fd"), F.col("h").alias("fh"), F.col("line").alias("fl"), *told_of)
+    sets = lines.groupBy("s1", "s2").agg(F.min(first).alias("f"), F.count("*").alias("copies"))
+    sets = sets.select("s1", "s2", "copies", *[F.col(f"f.{c}").alias(c) for c in (*told_of, "none", "fd", "fh", "fl")])
     # Numbers that grow with the place of a set's first line: an earlier set has the lesser number.
     sets = sets.repartitionByRange("none", "fd", "fh", "fl").sortWithinPartitions("none", "fd", "fh", "fl").withColumn("sid", F.monotonically_increasing_id())
-    sets = scratch.kept(sets, "line_sets")
+    sets = scratch.kept(sets, "line_sets", HASHES)
     later = _Join(sets, docs, doc_id, text, cut, classes).later().withColumn("later", F.lit(True))
     told = sets.select("sid", "s1", "s2", "copies", "fd", "fh", "fl").join(if_small(later), "sid", "left").where("later or copies > 1")
     told = scratch.kept(told.select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), "fd", "fh", "fl", F.coalesce("later", F.lit(False)).alias("later")), "told")
