@@ -424,3 +424,15 @@ def test_latest_of_runs_that_share_a_time(spark, tmp_path):
         sf = str(tmp_path / str(i))
         spark.sql(o % digit).write.parquet(f"{sf}/orders.parquet")
         assert [tuple(r) for r in catalog.QUERIES["sql_n07"](spark, sf).collect()] == [(want, "2001-08-01 00:00:00", "manual")]
+
+
+def test_latest_of_runs_within_a_second(tmp_path, spark):
+    """Times that differ by a fraction of a second are no tie: the latest run is the SQL's."""
+    p, con = tmp_path / "orders.parquet", duckdb.connect()
+    con.execute(f"copy (select i o_orderkey, i o_custkey, 'F' o_orderstatus, 1e0 o_totalprice, timestamp '2001-08-01 00:00:00' + interval (900 - 225 * i) milliseconds as o_orderdate, (i + 1) || '-P' as o_orderpriority from range(5) t(i)) to '{p}' (format parquet)")
+    con.execute(f"create view orders as select * from read_parquet('{p}')")
+    want = con.execute(catalog.SQL["sql_n07"]).fetchall()
+    assert want == [("1-p", "2001-08-01 00:00:00.9", "manual")]
+    assert [tuple(r) for r in catalog.QUERIES["sql_n07"](spark, str(tmp_path)).collect()] == want
+    runs = {r["run_timestamp"] for r in catalog._runs(spark, str(tmp_path)).read("run_metadata").collect()}
+    assert runs == {"2001-08-01 00:00:00" + f for f in ("", ".225", ".45", ".675", ".9")}
